@@ -59,11 +59,14 @@ SELECT o_orderkey+1 AS discount_id, o_custkey+1 AS student_id, {_term('o_orderda
 FROM {{orders}}
 WHERE o_orderstatus='P'""",
     "boarding_fee": "SELECT CAST(350000 AS DECIMAL(12,2)) AS amount",
+    # One row per section fee of the class mapping above, plus the boarding row.
     "fee_defaults": """
-SELECT 'boarding' AS fee_key, 'Boarding' AS label, 350000 AS amount
-UNION ALL SELECT 'upper_primary','Upper Primary',90000
-UNION ALL SELECT 'lower_primary','Lower Primary',90000
-UNION ALL SELECT 'nursery','Nursery',80000""",
+SELECT DISTINCT
+  CASE WHEN n_regionkey=0 THEN 'nursery' WHEN n_regionkey<=2 THEN 'lower_primary' ELSE 'upper_primary' END AS fee_key,
+  CASE WHEN n_regionkey=0 THEN 'Nursery' WHEN n_regionkey<=2 THEN 'Lower Primary' ELSE 'Upper Primary' END AS label,
+  CASE WHEN n_regionkey=0 THEN 80000 ELSE 90000 END AS amount
+FROM {nation}
+UNION ALL SELECT 'boarding', 'Boarding', 350000""",
     "uniform_items": """
 SELECT p_partkey+1 AS uniform_id, p_name AS item_name,
   CASE WHEN p_type='ECONOMY' THEN 'Nursery' WHEN p_type IN ('SMALL','MEDIUM') THEN 'Lower Primary' WHEN p_type='LARGE' THEN 'Upper Primary' ELSE 'All' END AS applicable_section,
