@@ -299,3 +299,41 @@ for _part in ("students", "payments", "discounts", "issues"):
 CHANGE_QUERIES["set_current_term"] = _q(lambda fx: ch.set_current_term(fx["academic_terms"],
                                                                         SET_CURRENT_TERM_ID))
 CHANGE_QUERIES["seed_fee_defaults"] = _q(lambda fx: ch.seed_fee_defaults(fx["fee_defaults"]))
+
+# ------------------------------------------------------------------------------- M15 stock fold
+# The oracle is the plain sequential fold: a recursive CTE stepping through each item's requests.
+_FOLD = "WITH RECURSIVE " + _with(("uniform_items", "issue_requests"), """t AS (SELECT r.*, i.price,
+  i.quantity_in_stock AS opening,
+  CASE WHEN i.uniform_id IS NULL THEN 'unknown_item' WHEN r.quantity IS NULL OR r.quantity < 1 THEN 'invalid_quantity' END AS bad
+  FROM issue_requests r LEFT JOIN uniform_items i ON i.uniform_id = r.uniform_id)""",
+    """v AS (SELECT *, row_number() OVER (PARTITION BY uniform_id ORDER BY date_issued NULLS FIRST,
+  request_id NULLS FIRST, student_id NULLS FIRST, quantity NULLS FIRST) AS rn FROM t WHERE bad IS NULL)""",
+    """fold AS (SELECT uniform_id, 0 AS rn, CAST(min(opening) AS BIGINT) AS left_after, CAST(NULL AS BOOLEAN) AS accepted
+  FROM v GROUP BY uniform_id
+  UNION ALL
+  SELECT f.uniform_id, f.rn + 1,
+         CASE WHEN v.quantity <= f.left_after THEN f.left_after - v.quantity ELSE f.left_after END,
+         v.quantity <= f.left_after
+  FROM fold f JOIN v ON v.uniform_id = f.uniform_id AND v.rn = f.rn + 1)""",
+    "d AS (SELECT v.*, f.accepted FROM v JOIN fold f ON f.uniform_id = v.uniform_id AND f.rn = v.rn)")[len("WITH "):]
+CHANGE_ORACLE["issue_uniforms"] = _FOLD + """
+SELECT request_id AS issue_key, student_id, uniform_id, quantity,
+       CAST(price * quantity AS DECIMAL(12,2)) AS total_price, amount_paid, date_issued FROM d WHERE accepted"""
+CHANGE_ORACLE["issue_uniforms_rejects"] = _FOLD + """
+SELECT request_id, uniform_id, bad AS reject_reason FROM t WHERE bad IS NOT NULL
+UNION ALL SELECT request_id, uniform_id, 'insufficient_stock' FROM d WHERE NOT accepted"""
+CHANGE_ORACLE["issue_uniforms_stock"] = _FOLD + f""",
+u AS (SELECT uniform_id, sum(quantity) AS used FROM d WHERE accepted GROUP BY uniform_id)
+SELECT i.uniform_id, i.item_name, i.applicable_section, i.applicable_gender, i.price,
+       CAST(i.quantity_in_stock - COALESCE(u.used, 0) AS INTEGER) AS quantity_in_stock
+FROM uniform_items i LEFT JOIN u ON u.uniform_id = i.uniform_id"""
+
+
+def _issue(fx):
+    from bursar.operators.stock_fold import issue_uniforms
+    return issue_uniforms(fx["uniform_items"], fx["issue_requests"])
+
+
+CHANGE_QUERIES["issue_uniforms"] = _q(lambda fx: _issue(fx).issued)
+CHANGE_QUERIES["issue_uniforms_rejects"] = _q(lambda fx: _issue(fx).rejects)
+CHANGE_QUERIES["issue_uniforms_stock"] = _q(lambda fx: _issue(fx).items)
