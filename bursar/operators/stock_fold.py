@@ -125,35 +125,37 @@ def transition(quantities: np.ndarray, domain: int) -> np.ndarray:
     return vals[inv]
 
 
-def _items_in_order(pdf: pd.DataFrame):
-    """Yield (rows of one item in fold order) for a segment's frame."""
+def _item_runs(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Sort a segment's rows into fold order; return them and the [start, end) bounds per item."""
     pdf = pdf.sort_values(["uniform_id", *ORDER], kind="stable", na_position="first")
     ids = pdf["uniform_id"].to_numpy()
     cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-    bounds = np.concatenate([[0], cuts, [len(pdf)]])
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        yield pdf.iloc[a:b]
+    return pdf, np.concatenate([[0], cuts, [len(pdf)]]).astype(np.int64)
 
 
 def _fold_segments(pdf: pd.DataFrame) -> pd.DataFrame:
     """One segment (all its items): fold each item's requests from the item's starting stock."""
-    parts = []
-    for item in _items_in_order(pdf):
-        acc, left = fold_segment(item["quantity"].to_numpy(), int(item["seg_start"].iloc[0]))
-        parts.append(pd.DataFrame({"rid": item["rid"].to_numpy(), "accepted": acc,
-                                   "uniform_id": item["uniform_id"].to_numpy(), "end_left": left}))
-    return pd.concat(parts) if parts else pd.DataFrame(columns=[f.name for f in _FOLD_OUT.fields])
+    pdf, bounds = _item_runs(pdf)
+    q = pdf["quantity"].to_numpy(dtype=np.int64)
+    start = pdf["seg_start"].to_numpy(dtype=np.int64)
+    accepted = np.zeros(len(pdf), dtype=bool)
+    end_left = np.zeros(len(pdf), dtype=np.int64)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        accepted[a:b], end_left[a:b] = fold_segment(q[a:b], int(start[a]))
+    return pd.DataFrame({"rid": pdf["rid"].to_numpy(), "accepted": accepted,
+                         "uniform_id": pdf["uniform_id"].to_numpy(), "end_left": end_left})
 
 
 def _transition_segments(pdf: pd.DataFrame) -> pd.DataFrame:
     """One segment: each item's stock-left function over [0, domain)."""
-    ids, segs, fs = [], [], []
-    for item in _items_in_order(pdf):
-        f = transition(item["quantity"].to_numpy(), int(item["domain"].iloc[0]))
-        ids.append(int(item["uniform_id"].iloc[0]))
-        segs.append(int(item["seg"].iloc[0]))
-        fs.append(f.tolist())
-    return pd.DataFrame({"uniform_id": ids, "seg": segs, "f": fs})
+    pdf, bounds = _item_runs(pdf)
+    q = pdf["quantity"].to_numpy(dtype=np.int64)
+    domain = pdf["domain"].to_numpy(dtype=np.int64)
+    ids = pdf["uniform_id"].to_numpy()
+    segs = pdf["seg"].to_numpy()
+    heads = bounds[:-1]
+    fs = [transition(q[a:b], int(domain[a])).tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    return pd.DataFrame({"uniform_id": ids[heads], "seg": segs[heads], "f": fs})
 
 
 def _compose_groups(pdf: pd.DataFrame) -> pd.DataFrame:
