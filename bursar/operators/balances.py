@@ -9,14 +9,16 @@ The reference runs two queries per student. Here payments and discounts are each
 the rows is combined before the shuffle), then left-joined to the roster on student_id. They are
 aggregated *separately*: joining both raw tables to students would multiply rows.
 
-The current term and the boarding fee are one-row values. They enter the plan as scalar
-subqueries: Spark evaluates each once, the term predicate is pushed into the parquet scan of
-payments and discounts, and no cross join or driver round trip is needed.
+The current term and the boarding fee are one-row values (the reference reads each with LIMIT 1
+before its main query). They are resolved once, in one small job of two scalar subqueries, and enter
+the main plan as literals: the term predicate then reaches the parquet scans of payments and
+discounts as a plain literal (row-group skipping, partition pruning on a term-partitioned table), no
+cross join is needed, and the small tables are read once per query instead of once per use.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bursar.functions.formats import money, payment_state
@@ -28,16 +30,39 @@ def current_term(terms: DataFrame) -> DataFrame:
     return terms.filter(F.col("is_current") == 1).orderBy("term_id").limit(1)
 
 
-def current_term_id(terms: DataFrame) -> Column:
-    """Current term id as a scalar subquery; null when no term is current."""
+def current_term_query(terms: DataFrame) -> Column:
+    """Current term id as a scalar subquery (null when no term is current)."""
     return terms.filter(F.col("is_current") == 1).agg(F.min("term_id")).scalar()
 
 
-def boarding_amount(boarding_fee: DataFrame) -> Column:
+def boarding_query(boarding_fee: DataFrame) -> Column:
     """The boarding fee as a scalar subquery; 0 when the table is empty (min as tie rule)."""
     return boarding_fee.agg(F.coalesce(F.min("amount"), F.lit(0)).cast(MONEY)).scalar()
 
 
+def resolve(spark: SparkSession, *scalars: Column) -> list:
+    """Evaluate one-row scalar subqueries together, in one small job."""
+    return list(spark.range(1).select(*[c.alias(f"v{i}") for i, c in enumerate(scalars)]).first())
+
+
+def current_term_id(terms: DataFrame) -> Column:
+    """Current term id as a literal (null literal when no term is current)."""
+    (value,) = resolve(terms.sparkSession, current_term_query(terms))
+    return F.lit(value).cast("int")
+
+
+def boarding_amount(boarding_fee: DataFrame) -> Column:
+    """The boarding fee as a literal (0 when the table is empty)."""
+    (value,) = resolve(boarding_fee.sparkSession, boarding_query(boarding_fee))
+    return F.lit(value).cast(MONEY)
+
+
+def term_and_boarding(terms: DataFrame, boarding_fee: DataFrame) -> tuple[Column, Column]:
+    """Both one-row values in one job, as literals."""
+    term_id, board = resolve(terms.sparkSession, current_term_query(terms), boarding_query(boarding_fee))
+    return F.lit(term_id).cast("int"), F.lit(board).cast(MONEY)
+
+
 def is_truthy(col: str) -> Column:
     """PHP truthiness of a 0/1 flag column (null counts as false)."""
     return F.coalesce(F.col(col), F.lit(0)) != 0
@@ -92,8 +117,7 @@ def term_balances(students: DataFrame, classes: DataFrame, payments: DataFrame,
 
     No current term gives no rows (reports.php / class_fee_status.php show nothing then).
     """
-    term_id = current_term_id(terms)
-    board = boarding_amount(boarding_fee)
+    term_id, board = term_and_boarding(terms, boarding_fee)
     people = roster(students, classes, active_only).filter(term_id.isNotNull())
     disc = sums_by_student(discounts, "discount_amount", "discount", term_id)
     paid = sums_by_student(payments, "amount_paid", "total_paid", term_id)

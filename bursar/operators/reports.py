@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bursar.functions.formats import money, short_term_label, sum_or_zero, term_label
 from bursar.operators.balances import (
     boarding_amount, current_term_id, roster, sums_by_student, sums_by_student_term,
-    term_balances, with_balance,
+    term_and_boarding, term_balances, with_balance,
 )
 from bursar.sources.schemas import RESULT_MONEY
 
@@ -130,8 +130,7 @@ def recent_payments(payments, students, classes, discounts, terms, boarding_fee,
     The top-n is a TakeOrderedAndProject (per-partition top-n, then merge). Only the n students'
     payments and discounts are then aggregated: a semi join against the n ids (proven size n).
     """
-    term_id = current_term_id(terms)
-    board = boarding_amount(boarding_fee)
+    term_id, board = term_and_boarding(terms, boarding_fee)
     top = (payments.select("payment_id", "student_id", "amount_paid", "date_paid", "receipt_number")
                    .join(students.select("student_id", "full_name", "is_boarder", "class_id"), "student_id")
                    .join(classes.select("class_id", "class_name", "term_fee"), "class_id")
@@ -176,8 +175,7 @@ def student_statement(students, classes, payments, discounts, terms, boarding_fe
 
     Needs a current term: without one every total stays 0 (the page's initial values).
     """
-    term_id = current_term_id(terms)
-    board = boarding_amount(boarding_fee)
+    term_id, board = term_and_boarding(terms, boarding_fee)
     disc = sums_by_student(discounts, "discount_amount", "discount", term_id)
     paid = sums_by_student(payments, "amount_paid", "total_paid", term_id)
     rows = (roster(students, classes, active_only=False)

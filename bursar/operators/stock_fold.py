@@ -216,7 +216,7 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
                .withColumn("seg_start", (F.col("opening") - F.col("cum_before")).cast("bigint"))
                .select("uniform_id", "seg", "kind", "seg_start")
                .checkpoint(eager=True))
-    seg2 = seg.join(summ, ["uniform_id", "seg"]).checkpoint(eager=True)
+    seg2 = seg.join(summ, ["uniform_id", "seg"])
 
     # Step 3: boundary segments, folded from a known start (one Python call per segment).
     bnd = (seg2.filter(F.col("kind") == "boundary").select(*_FOLD_IN, "seg_start")
