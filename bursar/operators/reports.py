@@ -123,18 +123,37 @@ def dashboard_stats(students: DataFrame, classes: DataFrame, items: DataFrame) -
                     low.cast("bigint").alias("low_stock_items"))
 
 
+def _latest_joined(payments, students, classes, n: int) -> DataFrame:
+    """The n highest payment ids among payments whose student and class rows exist (inner joins).
+
+    Exact without joining every payment: the top K payments by id are joined first (a per-partition
+    top-K, then a merge); if at least n of them survive the joins they are the answer, because every
+    other payment has a smaller id. Otherwise K grows eightfold and the step repeats; in the worst
+    case K covers the whole table, which is the plain join. Only one count per step reaches the
+    driver.
+    """
+    pay = payments.select("payment_id", "student_id", "amount_paid", "date_paid", "receipt_number")
+    people = students.select("student_id", "full_name", "is_boarder", "class_id")
+    cls = classes.select("class_id", "class_name", "term_fee")
+    k = max(8 * n, 64)
+    while True:
+        cand = pay.orderBy(F.desc("payment_id")).limit(k)
+        joined = cand.join(people, "student_id").join(cls, "class_id")
+        got = joined.count()
+        if got >= n or cand.count() < k:
+            return joined.orderBy(F.desc("payment_id")).limit(n)
+        k *= 8
+
+
 def recent_payments(payments, students, classes, discounts, terms, boarding_fee, n: int = 5) -> DataFrame:
     """dashboard.php: the n latest payments (by payment_id) of any student/term, with that student's
     *current-term* balance, arranged by class order (ties keep newest first).
 
-    The top-n is a TakeOrderedAndProject (per-partition top-n, then merge). Only the n students'
-    payments and discounts are then aggregated: a semi join against the n ids (proven size n).
+    Only the n students' payments and discounts are then aggregated: a semi join against the n ids
+    (proven size n).
     """
     term_id, board = term_and_boarding(terms, boarding_fee)
-    top = (payments.select("payment_id", "student_id", "amount_paid", "date_paid", "receipt_number")
-                   .join(students.select("student_id", "full_name", "is_boarder", "class_id"), "student_id")
-                   .join(classes.select("class_id", "class_name", "term_fee"), "class_id")
-                   .orderBy(F.desc("payment_id")).limit(n))
+    top = _latest_joined(payments, students, classes, n)
     ids = F.broadcast(top.select("student_id").distinct())
     disc = sums_by_student(discounts.join(ids, "student_id", "left_semi"),
                            "discount_amount", "discount", term_id)

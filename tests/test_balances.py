@@ -109,3 +109,13 @@ def test_recent_payments_top_and_order(school):
     # top 3 by payment_id among payments whose student has a class: 6, 5, 4 -> sorted by class
     assert [r["payment_id"] for r in rows] == [6, 5, 4]
     assert rows[1]["balance"] == D("90000.00")  # student 6: current-term balance, old payment ignored
+
+
+def test_recent_payments_skips_orphans_beyond_first_window(school, make):
+    orphans = make("fee_payments", [
+        {"payment_id": 100 + i, "student_id": 500 + i, "term_id": 2, "amount_paid": D("1")}
+        for i in range(100)])  # newest 100 payments belong to no known student
+    pays = school["payments"].unionByName(orphans)
+    rows = reports.recent_payments(pays, school["students"], school["classes"], school["discounts"],
+                                   school["terms"], school["boarding"], n=2).collect()
+    assert [r["payment_id"] for r in rows] == [6, 5]
