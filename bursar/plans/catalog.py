@@ -85,3 +85,18 @@ def all_oracles() -> dict[str, str]:
     from bursar.plans.changes_catalog import CHANGE_ORACLE
     from bursar.plans.oracle import ORACLE
     return {**ORACLE, **CHANGE_ORACLE}
+
+
+def _audits():
+    from bursar.operators import audits
+    return {
+        "audit_orphan_discounts": _q(lambda fx: audits.orphan_discounts(
+            fx["fee_discounts"], fx["students"], fx["academic_terms"])),
+        "audit_duplicate_admissions": _q(lambda fx: audits.duplicate_admissions(fx["students"])),
+        "audit_duplicate_terms": _q(lambda fx: audits.duplicate_terms(fx["academic_terms"])),
+        "audit_current_term": _q(lambda fx: audits.current_term_check(fx["academic_terms"])),
+        "current_term_label": _q(lambda fx: audits.current_term_label(fx["academic_terms"])),
+    }
+
+
+READ_QUERIES.update(_audits())

@@ -216,3 +216,26 @@ SELECT {_DETAIL} FROM students s JOIN classes c ON s.class_id = c.class_id
 WHERE (s.full_name ILIKE '%{DIRECTORY_SEARCH}%' OR s.admission_number ILIKE '%{DIRECTORY_SEARCH}%')
   AND s.class_id = {DIRECTORY_CLASS}""",
 })
+
+ORACLE.update({
+    "audit_orphan_discounts": _with(("fee_discounts", "students", "academic_terms")) + """
+SELECT d.discount_id, d.student_id, d.term_id,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM students s WHERE s.student_id = d.student_id) THEN 'unknown_student'
+            ELSE 'unknown_term' END AS violation
+FROM fee_discounts d
+WHERE NOT EXISTS (SELECT 1 FROM students s WHERE s.student_id = d.student_id)
+   OR NOT EXISTS (SELECT 1 FROM academic_terms t WHERE t.term_id = d.term_id)""",
+    "audit_duplicate_admissions": _with(("students",)) + """
+SELECT admission_number, CAST(count(*) AS BIGINT) AS occurrences FROM students
+GROUP BY admission_number HAVING count(*) > 1""",
+    "audit_duplicate_terms": _with(("academic_terms",)) + """
+SELECT academic_year, term_number, CAST(count(*) AS BIGINT) AS occurrences FROM academic_terms
+GROUP BY academic_year, term_number HAVING count(*) > 1""",
+    "audit_current_term": _with(("academic_terms",)) + """
+SELECT CAST(count(*) AS BIGINT) AS current_terms, min(term_id) AS term_used, count(*) <= 1 AS ok
+FROM academic_terms WHERE is_current = 1""",
+    "current_term_label": _with(("academic_terms",)) + """,
+c AS (SELECT * FROM academic_terms WHERE is_current = 1 ORDER BY term_id LIMIT 1)
+SELECT COALESCE((SELECT 'Term ' || CAST(term_number AS VARCHAR) || ', ' || CAST(academic_year AS VARCHAR) FROM c),
+                'No term set') AS term_label""",
+})
