@@ -190,6 +190,8 @@ VIEW_SCHEMA = {
     "issue_requests": schemas.ISSUE_REQUESTS,
 }
 
+_HANDLES: dict[tuple[str, str, str], DataFrame] = {}
+
 _PLACEHOLDER = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
 
 
@@ -208,7 +210,10 @@ class Fixture:
 
     def base(self, name: str) -> DataFrame:
         if name not in self._base:
-            self._base[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+            if key not in _HANDLES:  # one file listing / footer read per table and session
+                _HANDLES[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._base[name] = _HANDLES[key]
         return self._base[name]
 
     def __getitem__(self, view: str) -> DataFrame:
