@@ -1,0 +1,28 @@
+"""Size-checked small sides.
+
+A join side whose size cannot be estimated (an aggregate of a join, say) is planned as a shuffle join,
+hash-partitioning the large side on its key. When that key has a handful of distinct values (section,
+gender) the large side lands in a handful of partitions. When the small side has a *checked* bound,
+it is materialised as a local table and marked for broadcast on the strength of that check, so the
+large side is joined where it lies, without a shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side this small is cheap to hold on the driver and to broadcast.
+MAX_SMALL_ROWS = 100_000
+
+
+def small_or_none(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame | None:
+    """``df`` as a broadcast-marked local table when it has at most ``max_rows`` rows, else None.
+
+    At most ``max_rows + 1`` rows ever reach the driver; the broadcast mark rests on that checked
+    count. None tells the caller to keep the distributed plan.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bursar.functions.formats import money
+from bursar.operators.bounded import small_or_none
 from bursar.operators.students import student_details
 
 ALL = "All"  # fixed value: the wildcard the reference stores in applicable_section / _gender
@@ -32,8 +33,14 @@ def _match_keys(df: DataFrame) -> DataFrame:
 
 
 def _segments(students: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct (section, gender) pairs present among students with a class row."""
-    return student_details(students, classes).select("section", "gender").distinct()
+    """Distinct (section, gender) pairs present among students with a class row.
+
+    The pairs are few (sections x genders); when that bound is confirmed the list becomes a local
+    relation, so every later join broadcasts it instead of hash-partitioning a large side on a
+    handful of keys.
+    """
+    segs = student_details(students, classes).select("section", "gender").distinct()
+    return small_or_none(segs) or segs
 
 
 def _items_by_key(items: DataFrame) -> DataFrame:
@@ -44,7 +51,7 @@ def _items_by_key(items: DataFrame) -> DataFrame:
 def uniform_eligibility(students: DataFrame, classes: DataFrame, items: DataFrame) -> DataFrame:
     """Items each (section, gender) segment may be issued, ordered by item name."""
     keyed = _match_keys(_segments(students, classes))
-    pairs = keyed.join(_items_by_key(items), ["match_section", "match_gender"])
+    pairs = _items_by_key(items).join(keyed, ["match_section", "match_gender"])
     return (pairs.select("section", "gender", "uniform_id", "item_name",
                          F.col("match_section").alias("applicable_section"),
                          F.col("match_gender").alias("applicable_gender"),
@@ -55,15 +62,17 @@ def uniform_eligibility(students: DataFrame, classes: DataFrame, items: DataFram
 def uniform_eligibility_counts(students: DataFrame, classes: DataFrame, items: DataFrame) -> DataFrame:
     """Number of items each student may be issued.
 
-    Items are counted per (applicable_section, applicable_gender) first, segments sum the counts of
-    the keys they accept, and each student picks up its segment's count: students are scanned once
-    and never multiplied by items.
+    Items are counted per (applicable_section, applicable_gender) first (map-side), segments sum the
+    counts of the keys they accept, and each student picks up its segment's count through a
+    broadcast of the (size-checked) segment table: students are scanned once, never shuffled and
+    never multiplied by items.
     """
     item_counts = items.groupBy(F.col("applicable_section").alias("match_section"),
                                 F.col("applicable_gender").alias("match_gender")).count()
     seg_counts = (_match_keys(_segments(students, classes))
                   .join(item_counts, ["match_section", "match_gender"])
                   .groupBy("section", "gender").agg(F.sum("count").alias("n")))
+    seg_counts = small_or_none(seg_counts) or seg_counts
     people = student_details(students, classes)
     joined = people.join(seg_counts, people["section"].eqNullSafe(seg_counts["section"])
                          & people["gender"].eqNullSafe(seg_counts["gender"]), "left")
