@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import money, short_term_label, sum_or_zero, term_label
+from bursar.functions.formats import PHP_TRIM_CHARS, money, short_term_label, sum_or_zero, term_label
+from bursar.operators.bounded import small_or_none
 from bursar.operators.balances import (
     boarding_amount, current_term_id, roster, sums_by_student, sums_by_student_term,
     term_and_boarding, term_balances, with_balance,
@@ -167,19 +168,32 @@ def recent_payments(payments, students, classes, discounts, terms, boarding_fee,
                .orderBy("class_id", F.desc("payment_id")))
 
 
-def receipts(payments, students, classes, terms, discounts, boarding_fee) -> DataFrame:
-    """receipt.php for every payment: discount and paid totals are for the *payment's* term (all of
-    that term's payments, later ones included); fee and boarding status are as of now."""
+def receipts(payments, students, classes, terms, discounts, boarding_fee,
+             payment_id: int | None = None) -> DataFrame:
+    """receipt.php for every payment (or one ``payment_id``): discount and paid totals are for the
+    *payment's* term (all of that term's payments, later ones included); fee and boarding status are
+    as of now.
+
+    For one receipt the payment and discount tables are first narrowed to that payment's
+    (student, term) by a semi join against the size-checked key rows, so nothing else is aggregated.
+    """
     board = boarding_amount(boarding_fee)
-    disc = sums_by_student_term(discounts, "discount_amount", "discount")
-    paid = sums_by_student_term(payments, "amount_paid", "total_paid")
-    rows = (payments.join(students.select("student_id", "full_name", "admission_number", "is_boarder",
-                                          "class_id"), "student_id")
-                    .join(classes.select("class_id", "class_name", "section", "term_fee"), "class_id")
-                    .join(terms.select("term_id", "term_number", "academic_year"), "term_id")
-                    .withColumnRenamed("amount_paid", "this_payment")
-                    .join(disc, ["student_id", "term_id"], "left")
-                    .join(paid, ["student_id", "term_id"], "left"))
+    main, pay_src, disc_src = payments, payments, discounts
+    if payment_id is not None:
+        main = payments.filter(F.col("payment_id") == F.lit(payment_id))
+        keys = main.select("student_id", "term_id").distinct()
+        keys = small_or_none(keys) or keys
+        pay_src = payments.join(keys, ["student_id", "term_id"], "left_semi")
+        disc_src = discounts.join(keys, ["student_id", "term_id"], "left_semi")
+    disc = sums_by_student_term(disc_src, "discount_amount", "discount")
+    paid = sums_by_student_term(pay_src, "amount_paid", "total_paid")
+    rows = (main.join(students.select("student_id", "full_name", "admission_number", "is_boarder",
+                                      "class_id"), "student_id")
+                .join(classes.select("class_id", "class_name", "section", "term_fee"), "class_id")
+                .join(terms.select("term_id", "term_number", "academic_year"), "term_id")
+                .withColumnRenamed("amount_paid", "this_payment")
+                .join(disc, ["student_id", "term_id"], "left")
+                .join(paid, ["student_id", "term_id"], "left"))
     out = with_balance(rows, board)
     return out.select("payment_id", "receipt_number", "student_id", "admission_number", "full_name",
                       "class_name", "section", "term_id",
@@ -189,16 +203,24 @@ def receipts(payments, students, classes, terms, discounts, boarding_fee) -> Dat
                       "payment_state")
 
 
-def student_statement(students, classes, payments, discounts, terms, boarding_fee) -> DataFrame:
-    """fee_payment.php totals for every student of any status with a class row.
+def student_statement(students, classes, payments, discounts, terms, boarding_fee,
+                      admission_number: str | None = None) -> DataFrame:
+    """fee_payment.php totals for every student of any status with a class row (or the one with
+    ``admission_number``, trimmed as the page does).
 
     Needs a current term: without one every total stays 0 (the page's initial values).
     """
     term_id, board = term_and_boarding(terms, boarding_fee)
+    people = roster(students, classes, active_only=False)
+    if admission_number is not None:
+        people = people.filter(F.col("admission_number") == F.lit(admission_number.strip(PHP_TRIM_CHARS)))
+        ids = people.select("student_id").distinct()
+        ids = small_or_none(ids) or ids
+        payments = payments.join(ids, "student_id", "left_semi")
+        discounts = discounts.join(ids, "student_id", "left_semi")
     disc = sums_by_student(discounts, "discount_amount", "discount", term_id)
     paid = sums_by_student(payments, "amount_paid", "total_paid", term_id)
-    rows = (roster(students, classes, active_only=False)
-            .join(disc, "student_id", "left").join(paid, "student_id", "left"))
+    rows = people.join(disc, "student_id", "left").join(paid, "student_id", "left")
     out = with_balance(rows, board)
     no_term = term_id.isNull()
     zero = F.lit(0).cast(RESULT_MONEY)
@@ -210,19 +232,23 @@ def student_statement(students, classes, payments, discounts, terms, boarding_fe
                       .otherwise(F.lit("paid")).alias("payment_state"))
 
 
-def discount_history(discounts: DataFrame, terms: DataFrame) -> DataFrame:
-    """fee_payment.php: current-term discounts, newest first (per student on the page)."""
+def _for_student(df: DataFrame, student_id: int | None) -> DataFrame:
+    return df if student_id is None else df.filter(F.col("student_id") == F.lit(student_id))
+
+
+def discount_history(discounts: DataFrame, terms: DataFrame, student_id: int | None = None) -> DataFrame:
+    """fee_payment.php: current-term discounts, newest first (one student's, or everyone's)."""
     term_id = current_term_id(terms)
-    return (discounts.filter(F.col("term_id") == term_id)
+    return (_for_student(discounts, student_id).filter(F.col("term_id") == term_id)
                      .select("discount_id", "student_id", "term_id",
                              money("discount_amount").alias("discount_amount"), "reason",
                              "approved_by", "date_given")
                      .orderBy("student_id", F.desc("discount_id")))
 
 
-def payment_history(payments: DataFrame, terms: DataFrame) -> DataFrame:
-    """Every payment with its term's short label, newest first per student."""
-    return (payments.join(terms.select("term_id", "term_number", "academic_year"), "term_id")
+def payment_history(payments: DataFrame, terms: DataFrame, student_id: int | None = None) -> DataFrame:
+    """Payments of every term with the term's short label, newest first per student."""
+    return (_for_student(payments, student_id).join(terms.select("term_id", "term_number", "academic_year"), "term_id")
                     .select("payment_id", "student_id", "term_id",
                             short_term_label("term_number", "academic_year").alias("term_short"),
                             money("amount_paid").alias("amount_paid"), "payment_method",

@@ -92,8 +92,11 @@ def eligible_items_for(selected_students: DataFrame, classes: DataFrame, items:
                  .orderBy("student_id", F.lower("item_name"), "item_name", "uniform_id"))
 
 
-def uniform_issue_history(issues: DataFrame, items: DataFrame) -> DataFrame:
-    """Past issues with item name and what is still owed on each line (may be negative)."""
+def uniform_issue_history(issues: DataFrame, items: DataFrame, student_id: int | None = None) -> DataFrame:
+    """Past issues with item name and what is still owed on each line (may be negative);
+    one student's (the page) or everyone's."""
+    if student_id is not None:
+        issues = issues.filter(F.col("student_id") == F.lit(student_id))
     return (issues.join(items.select("uniform_id", "item_name"), "uniform_id")
                   .select("issue_key", "student_id", "uniform_id", "item_name", "quantity",
                           money("total_price").alias("total_price"),

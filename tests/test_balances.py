@@ -119,3 +119,24 @@ def test_recent_payments_skips_orphans_beyond_first_window(school, make):
     rows = reports.recent_payments(pays, school["students"], school["classes"], school["discounts"],
                                    school["terms"], school["boarding"], n=2).collect()
     assert [r["payment_id"] for r in rows] == [6, 5]
+
+
+def test_single_entity_pages_equal_filtered_population(school):
+    args = (school["payments"], school["students"], school["classes"], school["terms"],
+            school["discounts"], school["boarding"])
+    everyone = {r["payment_id"]: r for r in reports.receipts(*args).collect()}
+    for pid in (1, 3, 5):
+        one = reports.receipts(*args, payment_id=pid).collect()
+        assert len(one) == 1 and one[0] == everyone[pid]
+    assert reports.receipts(*args, payment_id=999).count() == 0
+
+    sargs = (school["students"], school["classes"], school["payments"], school["discounts"],
+             school["terms"], school["boarding"])
+    all_st = {r["admission_number"]: r for r in reports.student_statement(*sargs).collect()}
+    one = reports.student_statement(*sargs, admission_number=" UB-002\t").collect()
+    assert len(one) == 1 and one[0] == all_st["UB-002"]
+
+    hist = reports.payment_history(school["payments"], school["terms"], student_id=1).collect()
+    assert [r["payment_id"] for r in hist] == [2, 1] and hist[0]["term_short"] == "T2 2024"
+    disc = reports.discount_history(school["discounts"], school["terms"], student_id=2).collect()
+    assert [r["discount_id"] for r in disc] == [2, 1]

@@ -81,3 +81,8 @@ def test_scalar_formats(spark):
     assert r["l"] == "Term 3, 2024" and r["sl"] == "T3 2024" and r["fd"] == "n/a"
     none = spark.range(1).select(formats.term_label(F.lit(None).cast("int"), F.lit(None).cast("int"))).collect()
     assert none[0][0] == formats.NO_TERM_LABEL
+
+
+def test_issue_history_for_one_student(school):
+    rows = uniforms.uniform_issue_history(school["issues"], school["items"], student_id=2).collect()
+    assert [(r["issue_key"], r["item_name"]) for r in rows] == [(2, "Shorts")]
