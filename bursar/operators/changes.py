@@ -26,8 +26,14 @@ from bursar.sources.tables import conform
 
 @dataclass
 class Applied:
+    """Result of a change job.
+
+    ``table`` is the complete new version. For insert-only jobs ``added`` holds just the new rows:
+    at scale, append those to the table's folder instead of rewriting the table.
+    """
     table: DataFrame
     rejects: DataFrame
+    added: DataFrame | None = None
 
 
 def _reason(*rules: tuple[Column, str]) -> Column:
@@ -50,7 +56,7 @@ def _rejects(bad: DataFrame, key: str | None = None) -> DataFrame:
     return bad.select(*cols)
 
 
-def _new_ids(base: DataFrame, key: str, commands: DataFrame, batch: DataFrame) -> Column:
+def _new_ids(base: DataFrame, key: str, batch: DataFrame) -> Column:
     """Key for a new row: base max + position of its seq in the batch (1-based from the smallest)."""
     top = base.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
     first = batch.agg(F.min("seq")).scalar()
@@ -104,17 +110,18 @@ def apply_registrations(students: DataFrame, commands: DataFrame) -> Applied:
     winners = _first_by_key(fresh, ["admission_number"], cols)
     losers = fresh.join(winners.select("seq"), "seq", "left_anti")
     new_rows = winners.withColumns({
-        "student_id": _new_ids(students, "student_id", c, c),
+        "student_id": _new_ids(students, "student_id", c),
         "is_boarder": F.coalesce(F.col("is_boarder"), F.lit(0)),
         "status": F.lit("Active"),
     })
-    table = students.unionByName(conform(new_rows, schemas.STUDENTS))
+    added = conform(new_rows, schemas.STUDENTS)
+    table = students.unionByName(added)
     rejects = (_rejects(bad, "admission_number")
                .unionByName(taken.select("seq", "admission_number",
                                          F.lit("admission_exists").alias("reject_reason")))
                .unionByName(losers.select("seq", "admission_number",
                                           F.lit("admission_exists").alias("reject_reason"))))
-    return Applied(table, rejects)
+    return Applied(table, rejects, added)
 
 
 STUDENT_EDIT_COLUMNS = ["full_name", "gender", "date_of_birth", "class_id", "is_boarder",
@@ -161,11 +168,11 @@ def apply_payments(payments: DataFrame, commands: DataFrame, today: str | None =
     c = conform(commands, schemas.PAYMENT_COMMANDS).withColumn("received_by", php_trim("received_by"))
     valid, bad = _split(c, _reason((_bad_amount("amount_paid"), "invalid_amount")))
     day = F.to_date(F.lit(today)) if today else F.current_date()
-    new = (valid.withColumn("payment_id", _new_ids(payments, "payment_id", c, c))
+    new = (valid.withColumn("payment_id", _new_ids(payments, "payment_id", c))
                 .withColumn("date_paid", F.coalesce(F.col("date_paid"), day)))
     new = new.withColumn("receipt_number", receipt_number("date_paid", "payment_id"))
-    return Applied(payments.unionByName(conform(new, schemas.FEE_PAYMENTS)),
-                   _rejects(bad, "student_id"))
+    added = conform(new, schemas.FEE_PAYMENTS)
+    return Applied(payments.unionByName(added), _rejects(bad, "student_id"), added)
 
 
 PAYMENT_EDIT_COLUMNS = ["amount_paid", "payment_method", "received_by"]
@@ -203,10 +210,10 @@ def apply_discounts(discounts: DataFrame, students: DataFrame, terms: DataFrame,
                      (F.col("_t").isNull(), "unknown_term"))
     valid, bad = _split(c, reason)
     day = F.to_date(F.lit(today)) if today else F.current_date()
-    new = (valid.withColumn("discount_id", _new_ids(discounts, "discount_id", c, c))
+    new = (valid.withColumn("discount_id", _new_ids(discounts, "discount_id", c))
                 .withColumn("date_given", F.coalesce(F.col("date_given"), day)))
-    return Applied(discounts.unionByName(conform(new, schemas.FEE_DISCOUNTS)),
-                   _rejects(bad, "student_id"))
+    added = conform(new, schemas.FEE_DISCOUNTS)
+    return Applied(discounts.unionByName(added), _rejects(bad, "student_id"), added)
 
 
 # -------------------------------------------------------------------------------------------- terms
@@ -221,11 +228,12 @@ def apply_new_terms(terms: DataFrame, commands: DataFrame) -> Applied:
     taken = valid.join(terms.select(*pair), pair, "left_semi")
     winners = _first_by_key(fresh, pair, [])
     losers = fresh.join(winners.select("seq"), "seq", "left_anti")
-    new = winners.withColumns({"term_id": _new_ids(terms, "term_id", c, c).cast("int"),
+    new = winners.withColumns({"term_id": _new_ids(terms, "term_id", c).cast("int"),
                                "is_current": F.lit(0)})
     rejects = (_rejects(bad).unionByName(taken.select("seq", F.lit("term_exists").alias("reject_reason")))
                .unionByName(losers.select("seq", F.lit("term_exists").alias("reject_reason"))))
-    return Applied(terms.unionByName(conform(new, schemas.ACADEMIC_TERMS)), rejects)
+    added = conform(new, schemas.ACADEMIC_TERMS)
+    return Applied(terms.unionByName(added), rejects, added)
 
 
 def set_current_term(terms: DataFrame, term_id: int) -> DataFrame:
@@ -294,9 +302,10 @@ def apply_new_items(items: DataFrame, commands: DataFrame) -> Applied:
     (negative included, as the reference does server-side)."""
     c = conform(commands, schemas.ITEM_COMMANDS).withColumn("item_name", php_trim("item_name"))
     valid, bad = _split(c, _item_rules())
-    new = (valid.withColumn("uniform_id", _new_ids(items, "uniform_id", c, c))
+    new = (valid.withColumn("uniform_id", _new_ids(items, "uniform_id", c))
                 .withColumn("quantity_in_stock", F.coalesce(F.col("initial_stock"), F.lit(0))))
-    return Applied(items.unionByName(conform(new, schemas.UNIFORM_ITEMS)), _rejects(bad))
+    added = conform(new, schemas.UNIFORM_ITEMS)
+    return Applied(items.unionByName(added), _rejects(bad), added)
 
 
 ITEM_EDIT_COLUMNS = ["item_name", "applicable_section", "applicable_gender", "price"]

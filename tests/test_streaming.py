@@ -62,3 +62,24 @@ def test_payment_commands_as_a_stream(spark, make, school, tmp_path):
     assert sorted(r["payment_id"] for r in final.filter("payment_id > 6").collect()) == [7, 8]
     rejects = spark.read.parquet(f"{root}_rejects")
     assert [(r["seq"], r["batch_id"]) for r in rejects.collect()] == [(2, 0)]
+
+
+def test_registrations_stream_appends_only_new_rows(spark, make, school, tmp_path):
+    from bursar.streaming.commands import appended_table
+    base = str(tmp_path / "students0")
+    school["students"].write.parquet(base)
+    src = str(tmp_path / "cmds")
+    c = lambda seq, adm: {"seq": seq, "admission_number": adm, "full_name": f"N{seq}", "class_id": 1}
+    _write_batches(spark, src, schemas.REGISTRATION_COMMANDS,
+                   [[c(1, "UB-100"), c(2, "UB-001")], [c(3, "UB-100"), c(4, "UB-101")]])
+    stream = (spark.readStream.schema(schemas.REGISTRATION_COMMANDS).option("maxFilesPerTrigger", 1)
+                   .parquet(f"{src}/*"))
+    root = str(tmp_path / "students")
+    q = apply_stream(stream, ch.apply_registrations, initial_path=base, root=root,
+                     table_schema=schemas.STUDENTS, checkpoint=str(tmp_path / "ckpt"), append=True)
+    q.awaitTermination(120)
+    table = appended_table(spark, base, root, schemas.STUDENTS)
+    new = sorted((r["admission_number"], r["student_id"]) for r in table.filter("student_id > 6").collect())
+    assert new == [("UB-100", 7), ("UB-101", 9)]  # the repeat of UB-100 in batch 1 is refused
+    rejects = sorted((r["seq"], r["reject_reason"]) for r in spark.read.parquet(f"{root}_rejects").collect())
+    assert rejects == [(2, "admission_exists"), (3, "admission_exists")]
