@@ -63,10 +63,18 @@ def student_search(students: DataFrame, classes: DataFrame, term: str) -> DataFr
             .orderBy("class_id", F.lower("full_name"), "student_id"))
 
 
-def student_search_outcome(students: DataFrame, classes: DataFrame, term: str) -> DataFrame:
-    """how a search resolves: 'none', 'one' (open the record) or 'many' (pick from a list)."""
-    hits = student_search(students, classes, term)
+def student_search_outcome(students: DataFrame, classes: DataFrame, term: str,
+                           admission_number: str | None = None) -> DataFrame:
+    """how a lookup resolves. An exact admission number, when given (non-empty after trim), wins
+    over the search term: 'found' or 'not_found'. Otherwise the search: 'none', 'one' (open the
+    record) or 'many' (pick from a list). One row."""
     n = F.count(F.lit(1))
+    adm = (admission_number or "").strip(_PHP_WS)
+    if adm:
+        hits = student_lookup(students, classes, adm)
+        return hits.agg(F.lit(adm).alias("search_term"), n.cast("bigint").alias("match_count"),
+                        F.when(n == 0, F.lit("not_found")).otherwise(F.lit("found")).alias("outcome"))
+    hits = student_search(students, classes, term)
     return hits.agg(F.lit(term.strip(_PHP_WS)).alias("search_term"),
                     n.cast("bigint").alias("match_count"),
                     F.when(n == 0, F.lit("none")).when(n == 1, F.lit("one"))

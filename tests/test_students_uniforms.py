@@ -86,3 +86,14 @@ def test_scalar_formats(spark):
 def test_issue_history_for_one_student(school):
     rows = uniforms.uniform_issue_history(school["issues"], school["items"], student_id=2).collect()
     assert [(r["issue_key"], r["item_name"]) for r in rows] == [(2, "Shorts")]
+
+
+def test_exact_admission_wins_over_search(school):
+    s, c = school["students"], school["classes"]
+    r = stu.student_search_outcome(s, c, "a", admission_number=" UB-003 ").collect()[0]
+    assert (r["outcome"], r["match_count"], r["search_term"]) == ("found", 1, "UB-003")
+    r = stu.student_search_outcome(s, c, "a", admission_number="UB-999").collect()[0]
+    assert r["outcome"] == "not_found"
+    r = stu.student_search_outcome(s, c, "Okello", admission_number="  ").collect()[0]
+    assert r["outcome"] == "one"
+    assert [x["student_id"] for x in stu.student_lookup(s, c, "\tUB-002").collect()] == [2]
