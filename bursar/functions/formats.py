@@ -30,6 +30,12 @@ def php_trim(col: Column | str) -> Column:
     return F.btrim(_c(col), F.lit(PHP_TRIM_CHARS))
 
 
+def text_key(col: Column | str) -> Column:
+    """Comparison key for text the reference compares in MySQL's default, case-insensitive
+    collation (admission numbers: lookups and the unique index)."""
+    return F.lower(_c(col))
+
+
 def is_php_empty(col: Column | str) -> Column:
     """PHP ``empty()`` on a form value: null, '' and '0' are empty."""
     c = _c(col).cast("string")

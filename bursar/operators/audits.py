@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import NO_TERM_LABEL, term_label
+from bursar.functions.formats import NO_TERM_LABEL, term_label, text_key
 
 
 def orphan_discounts(discounts: DataFrame, students: DataFrame, terms: DataFrame) -> DataFrame:
@@ -27,8 +27,9 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def duplicate_admissions(students: DataFrame) -> DataFrame:
-    """Unique admission_number (the registration page relies on it)."""
-    return duplicate_keys(students, ["admission_number"])
+    """Unique admission_number, compared as the unique index does (case-insensitively)."""
+    return duplicate_keys(students.select(text_key("admission_number").alias("admission_key")),
+                          ["admission_key"])
 
 
 def duplicate_terms(terms: DataFrame) -> DataFrame:

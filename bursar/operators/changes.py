@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import is_php_empty, php_trim, receipt_number
+from bursar.functions.formats import is_php_empty, php_trim, receipt_number, text_key
 from bursar.sources import schemas
 from bursar.sources.tables import conform
 
@@ -104,10 +104,13 @@ def apply_registrations(students: DataFrame, commands: DataFrame) -> Applied:
                                                 "guardian_phone")})
     missing = is_php_empty("admission_number") | is_php_empty("full_name") | is_php_empty("class_id")
     valid, bad = _split(c, _reason((missing, "missing_fields")))
-    fresh = valid.join(students.select("admission_number"), "admission_number", "left_anti")
-    taken = valid.join(students.select("admission_number"), "admission_number", "left_semi")
-    cols = [f.name for f in schemas.REGISTRATION_COMMANDS.fields if f.name not in ("seq", "admission_number")]
-    winners = _first_by_key(fresh, ["admission_number"], cols)
+    # The unique index compares in the default (case-insensitive) collation.
+    valid = valid.withColumn("_adm_key", text_key("admission_number"))
+    existing = students.select(text_key("admission_number").alias("_adm_key"))
+    fresh = valid.join(existing, "_adm_key", "left_anti")
+    taken = valid.join(existing, "_adm_key", "left_semi")
+    cols = [f.name for f in schemas.REGISTRATION_COMMANDS.fields if f.name != "seq"]
+    winners = _first_by_key(fresh, ["_adm_key"], cols).drop("_adm_key")
     losers = fresh.join(winners.select("seq"), "seq", "left_anti")
     new_rows = winners.withColumns({
         "student_id": _new_ids(students, "student_id", c),

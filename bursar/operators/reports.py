@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import PHP_TRIM_CHARS, money, short_term_label, sum_or_zero, term_label
+from bursar.functions.formats import (
+    PHP_TRIM_CHARS, money, short_term_label, sum_or_zero, term_label, text_key,
+)
 from bursar.operators.bounded import small_or_none
 from bursar.operators.balances import (
     boarding_amount, current_term_id, roster, sums_by_student, sums_by_student_term,
@@ -213,7 +215,8 @@ def student_statement(students, classes, payments, discounts, terms, boarding_fe
     term_id, board = term_and_boarding(terms, boarding_fee)
     people = roster(students, classes, active_only=False)
     if admission_number is not None:
-        people = people.filter(F.col("admission_number") == F.lit(admission_number.strip(PHP_TRIM_CHARS)))
+        key = text_key(F.lit(admission_number.strip(PHP_TRIM_CHARS)))
+        people = people.filter(text_key("admission_number") == key)
         ids = people.select("student_id").distinct()
         ids = small_or_none(ids) or ids
         payments = payments.join(ids, "student_id", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import php_trim
+from bursar.functions.formats import php_trim, text_key
 
 _DETAIL_CLASS_COLUMNS = ["class_name", "section", "term_fee"]
 
@@ -38,9 +38,10 @@ def student_details(students: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def student_lookup(students: DataFrame, classes: DataFrame, admission_number: str) -> DataFrame:
-    """exact admission-number lookup; the input is trimmed first (PHP trim)."""
-    key = php_trim(F.lit(admission_number))
-    return student_details(students, classes).filter(F.col("admission_number") == key)
+    """exact admission-number lookup; the input is trimmed first (PHP trim); case-insensitive as
+    under MySQL's default collation."""
+    key = text_key(php_trim(F.lit(admission_number)))
+    return student_details(students, classes).filter(text_key("admission_number") == key)
 
 
 # The characters PHP's trim() strips.
@@ -58,7 +59,7 @@ def student_search(students: DataFrame, classes: DataFrame, term: str) -> DataFr
     t = term.strip(_PHP_WS)
     if t == "":
         return student_details(students, classes).limit(0)
-    hit = (F.col("admission_number") == F.lit(t)) | _contains("full_name", t)
+    hit = (text_key("admission_number") == text_key(F.lit(t))) | _contains("full_name", t)
     return (student_details(students, classes).filter(hit)
             .orderBy("class_id", F.lower("full_name"), "student_id"))
 

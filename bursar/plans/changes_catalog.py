@@ -67,8 +67,8 @@ _REG = _with(("students", "registration_commands"), f"""c AS (SELECT seq, {_t('a
   {_t('full_name')} AS full_name, gender, date_of_birth, class_id, is_boarder,
   {_t('guardian_name')} AS guardian_name, {_t('guardian_phone')} AS guardian_phone FROM registration_commands)""",
     f"v AS (SELECT * FROM c WHERE NOT ({_empty('admission_number')} OR {_empty('full_name')} OR {_empty('class_id')}))",
-    "f AS (SELECT *, row_number() OVER (PARTITION BY admission_number ORDER BY seq) AS rn FROM v "
-    "WHERE NOT EXISTS (SELECT 1 FROM students s WHERE s.admission_number = v.admission_number))")
+    "f AS (SELECT *, row_number() OVER (PARTITION BY lower(admission_number) ORDER BY seq) AS rn FROM v "
+    "WHERE NOT EXISTS (SELECT 1 FROM students s WHERE lower(s.admission_number) = lower(v.admission_number)))")
 
 CHANGE_ORACLE: dict[str, str] = {
     "apply_registrations": _REG + f"""
@@ -80,7 +80,7 @@ SELECT CAST({_new_id('students', 'student_id')} AS BIGINT), admission_number, fu
 SELECT seq, admission_number, 'missing_fields' AS reject_reason FROM c
 WHERE {_empty('admission_number')} OR {_empty('full_name')} OR {_empty('class_id')}
 UNION ALL SELECT seq, admission_number, 'admission_exists' FROM v
-WHERE EXISTS (SELECT 1 FROM students s WHERE s.admission_number = v.admission_number)
+WHERE EXISTS (SELECT 1 FROM students s WHERE lower(s.admission_number) = lower(v.admission_number))
 UNION ALL SELECT seq, admission_number, 'admission_exists' FROM f WHERE rn > 1""",
 }
 

@@ -18,7 +18,7 @@ def test_audits_find_violations(school, make):
     s = school["students"].unionByName(school["students"].filter("student_id = 1")
                                        .withColumn("student_id", F.lit(77).cast("long")))
     dup = audits.duplicate_admissions(s).collect()
-    assert [(r["admission_number"], r["occurrences"]) for r in dup] == [("UB-001", 2)]
+    assert [(r["admission_key"], r["occurrences"]) for r in dup] == [("ub-001", 2)]
 
     t = school["terms"].withColumn("is_current", F.lit(1))
     chk = audits.current_term_check(t).collect()[0]

@@ -147,3 +147,21 @@ def test_items_and_restock(make, school):
     row = res.table.filter("uniform_id = 2").collect()[0]
     assert row["item_name"] == "Gown" and row["quantity_in_stock"] == 0
     assert res.rejects.count() == 1
+
+
+def test_admission_numbers_compare_case_insensitively(make, school):
+    from bursar.operators import audits, students as stu
+    cmds = make(schemas.REGISTRATION_COMMANDS, [
+        {"seq": 1, "admission_number": "ub-001", "full_name": "Clash", "class_id": 1},
+        {"seq": 2, "admission_number": "UB-200", "full_name": "New", "class_id": 1},
+        {"seq": 3, "admission_number": "ub-200", "full_name": "Again", "class_id": 1}])
+    res = ch.apply_registrations(school["students"], cmds)
+    assert [r["admission_number"] for r in res.added.collect()] == ["UB-200"]
+    assert {r["seq"]: r["reject_reason"] for r in res.rejects.collect()} == {
+        1: "admission_exists", 3: "admission_exists"}
+    assert [r["student_id"] for r in stu.student_lookup(school["students"], school["classes"], "ub-002").collect()] == [2]
+    dup = audits.duplicate_admissions(school["students"].unionByName(
+        school["students"].filter("student_id = 3").selectExpr(
+            "77L AS student_id", "lower(admission_number) AS admission_number", "full_name", "gender",
+            "date_of_birth", "class_id", "is_boarder", "guardian_name", "guardian_phone", "status"))).collect()
+    assert [(r["admission_key"], r["occurrences"]) for r in dup] == [("ub-003", 2)]
