@@ -45,8 +45,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a scratch one only when none is configured.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; the local scratch
-    folder is only a fallback for tests and local runs.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is (it is required
+    there); a local scratch folder is only a fallback for ``local[...]`` masters (tests, local runs).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -56,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors; "
+                           "a machine-local folder would not survive executor loss")
     local = tempfile.mkdtemp(prefix="bursar-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
