@@ -95,19 +95,20 @@ def roster(students: DataFrame, classes: DataFrame, active_only: bool) -> DataFr
 
 
 def with_balance(df: DataFrame, boarding: Column) -> DataFrame:
-    """P1-P4 on a frame carrying term_fee, is_boarder, discount and total_paid (nullable sums)."""
+    """P1-P4, P8 on a frame carrying term_fee, is_boarder, discount and total_paid (nullable sums)."""
     gross = money(gross_fee(boarding))
     discount = money(F.coalesce(F.col("discount"), F.lit(0)))
     paid = money(F.coalesce(F.col("total_paid"), F.lit(0)))
     return (df.withColumns({"gross_fee": gross, "discount": discount, "total_paid": paid})
               .withColumn("total_due", money(F.col("gross_fee") - F.col("discount")))
               .withColumn("balance", money(F.col("total_due") - F.col("total_paid")))
-              .withColumn("payment_state", payment_state("balance")))
+              .withColumn("payment_state", payment_state("balance"))
+              .withColumn("has_discount", F.col("discount") > 0))
 
 
 BALANCE_COLUMNS = ["student_id", "admission_number", "full_name", "class_id", "class_name", "section",
-                   "is_boarder", "term_id", "gross_fee", "discount", "total_due", "total_paid",
-                   "balance", "payment_state"]
+                   "is_boarder", "term_id", "gross_fee", "discount", "has_discount", "total_due",
+                   "total_paid", "balance", "payment_state"]
 
 
 def term_balances(students: DataFrame, classes: DataFrame, payments: DataFrame,

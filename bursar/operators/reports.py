@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bursar.functions.formats import (
-    PHP_TRIM_CHARS, money, short_term_label, sum_or_zero, term_label, text_key,
+    PHP_TRIM_CHARS, class_label, money, short_term_label, sum_or_zero, term_label, text_key,
 )
 from bursar.operators.bounded import small_or_none
 from bursar.operators.balances import (
@@ -66,7 +66,7 @@ def uniform_item_sales(items: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 STATUS_COLUMNS = ["class_id", "student_id", "admission_number", "full_name", "is_boarder",
-                  "gross_fee", "discount", "total_due", "total_paid", "balance"]
+                  "gross_fee", "discount", "has_discount", "total_due", "total_paid", "balance"]
 
 
 def _class_status(students, classes, payments, discounts, terms, boarding_fee,
@@ -230,9 +230,10 @@ def student_statement(students, classes, payments, discounts, terms, boarding_fe
     for c in ("gross_fee", "discount", "total_due", "total_paid", "balance"):
         out = out.withColumn(c, F.when(no_term, zero).otherwise(F.col(c)))
     return out.select("student_id", "admission_number", "full_name", "status", "class_id", "class_name",
-                      "section", "is_boarder", "gross_fee", "discount", "total_due", "total_paid",
-                      "balance", F.when(F.col("balance") > 0, F.lit("owing"))
-                      .otherwise(F.lit("paid")).alias("payment_state"))
+                      "section", class_label("class_name", "section").alias("class_label"), "is_boarder",
+                      "gross_fee", "discount", (F.col("discount") > 0).alias("has_discount"),
+                      "total_due", "total_paid", "balance",
+                      F.when(F.col("balance") > 0, F.lit("owing")).otherwise(F.lit("paid")).alias("payment_state"))
 
 
 def _for_student(df: DataFrame, student_id: int | None) -> DataFrame:

@@ -42,15 +42,16 @@ BAL_CTES = (
  WHERE s.status = 'Active' AND (SELECT term_id FROM cur) IS NOT NULL)""",
     f"""bal AS (SELECT *, CAST(gross_fee - discount AS {M}) AS total_due,
    CAST(gross_fee - discount - total_paid AS {M}) AS balance,
-   CASE WHEN gross_fee - discount - total_paid > 0 THEN 'owing' ELSE 'paid' END AS payment_state
+   CASE WHEN gross_fee - discount - total_paid > 0 THEN 'owing' ELSE 'paid' END AS payment_state,
+   discount > 0 AS has_discount
  FROM bal0)""",
 )
 
 BAL_SELECT = ("student_id, admission_number, full_name, class_id, class_name, section, is_boarder, term_id, "
-              "gross_fee, discount, total_due, total_paid, balance, payment_state")
+              "gross_fee, discount, has_discount, total_due, total_paid, balance, payment_state")
 
 STATUS_SELECT = ("class_id, student_id, admission_number, full_name, is_boarder, gross_fee, discount, "
-                 "total_due, total_paid, balance")
+                 "has_discount, total_due, total_paid, balance")
 
 
 def _bal(select: str) -> str:
@@ -144,8 +145,9 @@ r AS (SELECT s.student_id, s.admission_number, s.full_name, s.status, c.class_id
       LEFT JOIN d ON d.student_id = s.student_id LEFT JOIN p ON p.student_id = s.student_id),
 z AS (SELECT *, CASE WHEN no_term THEN 0 ELSE g END AS gross_fee, CASE WHEN no_term THEN 0 ELSE dd END AS discount,
         CASE WHEN no_term THEN 0 ELSE pp END AS total_paid FROM r)
-SELECT student_id, admission_number, full_name, status, class_id, class_name, section, is_boarder,
-       CAST(gross_fee AS {M}) AS gross_fee, CAST(discount AS {M}) AS discount,
+SELECT student_id, admission_number, full_name, status, class_id, class_name, section,
+       class_name || ' (' || section || ')' AS class_label, is_boarder,
+       CAST(gross_fee AS {M}) AS gross_fee, CAST(discount AS {M}) AS discount, discount > 0 AS has_discount,
        CAST(gross_fee - discount AS {M}) AS total_due, CAST(total_paid AS {M}) AS total_paid,
        CAST(gross_fee - discount - total_paid AS {M}) AS balance,
        CASE WHEN gross_fee - discount - total_paid > 0 THEN 'owing' ELSE 'paid' END AS payment_state

@@ -140,3 +140,17 @@ def test_single_entity_pages_equal_filtered_population(school):
     assert [r["payment_id"] for r in hist] == [2, 1] and hist[0]["term_short"] == "T2 2024"
     disc = reports.discount_history(school["discounts"], school["terms"], student_id=2).collect()
     assert [r["discount_id"] for r in disc] == [2, 1]
+
+
+def test_dashboard_without_current_term_shows_gross_as_balance(school):
+    terms = school["terms"].withColumn("is_current", F.lit(0))
+    rows = reports.recent_payments(school["payments"], school["students"], school["classes"],
+                                   school["discounts"], terms, school["boarding"], n=5).collect()
+    by_student = {r["student_id"]: r["balance"] for r in rows}
+    assert by_student[2] == D("350000.00")  # boarder: nothing paid or discounted "this term"
+    assert by_student[1] == D("80000.00")
+
+
+def test_has_discount_flag(school):
+    rows = _by_id(_bal(school))
+    assert rows[2]["has_discount"] is True and rows[1]["has_discount"] is False
