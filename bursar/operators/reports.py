@@ -142,8 +142,7 @@ def _latest_joined(payments, students, classes, n: int) -> DataFrame:
     while True:
         cand = pay.orderBy(F.desc("payment_id")).limit(k)
         joined = cand.join(people, "student_id").join(cls, "class_id")
-        got = joined.count()
-        if got >= n or cand.count() < k:
+        if joined.count() >= n or cand.count() < k:  # enough survivors, or no payments left to add
             return joined.orderBy(F.desc("payment_id")).limit(n)
         k *= 8
 
