@@ -70,3 +70,13 @@ def test_current_term_is_pushed_to_the_payment_scan(spark, tmp_path):
     plan = _plan(df)
     assert "PushedFilters: [IsNotNull(term_id), EqualTo(term_id,2)]" in plan
     assert df.collect()[0]["paid"] == 10.0
+
+
+def test_sums_are_combined_before_the_shuffle(spark, q):
+    plan = _plan(q["student_balances"](spark, SF))
+    lines = plan.splitlines()
+    partial = [i for i, l in enumerate(lines) if "partial_sum" in l]
+    assert len(partial) >= 2  # payments and discounts
+    for i in partial:  # each partial aggregate sits below (after, in the text) a shuffle exchange
+        assert any("Exchange hashpartitioning(student_id" in l for l in lines[:i])
+
