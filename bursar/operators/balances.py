@@ -116,7 +116,7 @@ def term_balances(students: DataFrame, classes: DataFrame, payments: DataFrame,
                   *, active_only: bool = True) -> DataFrame:
     """Core: balance of every (active) student for the current term.
 
-    No current term gives no rows (reports.php / class_fee_status.php show nothing then).
+    No current term gives no rows (the reports and class fee-status pages show nothing then).
     """
     term_id, board = term_and_boarding(terms, boarding_fee)
     people = roster(students, classes, active_only).filter(term_id.isNotNull())

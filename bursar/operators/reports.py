@@ -20,7 +20,7 @@ from bursar.sources.schemas import RESULT_MONEY
 
 
 def outstanding_balances(students, classes, payments, discounts, terms, boarding_fee) -> DataFrame:
-    """reports.php: active students still owing this term (balance > 0, strictly), by class, name."""
+    """Reports page: active students still owing this term (balance > 0, strictly), by class, name."""
     core = term_balances(students, classes, payments, discounts, terms, boarding_fee)
     return (core.filter(F.col("balance") > 0)
                 .orderBy("class_id", F.lower("full_name"), "full_name", "student_id"))
@@ -80,7 +80,7 @@ def _class_status(students, classes, payments, discounts, terms, boarding_fee,
 
 def class_fee_status_owing(students, classes, payments, discounts, terms, boarding_fee,
                            class_id: int | None = None) -> DataFrame:
-    """class_fee_status.php, owing list: per class, highest balance first, then name."""
+    """Class fee-status page, owing list: per class, highest balance first, then name."""
     core = _class_status(students, classes, payments, discounts, terms, boarding_fee, class_id)
     return (core.filter(F.col("balance") > 0).select(*STATUS_COLUMNS)
                 .orderBy("class_id", F.desc("balance"), F.lower("full_name"), "full_name", "student_id"))
@@ -148,7 +148,7 @@ def _latest_joined(payments, students, classes, n: int) -> DataFrame:
 
 
 def recent_payments(payments, students, classes, discounts, terms, boarding_fee, n: int = 5) -> DataFrame:
-    """dashboard.php: the n latest payments (by payment_id) of any student/term, with that student's
+    """Dashboard: the n latest payments (by payment_id) of any student/term, with that student's
     *current-term* balance, arranged by class order (ties keep newest first).
 
     Only the n students' payments and discounts are then aggregated: a semi join against the n ids
@@ -171,7 +171,7 @@ def recent_payments(payments, students, classes, discounts, terms, boarding_fee,
 
 def receipts(payments, students, classes, terms, discounts, boarding_fee,
              payment_id: int | None = None) -> DataFrame:
-    """receipt.php for every payment (or one ``payment_id``): discount and paid totals are for the
+    """Receipt page for every payment (or one ``payment_id``): discount and paid totals are for the
     *payment's* term (all of that term's payments, later ones included); fee and boarding status are
     as of now.
 
@@ -206,7 +206,7 @@ def receipts(payments, students, classes, terms, discounts, boarding_fee,
 
 def student_statement(students, classes, payments, discounts, terms, boarding_fee,
                       admission_number: str | None = None) -> DataFrame:
-    """fee_payment.php totals for every student of any status with a class row (or the one with
+    """Fee payment page totals for every student of any status with a class row (or the one with
     ``admission_number``, trimmed as the page does).
 
     Needs a current term: without one every total stays 0 (the page's initial values).
@@ -240,7 +240,7 @@ def _for_student(df: DataFrame, student_id: int | None) -> DataFrame:
 
 
 def discount_history(discounts: DataFrame, terms: DataFrame, student_id: int | None = None) -> DataFrame:
-    """fee_payment.php: current-term discounts, newest first (one student's, or everyone's)."""
+    """Fee payment page: current-term discounts, newest first (one student's, or everyone's)."""
     term_id = current_term_id(terms)
     return (_for_student(discounts, student_id).filter(F.col("term_id") == term_id)
                      .select("discount_id", "student_id", "term_id",

@@ -1,6 +1,6 @@
 """Issue uniforms against stock, in bulk.
 
-Rule (uniform_issue.php): for one item, requests are taken in time order; a request is accepted when
+Rule (the uniform issue page): for one item, requests are taken in time order; a request is accepted when
 its quantity is at least 1 and at most what is *left*; an accepted request reduces the stock, a
 rejected one uses nothing, so a later, smaller request may still fit. This is a fold, not a running
 sum (a running-sum cut-off rejects every request after the first one that does not fit).

@@ -1,6 +1,6 @@
 """Uniform eligibility, issue history and stock lists.
 
-Eligibility (uniform_issue.php): an item fits a student when
+Eligibility (the uniform issue page): an item fits a student when
     (applicable_section = section OR applicable_section = 'All')
 AND (applicable_gender  = gender  OR applicable_gender  = 'All').
 Written as that OR, Spark plans a BroadcastNestedLoopJoin. Here each side is expanded to the (at most
@@ -107,7 +107,7 @@ def uniform_issue_history(issues: DataFrame, items: DataFrame, student_id: int |
 
 
 def uniform_stock(items: DataFrame) -> DataFrame:
-    """manage_uniforms.php list: every item by name, flagged out of stock (= 0) and low (<= 5)."""
+    """Uniform list page: every item by name, flagged out of stock (= 0) and low (<= 5)."""
     return (items.select("uniform_id", "item_name", "applicable_section", "applicable_gender",
                          money("price").alias("price"), "quantity_in_stock",
                          (F.col("quantity_in_stock") == 0).alias("out_of_stock"),
