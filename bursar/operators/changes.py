@@ -97,7 +97,7 @@ def _unknown_keys(commands: DataFrame, base: DataFrame, key: str) -> DataFrame:
 # ----------------------------------------------------------------------------------------- students
 
 def apply_registrations(students: DataFrame, commands: DataFrame) -> Applied:
-    """M1 register_student: trim; admission, name and class required ('0' counts as empty);
+    """M1 registration: trim; admission, name and class required ('0' counts as empty);
     admission numbers unique against the table and, within the batch, the first valid command wins."""
     c = conform(commands, schemas.REGISTRATION_COMMANDS)
     c = c.withColumns({k: php_trim(k) for k in ("admission_number", "full_name", "guardian_name",
@@ -132,7 +132,7 @@ STUDENT_EDIT_COLUMNS = ["full_name", "gender", "date_of_birth", "class_id", "is_
 
 
 def apply_student_updates(students: DataFrame, commands: DataFrame) -> Applied:
-    """M2 update_student: eight columns replaced, admission number fixed; last command per student
+    """M2 student edits: eight columns replaced, admission number fixed; last command per student
     wins; no validation (as the reference); unknown ids change nothing."""
     c = conform(commands, schemas.STUDENT_UPDATE_COMMANDS)
     c = c.withColumns({k: php_trim(k) for k in ("full_name", "guardian_name", "guardian_phone")})
@@ -152,7 +152,7 @@ class Cascade:
 
 def apply_student_deletes(students: DataFrame, payments: DataFrame, discounts: DataFrame,
                           issues: DataFrame, commands: DataFrame) -> Cascade:
-    """M3 delete_student: the students and, in the same change set, their payments, discounts and
+    """M3 student deletion: the students and, in the same change set, their payments, discounts and
     uniform issues (J13: four anti joins). Publish with ``sources.tables.write_versions``."""
     gone = conform(commands, schemas.KEY_COMMANDS_STUDENT).select("student_id").distinct()
     return Cascade(*(t.join(gone, "student_id", "left_anti")
@@ -166,7 +166,7 @@ def _bad_amount(col: str) -> Column:
 
 
 def apply_payments(payments: DataFrame, commands: DataFrame, today: str | None = None) -> Applied:
-    """M4 record_payment: amount required and > 0 (no check against the balance, as the
+    """M4 new payments: amount required and > 0 (no check against the balance, as the
     reference); new payment ids follow the largest; receipt number derived from date and id."""
     c = conform(commands, schemas.PAYMENT_COMMANDS).withColumn("received_by", php_trim("received_by"))
     valid, bad = _split(c, _reason((_bad_amount("amount_paid"), "invalid_amount")))
@@ -182,7 +182,7 @@ PAYMENT_EDIT_COLUMNS = ["amount_paid", "payment_method", "received_by"]
 
 
 def apply_payment_edits(payments: DataFrame, commands: DataFrame) -> Applied:
-    """M5 edit_payment: amount > 0 required; last valid edit per payment wins."""
+    """M5 payment edits: amount > 0 required; last valid edit per payment wins."""
     c = conform(commands, schemas.PAYMENT_EDIT_COMMANDS).withColumn("received_by", php_trim("received_by"))
     valid, bad = _split(c, _reason((_bad_amount("amount_paid"), "invalid_amount")))
     latest = _last_by_key(valid, "payment_id", PAYMENT_EDIT_COLUMNS)
@@ -192,7 +192,7 @@ def apply_payment_edits(payments: DataFrame, commands: DataFrame) -> Applied:
 
 
 def apply_payment_deletes(payments: DataFrame, commands: DataFrame) -> Applied:
-    """M6 delete_payment: anti join on payment_id; unknown ids are reported, nothing else."""
+    """M6 payment deletion: anti join on payment_id; unknown ids are reported, nothing else."""
     c = conform(commands, schemas.KEY_COMMANDS_PAYMENT)
     table = payments.join(c.select("payment_id"), "payment_id", "left_anti")
     return Applied(table, _unknown_keys(c, payments, "payment_id"))
@@ -200,7 +200,7 @@ def apply_payment_deletes(payments: DataFrame, commands: DataFrame) -> Applied:
 
 def apply_discounts(discounts: DataFrame, students: DataFrame, terms: DataFrame,
                     commands: DataFrame, today: str | None = None) -> Applied:
-    """M7 add_discount: amount > 0, then an approver; the table's foreign keys (student, term)
+    """M7 new discounts: amount > 0, then an approver; the table's foreign keys (student, term)
     refuse orphans (J14). No cap at the amount due, as in the reference."""
     c = conform(commands, schemas.DISCOUNT_COMMANDS).withColumns(
         {"reason": php_trim("reason"), "approved_by": php_trim("approved_by")})
@@ -222,7 +222,7 @@ def apply_discounts(discounts: DataFrame, students: DataFrame, terms: DataFrame,
 # -------------------------------------------------------------------------------------------- terms
 
 def apply_new_terms(terms: DataFrame, commands: DataFrame) -> Applied:
-    """M8 add_term: (year, term) unique against the table and within the batch; starts not current."""
+    """M8 new terms: (year, term) unique against the table and within the batch; starts not current."""
     c = conform(commands, schemas.TERM_COMMANDS)
     valid, bad = _split(c, _reason(
         (F.col("academic_year").isNull() | F.col("term_number").isNull(), "missing_fields")))
@@ -240,7 +240,7 @@ def apply_new_terms(terms: DataFrame, commands: DataFrame) -> Applied:
 
 
 def set_current_term(terms: DataFrame, term_id: int) -> DataFrame:
-    """M9 set_current: flag exactly the given term. An unknown id leaves no current term, as the
+    """M9 set the current term: flag exactly the given term. An unknown id leaves no current term, as the
     reference's unconditional reset does."""
     return terms.withColumn("is_current",
                             F.when(F.col("term_id") == F.lit(term_id), F.lit(1)).otherwise(F.lit(0)))
@@ -265,7 +265,7 @@ def seed_fee_defaults(fee_defaults: DataFrame) -> DataFrame:
 
 
 def apply_fee_default_updates(fee_defaults: DataFrame, commands: DataFrame) -> Applied:
-    """M11 update_fee: key non-empty and amount >= 0; last valid per key wins; unknown keys no-op."""
+    """M11 fee default edits: key non-empty and amount >= 0; last valid per key wins; unknown keys no-op."""
     c = conform(commands, schemas.FEE_DEFAULT_COMMANDS)
     c = c.withColumn("amount", F.coalesce(F.col("amount"), F.lit(0)))
     valid, bad = _split(c, _reason(
@@ -281,7 +281,7 @@ def apply_fee_default_updates(fee_defaults: DataFrame, commands: DataFrame) -> A
 # ------------------------------------------------------------------------------------------ uniforms
 
 def apply_restock(items: DataFrame, commands: DataFrame) -> Applied:
-    """M12 restock: quantity > 0; valid quantities are summed per item (map-side), then added."""
+    """M12 restocking: quantity > 0; valid quantities are summed per item (map-side), then added."""
     c = conform(commands, schemas.RESTOCK_COMMANDS)
     valid, bad = _split(c, _reason((F.col("add_quantity").isNull() | (F.col("add_quantity") <= 0),
                                     "invalid_quantity")))
@@ -301,7 +301,7 @@ def _item_rules() -> Column:
 
 
 def apply_new_items(items: DataFrame, commands: DataFrame) -> Applied:
-    """M13 add_item: name non-empty, price given and >= 0; the opening stock is taken as given
+    """M13 new uniform items: name non-empty, price given and >= 0; the opening stock is taken as given
     (negative included, as the reference does server-side)."""
     c = conform(commands, schemas.ITEM_COMMANDS).withColumn("item_name", php_trim("item_name"))
     valid, bad = _split(c, _item_rules())
@@ -315,7 +315,7 @@ ITEM_EDIT_COLUMNS = ["item_name", "applicable_section", "applicable_gender", "pr
 
 
 def apply_item_updates(items: DataFrame, commands: DataFrame) -> Applied:
-    """M14 update_item: same rules as M13; stock is not touched; last valid edit per item wins."""
+    """M14 uniform item edits: same rules as M13; stock is not touched; last valid edit per item wins."""
     c = conform(commands, schemas.ITEM_COMMANDS).withColumn("item_name", php_trim("item_name"))
     valid, bad = _split(c, _item_rules())
     latest = _last_by_key(valid, "uniform_id", ITEM_EDIT_COLUMNS)
