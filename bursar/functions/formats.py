@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 
 from bursar.sources.schemas import RESULT_MONEY
 
-# The characters PHP's trim() strips by default (space, tab, newline, carriage
-# return, NUL, vertical tab).
+# These must equal the reference's for equal results.
+# - the characters PHP's trim() strips by default (space, tab, newline, carriage return, NUL,
+#   vertical tab);
+# - term-label fall-backs shown when no current term exists;
+# - the receipt-number prefix;
+# - the student status the reports count, the stock level counted as low, and the wildcard value
+#   of an item's section / gender.
 PHP_TRIM_CHARS = " \t\n\r\x00\x0b"
-
-# Term-label fall-backs shown when no current term exists.
 NO_TERM_LABEL = "No term set"
 NO_CURRENT_TERM_LABEL = "No current term set"
 NOT_AVAILABLE = "N/A"
+RECEIPT_PREFIX = "RCT-"
+ACTIVE = "Active"
+LOW_STOCK_LIMIT = 5
+ALL = "All"
 
 
 def _c(col: Column | str) -> Column:
@@ -108,7 +115,7 @@ def receipt_number(date_col: Column | str, key_col: Column | str) -> Column:
     """X13: 'RCT-yyyymmdd-nnnn'. The reference draws nnnn at random (1000-9999, unchecked); ours is
     derived from the new row's key, so a rerun gives the same receipt."""
     suffix = F.lit(1000) + F.pmod(_c(key_col), F.lit(9000))
-    return F.concat(F.lit("RCT-"), ymd(date_col), F.lit("-"), suffix.cast("string"))
+    return F.concat(F.lit(RECEIPT_PREFIX), ymd(date_col), F.lit("-"), suffix.cast("string"))
 
 
 def payment_state(balance: Column | str) -> Column:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import money, payment_state
+from bursar.functions.formats import ACTIVE, money, payment_state
 from bursar.sources.schemas import MONEY
 
 
@@ -89,7 +89,7 @@ def roster(students: DataFrame, classes: DataFrame, active_only: bool) -> DataFr
     """J1 (+F3): students with their class; a student whose class row is missing drops out."""
     s = students
     if active_only:
-        s = s.filter(F.col("status") == "Active")
+        s = s.filter(F.col("status") == ACTIVE)
     c = classes.select("class_id", "class_name", "section", "term_fee")
     return s.join(c, "class_id")
 

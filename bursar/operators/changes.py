@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import is_php_empty, php_trim, receipt_number, text_key
+from bursar.functions.formats import ACTIVE, is_php_empty, php_trim, receipt_number, text_key
 from bursar.sources import schemas
 from bursar.sources.tables import conform
 
@@ -115,7 +115,7 @@ def apply_registrations(students: DataFrame, commands: DataFrame) -> Applied:
     new_rows = winners.withColumns({
         "student_id": _new_ids(students, "student_id", c),
         "is_boarder": F.coalesce(F.col("is_boarder"), F.lit(0)),
-        "status": F.lit("Active"),
+        "status": F.lit(ACTIVE),
     })
     added = conform(new_rows, schemas.STUDENTS)
     table = students.unionByName(added)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bursar.functions.formats import (
-    PHP_TRIM_CHARS, class_label, money, short_term_label, sum_or_zero, term_label, text_key,
+    ACTIVE, LOW_STOCK_LIMIT, PHP_TRIM_CHARS, class_label, money, short_term_label, sum_or_zero, term_label, text_key,
 )
 from bursar.operators.bounded import small_or_none
 from bursar.operators.balances import (
@@ -114,12 +114,12 @@ def dashboard_stats(students: DataFrame, classes: DataFrame, items: DataFrame) -
 
     Each table collapses to one row; the one-row results are combined through scalar subqueries.
     """
-    active = F.col("status") == "Active"
+    active = F.col("status") == ACTIVE
     s = students.agg(F.count_if(active).alias("total_students"),
                      F.count_if(active & (F.col("is_boarder") == 1)).alias("total_boarders"),
                      F.count_if(active & (F.col("is_boarder") == 0)).alias("total_day"))
     n_classes = classes.agg(F.count(F.lit(1))).scalar()
-    low = items.agg(F.count_if(F.col("quantity_in_stock") <= 5)).scalar()
+    low = items.agg(F.count_if(F.col("quantity_in_stock") <= LOW_STOCK_LIMIT)).scalar()
     return s.select(F.col("total_students").cast("bigint"), F.col("total_boarders").cast("bigint"),
                     F.col("total_day").cast("bigint"),
                     n_classes.cast("bigint").alias("total_classes"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import php_trim, text_key
+from bursar.functions.formats import ACTIVE, php_trim, text_key
 
 _DETAIL_CLASS_COLUMNS = ["class_name", "section", "term_fee"]
 
@@ -17,7 +17,7 @@ def class_counts(students: DataFrame, classes: DataFrame) -> DataFrame:
     join. Students are counted per class first (partial aggregation, so a crowded class is combined
     map-side), then the class list is left-joined to the counts.
     """
-    per_class = (students.filter(F.col("status") == "Active")
+    per_class = (students.filter(F.col("status") == ACTIVE)
                          .groupBy("class_id").agg(F.count("student_id").alias("n")))
     return (classes.select("class_id", "class_name", "section")
                    .join(per_class, "class_id", "left")

@@ -14,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import money
+from bursar.functions.formats import ALL, LOW_STOCK_LIMIT, money
 from bursar.operators.bounded import small_or_none
 from bursar.operators.students import student_details
 
-ALL = "All"  # fixed value: the wildcard the reference stores in applicable_section / _gender
-
 _ITEM_COLUMNS = ["uniform_id", "item_name", "applicable_section", "applicable_gender", "price",
                  "quantity_in_stock"]
 
@@ -111,12 +109,12 @@ def uniform_stock(items: DataFrame) -> DataFrame:
     return (items.select("uniform_id", "item_name", "applicable_section", "applicable_gender",
                          money("price").alias("price"), "quantity_in_stock",
                          (F.col("quantity_in_stock") == 0).alias("out_of_stock"),
-                         (F.col("quantity_in_stock") <= 5).alias("low_stock"))
+                         (F.col("quantity_in_stock") <= LOW_STOCK_LIMIT).alias("low_stock"))
                  .orderBy(F.lower("item_name"), "item_name", "uniform_id"))
 
 
 def low_stock_items(items: DataFrame) -> DataFrame:
     """items with 5 or fewer left (the dashboard's count, listed)."""
-    return (items.filter(F.col("quantity_in_stock") <= 5)
+    return (items.filter(F.col("quantity_in_stock") <= LOW_STOCK_LIMIT)
                  .select("uniform_id", "item_name", "quantity_in_stock")
                  .orderBy("quantity_in_stock", "uniform_id"))
