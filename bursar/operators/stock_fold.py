@@ -182,7 +182,9 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
     """Apply issue requests to item stock with the reference's check-then-act rule, for all items."""
     ensure_checkpoint_dir(items.sparkSession)
     req = conform(requests, schemas.ISSUE_REQUESTS)
-    known = items.select("uniform_id", "price", F.col("quantity_in_stock").alias("opening"),
+    # A missing stock compares as 0 (PHP: quantity > null holds for any quantity >= 1).
+    known = items.select("uniform_id", "price",
+                         F.coalesce(F.col("quantity_in_stock"), F.lit(0)).alias("opening"),
                          F.lit(True).alias("_known"))
     tagged = req.join(known, "uniform_id", "left")
     reason = (F.when(F.col("_known").isNull(), F.lit("unknown_item"))

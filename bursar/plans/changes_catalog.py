@@ -303,7 +303,7 @@ CHANGE_QUERIES["seed_fee_defaults"] = _q(lambda fx: ch.seed_fee_defaults(fx["fee
 # ------------------------------------------------------------------------------- M15 stock fold
 # The oracle is the plain sequential fold: a recursive CTE stepping through each item's requests.
 _FOLD = "WITH RECURSIVE " + _with(("uniform_items", "issue_requests"), """t AS (SELECT r.*, i.price,
-  i.quantity_in_stock AS opening,
+  COALESCE(i.quantity_in_stock, 0) AS opening,
   CASE WHEN i.uniform_id IS NULL THEN 'unknown_item' WHEN r.quantity IS NULL OR r.quantity < 1 THEN 'invalid_quantity' END AS bad
   FROM issue_requests r LEFT JOIN uniform_items i ON i.uniform_id = r.uniform_id)""",
     """v AS (SELECT *, row_number() OVER (PARTITION BY uniform_id ORDER BY date_issued NULLS FIRST,

@@ -42,7 +42,7 @@ _STATE = T.StructType([T.StructField("left", T.LongType())])
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(batches), ignore_index=True)
     pdf = pdf.sort_values(ORDER, kind="stable", na_position="first")
-    if pdf["opening"].isna().all():  # the item does not exist: every request is refused
+    if pdf["known"].isna().all():  # the item does not exist: every request is refused
         yield pd.DataFrame({
             "request_id": pdf["request_id"], "uniform_id": pdf["uniform_id"], "student_id": pdf["student_id"],
             "quantity": pdf["quantity"], "accepted": False, "reject_reason": "unknown_item",
@@ -63,7 +63,9 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 def issue_decisions(requests: DataFrame, items: DataFrame) -> DataFrame:
     """Streaming decisions (one row per request) for a streaming request DataFrame."""
     req = conform(requests, schemas.ISSUE_REQUESTS)
-    stock = items.select("uniform_id", F.col("quantity_in_stock").cast("bigint").alias("opening"))
+    stock = items.select("uniform_id",
+                         F.coalesce(F.col("quantity_in_stock"), F.lit(0)).cast("bigint").alias("opening"),
+                         F.lit(True).alias("known"))
     keyed = req.join(stock, "uniform_id", "left")
     return (keyed.groupBy("uniform_id")
                  .applyInPandasWithState(_decide, DECISIONS, _STATE, "append", GroupStateTimeout.NoTimeout))

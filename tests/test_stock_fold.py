@@ -81,3 +81,13 @@ def test_hot_item_over_many_segments_matches_brute_force(make):
         assert got == want_ids, nseg
         assert {r["uniform_id"]: r["quantity_in_stock"] for r in res.items.collect()} == want_left
         assert res.issued.count() + res.rejects.count() == len(rows)
+
+
+def test_missing_stock_counts_as_zero(make):
+    items = make("uniform_items", [{"uniform_id": 1, "item_name": "Cap", "price": D("5"),
+                                    "quantity_in_stock": None}])
+    reqs = make(schemas.ISSUE_REQUESTS, [
+        {"request_id": 1, "student_id": 1, "uniform_id": 1, "quantity": 1, "date_issued": day("2024-01-01")}])
+    res = issue_uniforms(items, reqs, segments=1)
+    assert res.issued.count() == 0
+    assert [r["reject_reason"] for r in res.rejects.collect()] == ["insufficient_stock"]
