@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bursar.functions.formats import (
-    ACTIVE, LOW_STOCK_LIMIT, PHP_TRIM_CHARS, class_label, money, short_term_label, sum_or_zero, term_label, text_key,
+    ACTIVE, LOW_STOCK_LIMIT, PHP_TRIM_CHARS, class_label, money, short_term_label, sum_or_zero,
+    term_label, text_key,
 )
 from bursar.operators.bounded import small_or_none
 from bursar.operators.balances import (
