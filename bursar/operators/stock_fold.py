@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bursar.operators.bounded import small_or_none
 from bursar.sources import schemas
 from bursar.sources.schemas import MONEY
 from bursar.sources.tables import conform
@@ -218,6 +219,9 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
                .withColumn("seg_start", (F.col("opening") - F.col("cum_before")).cast("bigint"))
                .select("uniform_id", "seg", "kind", "seg_start")
                .checkpoint(eager=True))
+    # One row per (item, segment): broadcast when its size checks out, so the requests are
+    # classified where they lie instead of being shuffled again.
+    summ = small_or_none(summ) or summ
     seg2 = seg.join(summ, ["uniform_id", "seg"])
 
     # Step 3: boundary segments, folded from a known start (one Python call per segment).
