@@ -50,10 +50,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = ["date_issued", "request_id", "student_id", "quantity"]
 
-# Columns a Python task sees: a stable row id, the grouping keys, the order key and the quantity.
-_FOLD_IN = ["rid", "uniform_id", "seg", *ORDER]
-_FOLD_OUT = T.StructType([T.StructField("rid", T.LongType()), T.StructField("accepted", T.BooleanType()),
-                          T.StructField("uniform_id", T.LongType()), T.StructField("end_left", T.LongType())])
+# Money crosses into Python as exact integer cents (DECIMAL(12,2) x 100), never as Decimal objects.
+_CENTS = ["amount_cents", "price_cents"]
+# Columns a Python task sees: a stable row id, the grouping keys, the order key (which includes the
+# quantity) and the request's money; the fold returns them with its decision, so nothing is joined back.
+_FOLD_IN = ["rid", "uniform_id", "seg", *ORDER, *_CENTS]
+_CARRIED = ["rid", "uniform_id", *ORDER, *_CENTS]
+_FOLD_OUT = T.StructType([
+    T.StructField("rid", T.LongType()), T.StructField("uniform_id", T.LongType()),
+    T.StructField("date_issued", T.DateType()), T.StructField("request_id", T.LongType()),
+    T.StructField("student_id", T.LongType()), T.StructField("quantity", T.IntegerType()),
+    T.StructField("amount_cents", T.LongType()), T.StructField("price_cents", T.LongType()),
+    T.StructField("accepted", T.BooleanType()), T.StructField("end_left", T.LongType())])
 _TRANSITION_OUT = T.StructType([T.StructField("uniform_id", T.LongType()),
                                 T.StructField("seg", T.IntegerType()),
                                 T.StructField("f", T.ArrayType(T.LongType()))])
@@ -143,8 +151,10 @@ def _fold_segments(pdf: pd.DataFrame) -> pd.DataFrame:
     end_left = np.zeros(len(pdf), dtype=np.int64)
     for a, b in zip(bounds[:-1], bounds[1:]):
         accepted[a:b], end_left[a:b] = fold_segment(q[a:b], int(start[a]))
-    return pd.DataFrame({"rid": pdf["rid"].to_numpy(), "accepted": accepted,
-                         "uniform_id": pdf["uniform_id"].to_numpy(), "end_left": end_left})
+    out = pdf[_CARRIED].reset_index(drop=True)
+    out["accepted"] = accepted
+    out["end_left"] = end_left
+    return out
 
 
 def _transition_segments(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,6 +181,10 @@ def _compose_groups(pdf: pd.DataFrame) -> pd.DataFrame:
                          "seg": pdf["seg"].astype("int32").to_numpy(), "seg_start": starts})
 
 
+def _from_cents(col: str):
+    return (F.col(col).cast("decimal(20,0)") / 100).cast(MONEY)
+
+
 def _segment_count(valid: DataFrame, rows_per_segment: int) -> int:
     spark = valid.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -201,6 +215,8 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
                 .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in key])
                 .withColumn("seg", F.spark_partition_id())
                 .withColumn("rid", F.monotonically_increasing_id())
+                .withColumn("amount_cents", (F.col("amount_paid") * 100).cast("bigint"))
+                .withColumn("price_cents", (F.col("price") * 100).cast("bigint"))
                 .checkpoint(eager=True))
 
     # Step 2: classify segments per item from their quantity totals (one row per (item, segment)).
@@ -244,13 +260,15 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
     # Items whose stock is gone after the boundary: every later request is rejected.
     dead = (after.join(after_segs.filter(F.col("boundary_end") < 1).select("uniform_id", "seg"),
                        ["uniform_id", "seg"])
-                 .select("rid", F.lit(False).alias("accepted")))
+                 .select(*_CARRIED, F.lit(False).alias("accepted")))
 
     req_cols = ["request_id", "student_id", "uniform_id", "quantity", "amount_paid", "date_issued", "price"]
     full = seg2.filter(F.col("kind") == "full").select(*req_cols, F.lit(True).alias("accepted"))
-    flags = (bnd.select("rid", "accepted").unionByName(after_folded.select("rid", "accepted"))
-                .unionByName(dead))
-    folded = seg2.filter(F.col("kind") != "full").join(flags, "rid").select(*req_cols, "accepted")
+    folded = (bnd.select(*_CARRIED, "accepted").unionByName(after_folded.select(*_CARRIED, "accepted"))
+                 .unionByName(dead)
+                 .withColumn("amount_paid", _from_cents("amount_cents"))
+                 .withColumn("price", _from_cents("price_cents"))
+                 .select(*req_cols, "accepted"))
     decided = full.unionByName(folded)
 
     issued = (decided.filter("accepted")

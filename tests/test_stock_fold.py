@@ -68,17 +68,25 @@ def test_hot_item_over_many_segments_matches_brute_force(make):
     for u, n in ((1, 1500), (2, 300), (3, 20), (4, 20), (5, 400)):  # item 1 holds most requests
         for _ in range(n):
             rid += 1
-            rows.append({"request_id": rid, "student_id": rng.randint(1, 50), "uniform_id": u,
-                         "quantity": rng.choice([0, 1, 1, 2, 3, 5, 8, 13]),
-                         "amount_paid": D("1"), "date_issued": day(f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}")})
+            rows.append({"request_id": rid, "student_id": None if rid % 97 == 0 else rng.randint(1, 50),
+                         "uniform_id": u, "quantity": rng.choice([0, 1, 1, 2, 3, 5, 8, 13]),
+                         "amount_paid": None if rid % 89 == 0 else D(f"{rid % 7}.{rid % 100:02d}"),
+                         "date_issued": day(f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}")})
     items = make("uniform_items", [{"uniform_id": u, "item_name": f"I{u}", "price": D("2"),
                                     "quantity_in_stock": s} for u, s in stock.items()])
     reqs = make(schemas.ISSUE_REQUESTS, rows)
     want_ids, want_left = brute(stock, rows)
     for nseg in (1, 7, 40):
         res = issue_uniforms(items, reqs, segments=nseg)
-        got = {r["issue_key"] for r in res.issued.collect()}
+        issued = res.issued.collect()
+        got = {r["issue_key"] for r in issued}
         assert got == want_ids, nseg
+        by_id = {r["request_id"]: r for r in rows}
+        for r in issued:  # carried columns come back exactly (money via cents, nulls kept)
+            src = by_id[r["issue_key"]]
+            assert (r["student_id"], r["amount_paid"], r["date_issued"], r["quantity"]) == \
+                (src["student_id"], src["amount_paid"], src["date_issued"], src["quantity"])
+            assert r["total_price"] == D("2.00") * src["quantity"]
         assert {r["uniform_id"]: r["quantity_in_stock"] for r in res.items.collect()} == want_left
         assert res.issued.count() + res.rejects.count() == len(rows)
 
