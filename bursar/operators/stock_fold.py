@@ -185,10 +185,10 @@ def _from_cents(col: str):
     return (F.col(col).cast("decimal(20,0)") / 100).cast(MONEY)
 
 
-def _segment_count(valid: DataFrame, rows_per_segment: int) -> int:
-    spark = valid.sparkSession
+def _segment_count(requests: DataFrame, rows_per_segment: int) -> int:
+    spark = requests.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    n = valid.count()
+    n = requests.count()
     return max(base, math.ceil(n / max(1, rows_per_segment)), 1)
 
 
@@ -209,10 +209,12 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
                                                                         "reject_reason")
     valid = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason", "_known")
 
-    n_seg = segments or _segment_count(valid, rows_per_segment)
+    # Sized from all requests (an upper bound on the valid ones), without the item join.
+    n_seg = segments or _segment_count(req, rows_per_segment)
     key = ["uniform_id", *ORDER]
+    # Range partitions are contiguous runs of (item, order key); each Python step sorts its own
+    # segment, so no sort is needed here.
     seg = (valid.repartitionByRange(n_seg, *[F.col(k).asc_nulls_first() for k in key])
-                .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in key])
                 .withColumn("seg", F.spark_partition_id())
                 .withColumn("rid", F.monotonically_increasing_id())
                 .withColumn("amount_cents", (F.col("amount_paid") * 100).cast("bigint"))
