@@ -77,10 +77,6 @@ class IssueResult:
     items: DataFrame       # uniform_items with the stock left
 
 
-def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(ORDER, kind="stable", na_position="first")
-
-
 def fold_segment(quantities: np.ndarray, start: int) -> tuple[np.ndarray, int]:
     """Sequential fold of one segment from a known stock: accepted flags and the stock left.
 

@@ -97,3 +97,9 @@ def test_exact_admission_wins_over_search(school):
     r = stu.student_search_outcome(s, c, "Okello", admission_number="  ").collect()[0]
     assert r["outcome"] == "one"
     assert [x["student_id"] for x in stu.student_lookup(s, c, "\tUB-002").collect()] == [2]
+
+
+def test_flag_and_int_helpers(spark):
+    df = spark.createDataFrame([(1, "12"), (0, "12abc"), (None, None)], "f int, s string")
+    rows = df.select(formats.yes_no("f").alias("y"), formats.php_int("s").alias("i")).collect()
+    assert [(r["y"], r["i"]) for r in rows] == [("Yes", 12), ("No", None), ("No", None)]
