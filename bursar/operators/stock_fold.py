@@ -89,11 +89,13 @@ def fold_segment(quantities: np.ndarray, start: int) -> tuple[np.ndarray, int]:
     left = int(start)
     if len(q) == 0 or left < 1:
         return accepted, left
-    fits = int(np.searchsorted(np.cumsum(q), left, side="right"))
+    valid = q >= 1  # a quantity below 1 is refused and uses nothing
+    used = np.where(valid, q, 0)
+    fits = int(np.searchsorted(np.cumsum(used), left, side="right"))
     if fits:
-        accepted[:fits] = True
-        left -= int(q[:fits].sum())
-    cand = fits + np.flatnonzero(q[fits:] <= left)
+        accepted[:fits] = valid[:fits]
+        left -= int(used[:fits].sum())
+    cand = fits + np.flatnonzero(valid[fits:] & (q[fits:] <= left))
     while len(cand) and left >= 1:
         done = 0
         for i in cand[:256]:

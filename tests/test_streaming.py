@@ -27,7 +27,8 @@ def test_issue_stream_carries_stock_between_batches(spark, make, tmp_path):
                               "date_issued": day(d)}
     _write_batches(spark, src, schemas.ISSUE_REQUESTS, [
         [r(1, 1, 3, "2024-01-01"), r(2, 1, 4, "2024-01-02"), r(3, 2, 1, "2024-01-01")],
-        [r(4, 1, 2, "2024-01-03"), r(5, 1, 1, "2024-01-04"), r(6, 2, 1, "2024-01-05"), r(7, 9, 1, "2024-01-05")],
+        [r(4, 1, 2, "2024-01-03"), r(5, 1, 1, "2024-01-04"), r(6, 2, 1, "2024-01-05"), r(7, 9, 1, "2024-01-05"),
+         r(8, 1, 0, "2024-01-02")],
     ])
     stream = (spark.readStream.schema(schemas.ISSUE_REQUESTS).option("maxFilesPerTrigger", 1)
                    .parquet(f"{src}/*"))
@@ -42,6 +43,7 @@ def test_issue_stream_carries_stock_between_batches(spark, make, tmp_path):
     assert rows[5]["reject_reason"] == "insufficient_stock" and rows[5]["stock_left"] == 0
     assert rows[6]["reject_reason"] == "insufficient_stock"
     assert rows[7]["reject_reason"] == "unknown_item"
+    assert rows[8]["reject_reason"] == "invalid_quantity" and not rows[8]["accepted"]
 
 
 def test_payment_commands_as_a_stream(spark, make, school, tmp_path):
