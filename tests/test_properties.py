@@ -80,3 +80,45 @@ def test_registration_accounts_for_every_command(school, make, cmds):
     assert len(keys) == len(set(keys))
     assert not set(keys) & {r["admission_number"].lower() for r in school["students"].collect()}
     assert res.table.count() == 6 + len(added)
+
+
+@SPARK_SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(-1, 5), st.sampled_from(["Cash", "Bank"])),
+                max_size=20))
+def test_payment_edits_last_valid_wins(school, make, edits):
+    cmds = [{"seq": i + 1, "payment_id": p, "amount_paid": D(a * 100), "payment_method": m}
+            for i, (p, a, m) in enumerate(edits)]
+    res = ch.apply_payment_edits(school["payments"], make(schemas.PAYMENT_EDIT_COMMANDS, cmds))
+    want = {r["payment_id"]: (r["amount_paid"], r["payment_method"]) for r in school["payments"].collect()}
+    for c in cmds:  # serial application, as the page does one POST after another
+        if c["amount_paid"] > 0 and c["payment_id"] in want:
+            want[c["payment_id"]] = (c["amount_paid"], c["payment_method"])
+    got = {r["payment_id"]: (r["amount_paid"], r["payment_method"]) for r in res.table.collect()}
+    assert got == want
+
+
+@SPARK_SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 6), st.integers(-2, 9)), max_size=20))
+def test_restock_adds_valid_quantities(school, make, adds):
+    cmds = [{"seq": i + 1, "uniform_id": u, "add_quantity": q} for i, (u, q) in enumerate(adds)]
+    res = ch.apply_restock(school["items"], make(schemas.RESTOCK_COMMANDS, cmds))
+    want = {r["uniform_id"]: r["quantity_in_stock"] for r in school["items"].collect()}
+    for c in cmds:
+        if c["add_quantity"] > 0 and c["uniform_id"] in want:
+            want[c["uniform_id"]] += c["add_quantity"]
+    assert {r["uniform_id"]: r["quantity_in_stock"] for r in res.table.collect()} == want
+    assert res.rejects.count() == sum(1 for c in cmds if c["add_quantity"] <= 0 or c["uniform_id"] not in
+                                      {1, 2, 3, 4})
+
+
+@SPARK_SETTINGS
+@given(st.lists(st.tuples(st.integers(2023, 2025), st.integers(1, 3)), max_size=15))
+def test_new_terms_stay_unique(school, make, pairs):
+    cmds = [{"seq": i + 1, "academic_year": y, "term_number": t} for i, (y, t) in enumerate(pairs)]
+    res = ch.apply_new_terms(school["terms"], make(schemas.TERM_COMMANDS, cmds))
+    rows = res.table.collect()
+    keys = [(r["academic_year"], r["term_number"]) for r in rows]
+    assert len(keys) == len(set(keys))
+    assert set(keys) == {(2024, 1), (2024, 2)} | set(pairs)
+    assert len({r["term_id"] for r in rows}) == len(rows)
+    assert len(rows) - 2 + res.rejects.count() == len(cmds)
