@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bursar.operators.bounded import small_or_none
+from bursar.operators.bounded import MAX_SMALL_ROWS, small_or_none
 from bursar.sources import schemas
 from bursar.sources.schemas import MONEY
 from bursar.sources.tables import conform
@@ -133,10 +133,11 @@ def transition(quantities: np.ndarray, domain: int) -> np.ndarray:
 
 
 def _item_runs(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """Sort a segment's rows into fold order; return them and the [start, end) bounds per item."""
-    pdf = pdf.sort_values(["uniform_id", *ORDER], kind="stable", na_position="first")
+    """Sort rows into fold order; return them and the [start, end) bounds of each (segment, item)."""
+    pdf = pdf.sort_values(["seg", "uniform_id", *ORDER], kind="stable", na_position="first")
+    segs = pdf["seg"].to_numpy()
     ids = pdf["uniform_id"].to_numpy()
-    cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+    cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (segs[1:] != segs[:-1])) + 1
     return pdf, np.concatenate([[0], cuts, [len(pdf)]]).astype(np.int64)
 
 
@@ -167,6 +168,24 @@ def _transition_segments(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"uniform_id": ids[heads], "seg": segs[heads], "f": fs})
 
 
+def _whole(batches) -> pd.DataFrame | None:
+    frames = [b for b in batches if len(b)]
+    return pd.concat(frames, ignore_index=True) if frames else None
+
+
+def _fold_partition(batches):
+    """mapInPandas form of ``_fold_segments``: one partition holds whole (segment, item) runs."""
+    pdf = _whole(batches)
+    if pdf is not None:
+        yield _fold_segments(pdf)
+
+
+def _transition_partition(batches):
+    pdf = _whole(batches)
+    if pdf is not None:
+        yield _transition_segments(pdf)
+
+
 def _compose_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     """One item's later segments, in order: the starting stock of each."""
     pdf = pdf.sort_values("seg")
@@ -190,9 +209,24 @@ def _segment_count(requests: DataFrame, rows_per_segment: int) -> int:
     return max(base, math.ceil(n / max(1, rows_per_segment)), 1)
 
 
+def _per_segment(df: DataFrame, fn_frame, fn_partition, schema, in_place: bool) -> DataFrame:
+    """Run a segment-level pandas step: in place (``mapInPandas``) when every segment is known to lie
+    whole in one partition of ``df``, else grouped by segment (a shuffle)."""
+    if in_place:
+        return df.mapInPandas(fn_partition, schema)
+    return df.groupBy("seg").applyInPandas(fn_frame, schema)
+
+
 def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | None = None,
-                   rows_per_segment: int = 1_000_000) -> IssueResult:
-    """Apply issue requests to item stock with the reference's check-then-act rule, for all items."""
+                   rows_per_segment: int = 1_000_000,
+                   broadcast_limit: int = MAX_SMALL_ROWS) -> IssueResult:
+    """Apply issue requests to item stock with the reference's check-then-act rule, for all items.
+
+    After the range partitioning, partition i of the checkpoint holds exactly segment i. When the
+    per-segment tables pass their size check (``broadcast_limit`` rows) they are broadcast, the
+    requests keep that layout, and the Python steps run partition by partition with no shuffle of
+    the requests; otherwise the steps group by segment.
+    """
     ensure_checkpoint_dir(items.sparkSession)
     req = conform(requests, schemas.ISSUE_REQUESTS)
     # A missing stock compares as 0 (PHP: quantity > null holds for any quantity >= 1).
@@ -237,26 +271,35 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
                .checkpoint(eager=True))
     # One row per (item, segment): broadcast when its size checks out, so the requests are
     # classified where they lie instead of being shuffled again.
-    summ = small_or_none(summ) or summ
-    seg2 = seg.join(summ, ["uniform_id", "seg"])
+    small = small_or_none(summ, broadcast_limit)
+    in_place = small is not None
+    seg2 = seg.join(small if in_place else summ, ["uniform_id", "seg"])
 
     # Step 3: boundary segments, folded from a known start (one Python call per segment).
-    bnd = (seg2.filter(F.col("kind") == "boundary").select(*_FOLD_IN, "seg_start")
-               .groupBy("seg").applyInPandas(_fold_segments, _FOLD_OUT)
-               .checkpoint(eager=True))
+    bnd = _per_segment(seg2.filter(F.col("kind") == "boundary").select(*_FOLD_IN, "seg_start"),
+                       _fold_segments, _fold_partition, _FOLD_OUT, in_place).checkpoint(eager=True)
     bnd_end = bnd.groupBy("uniform_id").agg(F.first("end_left").alias("boundary_end"))
 
     # Step 4: later segments: transition arrays over [0, boundary_end], composed per item.
     after_segs = (summ.filter(F.col("kind") == "after").select("uniform_id", "seg")
                       .join(bnd_end, "uniform_id"))
+    if in_place:  # at most as many rows as the segment table that just passed its check
+        checked = small_or_none(after_segs, broadcast_limit)
+        in_place = checked is not None
+        after_segs = checked if in_place else after_segs
     after = seg2.filter(F.col("kind") == "after").select(*_FOLD_IN)
     live = after_segs.filter(F.col("boundary_end") >= 1)
-    funcs = (after.join(live.withColumn("domain", F.col("boundary_end") + 1), ["uniform_id", "seg"])
-                  .groupBy("seg").applyInPandas(_transition_segments, _TRANSITION_OUT))
+    funcs = _per_segment(
+        after.join(live.withColumn("domain", F.col("boundary_end") + 1), ["uniform_id", "seg"]),
+        _transition_segments, _transition_partition, _TRANSITION_OUT, in_place)
     starts = (funcs.join(live, ["uniform_id", "seg"])
                    .groupBy("uniform_id").applyInPandas(_compose_groups, _START_OUT))
-    after_folded = (after.join(starts, ["uniform_id", "seg"])
-                         .groupBy("seg").applyInPandas(_fold_segments, _FOLD_OUT))
+    if in_place:
+        checked = small_or_none(starts, broadcast_limit)
+        in_place = checked is not None
+        starts = checked if in_place else starts
+    after_folded = _per_segment(after.join(starts, ["uniform_id", "seg"]),
+                                _fold_segments, _fold_partition, _FOLD_OUT, in_place)
     # Items whose stock is gone after the boundary: every later request is rejected.
     dead = (after.join(after_segs.filter(F.col("boundary_end") < 1).select("uniform_id", "seg"),
                        ["uniform_id", "seg"])

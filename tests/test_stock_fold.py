@@ -76,8 +76,8 @@ def test_hot_item_over_many_segments_matches_brute_force(make):
                                     "quantity_in_stock": s} for u, s in stock.items()])
     reqs = make(schemas.ISSUE_REQUESTS, rows)
     want_ids, want_left = brute(stock, rows)
-    for nseg in (1, 7, 40):
-        res = issue_uniforms(items, reqs, segments=nseg)
+    for nseg, limit in ((1, 100_000), (7, 100_000), (40, 100_000), (40, 0)):  # limit 0: grouped path
+        res = issue_uniforms(items, reqs, segments=nseg, broadcast_limit=limit)
         issued = res.issued.collect()
         got = {r["issue_key"] for r in issued}
         assert got == want_ids, nseg
