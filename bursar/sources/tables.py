@@ -101,10 +101,11 @@ def write_version(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_versions(tables: Mapping[str, DataFrame], root: str, version: str) -> dict[str, str]:
-    """Write several tables of one change set under ``root/version/<name>``.
+    """Write several tables of one change set under ``root/version/<name>`` and return their paths.
 
-    A change set (e.g. a cascading delete, M3) is published by writing every table first; readers
-    switch to ``root/version`` only once all its folders exist, so no reader sees half a change.
+    Every table of a change set (e.g. a cascading delete, M3) goes into one new version folder; the
+    previous version is left untouched. The caller points readers at ``root/version`` after this
+    returns, so no reader sees half a change.
     """
     return {name: write_version(df, f"{root}/{version}/{name}") for name, df in tables.items()}
 
