@@ -16,13 +16,13 @@ requests of an item are never gathered into one task. Instead:
 3. The first segment that does not fit entirely ("boundary") starts from a known stock and is folded
    sequentially (one bounded segment per task).
 4. After the boundary the stock left is below the quantity of the first rejected request, so every
-   later segment's effect is a function of a small integer domain [0, left]. Each later segment
-   computes that function as a dense array (vectorised over the whole domain, one segment per
-   task); the arrays of one item are composed in segment order to give each segment's starting
-   stock; then each segment is folded from its start.
+   later segment's effect is a function on the small integer domain [0, left]. Each later segment
+   computes that function exactly, as pieces (one segment per task). The functions of one item are
+   composed as a blockwise prefix (at most ``block`` functions per Python group, level by level),
+   which gives every segment's starting stock; then each segment is folded from its start.
 
-Per-task work is bounded by a segment's size; per-item work in step 4's composition is bounded by
-(number of segments of the item) x (stock left after the boundary + 1).
+Per-task work is bounded by a segment's size (range bounds come from a sample, so sizes are
+approximate, and rows with one identical order key are not split) or by ``block`` segment functions.
 """
 
 from __future__ import annotations
@@ -64,10 +64,14 @@ _FOLD_OUT = T.StructType([
     T.StructField("accepted", T.BooleanType()), T.StructField("end_left", T.LongType())])
 _TRANSITION_OUT = T.StructType([T.StructField("uniform_id", T.LongType()),
                                 T.StructField("seg", T.IntegerType()),
-                                T.StructField("f", T.ArrayType(T.LongType()))])
-_START_OUT = T.StructType([T.StructField("uniform_id", T.LongType()),
-                           T.StructField("seg", T.IntegerType()),
-                           T.StructField("seg_start", T.LongType())])
+                                T.StructField("f_starts", T.ArrayType(T.LongType())),
+                                T.StructField("f_offsets", T.ArrayType(T.LongType()))])
+_LEVEL = T.StructType([T.StructField("uniform_id", T.LongType()), T.StructField("idx", T.LongType()),
+                       T.StructField("f_starts", T.ArrayType(T.LongType())),
+                       T.StructField("f_offsets", T.ArrayType(T.LongType())),
+                       T.StructField("domain", T.LongType()), T.StructField("boundary_end", T.LongType())])
+_IDX_START = T.StructType([T.StructField("uniform_id", T.LongType()), T.StructField("idx", T.LongType()),
+                           T.StructField("start", T.LongType())])
 
 
 @dataclass
@@ -109,27 +113,60 @@ def fold_segment(quantities: np.ndarray, start: int) -> tuple[np.ndarray, int]:
     return accepted, left
 
 
-def transition(quantities: np.ndarray, domain: int) -> np.ndarray:
-    """Stock left after the segment, for every starting stock 0..domain-1 at once.
+def transition(quantities: np.ndarray, domain: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment's effect on every starting stock 0..domain-1, exactly, as pieces.
 
-    Requests of quantity >= domain can never fit (the stock is below domain) and are skipped; the
-    states are compacted to their distinct values as they merge, so the work shrinks as stock runs
-    out.
+    From stock L the segment leaves L - c(L), and c is constant on intervals. Returned as
+    (starts, offsets): for starts[i] <= L < starts[i+1] (or ``domain``) the stock left is
+    L - offsets[i]. Adjacent pieces with equal offsets are merged, so there are at most ``domain``
+    pieces and usually far fewer. Requests of quantity >= domain can never fit and are skipped.
     """
-    vals = np.arange(domain, dtype=np.int64)
-    inv = np.arange(domain, dtype=np.int64)
+    starts = np.zeros(1, dtype=np.int64)
+    offsets = np.zeros(1, dtype=np.int64)
     qs = np.asarray(quantities, dtype=np.int64)
-    step = 0
     for q in qs[(qs >= 1) & (qs < domain)]:
         q = int(q)
-        vals = np.where(vals >= q, vals - q, vals)
-        step += 1
-        if step % 64 == 0:
-            vals, back = np.unique(vals, return_inverse=True)
-            inv = back[inv]
-            if vals[-1] < 1:
-                break
-    return vals[inv]
+        ends = np.append(starts[1:], domain)
+        split = q + offsets              # from this L on, the piece's stock reaches q
+        whole = starts >= split          # the request fits everywhere in the piece
+        part = (starts < split) & (split < ends)
+        if not (whole.any() or part.any()):
+            continue
+        nb = np.concatenate([starts, split[part]])
+        nc = np.concatenate([np.where(whole, offsets + q, offsets), offsets[part] + q])
+        order = np.argsort(nb, kind="stable")
+        starts, offsets = _merged(nb[order], nc[order])
+    return starts, offsets
+
+
+def _merged(starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.concatenate([[True], offsets[1:] != offsets[:-1]])
+    return starts[keep], offsets[keep]
+
+
+def apply_at(f: tuple[np.ndarray, np.ndarray], stock: int) -> int:
+    """Stock left after a segment function ``f`` from a given starting stock."""
+    starts, offsets = f
+    i = int(np.searchsorted(starts, stock, side="right")) - 1
+    return int(stock - offsets[i])
+
+
+def compose(f: tuple[np.ndarray, np.ndarray], g: tuple[np.ndarray, np.ndarray],
+            domain: int) -> tuple[np.ndarray, np.ndarray]:
+    """``f`` then ``g`` as one function (same domain). Piece i of ``f`` maps [s_i, e_i) onto
+    [s_i - o_i, e_i - o_i) with slope 1; the pieces of ``g`` met in that range split it."""
+    fs, fo = f
+    gs, go = g
+    fe = np.append(fs[1:], domain)
+    lo, hi = fs - fo, fe - fo
+    j0 = np.searchsorted(gs, lo, side="right") - 1
+    j1 = np.searchsorted(gs, hi - 1, side="right") - 1
+    count = j1 - j0 + 1
+    piece = np.repeat(np.arange(len(fs)), count)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    j = j0[piece] + within
+    starts = np.where(within == 0, fs[piece], gs[j] + fo[piece])
+    return _merged(starts.astype(np.int64), (fo[piece] + go[j]).astype(np.int64))
 
 
 def _item_runs(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
@@ -157,15 +194,55 @@ def _fold_segments(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _transition_segments(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One segment: each item's stock-left function over [0, domain)."""
+    """One segment: each item's segment function over [0, domain), as pieces."""
     pdf, bounds = _item_runs(pdf)
     q = pdf["quantity"].to_numpy(dtype=np.int64)
     domain = pdf["domain"].to_numpy(dtype=np.int64)
     ids = pdf["uniform_id"].to_numpy()
     segs = pdf["seg"].to_numpy()
     heads = bounds[:-1]
-    fs = [transition(q[a:b], int(domain[a])).tolist() for a, b in zip(bounds[:-1], bounds[1:])]
-    return pd.DataFrame({"uniform_id": ids[heads], "seg": segs[heads], "f": fs})
+    fs = [transition(q[a:b], int(domain[a])) for a, b in zip(bounds[:-1], bounds[1:])]
+    return pd.DataFrame({"uniform_id": ids[heads], "seg": segs[heads],
+                         "f_starts": [f[0].tolist() for f in fs], "f_offsets": [f[1].tolist() for f in fs]})
+
+
+def _rows(pdf: pd.DataFrame):
+    pdf = pdf.sort_values("idx")
+    fs = [(np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64))
+          for a, b in zip(pdf["f_starts"], pdf["f_offsets"])]
+    return pdf, fs
+
+
+def _compose_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of at most B consecutive segment functions of an item, composed in order."""
+    pdf, fs = _rows(pdf)
+    domain = int(pdf["domain"].iloc[0])
+    acc = fs[0]
+    for f in fs[1:]:
+        acc = compose(acc, f, domain)
+    return pd.DataFrame({"uniform_id": [int(pdf["uniform_id"].iloc[0])], "idx": [int(pdf["blk"].iloc[0])],
+                         "f_starts": [acc[0].tolist()], "f_offsets": [acc[1].tolist()],
+                         "domain": [domain], "boundary_end": [int(pdf["boundary_end"].iloc[0])]})
+
+
+def _chain_starts(pdf: pd.DataFrame, first: int) -> pd.DataFrame:
+    pdf, fs = _rows(pdf)
+    left, out = first, []
+    for f in fs:
+        out.append(left)
+        left = apply_at(f, left)
+    return pd.DataFrame({"uniform_id": pdf["uniform_id"].astype("int64").to_numpy(),
+                         "idx": pdf["idx"].astype("int64").to_numpy(), "start": out})
+
+
+def _top_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Top level of an item (at most B functions): starting stock of each, from the boundary's end."""
+    return _chain_starts(pdf, int(pdf["boundary_end"].iloc[0]))
+
+
+def _block_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block: starting stock of each of its functions, from the block's known start."""
+    return _chain_starts(pdf, int(pdf["blk_start"].iloc[0]))
 
 
 def _whole(batches) -> pd.DataFrame | None:
@@ -186,16 +263,38 @@ def _transition_partition(batches):
         yield _transition_segments(pdf)
 
 
-def _compose_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One item's later segments, in order: the starting stock of each."""
-    pdf = pdf.sort_values("seg")
-    left = int(pdf["boundary_end"].iloc[0])
-    starts = []
-    for f in pdf["f"]:
-        starts.append(left)
-        left = int(f[left])
-    return pd.DataFrame({"uniform_id": pdf["uniform_id"].astype("int64").to_numpy(),
-                         "seg": pdf["seg"].astype("int32").to_numpy(), "seg_start": starts})
+def _segment_starts(funcs: DataFrame, live: DataFrame, block: int) -> DataFrame:
+    """Starting stock of every later segment: a blockwise prefix composition, so no Python group
+    ever holds more than ``block`` segment functions, however many segments a hot item spans.
+
+    An item's later segments have consecutive ids (the range partitioning orders by item first), so
+    a segment's index within its item is ``seg - first_seg``. Functions are composed in blocks of
+    ``block`` consecutive indices, level after level, until every item has at most ``block``
+    blocks; the top level is evaluated from the boundary's stock, then block starts are pushed back
+    down level by level.
+    """
+    first = live.groupBy("uniform_id").agg(F.min("seg").alias("first_seg"))
+    level = (funcs.join(live, ["uniform_id", "seg"]).join(first, "uniform_id")
+                  .select("uniform_id", (F.col("seg") - F.col("first_seg")).cast("bigint").alias("idx"),
+                          "f_starts", "f_offsets", (F.col("boundary_end") + 1).alias("domain"),
+                          "boundary_end"))
+    # Widest item, from the segment table alone; each level above divides it by ``block``.
+    widest = live.groupBy("uniform_id").count().agg(F.max("count")).first()[0] or 0
+    lower_levels = []
+    while widest > block:
+        lower_levels.append(level)
+        level = (level.withColumn("blk", F.floor(F.col("idx") / block).cast("bigint"))
+                      .groupBy("uniform_id", "blk").applyInPandas(_compose_block, _LEVEL))
+        widest = -(-widest // block)
+    starts = level.groupBy("uniform_id").applyInPandas(_top_starts, _IDX_START)
+    for lower in reversed(lower_levels):
+        known = starts.select("uniform_id", F.col("idx").alias("blk"), F.col("start").alias("blk_start"))
+        starts = (lower.withColumn("blk", F.floor(F.col("idx") / block).cast("bigint"))
+                       .join(known, ["uniform_id", "blk"])
+                       .groupBy("uniform_id", "blk").applyInPandas(_block_starts, _IDX_START))
+    return starts.join(first, "uniform_id").select(
+        "uniform_id", (F.col("idx") + F.col("first_seg")).cast("int").alias("seg"),
+        F.col("start").alias("seg_start"))
 
 
 def _from_cents(col: str):
@@ -219,7 +318,7 @@ def _per_segment(df: DataFrame, fn_frame, fn_partition, schema, in_place: bool)
 
 def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | None = None,
                    rows_per_segment: int = 1_000_000,
-                   broadcast_limit: int = MAX_SMALL_ROWS) -> IssueResult:
+                   broadcast_limit: int = MAX_SMALL_ROWS, block: int = 1024) -> IssueResult:
     """Apply issue requests to item stock with the reference's check-then-act rule, for all items.
 
     After the range partitioning, partition i of the checkpoint holds exactly segment i. When the
@@ -292,8 +391,7 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
     funcs = _per_segment(
         after.join(live.withColumn("domain", F.col("boundary_end") + 1), ["uniform_id", "seg"]),
         _transition_segments, _transition_partition, _TRANSITION_OUT, in_place)
-    starts = (funcs.join(live, ["uniform_id", "seg"])
-                   .groupBy("uniform_id").applyInPandas(_compose_groups, _START_OUT))
+    starts = _segment_starts(funcs, live, block)
     if in_place:
         checked = small_or_none(starts, broadcast_limit)
         in_place = checked is not None

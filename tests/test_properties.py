@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from bursar.operators import changes as ch
 from bursar.operators import reports
 from bursar.operators.balances import term_balances
-from bursar.operators.stock_fold import fold_segment, transition
+from bursar.operators.stock_fold import apply_at, compose, fold_segment, transition
 from bursar.sources import schemas
 
 SPARK_SETTINGS = settings(max_examples=8, deadline=None,
@@ -30,7 +30,23 @@ def test_fold_and_transition_match_a_plain_loop(qs, start, domain):
     acc, end = fold_segment(q, start)
     assert acc.tolist() == flags and end == left
     f = transition(q, domain)
-    assert [int(v) for v in f] == [fold_segment(q, s)[1] for s in range(domain)]
+    assert [apply_at(f, s) for s in range(domain)] == [fold_segment(q, s)[1] for s in range(domain)]
+    assert len(f[0]) <= domain
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(-1, 40), max_size=25), min_size=1, max_size=5),
+       st.integers(1, 200))
+def test_composed_functions_equal_sequential_folds(segments, domain):
+    fs = [transition(np.array(q, dtype=np.int64), domain) for q in segments]
+    acc = fs[0]
+    for f in fs[1:]:
+        acc = compose(acc, f, domain)
+    for start in range(0, domain, max(1, domain // 37)):
+        left = start
+        for q in segments:
+            left = fold_segment(np.array(q, dtype=np.int64), left)[1]
+        assert apply_at(acc, start) == left
 
 
 money = st.integers(0, 400).map(lambda k: D(k * 1000))

@@ -7,7 +7,7 @@ from decimal import Decimal as D
 
 import numpy as np
 
-from bursar.operators.stock_fold import fold_segment, issue_uniforms, transition
+from bursar.operators.stock_fold import apply_at, compose, fold_segment, issue_uniforms, transition
 from bursar.sources import schemas
 
 from conftest import day
@@ -39,7 +39,11 @@ def test_fold_segment_and_transition_agree_with_loop():
         assert acc.tolist() == ref and left == ref_left
         dom = int(rng.integers(1, 30))
         f = transition(q, dom)
-        assert [int(f[s]) for s in range(dom)] == [fold_segment(q, s)[1] for s in range(dom)]
+        assert [apply_at(f, s) for s in range(dom)] == [fold_segment(q, s)[1] for s in range(dom)]
+        q2 = rng.integers(1, 12, size=rng.integers(0, 40))
+        g = compose(f, transition(q2, dom), dom)
+        assert [apply_at(g, s) for s in range(dom)] == \
+            [fold_segment(q2, fold_segment(q, s)[1])[1] for s in range(dom)]
 
 
 def test_skipped_request_then_smaller_fits(make):
@@ -76,11 +80,13 @@ def test_hot_item_over_many_segments_matches_brute_force(make):
                                     "quantity_in_stock": s} for u, s in stock.items()])
     reqs = make(schemas.ISSUE_REQUESTS, rows)
     want_ids, want_left = brute(stock, rows)
-    for nseg, limit in ((1, 100_000), (7, 100_000), (40, 100_000), (40, 0)):  # limit 0: grouped path
-        res = issue_uniforms(items, reqs, segments=nseg, broadcast_limit=limit)
+    # limit 0 forces the grouped path; block 2 / 3 force multi-level composition of segment functions
+    for nseg, limit, block in ((1, 100_000, 1024), (7, 100_000, 1024), (40, 100_000, 1024),
+                               (40, 0, 1024), (40, 100_000, 2), (40, 0, 3)):
+        res = issue_uniforms(items, reqs, segments=nseg, broadcast_limit=limit, block=block)
         issued = res.issued.collect()
         got = {r["issue_key"] for r in issued}
-        assert got == want_ids, nseg
+        assert got == want_ids, (nseg, limit, block)
         by_id = {r["request_id"]: r for r in rows}
         for r in issued:  # carried columns come back exactly (money via cents, nulls kept)
             src = by_id[r["issue_key"]]
