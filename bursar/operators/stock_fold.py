@@ -263,7 +263,7 @@ def _transition_partition(batches):
         yield _transition_segments(pdf)
 
 
-def _segment_starts(funcs: DataFrame, live: DataFrame, block: int) -> DataFrame:
+def _segment_starts(funcs: DataFrame, live: DataFrame, block: int, widest: int) -> DataFrame:
     """Starting stock of every later segment: a blockwise prefix composition, so no Python group
     ever holds more than ``block`` segment functions, however many segments a hot item spans.
 
@@ -271,15 +271,14 @@ def _segment_starts(funcs: DataFrame, live: DataFrame, block: int) -> DataFrame:
     a segment's index within its item is ``seg - first_seg``. Functions are composed in blocks of
     ``block`` consecutive indices, level after level, until every item has at most ``block``
     blocks; the top level is evaluated from the boundary's stock, then block starts are pushed back
-    down level by level.
+    down level by level. ``widest`` bounds the segments of any one item.
     """
     first = live.groupBy("uniform_id").agg(F.min("seg").alias("first_seg"))
     level = (funcs.join(live, ["uniform_id", "seg"]).join(first, "uniform_id")
                   .select("uniform_id", (F.col("seg") - F.col("first_seg")).cast("bigint").alias("idx"),
                           "f_starts", "f_offsets", (F.col("boundary_end") + 1).alias("domain"),
                           "boundary_end"))
-    # Widest item, from the segment table alone; each level above divides it by ``block``.
-    widest = live.groupBy("uniform_id").count().agg(F.max("count")).first()[0] or 0
+    # ``widest`` bounds the segments of any item; each level above divides it by ``block``.
     lower_levels = []
     while widest > block:
         lower_levels.append(level)
@@ -297,6 +296,30 @@ def _segment_starts(funcs: DataFrame, live: DataFrame, block: int) -> DataFrame:
         F.col("start").alias("seg_start"))
 
 
+def _prefix_sums(df: DataFrame, value: str, out: str, block: int, widest: int,
+                 depth: int = 0) -> DataFrame:
+    """Per item, the sum of ``value`` over all earlier ``idx`` (0 for the first), as column ``out``.
+
+    A blockwise prefix: running sums inside blocks of ``block`` consecutive indices, block totals
+    summed the same way one level up, so no window partition holds more than ``block`` rows.
+    ``widest`` bounds the rows of any one item.
+    """
+    if widest <= block:
+        w = Window.partitionBy("uniform_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    blk, inside, total, offset = (f"_{name}{depth}" for name in ("blk", "in", "total", "off"))
+    blocked = df.withColumn(blk, F.floor(F.col("idx") / block).cast("bigint"))
+    inner = Window.partitionBy("uniform_id", blk).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    within = blocked.withColumn(inside, F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    upper = (blocked.groupBy("uniform_id", blk).agg(F.sum(value).alias(total))
+                    .select("uniform_id", F.col(blk).alias("idx"), total))
+    offsets = _prefix_sums(upper, total, offset, block, -(-widest // block), depth + 1).select(
+        "uniform_id", F.col("idx").alias(blk), offset)
+    return (within.join(offsets, ["uniform_id", blk])
+                  .withColumn(out, F.col(offset) + F.col(inside))
+                  .drop(blk, inside, offset))
+
+
 def _from_cents(col: str):
     return (F.col(col).cast("decimal(20,0)") / 100).cast(MONEY)
 
@@ -353,14 +376,19 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
                 .checkpoint(eager=True))
 
     # Step 2: classify segments per item from their quantity totals (one row per (item, segment)).
-    per_item = Window.partitionBy("uniform_id")
-    ordered = per_item.orderBy("seg")
-    summ = (seg.groupBy("uniform_id", "seg")
-               .agg(F.sum("quantity").alias("q_seg"), F.first("opening").alias("opening"))
-               .withColumn("cum_before", F.coalesce(
-                   F.sum("q_seg").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-               .withColumn("fits", F.col("cum_before") + F.col("q_seg") <= F.col("opening"))
-               .withColumn("first_bad", F.min(F.when(~F.col("fits"), F.col("seg"))).over(per_item))
+    totals = seg.groupBy("uniform_id", "seg").agg(F.sum("quantity").alias("q_seg"),
+                                                  F.first("opening").alias("opening"))
+    # Read several times below: held as a local table when small, else checkpointed.
+    totals = small_or_none(totals, broadcast_limit) or totals.checkpoint(eager=True)
+    first = totals.groupBy("uniform_id").agg(F.min("seg").alias("first_seg"))
+    indexed = (totals.join(first, "uniform_id")
+                     .withColumn("idx", (F.col("seg") - F.col("first_seg")).cast("bigint")))
+    # Most segments any item spans: bounds the levels of both blockwise prefixes below.
+    widest = totals.groupBy("uniform_id").count().agg(F.max("count")).first()[0] or 0
+    cum = _prefix_sums(indexed, "q_seg", "cum_before", block, widest)
+    cum = cum.withColumn("fits", F.col("cum_before") + F.col("q_seg") <= F.col("opening"))
+    bad = cum.groupBy("uniform_id").agg(F.min(F.when(~F.col("fits"), F.col("seg"))).alias("first_bad"))
+    summ = (cum.join(bad, "uniform_id")
                .withColumn("kind", F.when(F.col("first_bad").isNull() | (F.col("seg") < F.col("first_bad")),
                                           F.lit("full"))
                                     .when(F.col("seg") == F.col("first_bad"), F.lit("boundary"))
@@ -391,7 +419,7 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
     funcs = _per_segment(
         after.join(live.withColumn("domain", F.col("boundary_end") + 1), ["uniform_id", "seg"]),
         _transition_segments, _transition_partition, _TRANSITION_OUT, in_place)
-    starts = _segment_starts(funcs, live, block)
+    starts = _segment_starts(funcs, live, block, widest)
     if in_place:
         checked = small_or_none(starts, broadcast_limit)
         in_place = checked is not None
