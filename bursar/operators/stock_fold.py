@@ -11,8 +11,9 @@ requests of an item are never gathered into one task. Instead:
 1. Valid requests are range-partitioned by (item, order key) into bounded segments and checkpointed,
    so segment ids are stable (and survive executor loss).
 2. Per segment only the quantity total is needed to find, per item, the segments that fit entirely:
-   while every request so far was accepted, the stock left is the opening stock minus a running sum.
-   All requests of those "full" segments are accepted without further work.
+   while every request so far was accepted, the stock left is the opening stock minus a running sum
+   (computed as a blockwise prefix over the item's segments, so no window holds more than ``block``
+   of them). All requests of those "full" segments are accepted without further work.
 3. The first segment that does not fit entirely ("boundary") starts from a known stock and is folded
    sequentially (one bounded segment per task).
 4. After the boundary the stock left is below the quantity of the first rejected request, so every
