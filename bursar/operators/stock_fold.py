@@ -395,13 +395,13 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
                                     .when(F.col("seg") == F.col("first_bad"), F.lit("boundary"))
                                     .otherwise(F.lit("after")))
                .withColumn("seg_start", (F.col("opening") - F.col("cum_before")).cast("bigint"))
-               .select("uniform_id", "seg", "kind", "seg_start")
-               .checkpoint(eager=True))
+               .select("uniform_id", "seg", "kind", "seg_start"))
     # One row per (item, segment): broadcast when its size checks out, so the requests are
-    # classified where they lie instead of being shuffled again.
+    # classified where they lie instead of being shuffled again; otherwise checkpointed.
     small = small_or_none(summ, broadcast_limit)
     in_place = small is not None
-    seg2 = seg.join(small if in_place else summ, ["uniform_id", "seg"])
+    summ = small if in_place else summ.checkpoint(eager=True)
+    seg2 = seg.join(summ, ["uniform_id", "seg"])
 
     # Step 3: boundary segments, folded from a known start (one Python call per segment).
     bnd = _per_segment(seg2.filter(F.col("kind") == "boundary").select(*_FOLD_IN, "seg_start"),
