@@ -93,8 +93,13 @@ def test_hot_item_over_many_segments_matches_brute_force(make):
             assert (r["student_id"], r["amount_paid"], r["date_issued"], r["quantity"]) == \
                 (src["student_id"], src["amount_paid"], src["date_issued"], src["quantity"])
             assert r["total_price"] == D("2.00") * src["quantity"]
-        assert {r["uniform_id"]: r["quantity_in_stock"] for r in res.items.collect()} == want_left
+        left = {r["uniform_id"]: r["quantity_in_stock"] for r in res.items.collect()}
+        assert left == want_left
         assert res.issued.count() + res.rejects.count() == len(rows)
+        issued_qty = {u: 0 for u in stock}
+        for r in issued:
+            issued_qty[r["uniform_id"]] += r["quantity"]
+        assert all(issued_qty[u] + left[u] == stock[u] for u in stock)  # issued + left = opening
 
 
 def test_missing_stock_counts_as_zero(make):
