@@ -38,8 +38,6 @@ _LITERAL_KEY = {"apply_discounts", "apply_discounts_rejects"}
 
 def test_no_cross_products_anywhere(spark, q):
     for name, fn in q.items():
-        if name.startswith("issue_uniforms"):
-            continue  # materialises checkpoints while planning; covered by its own tests
         plan = _plan(fn(spark, SF))
         assert "CartesianProduct" not in plan, name
         if name not in _LITERAL_KEY:
@@ -80,3 +78,24 @@ def test_sums_are_combined_before_the_shuffle(spark, q):
     for i in partial:  # each partial aggregate sits below (after, in the text) a shuffle exchange
         assert any("Exchange hashpartitioning(student_id" in l for l in lines[:i])
 
+
+
+def test_fold_runs_in_place_when_segment_tables_are_small(spark, school, make):
+    from decimal import Decimal
+
+    from bursar.operators.stock_fold import issue_uniforms
+    from bursar.sources import schemas
+    from conftest import day
+    reqs = make(schemas.ISSUE_REQUESTS, [
+        {"request_id": i, "student_id": 1, "uniform_id": 1 + i % 3, "quantity": 1 + i % 4,
+         "amount_paid": Decimal("1"), "date_issued": day("2024-01-01")} for i in range(60)])
+    for limit, in_place in ((100_000, True), (0, False)):
+        res = issue_uniforms(school["items"], reqs, segments=4, broadcast_limit=limit)
+        df = res.issued
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if in_place:
+            assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+            assert "SortMergeJoin" not in plan
+        else:
+            assert "FlatMapGroupsInPandas" in plan
