@@ -99,3 +99,18 @@ def test_fold_runs_in_place_when_segment_tables_are_small(spark, school, make):
             assert "SortMergeJoin" not in plan
         else:
             assert "FlatMapGroupsInPandas" in plan
+
+
+def test_term_partitioned_payments_are_pruned(spark, school, tmp_path):
+    from bursar.operators.balances import term_balances
+    from bursar.sources import tables
+    path = tables.write_version(school["payments"], str(tmp_path / "payments"), partition_by=["term_id"])
+    payments = tables.fee_payments(spark, path)
+    df = term_balances(school["students"], school["classes"], payments, school["discounts"],
+                       school["terms"], school["boarding"])
+    rows = {r["student_id"]: r["total_paid"] for r in df.collect()}
+    assert rows[1] == 80000 and rows[6] == 0
+    plan = _plan(df)
+    scan = [line for line in plan.splitlines() if "payments" in line and "FileScan" in line]
+    assert scan and all("PartitionFilters: [isnotnull(term_id" in line and "(term_id" in line and "= 2)" in line
+                        for line in scan), scan
