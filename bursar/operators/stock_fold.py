@@ -408,7 +408,7 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
                        _fold_segments, _fold_partition, _FOLD_OUT, in_place).checkpoint(eager=True)
     bnd_end = bnd.groupBy("uniform_id").agg(F.first("end_left").alias("boundary_end"))
 
-    # Step 4: later segments: transition arrays over [0, boundary_end], composed per item.
+    # Step 4: later segments: exact piecewise functions over [0, boundary_end], composed blockwise.
     after_segs = (summ.filter(F.col("kind") == "after").select("uniform_id", "seg")
                       .join(bnd_end, "uniform_id"))
     if in_place:  # at most as many rows as the segment table that just passed its check
