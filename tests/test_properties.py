@@ -138,3 +138,53 @@ def test_new_terms_stay_unique(school, make, pairs):
     assert set(keys) == {(2024, 1), (2024, 2)} | set(pairs)
     assert len({r["term_id"] for r in rows}) == len(rows)
     assert len(rows) - 2 + res.rejects.count() == len(cmds)
+
+
+SECTIONS = ["Nursery", "Lower Primary", "Upper Primary", "All"]
+GENDERS = ["Male", "Female", "All"]
+
+
+@SPARK_SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(SECTIONS), st.sampled_from(GENDERS)), max_size=15),
+       st.lists(st.tuples(st.integers(1, 4), st.sampled_from(["Male", "Female", None])), min_size=1,
+                max_size=10))
+def test_eligibility_counts_match_the_or_condition(school, make, item_rows, people):
+    from bursar.operators import uniforms
+    classes = make("classes", [{"class_id": i + 1, "class_name": f"C{i}", "section": s, "term_fee": D(1)}
+                               for i, s in enumerate(SECTIONS)])  # class 4's section is literally 'All'
+    items = make("uniform_items", [{"uniform_id": i + 1, "item_name": f"I{i}", "applicable_section": s,
+                                    "applicable_gender": g, "price": D(1), "quantity_in_stock": 1}
+                                   for i, (s, g) in enumerate(item_rows)])
+    students = make("students", [{"student_id": i + 1, "admission_number": f"A{i}", "class_id": c,
+                                  "gender": g, "status": "Active"} for i, (c, g) in enumerate(people)])
+    got = {r["student_id"]: r["eligible_items"]
+           for r in uniforms.uniform_eligibility_counts(students, classes, items).collect()}
+    for i, (c, g) in enumerate(people):
+        sec = SECTIONS[c - 1]
+        want = sum(1 for s, ig in item_rows if (s == sec or s == "All") and (ig == g or ig == "All"))
+        assert got[i + 1] == want
+
+
+@SPARK_SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 6), st.integers(1, 2), money), min_size=1, max_size=20),
+       st.lists(st.tuples(st.integers(1, 6), st.integers(1, 2), money), max_size=10))
+def test_receipts_use_totals_of_the_payments_term(school, make, pays, discs):
+    payments = make("fee_payments", [{"payment_id": i + 1, "student_id": s, "term_id": t, "amount_paid": a}
+                                     for i, (s, t, a) in enumerate(pays)])
+    discounts = make("fee_discounts", [{"discount_id": i + 1, "student_id": s, "term_id": t,
+                                        "discount_amount": a, "approved_by": "H"}
+                                       for i, (s, t, a) in enumerate(discs)])
+    rows = reports.receipts(payments, school["students"], school["classes"], school["terms"], discounts,
+                            school["boarding"]).collect()
+    classes = {1: D(80000), 2: D(90000), 3: D(90000)}
+    people = {r["student_id"]: r for r in school["students"].collect()}
+    expected = set()
+    for i, (s, t, a) in enumerate(pays):
+        p = people[s]
+        if p["class_id"] not in classes:
+            continue  # a student without a class row gets no receipt
+        gross = D(350000) if p["is_boarder"] else classes[p["class_id"]]
+        disc = sum((x for ds, dt, x in discs if ds == s and dt == t), D(0))
+        paid = sum((x for ps, pt, x in pays if ps == s and pt == t), D(0))
+        expected.add((i + 1, gross - disc - paid))
+    assert {(r["payment_id"], r["balance"]) for r in rows} == expected
