@@ -188,3 +188,22 @@ def test_receipts_use_totals_of_the_payments_term(school, make, pays, discs):
         paid = sum((x for ps, pt, x in pays if ps == s and pt == t), D(0))
         expected.add((i + 1, gross - disc - paid))
     assert {(r["payment_id"], r["balance"]) for r in rows} == expected
+
+
+def _like(pattern: str, text: str) -> bool:
+    """LIKE without an escape character, case-insensitively: % any run, _ one character."""
+    import re
+    rx = "".join(".*" if ch == "%" else "." if ch == "_" else re.escape(ch) for ch in pattern)
+    return re.fullmatch(rx, text, flags=re.IGNORECASE | re.DOTALL) is not None
+
+
+@SPARK_SETTINGS
+@given(st.lists(st.text(alphabet="abAB%_ ", min_size=1, max_size=6), min_size=1, max_size=8),
+       st.text(alphabet="abAB%_", min_size=1, max_size=3))
+def test_search_matches_like_semantics(school, make, names, term):
+    from bursar.operators import students as stu
+    students = make("students", [{"student_id": i + 1, "admission_number": f"X{i}", "full_name": n,
+                                  "class_id": 1, "status": "Active"} for i, n in enumerate(names)])
+    got = {r["student_id"] for r in stu.student_search(students, school["classes"], term).collect()}
+    want = {i + 1 for i, n in enumerate(names) if _like(f"%{term}%", n) or f"X{i}".lower() == term.lower()}
+    assert got == want
