@@ -218,9 +218,11 @@ class Fixture:
 
     def __getitem__(self, view: str) -> DataFrame:
         if view not in self._views:
-            args = {b: self.base(b) for b in base_tables_of(view)}
-            df = self.spark.sql(VIEW_SQL[view], **args)
-            self._views[view] = conform(df, VIEW_SCHEMA[view])
+            key = (self.spark.sparkContext.applicationId, self.sf_dir, "view:" + view)
+            if key not in _HANDLES:  # view definitions are analysed once per session, like catalog views
+                args = {b: self.base(b) for b in base_tables_of(view)}
+                _HANDLES[key] = conform(self.spark.sql(VIEW_SQL[view], **args), VIEW_SCHEMA[view])
+            self._views[view] = _HANDLES[key]
         return self._views[view]
 
 
