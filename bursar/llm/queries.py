@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bursar.llm import language_id, mixing, quality, sharding
+from bursar.llm import byte_bpe, language_id, mixing, quality, sharding, toxicity
 from bursar.llm.common import id_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,16 +27,34 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("lid_rate").alias("phrase_rate"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode_decode(documents, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                                   public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.col("bpe_count").alias("n_tokens"), F.sha2("bpe_ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("bpe_text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    sample, totals = toxicity.labelled_sample(documents, read(spark, sf_dir, "labels"), modulus=4, held_out=2)
+    tagged = toxicity.tag(documents.select("doc_id", "text"), toxicity.fit(sample, totals))
+    return tagged.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"),
+                         F.col("tox_score").alias("score"),
+                         (F.col("tox_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+                         F.col("tox_spans").alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_language_id, op6_sharding, op9_mixing)}
+    op1_quality_rules, op2_language_id, op4_byte_bpe, op6_sharding, op7_toxicity, op9_mixing)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE: dict[str, str] = {}
