@@ -25,8 +25,8 @@ FEATURES = 4000
 EPOCHS = 60
 #: A feature marks a token of a toxic document as toxic if so many toxic documents have it ...
 MIN_DOCS = 3
-#: ... and they are this share of its documents.
-MIN_SHARE = 0.8
+#: ... and they are this share of its documents, the classes weighted to their true sizes.
+MIN_SHARE = 0.7
 #: Tokens of a block of the forward-backward recursion; blocks of a step run side by side.
 BLOCK = 64
 MAX_WORDS = 400_000
@@ -170,9 +170,12 @@ def fit(sample: list[tuple[str, int]], totals: dict[int, int], seed: int = 5) ->
     seen: tuple[Counter, Counter] = Counter(), Counter()
     for words, (_, y) in zip(tokens, sample):
         seen[y].update({f for w in words for f in w})
-    share = {f: n / (n + seen[0][f] + 0.5) for f, n in seen[1].items() if n >= MIN_DOCS}
+    size = {c: max(1, sum(t == c for _, t in sample)) for c in (0, 1)}
+    true = {c: totals.get(c, 1) / size[c] for c in (0, 1)}  # rows of the class that a sampled one stands for
+    share = {f: n * true[1] / (n * true[1] + (seen[0][f] + 0.25) * true[0])
+             for f, n in seen[1].items() if n >= MIN_DOCS}
     marks = {f for f, s in share.items() if s >= MIN_SHARE}
-    strength = sorted(share, key=lambda f: (-abs(share[f] - 0.5) * np.log1p(seen[1][f] + seen[0][f]), f))
+    strength = sorted(share, key=lambda f: (f not in marks, -abs(share[f] - 0.5) * np.log1p(seen[1][f] + seen[0][f]), f))
     index = {f: k for k, f in enumerate(strength[:FEATURES])}
 
     rng = np.random.default_rng(seed)
@@ -194,8 +197,7 @@ def fit(sample: list[tuple[str, int]], totals: dict[int, int], seed: int = 5) ->
 
     facts = document_facts(model, [t for t, _ in sample])
     y = np.array([t for _, t in sample], float)
-    size = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-    w = np.where(y == 1, totals.get(1, 1) / size[1], totals.get(0, 1) / size[0])
+    w = np.where(y == 1, true[1], true[0])
     w = w / w.mean()
     beta = np.zeros(4)
     for _ in range(30):
