@@ -17,16 +17,16 @@ from bursar.llm.common import cut, id_remainder, steps
 
 #: Words with an output of their own, in classes of equal size; the last of them all is the end.
 CLASSES = 32
-CLASS_WORDS = 64
+CLASS_WORDS = 32
 VOCABULARY = CLASSES * CLASS_WORDS - 1
 #: Classes of all other words, by their last two characters.
-RARE_CLASSES = 64
-HIDDEN = 24
+RARE_CLASSES = 32
+HIDDEN = 16
 #: Words whose corpus counts every task holds; the counts of the others are joined.
 HEAD_WORDS = 200_000
 #: Backpropagation is truncated to windows of WINDOW tokens of LANES texts side by side.
 WINDOW = 16
-LANES = 128
+LANES = 256
 #: The state is carried across windows up to this length in training (and without limit in scoring).
 SEGMENT = 1024
 #: Before the round over all documents, weights start from a pass over so many documents at most.
@@ -53,25 +53,30 @@ def rare_class(word: bytes) -> int:
 
 
 class Codes(dict):
-    """Word to input code: its own, or WORDS plus its rare class."""
+    """Word to number: of one of ``words`` its place, of any other -1 minus its rare class."""
 
-    def __init__(self, vocabulary: list[str]):
+    def __init__(self, words: list[str]):
         super().__init__()
-        self.own = {w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(vocabulary)}
+        self.own = {w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(words)}
         self.update(self.own)
+        self.most = len(self.own) + MAX_CODES
+        codes = [k if k < VOCABULARY else WORDS + rare_class(w) for w, k in self.own.items()]
+        # Indexed by the number: codes of the words, then, from the end, those of the rare classes.
+        self.codes = np.array(codes + list(range(WORDS + RARE_CLASSES - 1, WORDS - 1, -1)), np.int32)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_CODES:
+        if len(self) >= self.most:
             self.clear()
             self.update(self.own)
-        code = self[word] = WORDS + rare_class(word)
-        return code
+        number = self[word] = -1 - rare_class(word)
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words) + 1, np.int32)
-        out[:-1] = list(map(self.__getitem__, words))
-        out[-1] = END
-        return out
+        """Codes: below VOCABULARY a word's own, from WORDS on its rare class; the end comes last."""
+        return np.append(self.codes[self.numbers(words)], np.int32(END))
 
 
 Weights = dict[str, np.ndarray]
@@ -88,12 +93,18 @@ def initial(word_counts: np.ndarray, rare_counts: np.ndarray, seed: int = 3) ->
             "words": small(CLASSES, HIDDEN, CLASS_WORDS), "word_bias": own.astype(np.float32)}
 
 
-def gates(w: Weights, code: np.ndarray, h: np.ndarray):
-    x, u = w["inputs"][code], h @ w["state"]
-    zr = 1 / (1 + np.exp(-(x[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])))
+def gates(x: np.ndarray, state: np.ndarray, h: np.ndarray):
+    """The next state from the input's contribution ``x`` and the last state."""
+    u = h @ state
+    zr = x[:, :2 * HIDDEN] + u[:, :2 * HIDDEN]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-    return n + z * (h - n), (z, r, n, u[:, 2 * HIDDEN:])
+    un = u[:, 2 * HIDDEN:]
+    n = np.tanh(x[:, 2 * HIDDEN:] + r * un)
+    return n + z * (h - n), (z, r, n, un)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -142,32 +153,40 @@ def window_gradients(w: Weights, codes: np.ndarray, real: np.ndarray, fresh: np.
     are padding. Returns (sum of log probabilities, gradients, state).
     """
     span, lanes = codes.shape
-    before, saved = np.empty((span, lanes, HIDDEN), np.float32), []
+    x = w["inputs"][codes]
+    before, saved = np.empty((span, lanes, HIDDEN), x.dtype), []
+    whole, starts = real.all(axis=1), fresh.any(axis=1)
     for t in range(span):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
+        if starts[t]:
+            h = np.where(fresh[t][:, None], np.float32(0), h)
         before[t] = h
-        new, parts = gates(w, codes[t], h)
+        new, parts = gates(x[t], w["state"], h)
         saved.append(parts)
-        h = np.where(real[t][:, None], new, h)
+        h = new if whole[t] else np.where(real[t][:, None], new, h)
     flat = real.reshape(-1)
     logp, grads, out = output(w, before.reshape(-1, HIDDEN)[flat], codes.reshape(-1)[flat], True)
-    from_output = np.zeros((span * lanes, HIDDEN), np.float32)
+    from_output = np.zeros((span * lanes, HIDDEN), x.dtype)
     from_output[flat] = out
     from_output = from_output.reshape(span, lanes, HIDDEN)
-    dx = np.zeros((span, lanes, 3 * HIDDEN), np.float32)
-    d_state = np.zeros_like(w["state"])
-    dh = np.zeros((lanes, HIDDEN), np.float32)
+    dx, du = np.zeros_like(x), np.zeros_like(x)
+    dh = np.zeros((lanes, HIDDEN), x.dtype)
+    back = np.ascontiguousarray(w["state"].T)
     for t in range(span - 1, -1, -1):
         z, r, n, un = saved[t]
-        on = real[t][:, None]
-        dn = dh * (1 - z) * (1 - n * n) * on
-        dz = dh * (before[t] - n) * z * (1 - z) * on
-        dr = dn * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        dx[t, :, :2 * HIDDEN], dx[t, :, 2 * HIDDEN:] = du[:, :2 * HIDDEN], dn
-        d_state += before[t].T @ du
-        dh = np.where(on, dh * z + du @ w["state"].T, dh) + from_output[t]
-        dh = np.where(fresh[t][:, None], np.float32(0), dh)
+        d = dh if whole[t] else dh * real[t][:, None]
+        dz = d * z
+        dn = (d - dz) * (1 - n * n)
+        to = du[t]
+        to[:, :HIDDEN] = dz * (1 - z) * (before[t] - n)
+        to[:, 2 * HIDDEN:] = dn * r
+        to[:, HIDDEN:2 * HIDDEN] = to[:, 2 * HIDDEN:] * un * (1 - r)
+        dx[t, :, 2 * HIDDEN:] = dn
+        past = dz + to @ back
+        dh = (past if whole[t] else np.where(real[t][:, None], past, dh)) + from_output[t]
+        if starts[t]:
+            dh = np.where(fresh[t][:, None], np.float32(0), dh)
+    dx[:, :, :2 * HIDDEN] = du[:, :, :2 * HIDDEN]
+    d_state = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
     codes_flat, dx = codes.reshape(-1)[flat], dx.reshape(-1, 3 * HIDDEN)[flat]
     order = np.argsort(codes_flat, kind="stable")
     distinct, starts = np.unique(codes_flat[order], return_index=True)
@@ -366,7 +385,7 @@ def text_log_probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
         targets.append(code)
         owners.append(order[:n])
         held += n
-        h, _ = gates(w, code, h[:n])
+        h, _ = gates(w["inputs"][code], w["state"], h[:n])
         if held >= OUTPUT_ROWS:
             settle()
             held = 0
@@ -399,10 +418,9 @@ def score(documents: DataFrame, counts: DataFrame, stats: Statistics, weights: W
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if key not in _LOADED:  # a Python worker runs many tasks
             w, s = sent.value
-            head = {x.encode("utf-8", "surrogatepass"): float(np.log10(n + 1)) for x, n in s.head.items()}
             _LOADED.clear()
-            _LOADED[key] = w, s, Codes(s.vocabulary), head
-        w, s, codes, head = _LOADED[key]
+            _LOADED[key] = w, s, Codes(list(s.head)), np.log10(np.array([*s.head.values(), *[0] * RARE_CLASSES]) + 1)
+        w, s, codes, log_count = _LOADED[key]
         within = np.log10(s.rare_mass + s.rare_types + 1)
         end = float(np.log10(s.ends + 1))
         row = TaskContext.get().partitionId() << 40
@@ -410,16 +428,15 @@ def score(documents: DataFrame, counts: DataFrame, stats: Statistics, weights: W
             coded, known, base, extra, tails, sizes = [], [], [], [], [], []
             for t in pdf[text]:
                 words = words_of(t) if isinstance(t, str) else []
-                code = codes.of(words)
-                logs = list(map(head.get, words))
-                tail = [x.decode("utf-8", "surrogatepass") for x, y in zip(words, logs) if y is None]
-                logs = np.array([0.0 if y is None else y for y in logs] + [end]) if tail else np.array(logs + [end])
-                rare = code >= WORDS
+                number = codes.numbers(words)
+                code, logs = np.append(codes.codes[number], np.int32(END)), log_count[number]
+                tail = [words[k].decode("utf-8", "surrogatepass") for k in np.flatnonzero(number < 0)]
+                rare = code[:-1] >= WORDS
                 coded.append(code)
                 sizes.append(len(code))
                 known.append(len(words) - len(tail) + (s.ends > 0))
-                base.append(float(logs.sum()))
-                extra.append(float(logs[rare].sum() - within[code[rare] - WORDS].sum()))
+                base.append(float(logs.sum()) + end)
+                extra.append(float(logs[rare].sum() - within[code[:-1][rare] - WORDS].sum()))
                 tails.append(tail)
             logp = text_log_probabilities(w, coded) / np.log(10)
             yield pd.DataFrame({"row": np.arange(row, row + len(pdf)), "doc_id": pdf["doc_id"].to_numpy(),
