@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,60 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node",
     stars = links.groupBy("u").agg(F.min("v").alias("m"))
     return (stars.select(F.col("u").alias(node), F.col("m").alias(component))
             .unionByName(stars.select(F.col("m").alias(node), F.col("m").alias(component)).distinct()))
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of a partition that is sorted by ``keys``, each whole; memory holds a batch and a group."""
+    open_parts: list[pd.DataFrame] = []
+    open_key = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        values = [pdf[k].to_numpy() for k in keys]
+        change = np.zeros(len(pdf), bool)
+        for v in values:
+            change[1:] |= v[1:] != v[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
+        for a, b in zip(starts, starts[1:]):
+            key = tuple(v[a] for v in values)
+            if open_parts and key != open_key:
+                yield open_parts[0] if len(open_parts) == 1 else pd.concat(open_parts, ignore_index=True)
+                open_parts = []
+            open_key = key
+            open_parts.append(pdf.iloc[a:b])
+    if open_parts:
+        yield open_parts[0] if len(open_parts) == 1 else pd.concat(open_parts, ignore_index=True)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between 0..n-1, as many as join the same components: at most n - 1."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            parent[max(rx, ry)] = min(rx, ry)
+            out.append((x, y))
+            if len(out) == n - 1:
+                break
+    return out
+
+
+def block_pairs(df: DataFrame, size: str, row: str, block: int, seed: int) -> DataFrame:
+    """Every row once for each pair of blocks (i, j), i <= j, that its block is part of.
+
+    A group of ``size`` rows is cut into ceil(size / block) blocks by a hash of ``row``; any two rows of a
+    group meet in the pair of their blocks, once. ``mine`` tells the row's own block.
+    """
+    return (df.withColumn("blocks", F.ceil(F.col(size) / block).cast("int"))
+            .withColumn("mine", F.pmod(F.xxhash64(F.lit(seed), row), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+            .drop("blocks", "other"))

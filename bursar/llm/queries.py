@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bursar.llm import byte_bpe, language_id, mixing, quality, sharding, toxicity
+from bursar.llm import byte_bpe, jaccard_join, language_id, language_model, mixing, quality, sharding, toxicity
 from bursar.llm.common import id_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("lid_rate").alias("phrase_rate"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, stats = language_model.learn_and_score(read(spark, sf_dir, "documents"), modulus=7, held_out=2)
+    return scored.select("doc_id", (id_remainder("doc_id", 7) == 2).alias("held_out"),
+                         F.col("lm_tokens").alias("n_tokens"), F.col("lm_known").alias("n_known"),
+                         F.lit(stats.tokens).cast("long").alias("train_tokens"), F.col("lm_base").alias("base_score"),
+                         F.col("lm_score").alias("score"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = byte_bpe.encode_decode(documents, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -35,6 +43,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("bpe_text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
 
@@ -54,7 +66,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_rules, op2_language_id, op4_byte_bpe, op6_sharding, op7_toxicity, op9_mixing)}
+    op1_quality_rules, op2_language_id, op3_language_model, op4_byte_bpe, op5_jaccard_join, op6_sharding,
+    op7_toxicity, op9_mixing)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE: dict[str, str] = {}
