@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bursar.llm import byte_bpe, jaccard_join, language_id, language_model, mixing, quality, sharding, toxicity
+from bursar.llm import byte_bpe, jaccard_join, language_id, language_model, mixing, quality, sharding, substring_dedup, toxicity
 from bursar.llm.common import id_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,13 +61,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("tox_spans").alias("spans"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_language_id, op3_language_model, op4_byte_bpe, op5_jaccard_join, op6_sharding,
-    op7_toxicity, op9_mixing)}
+    op7_toxicity, op8_substring_dedup, op9_mixing)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE: dict[str, str] = {}
