@@ -193,11 +193,12 @@ def _verified(threshold: float, tolerance: float):
 
 def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS,
                  tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, text_hash, copy_id, class_id, n_links, n_shingles: one row per row of ``documents``.
+    """doc_id, text_hash, copy_id, class_id, n_links, n_shingles, class_key: one row per row of ``documents``.
 
     Two rows are linked if the Jaccard similarity of their sets of ``size``-word shingles is at least
     ``threshold``. n_links counts the other rows linked directly, class_id is the smallest doc_id that
-    links lead to (its own included), copy_id the smallest among rows with the very same set.
+    links lead to (its own included), copy_id the smallest among rows with the very same set; class_key
+    identifies the class even without ids, and is null without words.
 
     Equal sets are merged first, so copies are counted and never compared; a group of copies with a third
     of all rows is one text. Each text has HASHES MinHash values. Texts that share a band of them are
@@ -251,11 +252,27 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int =
     smallest = (classes.join(texts.select("node", "copy_id"), "node").groupBy("component")
                 .agg(F.min("copy_id").alias("class_id")))
     of = (texts.select("node", "copy_id", "rows").join(links, "node", "left")
-          .join(classes.join(smallest, "component").select("node", "class_id"), "node", "left")
+          .join(classes.join(smallest, "component").select("node", "component", "class_id"), "node", "left")
           .select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
+                  F.coalesce("component", "node").alias("class_key"),
                   (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     # Texts by the thousand share a node: the join is left to skew handling.
     return (rows.select("doc_id", "text_hash", "node", "n_shingles").join(of, "node", "left")
             .select("doc_id", "text_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
                     F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                    F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "n_shingles"))
+                    F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", "class_key"))
+
+
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """``documents`` with one row of each class of near copies: the one with the smallest id (ties: by a hash
+    of the text). Wordless texts are no copies of each other, but repeated rows, of equal id and text, are one.
+    """
+    classes = jaccard_join(documents, **options)
+    first = classes.filter("class_key is not null").groupBy("class_key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    kept = (first.select("first.doc_id", "first.text_hash")
+            .unionByName(classes.filter("class_key is null").select("doc_id", "text_hash"))
+            .select(F.col("doc_id").alias("join_id"), F.col("text_hash").alias("join_hash")))
+    hashed = documents.withColumn("join_text", F.xxhash64("text"))
+    found = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("join_id")) & (F.col("join_text") == F.col("join_hash")), "left_semi")
+    return found.dropDuplicates(["doc_id", "join_text"]).select(*documents.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bursar.llm import byte_bpe, jaccard_join, language_id, language_model, mixing, quality, sharding, substring_dedup, toxicity
+from bursar.llm import byte_bpe, jaccard_join, language_id, language_model, mixing, multi_index, quality, sharding, substring_dedup, toxicity
 from bursar.llm.common import id_remainder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).drop("text_hash", "class_key")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +69,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_language_id, op3_language_model, op4_byte_bpe, op5_jaccard_join, op6_sharding,
-    op7_toxicity, op8_substring_dedup, op9_mixing)}
+    op7_toxicity, op8_substring_dedup, op9_mixing, op10_multi_index)}
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLE: dict[str, str] = {}
