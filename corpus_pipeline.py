@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bursar.llm import language_id, mixing
+from bursar.llm import byte_bpe, jaccard_join, language_id, mixing, substring_dedup
 from bursar.llm.common import read
 from bursar.session import ensure_checkpoint_dir
 
@@ -25,12 +26,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
                         & (F.col("lid_rate") <= language_id.MAX_PHRASE_RATE)).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class linked by a Jaccard similarity of 0.8 on five-word shingles."""
+    return jaccard_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has are cut out of the text (n_chars follows)."""
+    return substring_dedup.without_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, in the order of the mix."""
     return mixing.in_mix_order(docs)
 
 
-STAGES = [("language_id", identify_language), ("mixing", mix_sources)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit), and digests of the ids and
+    of the bytes they decode to."""
+    coded = byte_bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"),
+                                   public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", F.col("bpe_count").alias("n_tokens"),
+                        F.col("bpe_ids").alias("token_ids"), F.sha2("bpe_ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("bpe_text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [("language_id", identify_language), ("near_copies", drop_near_copies), ("repeats", cut_repeats),
+          ("mixing", mix_sources), ("byte_bpe", tokenize)]
 
 #: SQL cannot express suffix automata, MinHash posteriors, chaining or a tokenizer.
 ORACLE_SQL = None
