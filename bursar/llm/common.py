@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -130,3 +130,15 @@ def block_pairs(df: DataFrame, size: str, row: str, block: int, seed: int) -> Da
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
             .drop("blocks", "other"))
+
+
+def aside(df: DataFrame, taken: Callable[[str], bool]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns whose names are ``taken`` renamed, and what gives back its columns and names."""
+    names = {}
+    for c in df.columns:
+        new = f"aside_{c}"
+        while taken(c) and (new in df.columns or new in names.values()):
+            new += "_"
+        names[c] = new if taken(c) else c
+    back = lambda out: out.select(*(F.col(f"`{new}`").alias(c) for c, new in names.items()))
+    return df.select(*(F.col(f"`{c}`").alias(new) for c, new in names.items())), back

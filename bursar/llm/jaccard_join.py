@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.llm.common import block_pairs, components, cut, forest, runs, steps
+from bursar.llm.common import aside, block_pairs, components, cut, forest, runs, steps
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -273,6 +273,7 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     kept = (first.select("first.doc_id", "first.text_hash")
             .unionByName(classes.filter("class_key is null").select("doc_id", "text_hash"))
             .select(F.col("doc_id").alias("join_id"), F.col("text_hash").alias("join_hash")))
-    hashed = documents.withColumn("join_text", F.xxhash64("text"))
+    base, back = aside(documents, lambda c: c.startswith("join_"))
+    hashed = base.withColumn("join_text", F.xxhash64("text"))
     found = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("join_id")) & (F.col("join_text") == F.col("join_hash")), "left_semi")
-    return found.dropDuplicates(["doc_id", "join_text"]).select(*documents.columns)
+    return back(found.dropDuplicates(["doc_id", "join_text"]))

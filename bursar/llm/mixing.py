@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bursar.llm.common import aside
+
 #: Documents of a block, the unit of the schedule.
 BLOCK_ROWS = 32
 #: Slots of one period; target weights are rounded to multiples of its inverse.
@@ -198,6 +200,6 @@ def _one_of(values: list) -> Column:
 
 def in_mix_order(documents: DataFrame, **options) -> DataFrame:
     """The rows and columns of ``documents`` in the order of the mix, in range partitions."""
-    out = mixed(documents, carry=True, **options)
-    return (out.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
-            .select(*documents.columns))
+    base, back = aside(documents, lambda c: c.startswith("mix_"))
+    out = mixed(base, carry=True, **options)
+    return back(out.repartitionByRange("mix_position").sortWithinPartitions("mix_position"))
