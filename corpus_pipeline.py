@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bursar.llm import byte_bpe, jaccard_join, language_id, mixing, substring_dedup
-from bursar.llm.common import read
+from bursar.llm.common import aside, read
 from bursar.session import ensure_checkpoint_dir
 
 
@@ -21,9 +21,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     samples = language_id.labelled_sample(docs, modulus=None)
     if not samples:
         return docs
-    found = language_id.identify(docs, samples)
-    return found.filter((F.col("lid_lang") != language_id.UNKNOWN)
-                        & (F.col("lid_rate") <= language_id.MAX_PHRASE_RATE)).select(*docs.columns)
+    base, back = aside(docs, lambda c: c.startswith("lid_"))
+    found = language_id.identify(base, samples)
+    return back(found.filter((F.col("lid_lang") != language_id.UNKNOWN)
+                             & (F.col("lid_rate") <= language_id.MAX_PHRASE_RATE)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
