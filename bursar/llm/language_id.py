@@ -49,8 +49,8 @@ def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
     """The suffix automaton of ``codes``, completed for cross-parsing.
 
     Entry [state * letters + code] is 2 * next + cut: along an edge of the automaton the running phrase
-    grows; without one the phrase ends (cut 1) and the code starts the next from the root, where a code
-    that the learning text lacks is a phrase of its own.
+    grows; without one the phrase ends (cut 1) and the code starts the next from the root. A code that the
+    learning text lacks is a phrase of its own: it leads to one more state, after which all start anew.
     """
     edges: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -77,8 +77,8 @@ def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.empty((len(edges), letters), np.int32)
-    table[:] = 1
+    table = np.empty((len(edges) + 1, letters), np.int32)
+    table[:] = 2 * len(edges) + 1
     for c, to in edges[0].items():
         table[:, c] = 2 * to + 1
     for state, out in enumerate(edges):
