@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bursar.sources.schemas import RESULT_MONEY
+from bursar.sources.schemas import RESULT_MONEY, TOTAL_MONEY
 
 # These must equal the reference's for equal results.
 # - the characters PHP's trim() strips by default (space, tab, newline, carriage return, NUL,
@@ -93,8 +93,8 @@ def first_name(col: Column | str) -> Column:
 
 
 def sum_or_zero(col: Column | str) -> Column:
-    """COALESCE(SUM(x), 0) as an exact decimal."""
-    return F.coalesce(F.sum(_c(col)), F.lit(0)).cast(RESULT_MONEY)
+    """COALESCE(SUM(x), 0) as an exact decimal, wide enough for any table."""
+    return F.coalesce(F.sum(_c(col)), F.lit(0)).cast(TOTAL_MONEY)
 
 
 def php_int(col: Column | str) -> Column:
@@ -126,3 +126,8 @@ def payment_state(balance: Column | str) -> Column:
 def money(col: Column | str) -> Column:
     """Cast to the result money type, DECIMAL(18,2)."""
     return _c(col).cast(RESULT_MONEY)
+
+
+def total_money(col: Column | str) -> Column:
+    """Cast to the type of whole-table totals, DECIMAL(38,2)."""
+    return _c(col).cast(TOTAL_MONEY)

@@ -9,7 +9,8 @@ Validation runs column-wise, in the reference's order; the first failing rule na
 Per-key resolution ("last edit wins", "first registration wins") uses ``max_by`` / ``min_by``
 aggregates, which combine map-side, so a key carrying a large share of the commands is reduced before
 the shuffle and never gathered into one task. New keys continue after the base's largest key, offset by
-the command's position in the batch (``seq`` must be unique within a batch), so reruns give equal ids.
+the command's dense position in the batch (by ``seq``; commands with the same ``seq`` have positions of
+their own), so every command is accounted for and reruns give equal ids.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bursar.operators.numbering import numbered
 from bursar.functions.formats import ACTIVE, is_php_empty, php_trim, receipt_number, text_key
 from bursar.sources import schemas
 from bursar.sources.tables import conform
@@ -56,24 +58,42 @@ def _rejects(bad: DataFrame, key: str | None = None) -> DataFrame:
     return bad.select(*cols)
 
 
-def _new_ids(base: DataFrame, key: str, batch: DataFrame) -> Column:
-    """Key for a new row: base max + position of its seq in the batch (1-based from the smallest)."""
+POSITION = "_pos"
+
+
+def _positioned(commands: DataFrame) -> DataFrame:
+    """Commands with their dense position in the batch, the identity of a command from here on."""
+    return numbered(commands, ["seq"], POSITION)
+
+
+def _new_ids(base: DataFrame, key: str) -> Column:
+    """Key for a new row: base max + the command's position."""
     top = base.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
-    first = batch.agg(F.min("seq")).scalar()
-    return top + (F.col("seq") - first + F.lit(1))
+    return top + F.col(POSITION)
 
 
 def _last_by_key(commands: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Latest command per key (highest seq): one row per key, ``seq`` kept."""
-    latest = F.max_by(F.struct(F.col("seq"), *[F.col(c) for c in cols]), F.col("seq"))
+    """Latest command per key (highest seq; of equal seq the largest values): one row per key, ``seq`` kept."""
+    latest = F.max(F.struct(F.col("seq"), *[F.col(c) for c in cols]))
     return commands.groupBy(key).agg(latest.alias("_c")).select(key, "_c.*")
 
 
 def _first_by_key(commands: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    first = F.min_by(F.struct(F.col("seq"), *[F.col(c) for c in cols]), F.col("seq"))
+    """First command per key by position: one row per key, the position kept."""
+    first = F.min_by(F.struct(F.col(POSITION), *[F.col(c) for c in cols]), F.col(POSITION))
     return commands.groupBy(*keys).agg(first.alias("_c")).select(*keys, "_c.*")
 
 
+def _present(base: DataFrame, commands: DataFrame, keys: list[str]) -> DataFrame:
+    """The commands' keys that the base has, marked ``_present``: at most one row per command.
+
+    The commands' distinct keys are the build side, so the base is scanned once and not sorted or
+    shuffled while they are small.
+    """
+    wanted = commands.select(*keys).distinct()
+    return base.select(*keys).join(wanted, keys, "left_semi").distinct().withColumn("_present", F.lit(True))
+
+
 def _replace(base: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Apply one change row per key; fields are replaced even when the new value is blank.
 
@@ -87,10 +107,10 @@ def _replace(base: DataFrame, changes: DataFrame, key: str, cols: list[str]) ->
     return joined.select(*out)
 
 
-def _unknown_keys(commands: DataFrame, base: DataFrame, key: str) -> DataFrame:
+def _unknown_keys(commands: DataFrame, base: DataFrame, key: str, reason: str | None = None) -> DataFrame:
     """Commands whose key is not in the base: a silent no-op in the reference, reported here."""
-    return (commands.join(base.select(key), key, "left_anti")
-                    .withColumn("reject_reason", F.lit("unknown_" + key.replace("_id", "")))
+    return (commands.join(_present(base, commands, [key]), key, "left_anti")
+                    .withColumn("reject_reason", F.lit(reason or "unknown_" + key.replace("_id", "")))
                     .select("seq", key, "reject_reason"))
 
 
@@ -99,7 +119,7 @@ def _unknown_keys(commands: DataFrame, base: DataFrame, key: str) -> DataFrame:
 def apply_registrations(students: DataFrame, commands: DataFrame) -> Applied:
     """M1 registration: trim; admission, name and class required ('0' counts as empty);
     admission numbers unique against the table and, within the batch, the first valid command wins."""
-    c = conform(commands, schemas.REGISTRATION_COMMANDS)
+    c = _positioned(conform(commands, schemas.REGISTRATION_COMMANDS))
     c = c.withColumns({k: php_trim(k) for k in ("admission_number", "full_name", "guardian_name",
                                                 "guardian_phone")})
     missing = is_php_empty("admission_number") | is_php_empty("full_name") | is_php_empty("class_id")
@@ -107,13 +127,14 @@ def apply_registrations(students: DataFrame, commands: DataFrame) -> Applied:
     # The unique index compares in the default (case-insensitive) collation.
     valid = valid.withColumn("_adm_key", text_key("admission_number"))
     existing = students.select(text_key("admission_number").alias("_adm_key"))
-    fresh = valid.join(existing, "_adm_key", "left_anti")
-    taken = valid.join(existing, "_adm_key", "left_semi")
+    marked = valid.join(_present(existing, valid, ["_adm_key"]), "_adm_key", "left")
+    fresh = marked.filter(F.col("_present").isNull()).drop("_present")
+    taken = marked.filter(F.col("_present"))
     cols = [f.name for f in schemas.REGISTRATION_COMMANDS.fields if f.name != "seq"]
     winners = _first_by_key(fresh, ["_adm_key"], cols).drop("_adm_key")
-    losers = fresh.join(winners.select("seq"), "seq", "left_anti")
+    losers = fresh.join(winners.select(POSITION), POSITION, "left_anti")
     new_rows = winners.withColumns({
-        "student_id": _new_ids(students, "student_id", c),
+        "student_id": _new_ids(students, "student_id"),
         "is_boarder": F.coalesce(F.col("is_boarder"), F.lit(0)),
         "status": F.lit(ACTIVE),
     })
@@ -127,6 +148,7 @@ def apply_registrations(students: DataFrame, commands: DataFrame) -> Applied:
     return Applied(table, rejects, added)
 
 
+# The columns the student, payment and item pages edit (here and below).
 STUDENT_EDIT_COLUMNS = ["full_name", "gender", "date_of_birth", "class_id", "is_boarder",
                         "guardian_name", "guardian_phone", "status"]
 
@@ -168,10 +190,10 @@ def _bad_amount(col: str) -> Column:
 def apply_payments(payments: DataFrame, commands: DataFrame, today: str | None = None) -> Applied:
     """M4 new payments: amount required and > 0 (no check against the balance, as the
     reference); new payment ids follow the largest; receipt number derived from date and id."""
-    c = conform(commands, schemas.PAYMENT_COMMANDS).withColumn("received_by", php_trim("received_by"))
+    c = _positioned(conform(commands, schemas.PAYMENT_COMMANDS)).withColumn("received_by", php_trim("received_by"))
     valid, bad = _split(c, _reason((_bad_amount("amount_paid"), "invalid_amount")))
     day = F.to_date(F.lit(today)) if today else F.current_date()
-    new = (valid.withColumn("payment_id", _new_ids(payments, "payment_id", c))
+    new = (valid.withColumn("payment_id", _new_ids(payments, "payment_id"))
                 .withColumn("date_paid", F.coalesce(F.col("date_paid"), day)))
     new = new.withColumn("receipt_number", receipt_number("date_paid", "payment_id"))
     added = conform(new, schemas.FEE_PAYMENTS)
@@ -202,10 +224,10 @@ def apply_discounts(discounts: DataFrame, students: DataFrame, terms: DataFrame,
                     commands: DataFrame, today: str | None = None) -> Applied:
     """M7 new discounts: amount > 0, then an approver; the table's foreign keys (student, term)
     refuse orphans (J14). No cap at the amount due, as in the reference."""
-    c = conform(commands, schemas.DISCOUNT_COMMANDS).withColumns(
+    c = _positioned(conform(commands, schemas.DISCOUNT_COMMANDS)).withColumns(
         {"reason": php_trim("reason"), "approved_by": php_trim("approved_by")})
-    known_s = students.select("student_id").distinct().withColumn("_s", F.lit(True))
-    known_t = terms.select("term_id").distinct().withColumn("_t", F.lit(True))
+    known_s = _present(students, c, ["student_id"]).withColumnRenamed("_present", "_s")
+    known_t = _present(terms, c, ["term_id"]).withColumnRenamed("_present", "_t")
     c = c.join(known_s, "student_id", "left").join(known_t, "term_id", "left")
     reason = _reason((_bad_amount("discount_amount"), "invalid_amount"),
                      (is_php_empty("approved_by"), "missing_approver"),
@@ -213,7 +235,7 @@ def apply_discounts(discounts: DataFrame, students: DataFrame, terms: DataFrame,
                      (F.col("_t").isNull(), "unknown_term"))
     valid, bad = _split(c, reason)
     day = F.to_date(F.lit(today)) if today else F.current_date()
-    new = (valid.withColumn("discount_id", _new_ids(discounts, "discount_id", c))
+    new = (valid.withColumn("discount_id", _new_ids(discounts, "discount_id"))
                 .withColumn("date_given", F.coalesce(F.col("date_given"), day)))
     added = conform(new, schemas.FEE_DISCOUNTS)
     return Applied(discounts.unionByName(added), _rejects(bad, "student_id"), added)
@@ -223,15 +245,16 @@ def apply_discounts(discounts: DataFrame, students: DataFrame, terms: DataFrame,
 
 def apply_new_terms(terms: DataFrame, commands: DataFrame) -> Applied:
     """M8 new terms: (year, term) unique against the table and within the batch; starts not current."""
-    c = conform(commands, schemas.TERM_COMMANDS)
+    c = _positioned(conform(commands, schemas.TERM_COMMANDS))
     valid, bad = _split(c, _reason(
         (F.col("academic_year").isNull() | F.col("term_number").isNull(), "missing_fields")))
     pair = ["academic_year", "term_number"]
-    fresh = valid.join(terms.select(*pair), pair, "left_anti")
-    taken = valid.join(terms.select(*pair), pair, "left_semi")
+    marked = valid.join(_present(terms, valid, pair), pair, "left")
+    fresh = marked.filter(F.col("_present").isNull()).drop("_present")
+    taken = marked.filter(F.col("_present"))
     winners = _first_by_key(fresh, pair, [])
-    losers = fresh.join(winners.select("seq"), "seq", "left_anti")
-    new = winners.withColumns({"term_id": _new_ids(terms, "term_id", c).cast("int"),
+    losers = fresh.join(winners.select(POSITION), POSITION, "left_anti")
+    new = winners.withColumns({"term_id": _new_ids(terms, "term_id").cast("int"),
                                "is_current": F.lit(0)})
     rejects = (_rejects(bad).unionByName(taken.select("seq", F.lit("term_exists").alias("reject_reason")))
                .unionByName(losers.select("seq", F.lit("term_exists").alias("reject_reason"))))
@@ -273,9 +296,8 @@ def apply_fee_default_updates(fee_defaults: DataFrame, commands: DataFrame) -> A
         (F.col("amount") < 0, "invalid_fee")))
     latest = _last_by_key(valid, "fee_key", ["amount"])
     table = _replace(fee_defaults, latest, "fee_key", ["amount"])
-    unknown = (valid.join(fee_defaults.select("fee_key"), "fee_key", "left_anti")
-                    .select("seq", "fee_key", F.lit("unknown_fee").alias("reject_reason")))
-    return Applied(table, _rejects(bad, "fee_key").unionByName(unknown))
+    return Applied(table, _rejects(bad, "fee_key").unionByName(
+        _unknown_keys(valid, fee_defaults, "fee_key", "unknown_fee")))
 
 
 # ------------------------------------------------------------------------------------------ uniforms
@@ -303,9 +325,9 @@ def _item_rules() -> Column:
 def apply_new_items(items: DataFrame, commands: DataFrame) -> Applied:
     """M13 new uniform items: name non-empty, price given and >= 0; the opening stock is taken as given
     (negative included, as the reference does server-side)."""
-    c = conform(commands, schemas.ITEM_COMMANDS).withColumn("item_name", php_trim("item_name"))
+    c = _positioned(conform(commands, schemas.ITEM_COMMANDS)).withColumn("item_name", php_trim("item_name"))
     valid, bad = _split(c, _item_rules())
-    new = (valid.withColumn("uniform_id", _new_ids(items, "uniform_id", c))
+    new = (valid.withColumn("uniform_id", _new_ids(items, "uniform_id"))
                 .withColumn("quantity_in_stock", F.coalesce(F.col("initial_stock"), F.lit(0))))
     added = conform(new, schemas.UNIFORM_ITEMS)
     return Applied(items.unionByName(added), _rejects(bad), added)

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from bursar.functions.formats import (
     ACTIVE, LOW_STOCK_LIMIT, PHP_TRIM_CHARS, class_label, money, short_term_label, sum_or_zero,
-    term_label, text_key,
+    term_label, text_key, total_money,
 )
-from bursar.operators.bounded import small_or_none
 from bursar.operators.balances import (
     boarding_amount, current_term_id, roster, sums_by_student, sums_by_student_term,
     term_and_boarding, term_balances, with_balance,
@@ -47,7 +46,7 @@ def uniform_sales_summary(issues: DataFrame) -> DataFrame:
     totals = issues.agg(F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("total_items_sold"),
                         sum_or_zero("total_price").alias("total_value"),
                         sum_or_zero("amount_paid").alias("total_collected"))
-    return totals.withColumn("balance_owed", money(F.col("total_value") - F.col("total_collected")))
+    return totals.withColumn("balance_owed", total_money(F.col("total_value") - F.col("total_collected")))
 
 
 def uniform_item_sales(items: DataFrame, issues: DataFrame) -> DataFrame:
@@ -62,10 +61,13 @@ def uniform_item_sales(items: DataFrame, issues: DataFrame) -> DataFrame:
                  .join(per_item, "uniform_id", "left")
                  .select("uniform_id", "item_name",
                          F.coalesce("qty", F.lit(0)).cast("bigint").alias("qty_sold"),
-                         money(F.coalesce("rev", F.lit(0))).alias("revenue"))
+                         total_money(F.coalesce("rev", F.lit(0))).alias("revenue"))
                  .orderBy(F.desc("revenue"), "uniform_id"))
 
 
+#: The largest page of recent payments.
+MAX_PAGE = 1000
+
 STATUS_COLUMNS = ["class_id", "student_id", "admission_number", "full_name", "is_boarder",
                   "gross_fee", "discount", "has_discount", "total_due", "total_paid", "balance"]
 
@@ -127,42 +129,27 @@ def dashboard_stats(students: DataFrame, classes: DataFrame, items: DataFrame) -
                     low.cast("bigint").alias("low_stock_items"))
 
 
-def _latest_joined(payments, students, classes, n: int) -> DataFrame:
-    """The n highest payment ids among payments whose student and class rows exist (inner joins).
-
-    Exact without joining every payment: the top K payments by id are joined first (a per-partition
-    top-K, then a merge); if at least n of them survive the joins they are the answer, because every
-    other payment has a smaller id. Otherwise K grows eightfold and the step repeats; in the worst
-    case K covers the whole table, which is the plain join. Only one count per step reaches the
-    driver.
-    """
-    pay = payments.select("payment_id", "student_id", "amount_paid", "date_paid", "receipt_number")
-    people = students.select("student_id", "full_name", "is_boarder", "class_id")
-    cls = classes.select("class_id", "class_name", "term_fee")
-    k = max(8 * n, 64)
-    while True:
-        cand = pay.orderBy(F.desc("payment_id")).limit(k)
-        joined = cand.join(people, "student_id").join(cls, "class_id")
-        if joined.count() >= n or cand.count() < k:  # enough survivors, or no payments left to add
-            return joined.orderBy(F.desc("payment_id")).limit(n)
-        k *= 8
-
-
 def recent_payments(payments, students, classes, discounts, terms, boarding_fee, n: int = 5) -> DataFrame:
     """Dashboard: the n latest payments (by payment_id) of any student/term, with that student's
     *current-term* balance, arranged by class order (ties keep newest first).
 
-    Only the n students' payments and discounts are then aggregated: a semi join against the n ids
-    (proven size n).
+    One join of the payments with the roster (inner, so payments without a student or class row drop
+    out) and one top-n: ``n`` is a page size, at most ``MAX_PAGE``. The n rows are fetched, and their
+    student ids narrow the payment and discount scans as literals, so only these rows are summed.
     """
+    if not 0 < n <= MAX_PAGE:
+        raise ValueError(f"n must be between 1 and {MAX_PAGE}")
     term_id, board = term_and_boarding(terms, boarding_fee)
-    top = _latest_joined(payments, students, classes, n)
-    ids = F.broadcast(top.select("student_id").distinct())
-    disc = sums_by_student(discounts.join(ids, "student_id", "left_semi"),
-                           "discount_amount", "discount", term_id)
-    paid = sums_by_student(payments.join(ids, "student_id", "left_semi"),
-                           "amount_paid", "total_paid", term_id)
-    out = with_balance(top.join(F.broadcast(disc), "student_id", "left")
+    joined = (payments.select("payment_id", "student_id", "amount_paid", "date_paid", "receipt_number")
+              .join(students.select("student_id", "full_name", "is_boarder", "class_id"), "student_id")
+              .join(classes.select("class_id", "class_name", "term_fee"), "class_id")
+              .orderBy(F.desc("payment_id")).limit(n))
+    top = payments.sparkSession.createDataFrame(joined.collect(), joined.schema)
+    ids = [r.student_id for r in top.select("student_id").distinct().collect()]
+    mine = F.col("student_id").isin(ids)
+    disc = sums_by_student(discounts.filter(mine), "discount_amount", "discount", term_id)
+    paid = sums_by_student(payments.filter(mine), "amount_paid", "total_paid", term_id)
+    out = with_balance(top.join(F.broadcast(disc), "student_id", "left")  # n rows at most on either side
                           .join(F.broadcast(paid), "student_id", "left"), board)
     return (out.select("payment_id", "student_id", "full_name", "class_id", "class_name", "is_boarder",
                        money("amount_paid").alias("amount_paid"), "date_paid", "receipt_number",
@@ -176,26 +163,27 @@ def receipts(payments, students, classes, terms, discounts, boarding_fee,
     *payment's* term (all of that term's payments, later ones included); fee and boarding status are
     as of now.
 
-    For one receipt the payment and discount tables are first narrowed to that payment's
-    (student, term) by a semi join against the size-checked key rows, so nothing else is aggregated.
+    Payment and discount totals per (student, term) are joined first, on the keys they are grouped by,
+    and then meet the payments once. For one receipt both tables are narrowed to that payment's student
+    and term as literals, so the filter reaches the scans and nothing else is summed.
     """
     board = boarding_amount(boarding_fee)
     main, pay_src, disc_src = payments, payments, discounts
     if payment_id is not None:
         main = payments.filter(F.col("payment_id") == F.lit(payment_id))
-        keys = main.select("student_id", "term_id").distinct()
-        keys = small_or_none(keys) or keys
-        pay_src = payments.join(keys, ["student_id", "term_id"], "left_semi")
-        disc_src = discounts.join(keys, ["student_id", "term_id"], "left_semi")
-    disc = sums_by_student_term(disc_src, "discount_amount", "discount")
-    paid = sums_by_student_term(pay_src, "amount_paid", "total_paid")
+        of = main.select("student_id", "term_id").first()  # payment_id is the table's key
+        mine = ((F.col("student_id") == F.lit(of.student_id)) & (F.col("term_id") == F.lit(of.term_id))) \
+            if of else F.lit(False)
+        pay_src, disc_src = payments.filter(mine), discounts.filter(mine)
+    key = ["student_id", "term_id"]
+    sums = (sums_by_student_term(pay_src, "amount_paid", "total_paid")
+            .join(sums_by_student_term(disc_src, "discount_amount", "discount"), key, "left"))
     rows = (main.join(students.select("student_id", "full_name", "admission_number", "is_boarder",
                                       "class_id"), "student_id")
                 .join(classes.select("class_id", "class_name", "section", "term_fee"), "class_id")
                 .join(terms.select("term_id", "term_number", "academic_year"), "term_id")
                 .withColumnRenamed("amount_paid", "this_payment")
-                .join(disc, ["student_id", "term_id"], "left")
-                .join(paid, ["student_id", "term_id"], "left"))
+                .join(sums, key, "left"))
     out = with_balance(rows, board)
     return out.select("payment_id", "receipt_number", "student_id", "admission_number", "full_name",
                       "class_name", "section", "term_id",
@@ -217,10 +205,10 @@ def student_statement(students, classes, payments, discounts, terms, boarding_fe
     if admission_number is not None:
         key = text_key(F.lit(admission_number.strip(PHP_TRIM_CHARS)))
         people = people.filter(text_key("admission_number") == key)
-        ids = people.select("student_id").distinct()
-        ids = small_or_none(ids) or ids
-        payments = payments.join(ids, "student_id", "left_semi")
-        discounts = discounts.join(ids, "student_id", "left_semi")
+        of = [r.student_id for r in people.select("student_id").limit(MAX_PAGE + 1).collect()]
+        if len(of) > MAX_PAGE:  # the admission number is the table's unique key
+            raise ValueError(f"over {MAX_PAGE} students have the admission number {admission_number!r}")
+        payments, discounts = (t.filter(F.col("student_id").isin(of)) for t in (payments, discounts))
     disc = sums_by_student(discounts, "discount_amount", "discount", term_id)
     paid = sums_by_student(payments, "amount_paid", "total_paid", term_id)
     rows = people.join(disc, "student_id", "left").join(paid, "student_id", "left")
@@ -241,20 +229,21 @@ def _for_student(df: DataFrame, student_id: int | None) -> DataFrame:
 
 
 def discount_history(discounts: DataFrame, terms: DataFrame, student_id: int | None = None) -> DataFrame:
-    """Fee payment page: current-term discounts, newest first (one student's, or everyone's)."""
+    """Fee payment page: current-term discounts, one student's newest first, or everyone's unsorted."""
     term_id = current_term_id(terms)
-    return (_for_student(discounts, student_id).filter(F.col("term_id") == term_id)
+    out = (_for_student(discounts, student_id).filter(F.col("term_id") == term_id)
                      .select("discount_id", "student_id", "term_id",
                              money("discount_amount").alias("discount_amount"), "reason",
-                             "approved_by", "date_given")
-                     .orderBy("student_id", F.desc("discount_id")))
+                             "approved_by", "date_given"))
+    return out if student_id is None else out.orderBy(F.desc("discount_id"))
 
 
 def payment_history(payments: DataFrame, terms: DataFrame, student_id: int | None = None) -> DataFrame:
-    """Payments of every term with the term's short label, newest first per student."""
-    return (_for_student(payments, student_id).join(terms.select("term_id", "term_number", "academic_year"), "term_id")
+    """Payments of every term with the term's short label: one student's newest first, or
+    everyone's unsorted (the reference sorts one student's page)."""
+    out = (_for_student(payments, student_id).join(terms.select("term_id", "term_number", "academic_year"), "term_id")
                     .select("payment_id", "student_id", "term_id",
                             short_term_label("term_number", "academic_year").alias("term_short"),
                             money("amount_paid").alias("amount_paid"), "payment_method",
-                            "received_by", "receipt_number", "date_paid")
-                    .orderBy("student_id", F.desc("payment_id")))
+                            "received_by", "receipt_number", "date_paid"))
+    return out if student_id is None else out.orderBy(F.desc("payment_id"))

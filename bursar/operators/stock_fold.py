@@ -6,21 +6,24 @@ rejected one uses nothing, so a later, smaller request may still fit. This is a
 sum (a running-sum cut-off rejects every request after the first one that does not fit).
 
 A fold is sequential per item, and one item may carry a large share of all requests, so the
-requests of an item are never gathered into one task. Instead:
-
-1. Valid requests are range-partitioned by (item, order key) into bounded segments and checkpointed,
-   so segment ids are stable (and survive executor loss).
-2. Per segment only the quantity total is needed to find, per item, the segments that fit entirely:
-   while every request so far was accepted, the stock left is the opening stock minus a running sum
-   (computed as a blockwise prefix over the item's segments, so no window holds more than ``block``
-   of them). All requests of those "full" segments are accepted without further work.
-3. The first segment that does not fit entirely ("boundary") starts from a known stock and is folded
+requests of an item are never gathered into one task. Instead, on one path at every size:
+
+1. Items and requests are range-partitioned together by (item, item row first, order key) into bounded
+   segments, so an item's row with its opening stock and price precedes its requests and is not joined
+   to them. Each segment folds, where it lies, every item run whose item row it holds; what is left
+   undecided is at most one run per segment, at its start: that of an item that began in an earlier
+   segment. The result is checkpointed, so it is stable (and survives executor loss).
+2. The segment that holds the item's row hands on the stock left at its end (one row per segment). For
+   the carried runs only the quantity total per segment is needed to find those that fit entirely:
+   while every request so far was accepted, the stock left is the start minus a running sum
+   (computed as a blockwise prefix, so no window holds more than ``block`` segments).
+3. The first carried run that does not fit entirely ("boundary") starts from a known stock and is folded
    sequentially (one bounded segment per task).
 4. After the boundary the stock left is below the quantity of the first rejected request, so every
-   later segment's effect is a function on the small integer domain [0, left]. Each later segment
+   later run's effect is a function on the small integer domain [0, left]. Each later run
    computes that function exactly, as pieces (one segment per task). The functions of one item are
    composed as a blockwise prefix (at most ``block`` functions per Python group, level by level),
-   which gives every segment's starting stock; then each segment is folded from its start.
+   which gives every run's starting stock; then each run is folded from its start.
 
 Per-task work is bounded by a segment's size (range bounds come from a sample, so sizes are
 approximate, and rows with one identical order key are not split) or by ``block`` segment functions.
@@ -30,16 +33,17 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bursar.operators.bounded import MAX_SMALL_ROWS, small_or_none
+from bursar.operators.numbering import numbered
 from bursar.sources import schemas
 from bursar.sources.schemas import MONEY
 from bursar.sources.tables import conform
@@ -52,17 +56,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ORDER = ["date_issued", "request_id", "student_id", "quantity"]
 
 # Money crosses into Python as exact integer cents (DECIMAL(12,2) x 100), never as Decimal objects.
-_CENTS = ["amount_cents", "price_cents"]
-# Columns a Python task sees: a stable row id, the grouping keys, the order key (which includes the
-# quantity) and the request's money; the fold returns them with its decision, so nothing is joined back.
-_FOLD_IN = ["rid", "uniform_id", "seg", *ORDER, *_CENTS]
-_CARRIED = ["rid", "uniform_id", *ORDER, *_CENTS]
-_FOLD_OUT = T.StructType([
-    T.StructField("rid", T.LongType()), T.StructField("uniform_id", T.LongType()),
-    T.StructField("date_issued", T.DateType()), T.StructField("request_id", T.LongType()),
-    T.StructField("student_id", T.LongType()), T.StructField("quantity", T.IntegerType()),
-    T.StructField("amount_cents", T.LongType()), T.StructField("price_cents", T.LongType()),
-    T.StructField("accepted", T.BooleanType()), T.StructField("end_left", T.LongType())])
+# What becomes of a request. A row that is OPEN belongs to a run carried over from an earlier segment;
+# a HEAD row is no request: it hands on an item's price and stock left at the end of its first segment.
+OPEN, ACCEPTED, INSUFFICIENT, UNKNOWN, INVALID, TOO_LARGE, HEAD = range(7)
+REASONS = {INSUFFICIENT: "insufficient_stock", UNKNOWN: "unknown_item", INVALID: "invalid_quantity",
+           TOO_LARGE: "total_too_large"}
+MAX_CENTS = 10 ** 12 - 1  # the largest amount of a line, DECIMAL(12,2)
+
+_CARRIED = ["uniform_id", *ORDER, "amount_cents"]
+_REQUEST = [T.StructField("uniform_id", T.LongType()), T.StructField("date_issued", T.DateType()),
+            T.StructField("request_id", T.LongType()), T.StructField("student_id", T.LongType()),
+            T.StructField("quantity", T.IntegerType()), T.StructField("amount_cents", T.LongType())]
+_DECIDED = T.StructType([*_REQUEST, T.StructField("price_cents", T.LongType()), T.StructField("state", T.IntegerType()),
+                         T.StructField("seg", T.IntegerType()), T.StructField("end_left", T.LongType())])
 _TRANSITION_OUT = T.StructType([T.StructField("uniform_id", T.LongType()),
                                 T.StructField("seg", T.IntegerType()),
                                 T.StructField("f_starts", T.ArrayType(T.LongType())),
@@ -80,6 +86,7 @@ class IssueResult:
     issued: DataFrame      # accepted requests as new uniform_issues rows
     rejects: DataFrame     # request_id, uniform_id, reject_reason
     items: DataFrame       # uniform_items with the stock left
+    table: DataFrame | None = None  # the issues table with the new rows, if it was given
 
 
 def fold_segment(quantities: np.ndarray, start: int) -> tuple[np.ndarray, int]:
@@ -170,41 +177,81 @@ def compose(f: tuple[np.ndarray, np.ndarray], g: tuple[np.ndarray, np.ndarray],
     return _merged(starts.astype(np.int64), (fo[piece] + go[j]).astype(np.int64))
 
 
-def _item_runs(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """Sort rows into fold order; return them and the [start, end) bounds of each (segment, item)."""
-    pdf = pdf.sort_values(["seg", "uniform_id", *ORDER], kind="stable", na_position="first")
-    segs = pdf["seg"].to_numpy()
-    ids = pdf["uniform_id"].to_numpy()
-    cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (segs[1:] != segs[:-1])) + 1
-    return pdf, np.concatenate([[0], cuts, [len(pdf)]]).astype(np.int64)
+def _fold_run(q: np.ndarray, price: int, start: int) -> tuple[np.ndarray, int]:
+    """States of one item's requests in order, from a known stock and price, and the stock left."""
+    state = np.full(len(q), INSUFFICIENT, dtype=np.int32)
+    state[q < 1] = INVALID
+    state[(q >= 1) & (q * price > MAX_CENTS)] = TOO_LARGE
+    usable = np.where(state == INSUFFICIENT, q, 0)
+    accepted, left = fold_segment(usable, start)
+    state[accepted] = ACCEPTED
+    return state, left
 
 
-def _fold_segments(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One segment (all its items): fold each item's requests from the item's starting stock."""
-    pdf, bounds = _item_runs(pdf)
-    q = pdf["quantity"].to_numpy(dtype=np.int64)
-    start = pdf["seg_start"].to_numpy(dtype=np.int64)
-    accepted = np.zeros(len(pdf), dtype=bool)
-    end_left = np.zeros(len(pdf), dtype=np.int64)
+def _quantities(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf["quantity"].fillna(0).to_numpy(dtype=np.int64)
+
+
+def _bounds(ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+
+
+def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One segment: decide every run that begins here, leave the carried run open, hand on the last head."""
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True)
+    pdf = pdf.sort_values(["uniform_id", "is_request", *ORDER], kind="stable", na_position="first").reset_index(drop=True)
+    ids = pdf["uniform_id"].fillna(-1).to_numpy(dtype=np.int64)
+    unidentified = pdf["uniform_id"].isna().to_numpy()
+    request = pdf["is_request"].to_numpy() == 1
+    q = _quantities(pdf)
+    opening, price = (pdf[c].fillna(0).to_numpy(dtype=np.int64) for c in ("opening", "price_cents"))
+    state = np.full(len(pdf), OPEN, dtype=np.int32)
+    cents = np.zeros(len(pdf), dtype=np.int64)
+    head = None
+    bounds = _bounds(ids)
     for a, b in zip(bounds[:-1], bounds[1:]):
-        accepted[a:b], end_left[a:b] = fold_segment(q[a:b], int(start[a]))
-    out = pdf[_CARRIED].reset_index(drop=True)
-    out["accepted"] = accepted
-    out["end_left"] = end_left
-    return out
-
-
-def _transition_segments(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One segment: each item's segment function over [0, domain), as pieces."""
-    pdf, bounds = _item_runs(pdf)
-    q = pdf["quantity"].to_numpy(dtype=np.int64)
-    domain = pdf["domain"].to_numpy(dtype=np.int64)
-    ids = pdf["uniform_id"].to_numpy()
-    segs = pdf["seg"].to_numpy()
-    heads = bounds[:-1]
-    fs = [transition(q[a:b], int(domain[a])) for a, b in zip(bounds[:-1], bounds[1:])]
-    return pd.DataFrame({"uniform_id": ids[heads], "seg": segs[heads],
-                         "f_starts": [f[0].tolist() for f in fs], "f_offsets": [f[1].tolist() for f in fs]})
+        if not request[a]:  # the item's row comes first
+            first = a + int(np.argmax(request[a:b])) if request[a:b].any() else b
+            state[first:b], left = _fold_run(q[first:b], int(price[a]), int(opening[a]))
+            cents[first:b] = price[a]
+            if b == len(pdf):
+                head = (int(ids[a]), int(price[a]), left)
+        elif a > 0 or unidentified[a]:
+            state[a:b] = UNKNOWN
+    seg = TaskContext.get().partitionId()
+    out = pdf.loc[request, _CARRIED].assign(price_cents=cents[request], state=state[request], seg=seg, end_left=None)
+    if len(out):
+        yield out
+    if head:
+        yield pd.DataFrame({"uniform_id": [head[0]], "date_issued": [None], "request_id": [None], "student_id": [None],
+                            "quantity": [None], "amount_cents": [None], "price_cents": [head[1]], "state": [HEAD],
+                            "seg": [seg], "end_left": [head[2]]}).astype({"request_id": "Int64", "student_id": "Int64",
+                                                                         "quantity": "Int32", "amount_cents": "Int64"})
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(ORDER, kind="stable", na_position="first")
+
+
+def _fold_carried(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The carried run of one segment, from its starting stock."""
+    pdf = _ordered(pdf)
+    price = int(pdf["price_cents"].iloc[0])
+    state, left = _fold_run(_quantities(pdf), price, int(pdf["seg_start"].iloc[0]))
+    return pdf[_CARRIED].assign(price_cents=price, state=state, seg=pdf["seg"].to_numpy(), end_left=left)
+
+
+def _transition_carried(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The carried run of one segment as a function over [0, domain), as pieces."""
+    pdf = _ordered(pdf)
+    q = _quantities(pdf)
+    q = np.where(q * int(pdf["price_cents"].iloc[0]) > MAX_CENTS, 0, q)
+    starts, offsets = transition(q, int(pdf["domain"].iloc[0]))
+    return pd.DataFrame({"uniform_id": [pdf["uniform_id"].iloc[0]], "seg": [pdf["seg"].iloc[0]],
+                         "f_starts": [starts.tolist()], "f_offsets": [offsets.tolist()]})
 
 
 def _rows(pdf: pd.DataFrame):
@@ -246,24 +293,6 @@ def _block_starts(pdf: pd.DataFrame) -> pd.DataFrame:
     return _chain_starts(pdf, int(pdf["blk_start"].iloc[0]))
 
 
-def _whole(batches) -> pd.DataFrame | None:
-    frames = [b for b in batches if len(b)]
-    return pd.concat(frames, ignore_index=True) if frames else None
-
-
-def _fold_partition(batches):
-    """mapInPandas form of ``_fold_segments``: one partition holds whole (segment, item) runs."""
-    pdf = _whole(batches)
-    if pdf is not None:
-        yield _fold_segments(pdf)
-
-
-def _transition_partition(batches):
-    pdf = _whole(batches)
-    if pdf is not None:
-        yield _transition_segments(pdf)
-
-
 def _segment_starts(funcs: DataFrame, live: DataFrame, block: int, widest: int) -> DataFrame:
     """Starting stock of every later segment: a blockwise prefix composition, so no Python group
     ever holds more than ``block`` segment functions, however many segments a hot item spans.
@@ -321,8 +350,8 @@ def _prefix_sums(df: DataFrame, value: str, out: str, block: int, widest: int,
                   .drop(blk, inside, offset))
 
 
-def _from_cents(col: str):
-    return (F.col(col).cast("decimal(20,0)") / 100).cast(MONEY)
+def _from_cents(cents: Column) -> Column:
+    return (cents.cast("decimal(20,0)") / 100).cast(MONEY)
 
 
 def _segment_count(requests: DataFrame, rows_per_segment: int) -> int:
@@ -332,61 +361,44 @@ def _segment_count(requests: DataFrame, rows_per_segment: int) -> int:
     return max(base, math.ceil(n / max(1, rows_per_segment)), 1)
 
 
-def _per_segment(df: DataFrame, fn_frame, fn_partition, schema, in_place: bool) -> DataFrame:
-    """Run a segment-level pandas step: in place (``mapInPandas``) when every segment is known to lie
-    whole in one partition of ``df``, else grouped by segment (a shuffle)."""
-    if in_place:
-        return df.mapInPandas(fn_partition, schema)
-    return df.groupBy("seg").applyInPandas(fn_frame, schema)
-
-
-def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | None = None,
-                   rows_per_segment: int = 1_000_000,
-                   broadcast_limit: int = MAX_SMALL_ROWS, block: int = 1024) -> IssueResult:
+def issue_uniforms(items: DataFrame, requests: DataFrame, issues: DataFrame | None = None, *,
+                   segments: int | None = None, rows_per_segment: int = 1_000_000, block: int = 1024) -> IssueResult:
     """Apply issue requests to item stock with the reference's check-then-act rule, for all items.
 
-    After the range partitioning, partition i of the checkpoint holds exactly segment i. When the
-    per-segment tables pass their size check (``broadcast_limit`` rows) they are broadcast, the
-    requests keep that layout, and the Python steps run partition by partition with no shuffle of
-    the requests; otherwise the steps group by segment.
+    With ``issues`` (the table so far) new rows get keys that follow its largest, in the order of the
+    requests, and ``IssueResult.table`` is its new version; without it, the request's id is the key.
+    A line whose total does not fit the money type is refused and uses no stock.
     """
     ensure_checkpoint_dir(items.sparkSession)
     req = conform(requests, schemas.ISSUE_REQUESTS)
     # A missing stock compares as 0 (PHP: quantity > null holds for any quantity >= 1).
-    known = items.select("uniform_id", "price",
-                         F.coalesce(F.col("quantity_in_stock"), F.lit(0)).alias("opening"),
-                         F.lit(True).alias("_known"))
-    tagged = req.join(known, "uniform_id", "left")
-    reason = (F.when(F.col("_known").isNull(), F.lit("unknown_item"))
-               .when(F.col("quantity").isNull() | (F.col("quantity") < 1), F.lit("invalid_quantity")))
-    tagged = tagged.withColumn("reject_reason", reason)
-    invalid = tagged.filter(F.col("reject_reason").isNotNull()).select("request_id", "uniform_id",
-                                                                        "reject_reason")
-    valid = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason", "_known")
-
-    # Sized from all requests (an upper bound on the valid ones), without the item join.
+    heads = items.select(
+        "uniform_id", F.lit(0).alias("is_request"), *(F.lit(None).cast(t).alias(c) for c, t in (
+            ("date_issued", "date"), ("request_id", "bigint"), ("student_id", "bigint"), ("quantity", "int"),
+            ("amount_cents", "bigint"))),
+        F.coalesce(F.col("quantity_in_stock"), F.lit(0)).cast("bigint").alias("opening"),
+        (F.col("price") * 100).cast("bigint").alias("price_cents"))
+    asked = req.select("uniform_id", F.lit(1).alias("is_request"), *ORDER,
+                       (F.col("amount_paid") * 100).cast("bigint").alias("amount_cents"),
+                       F.lit(None).cast("bigint").alias("opening"), F.lit(None).cast("bigint").alias("price_cents"))
+    # Sized from all requests.
     n_seg = segments or _segment_count(req, rows_per_segment)
-    key = ["uniform_id", *ORDER]
-    # Range partitions are contiguous runs of (item, order key); each Python step sorts its own
-    # segment, so no sort is needed here.
-    seg = (valid.repartitionByRange(n_seg, *[F.col(k).asc_nulls_first() for k in key])
-                .withColumn("seg", F.spark_partition_id())
-                .withColumn("rid", F.monotonically_increasing_id())
-                .withColumn("amount_cents", (F.col("amount_paid") * 100).cast("bigint"))
-                .withColumn("price_cents", (F.col("price") * 100).cast("bigint"))
-                .checkpoint(eager=True))
-
-    # Step 2: classify segments per item from their quantity totals (one row per (item, segment)).
-    totals = seg.groupBy("uniform_id", "seg").agg(F.sum("quantity").alias("q_seg"),
-                                                  F.first("opening").alias("opening"))
-    # Read several times below: held as a local table when small, else checkpointed.
-    totals = small_or_none(totals, broadcast_limit) or totals.checkpoint(eager=True)
+    key = ["uniform_id", "is_request", *ORDER]
+    out = (heads.unionByName(asked).repartitionByRange(n_seg, *[F.col(k).asc_nulls_first() for k in key])
+                .mapInPandas(_fold_partition, _DECIDED).checkpoint(eager=True))
+
+    # The carried runs, with the price and the stock that the item's first segment hands on.
+    handed = out.filter(F.col("state") == HEAD).select("uniform_id", "price_cents", F.col("end_left").alias("opening"))
+    joined = out.filter(F.col("state") == OPEN).drop("price_cents", "state", "end_left").join(handed, "uniform_id", "left")
+    unknown = joined.filter(F.col("opening").isNull())
+    carried = joined.filter(F.col("opening").isNotNull())
+    usable = F.when((F.col("quantity") >= 1) & (F.col("quantity") * F.col("price_cents") <= MAX_CENTS), F.col("quantity"))
+    totals = carried.groupBy("uniform_id", "seg").agg(F.coalesce(F.sum(usable), F.lit(0)).alias("q_seg"),
+                                                      F.first("opening").alias("opening")).checkpoint(eager=True)
     first = totals.groupBy("uniform_id").agg(F.min("seg").alias("first_seg"))
     indexed = (totals.join(first, "uniform_id")
                      .withColumn("idx", (F.col("seg") - F.col("first_seg")).cast("bigint")))
-    # Most segments any item spans: bounds the levels of both blockwise prefixes below.
-    widest = totals.groupBy("uniform_id").count().agg(F.max("count")).first()[0] or 0
-    cum = _prefix_sums(indexed, "q_seg", "cum_before", block, widest)
+    cum = _prefix_sums(indexed, "q_seg", "cum_before", block, n_seg)
     cum = cum.withColumn("fits", F.col("cum_before") + F.col("q_seg") <= F.col("opening"))
     bad = cum.groupBy("uniform_id").agg(F.min(F.when(~F.col("fits"), F.col("seg"))).alias("first_bad"))
     summ = (cum.join(bad, "uniform_id")
@@ -395,61 +407,43 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, *, segments: int | Non
                                     .when(F.col("seg") == F.col("first_bad"), F.lit("boundary"))
                                     .otherwise(F.lit("after")))
                .withColumn("seg_start", (F.col("opening") - F.col("cum_before")).cast("bigint"))
-               .select("uniform_id", "seg", "kind", "seg_start"))
-    # One row per (item, segment): broadcast when its size checks out, so the requests are
-    # classified where they lie instead of being shuffled again; otherwise checkpointed.
-    small = small_or_none(summ, broadcast_limit)
-    in_place = small is not None
-    summ = small if in_place else summ.checkpoint(eager=True)
-    seg2 = seg.join(summ, ["uniform_id", "seg"])
-
-    # Step 3: boundary segments, folded from a known start (one Python call per segment).
-    bnd = _per_segment(seg2.filter(F.col("kind") == "boundary").select(*_FOLD_IN, "seg_start"),
-                       _fold_segments, _fold_partition, _FOLD_OUT, in_place).checkpoint(eager=True)
-    bnd_end = bnd.groupBy("uniform_id").agg(F.first("end_left").alias("boundary_end"))
-
-    # Step 4: later segments: exact piecewise functions over [0, boundary_end], composed blockwise.
-    after_segs = (summ.filter(F.col("kind") == "after").select("uniform_id", "seg")
-                      .join(bnd_end, "uniform_id"))
-    if in_place:  # at most as many rows as the segment table that just passed its check
-        checked = small_or_none(after_segs, broadcast_limit)
-        in_place = checked is not None
-        after_segs = checked if in_place else after_segs
-    after = seg2.filter(F.col("kind") == "after").select(*_FOLD_IN)
-    live = after_segs.filter(F.col("boundary_end") >= 1)
-    funcs = _per_segment(
-        after.join(live.withColumn("domain", F.col("boundary_end") + 1), ["uniform_id", "seg"]),
-        _transition_segments, _transition_partition, _TRANSITION_OUT, in_place)
-    starts = _segment_starts(funcs, live, block, widest)
-    if in_place:
-        checked = small_or_none(starts, broadcast_limit)
-        in_place = checked is not None
-        starts = checked if in_place else starts
-    after_folded = _per_segment(after.join(starts, ["uniform_id", "seg"]),
-                                _fold_segments, _fold_partition, _FOLD_OUT, in_place)
-    # Items whose stock is gone after the boundary: every later request is rejected.
-    dead = (after.join(after_segs.filter(F.col("boundary_end") < 1).select("uniform_id", "seg"),
-                       ["uniform_id", "seg"])
-                 .select(*_CARRIED, F.lit(False).alias("accepted")))
-
-    req_cols = ["request_id", "student_id", "uniform_id", "quantity", "amount_paid", "date_issued", "price"]
-    full = seg2.filter(F.col("kind") == "full").select(*req_cols, F.lit(True).alias("accepted"))
-    folded = (bnd.select(*_CARRIED, "accepted").unionByName(after_folded.select(*_CARRIED, "accepted"))
-                 .unionByName(dead)
-                 .withColumn("amount_paid", _from_cents("amount_cents"))
-                 .withColumn("price", _from_cents("price_cents"))
-                 .select(*req_cols, "accepted"))
-    decided = full.unionByName(folded)
-
-    issued = (decided.filter("accepted")
-                     .select(F.col("request_id").alias("issue_key"), "student_id", "uniform_id", "quantity",
-                             (F.col("price") * F.col("quantity")).cast(MONEY).alias("total_price"),
-                             "amount_paid", "date_issued"))
-    refused = (decided.filter(~F.col("accepted"))
-                      .select("request_id", "uniform_id", F.lit("insufficient_stock").alias("reject_reason")))
-    used = issued.groupBy("uniform_id").agg(F.sum("quantity").alias("_used"))
+               .select("uniform_id", "seg", "kind", "seg_start")).checkpoint(eager=True)
+    runs = carried.drop("opening").join(summ, ["uniform_id", "seg"])
+
+    # Runs that fit whole, and the boundary runs, start from a known stock.
+    known = (runs.filter(F.col("kind") != "after").groupBy("seg").applyInPandas(_fold_carried, _DECIDED)
+                 .checkpoint(eager=True))
+    boundary = summ.filter(F.col("kind") == "boundary").select("uniform_id", "seg")
+    bnd_end = (known.join(boundary, ["uniform_id", "seg"]).groupBy("uniform_id")
+                    .agg(F.first("end_left").alias("boundary_end")))
+
+    # Later runs: exact piecewise functions over [0, boundary_end], composed blockwise.
+    live = (summ.filter(F.col("kind") == "after").select("uniform_id", "seg")
+                .join(bnd_end, "uniform_id").checkpoint(eager=True))
+    after = runs.filter(F.col("kind") == "after").drop("kind", "seg_start")
+    funcs = (after.join(live.withColumn("domain", F.col("boundary_end") + 1), ["uniform_id", "seg"])
+                  .groupBy("seg").applyInPandas(_transition_carried, _TRANSITION_OUT))
+    starts = _segment_starts(funcs, live, block, n_seg)
+    later = after.join(starts, ["uniform_id", "seg"]).groupBy("seg").applyInPandas(_fold_carried, _DECIDED)
+
+    columns = [*_CARRIED, "price_cents", "state"]
+    decided = (out.filter(~F.col("state").isin(OPEN, HEAD)).select(*columns)
+               .unionByName(unknown.select(*_CARRIED, "price_cents", F.lit(UNKNOWN).alias("state")))
+               .unionByName(known.select(*columns)).unionByName(later.select(*columns)))
+    accepted = (decided.filter(F.col("state") == ACCEPTED)
+                       .select(F.col("request_id").alias("issue_key"), "student_id", "uniform_id", "quantity",
+                               _from_cents(F.col("price_cents") * F.col("quantity")).alias("total_price"),
+                               _from_cents(F.col("amount_cents")).alias("amount_paid"), "date_issued"))
+    issued, table = accepted, None
+    if issues is not None:
+        top = issues.agg(F.coalesce(F.max("issue_key"), F.lit(0)).cast("bigint")).scalar()
+        issued = (numbered(accepted, ["issue_key"], "_pos").withColumn("issue_key", top + F.col("_pos")).drop("_pos"))
+        table = issues.unionByName(conform(issued, schemas.UNIFORM_ISSUES))
+    reason = F.element_at(F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv)), F.col("state"))
+    rejects = decided.filter(F.col("state") != ACCEPTED).select("request_id", "uniform_id", reason.alias("reject_reason"))
+    used = accepted.groupBy("uniform_id").agg(F.sum("quantity").alias("_used"))
     new_items = (items.join(used, "uniform_id", "left")
                       .withColumn("quantity_in_stock",
                                   (F.col("quantity_in_stock") - F.coalesce(F.col("_used"), F.lit(0))).cast("int"))
                       .select(*items.columns))
-    return IssueResult(conform(issued, schemas.UNIFORM_ISSUES), invalid.unionByName(refused), new_items)
+    return IssueResult(conform(issued, schemas.UNIFORM_ISSUES), rejects, new_items, table)

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bursar.functions.formats import ALL, LOW_STOCK_LIMIT, money
-from bursar.operators.bounded import small_or_none
 from bursar.operators.students import student_details
 
 _ITEM_COLUMNS = ["uniform_id", "item_name", "applicable_section", "applicable_gender", "price",
@@ -31,14 +30,8 @@ def _match_keys(df: DataFrame) -> DataFrame:
 
 
 def _segments(students: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct (section, gender) pairs present among students with a class row.
-
-    The pairs are few (sections x genders); when that bound is confirmed the list becomes a local
-    relation, so every later join broadcasts it instead of hash-partitioning a large side on a
-    handful of keys.
-    """
-    segs = student_details(students, classes).select("section", "gender").distinct()
-    return small_or_none(segs) or segs
+    """Distinct (section, gender) pairs present among students with a class row."""
+    return student_details(students, classes).select("section", "gender").distinct()
 
 
 def _items_by_key(items: DataFrame) -> DataFrame:
@@ -60,23 +53,33 @@ def uniform_eligibility(students: DataFrame, classes: DataFrame, items: DataFram
 def uniform_eligibility_counts(students: DataFrame, classes: DataFrame, items: DataFrame) -> DataFrame:
     """Number of items each student may be issued.
 
-    Items are counted per (applicable_section, applicable_gender) first (map-side), segments sum the
-    counts of the keys they accept, and each student picks up its segment's count through a
-    broadcast of the (size-checked) segment table: students are scanned once, never shuffled and
-    never multiplied by items.
+    Items are counted per (applicable_section, applicable_gender) first (map-side). Each class row gets
+    the counts of its section by gender, as a map, and the count for any gender without items of its own;
+    students pick theirs up in the class join they need anyway. So students are scanned once and never
+    hashed on the few (section, gender) values, nor multiplied by items.
     """
-    item_counts = items.groupBy(F.col("applicable_section").alias("match_section"),
-                                F.col("applicable_gender").alias("match_gender")).count()
-    seg_counts = (_match_keys(_segments(students, classes))
-                  .join(item_counts, ["match_section", "match_gender"])
-                  .groupBy("section", "gender").agg(F.sum("count").alias("n")))
-    seg_counts = small_or_none(seg_counts) or seg_counts
-    people = student_details(students, classes)
-    joined = people.join(seg_counts, people["section"].eqNullSafe(seg_counts["section"])
-                         & people["gender"].eqNullSafe(seg_counts["gender"]), "left")
-    return joined.select("student_id", "admission_number", "full_name", "class_id",
-                         people["section"], people["gender"],
-                         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("eligible_items"))
+    counts = (items.groupBy("applicable_section", "applicable_gender").count()
+                   .filter("applicable_section is not null and applicable_gender is not null"))
+    sections = _sections(classes)
+    of_section = (sections.join(counts, "applicable_section")
+                  .groupBy("section", "applicable_gender").agg(F.sum("count").alias("n"))
+                  .groupBy("section").agg(F.map_from_entries(F.collect_list(
+                      F.struct("applicable_gender", "n"))).alias("by_gender")))
+    keyed = classes.select("class_id", F.col("section").alias("class_section")).join(
+        of_section, F.col("class_section").eqNullSafe(F.col("section")), "left").select("class_id", "class_section", "by_gender")
+    people = students.join(keyed, "class_id")
+    at = lambda gender: F.coalesce(F.try_element_at("by_gender", gender), F.lit(0))
+    own = F.when(F.col("gender") == ALL, F.lit(0)).otherwise(at(F.col("gender")))
+    # A class's null section or a student's null gender still matches what applies to all.
+    return people.select("student_id", "admission_number", "full_name", "class_id",
+                         F.col("class_section").alias("section"), "gender",
+                         (F.coalesce(own, F.lit(0)) + at(F.lit(ALL))).cast("bigint").alias("eligible_items"))
+
+
+def _sections(classes: DataFrame) -> DataFrame:
+    """(section, applicable_section): each section with itself and with 'All'."""
+    return (classes.select("section").distinct()
+                   .withColumn("applicable_section", F.explode(F.array_distinct(F.array("section", F.lit(ALL))))))
 
 
 def eligible_items_for(selected_students: DataFrame, classes: DataFrame, items: DataFrame) -> DataFrame:
@@ -92,16 +95,16 @@ def eligible_items_for(selected_students: DataFrame, classes: DataFrame, items:
 
 def uniform_issue_history(issues: DataFrame, items: DataFrame, student_id: int | None = None) -> DataFrame:
     """Past issues with item name and what is still owed on each line (may be negative);
-    one student's (the page) or everyone's."""
+    one student's, newest first (the page), or everyone's unsorted."""
     if student_id is not None:
         issues = issues.filter(F.col("student_id") == F.lit(student_id))
-    return (issues.join(items.select("uniform_id", "item_name"), "uniform_id")
+    out = (issues.join(items.select("uniform_id", "item_name"), "uniform_id")
                   .select("issue_key", "student_id", "uniform_id", "item_name", "quantity",
                           money("total_price").alias("total_price"),
                           money("amount_paid").alias("amount_paid"),
                           money(F.col("total_price") - F.col("amount_paid")).alias("line_balance"),
-                          "date_issued")
-                  .orderBy("student_id", F.desc("date_issued"), "issue_key", "uniform_id"))
+                          "date_issued"))
+    return out if student_id is None else out.orderBy(F.desc("date_issued"), "issue_key", "uniform_id")
 
 
 def uniform_stock(items: DataFrame) -> DataFrame:

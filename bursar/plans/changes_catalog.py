@@ -10,8 +10,11 @@ from __future__ import annotations
 from bursar.operators import changes as ch
 from bursar.plans.catalog import _q
 from bursar.plans.oracle import _with
+from bursar.sources import schemas
 
 SET_CURRENT_TERM_ID = 12
+#: The day of the batch, for commands without a date.
+TODAY = "1998-08-02"
 
 # PHP trim() characters, spelled for DuckDB.
 _TRIM = "' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)"
@@ -25,8 +28,12 @@ def _empty(x: str) -> str:
     return f"({x} IS NULL OR CAST({x} AS VARCHAR) IN ('', '0'))"
 
 
-def _new_id(table: str, key: str, cmd: str = "c") -> str:
-    return (f"(SELECT COALESCE(max({key}), 0) FROM {table}) + seq - (SELECT min(seq) FROM {cmd}) + 1")
+# A command's position in its batch; new keys are the table's largest plus that.
+_POS = "row_number() OVER (ORDER BY seq) AS pos"
+
+
+def _new_id(table: str, key: str) -> str:
+    return f"(SELECT COALESCE(max({key}), 0) FROM {table}) + pos"
 
 
 def _latest(src: str, key: str, desc: bool = True) -> str:
@@ -45,16 +52,9 @@ def _replace_cols(base_alias: str, cols_all: list[str], edited: list[str], key:
     return ", ".join(out)
 
 
-STUDENT_COLS = ["student_id", "admission_number", "full_name", "gender", "date_of_birth", "class_id",
-                "is_boarder", "guardian_name", "guardian_phone", "status"]
-PAYMENT_COLS = ["payment_id", "student_id", "term_id", "amount_paid", "payment_method", "received_by",
-                "receipt_number", "date_paid"]
-DISCOUNT_COLS = ["discount_id", "student_id", "term_id", "discount_amount", "reason", "approved_by",
-                 "date_given"]
-ITEM_COLS = ["uniform_id", "item_name", "applicable_section", "applicable_gender", "price",
-             "quantity_in_stock"]
-ISSUE_COLS = ["issue_key", "student_id", "uniform_id", "quantity", "total_price", "amount_paid",
-              "date_issued"]
+STUDENT_COLS, PAYMENT_COLS, DISCOUNT_COLS, ITEM_COLS, ISSUE_COLS = (
+    schemas.TABLES[t].fieldNames()
+    for t in ("students", "fee_payments", "fee_discounts", "uniform_items", "uniform_issues"))
 
 
 def _unknown(src: str, table: str, key: str, reason: str) -> str:
@@ -63,7 +63,7 @@ def _unknown(src: str, table: str, key: str, reason: str) -> str:
 
 
 # ------------------------------------------------------------------------------------ registrations
-_REG = _with(("students", "registration_commands"), f"""c AS (SELECT seq, {_t('admission_number')} AS admission_number,
+_REG = _with(("students", "registration_commands"), f"""c AS (SELECT {_POS}, seq, {_t('admission_number')} AS admission_number,
   {_t('full_name')} AS full_name, gender, date_of_birth, class_id, is_boarder,
   {_t('guardian_name')} AS guardian_name, {_t('guardian_phone')} AS guardian_phone FROM registration_commands)""",
     f"v AS (SELECT * FROM c WHERE NOT ({_empty('admission_number')} OR {_empty('full_name')} OR {_empty('class_id')}))",
@@ -107,7 +107,7 @@ WHERE NOT EXISTS (SELECT 1 FROM student_delete_commands d WHERE d.student_id = t
 
 # ---------------------------------------------------------------------------------------- payments
 _PAY = _with(("fee_payments", "payment_commands"),
-             f"c AS (SELECT seq, student_id, term_id, amount_paid, payment_method, {_t('received_by')} AS received_by, "
+             f"c AS (SELECT {_POS}, seq, student_id, term_id, amount_paid, payment_method, {_t('received_by')} AS received_by, "
              "date_paid FROM payment_commands)",
              f"n AS (SELECT {_new_id('fee_payments', 'payment_id')} AS payment_id, * FROM c "
              "WHERE amount_paid IS NOT NULL AND amount_paid > 0)")
@@ -115,8 +115,8 @@ CHANGE_ORACLE["apply_payments"] = _PAY + f"""
 SELECT {', '.join(PAYMENT_COLS)} FROM fee_payments
 UNION ALL
 SELECT CAST(payment_id AS BIGINT), student_id, term_id, amount_paid, payment_method, received_by,
-  'RCT-' || strftime(COALESCE(date_paid, current_date), '%Y%m%d') || '-' || CAST(1000 + payment_id % 9000 AS VARCHAR),
-  COALESCE(date_paid, current_date) FROM n"""
+  'RCT-' || strftime(COALESCE(date_paid, DATE '{TODAY}'), '%Y%m%d') || '-' || CAST(1000 + payment_id % 9000 AS VARCHAR),
+  COALESCE(date_paid, DATE '{TODAY}') FROM n"""
 CHANGE_ORACLE["apply_payments_rejects"] = _PAY + """
 SELECT seq, student_id, 'invalid_amount' AS reject_reason FROM c WHERE amount_paid IS NULL OR amount_paid <= 0"""
 
@@ -141,7 +141,7 @@ CHANGE_ORACLE["apply_payment_deletes_rejects"] = _PDEL + "\n" + _unknown(
 
 # --------------------------------------------------------------------------------------- discounts
 _DISC = _with(("fee_discounts", "students", "academic_terms", "discount_commands"),
-              f"c AS (SELECT seq, student_id, term_id, discount_amount, {_t('reason')} AS reason, "
+              f"c AS (SELECT {_POS}, seq, student_id, term_id, discount_amount, {_t('reason')} AS reason, "
               f"{_t('approved_by')} AS approved_by, date_given FROM discount_commands)",
               f"""r AS (SELECT *, CASE WHEN discount_amount IS NULL OR discount_amount <= 0 THEN 'invalid_amount'
    WHEN {_empty('approved_by')} THEN 'missing_approver'
@@ -152,12 +152,12 @@ CHANGE_ORACLE["apply_discounts"] = _DISC + f"""
 SELECT {', '.join(DISCOUNT_COLS)} FROM fee_discounts
 UNION ALL
 SELECT CAST({_new_id('fee_discounts', 'discount_id')} AS BIGINT), student_id, term_id, discount_amount, reason,
-       approved_by, COALESCE(date_given, current_date) FROM r WHERE reject_reason IS NULL"""
+       approved_by, COALESCE(date_given, DATE '{TODAY}') FROM r WHERE reject_reason IS NULL"""
 CHANGE_ORACLE["apply_discounts_rejects"] = _DISC + """
 SELECT seq, student_id, reject_reason FROM r WHERE reject_reason IS NOT NULL"""
 
 # ------------------------------------------------------------------------------------------- terms
-_TERMS = _with(("academic_terms", "term_commands"), "c AS (SELECT * FROM term_commands)",
+_TERMS = _with(("academic_terms", "term_commands"), f"c AS (SELECT {_POS}, * FROM term_commands)",
                "v AS (SELECT * FROM c WHERE academic_year IS NOT NULL AND term_number IS NOT NULL)",
                "f AS (SELECT *, row_number() OVER (PARTITION BY academic_year, term_number ORDER BY seq) AS rn "
                "FROM v WHERE NOT EXISTS (SELECT 1 FROM academic_terms t WHERE t.academic_year = v.academic_year "
@@ -209,7 +209,7 @@ UNION ALL """ + _unknown("v", "uniform_items", "uniform_id", "unknown_uniform")
 
 _ITEM_RULE = (f"CASE WHEN {_empty('item_name')} OR price IS NULL OR price < 0 THEN 'invalid_item' END")
 _ITEMADD = _with(("uniform_items", "item_add_commands"),
-                 f"c AS (SELECT seq, {_t('item_name')} AS item_name, applicable_section, applicable_gender, price, "
+                 f"c AS (SELECT {_POS}, seq, {_t('item_name')} AS item_name, applicable_section, applicable_gender, price, "
                  "initial_stock FROM item_add_commands)",
                  f"r AS (SELECT *, {_ITEM_RULE} AS reject_reason FROM c)")
 CHANGE_ORACLE["apply_new_items"] = _ITEMADD + f"""
@@ -249,7 +249,7 @@ def _sdel(fx):
 
 
 def _pay(fx):
-    return ch.apply_payments(fx["fee_payments"], fx["payment_commands"])
+    return ch.apply_payments(fx["fee_payments"], fx["payment_commands"], today=TODAY)
 
 
 def _pedit(fx):
@@ -262,7 +262,7 @@ def _pdel(fx):
 
 def _disc(fx):
     return ch.apply_discounts(fx["fee_discounts"], fx["students"], fx["academic_terms"],
-                              fx["discount_commands"])
+                              fx["discount_commands"], today=TODAY)
 
 
 def _terms(fx):

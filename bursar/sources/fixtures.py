@@ -32,7 +32,7 @@ SELECT n_nationkey+1 AS class_id, n_name AS class_name,
 FROM {nation}""",
     "students": """
 SELECT c_custkey+1 AS student_id,
-  concat('UB-',lpad(CAST(c_custkey+1 AS STRING),6,'0')) AS admission_number, c_name AS full_name,
+  concat('ADM-',lpad(CAST(CASE WHEN c_custkey%251=250 THEN c_custkey ELSE c_custkey+1 END AS STRING),6,'0')) AS admission_number, c_name AS full_name,
   CASE WHEN c_custkey%2=0 THEN 'Female' ELSE 'Male' END AS gender, c_nationkey+1 AS class_id,
   CASE WHEN c_mktsegment='HOUSEHOLD' THEN 1 ELSE 0 END AS is_boarder,
   CASE WHEN c_custkey%3=0 THEN '' ELSE concat('Guardian ',CAST(c_custkey AS STRING)) END AS guardian_name,
@@ -42,7 +42,9 @@ FROM {customer}""",
 SELECT DISTINCT {_term('o_orderdate')} AS term_id, CAST(year(o_orderdate) AS INT) AS academic_year,
   CASE WHEN month(o_orderdate)<=4 THEN 1 WHEN month(o_orderdate)<=8 THEN 2 ELSE 3 END AS term_number,
   CASE WHEN year(o_orderdate)=1998 AND month(o_orderdate) BETWEEN 5 AND 8 THEN 1 ELSE 0 END AS is_current
-FROM {{orders}}""",
+FROM {{orders}}
+UNION ALL SELECT DISTINCT 90+month(o_orderdate) AS term_id, 1995 AS academic_year, month(o_orderdate) AS term_number, 0 AS is_current
+FROM {{orders}} WHERE month(o_orderdate)<=3""",
     "fee_payments": f"""
 SELECT o_orderkey+1 AS payment_id, o_custkey+1 AS student_id, {_term('o_orderdate')} AS term_id,
   CAST(CASE o_orderkey%5 WHEN 0 THEN 90000 WHEN 1 THEN 80000 WHEN 2 THEN 350000 ELSE o_totalprice END AS DECIMAL(12,2)) AS amount_paid,
@@ -53,20 +55,22 @@ SELECT o_orderkey+1 AS payment_id, o_custkey+1 AS student_id, {_term('o_orderdat
 FROM {{orders}}
 WHERE o_orderstatus<>'P'""",
     "fee_discounts": f"""
-SELECT o_orderkey+1 AS discount_id, o_custkey+1 AS student_id, {_term('o_orderdate')} AS term_id,
+SELECT o_orderkey+1 AS discount_id, CASE WHEN o_orderkey%97=0 THEN -1-o_custkey ELSE o_custkey+1 END AS student_id,
+  CASE WHEN o_orderkey%89=0 THEN 99 ELSE {_term('o_orderdate')} END AS term_id,
   CAST(floor(o_totalprice/10) AS DECIMAL(10,2)) AS discount_amount, o_orderpriority AS reason,
   concat('Approver ',CAST(o_orderkey%4 AS STRING)) AS approved_by, CAST(o_orderdate AS DATE) AS date_given
 FROM {{orders}}
 WHERE o_orderstatus='P'""",
     "boarding_fee": "SELECT CAST(350000 AS DECIMAL(12,2)) AS amount",
-    # One row per section fee of the class mapping above, plus the boarding row.
+    # One row per section fee of the class mapping below Upper Primary: that row and the boarding row are
+    # left for the seed to add. A fourth key has no seed.
     "fee_defaults": """
 SELECT DISTINCT
-  CASE WHEN n_regionkey=0 THEN 'nursery' WHEN n_regionkey<=2 THEN 'lower_primary' ELSE 'upper_primary' END AS fee_key,
-  CASE WHEN n_regionkey=0 THEN 'Nursery' WHEN n_regionkey<=2 THEN 'Lower Primary' ELSE 'Upper Primary' END AS label,
-  CASE WHEN n_regionkey=0 THEN 80000 ELSE 90000 END AS amount
-FROM {nation}
-UNION ALL SELECT 'boarding', 'Boarding', 350000""",
+  CASE WHEN n_regionkey=0 THEN 'nursery' ELSE 'lower_primary' END AS fee_key,
+  CASE WHEN n_regionkey=0 THEN 'Nursery' ELSE 'Lower Primary' END AS label,
+  CASE WHEN n_regionkey=0 THEN 80000 ELSE 85000 END AS amount
+FROM {nation} WHERE n_regionkey<=2
+UNION ALL SELECT 'meals', 'Meals', 40000""",
     "uniform_items": """
 SELECT p_partkey+1 AS uniform_id, p_name AS item_name,
   CASE WHEN p_type='ECONOMY' THEN 'Nursery' WHEN p_type IN ('SMALL','MEDIUM') THEN 'Lower Primary' WHEN p_type='LARGE' THEN 'Upper Primary' ELSE 'All' END AS applicable_section,
@@ -74,39 +78,38 @@ SELECT p_partkey+1 AS uniform_id, p_name AS item_name,
   CAST(p_retailprice AS DECIMAL(12,2)) AS price, p_size-1 AS quantity_in_stock
 FROM {part}""",
     "uniform_issues": """
-SELECT l_orderkey*10+l_linenumber AS issue_key, o_custkey+1 AS student_id, l_partkey+1 AS uniform_id,
+SELECT l_orderkey*10+l_linenumber AS issue_key, o_custkey+1 AS student_id, p_partkey+1 AS uniform_id,
   CAST(l_quantity AS INT) AS quantity,
   CAST(CAST(l_quantity AS INT)*CAST(p_retailprice AS DECIMAL(12,2)) AS DECIMAL(12,2)) AS total_price,
   CAST(CAST(l_quantity AS INT)*CAST(p_retailprice AS DECIMAL(12,2)) - CASE WHEN l_discount>0.05 THEN 500 ELSE 0 END AS DECIMAL(12,2)) AS amount_paid,
   CAST(l_shipdate AS DATE) AS date_issued
 FROM {lineitem}
 JOIN {orders} ON l_orderkey=o_orderkey
-JOIN {part} ON l_partkey=p_partkey
-WHERE l_partkey%10<>0""",
+JOIN {part} ON p_partkey=CASE WHEN l_partkey%10=0 THEN l_partkey+1 ELSE l_partkey END""",
     "users": """
 SELECT s_suppkey+1 AS user_id, lower(s_name) AS username, s_name AS full_name,
   CASE s_suppkey%3 WHEN 0 THEN 'Accountant' WHEN 1 THEN 'Teacher' ELSE 'Admin' END AS role
 FROM {supplier}""",
     "payment_commands": """
-SELECT event_id AS seq, user_id+1 AS student_id, 11 AS term_id,
+SELECT event_id AS seq, user_id*11+1 AS student_id, CAST(8+event_id%16 AS INT) AS term_id,
   CAST(CASE WHEN event_id%10=0 THEN 0 ELSE ceil(value) END AS DECIMAL(12,2)) AS amount_paid,
   'Cash' AS payment_method, CAST(ts AS DATE) AS date_paid
 FROM {events}
 WHERE event_type='purchase'""",
     "discount_commands": """
-SELECT event_id AS seq, user_id+1 AS student_id, 11 AS term_id,
+SELECT event_id AS seq, user_id*11+1 AS student_id, CAST(8+event_id%16 AS INT) AS term_id,
   CAST(CASE WHEN event_id%10=0 THEN 0 ELSE ceil(value) END AS DECIMAL(10,2)) AS discount_amount,
   CASE WHEN event_id%4=0 THEN '' ELSE 'Head' END AS approved_by
 FROM {events}
 WHERE event_type='signup'""",
     "restock_commands": """
-SELECT event_id AS seq, user_id+1 AS uniform_id,
+SELECT event_id AS seq, user_id*15+1 AS uniform_id,
   CAST(CASE WHEN event_id%10=0 THEN 0 ELSE ceil(value) END AS INT) AS add_quantity
 FROM {events}
 WHERE event_type='view'""",
     "registration_commands": """
 SELECT event_id AS seq,
-  CASE WHEN event_id%7=0 THEN '' WHEN event_id%5=0 THEN concat('UB-',lpad(CAST(user_id+1 AS STRING),6,'0')) ELSE concat('UB-',CAST(900000+user_id AS STRING)) END AS admission_number,
+  CASE WHEN event_id%7=0 THEN '' WHEN event_id%5=0 THEN concat('ADM-',lpad(CAST(user_id*11+1 AS STRING),6,'0')) ELSE concat('ADM-',CAST(900000+user_id AS STRING)) END AS admission_number,
   concat(' New ',CAST(event_id AS STRING),' ') AS full_name, 'Male' AS gender,
   CAST(user_id%25+1 AS INT) AS class_id, 0 AS is_boarder
 FROM {events}
@@ -122,29 +125,29 @@ WHERE event_type='error'""",
     "payment_delete_commands": """
 SELECT event_id AS seq, event_id*2+1 AS payment_id
 FROM {events}
-WHERE event_type='error' AND event_id%3=0""",
+WHERE event_type='error'""",
     "student_update_commands": """
-SELECT event_id AS seq, user_id+1 AS student_id, concat(' Renamed ',CAST(event_id AS STRING)) AS full_name,
+SELECT event_id AS seq, user_id*11+1 AS student_id, concat(' Renamed ',CAST(event_id AS STRING)) AS full_name,
   CASE WHEN event_id%2=0 THEN 'Female' ELSE 'Male' END AS gender, CAST(user_id%25+1 AS INT) AS class_id,
   CAST(event_id%2 AS INT) AS is_boarder,
   CASE WHEN event_id%5=0 THEN '' ELSE concat('Guardian ',CAST(user_id AS STRING)) END AS guardian_name,
   CASE event_id%4 WHEN 0 THEN 'Graduated' WHEN 1 THEN 'Withdrawn' ELSE 'Active' END AS status
 FROM {events}
-WHERE event_type='error' AND event_id%3=1""",
+WHERE event_type='error'""",
     "student_delete_commands": """
-SELECT event_id AS seq, user_id*7+1 AS student_id
+SELECT event_id AS seq, user_id*13+1 AS student_id
 FROM {events}
-WHERE event_type='error' AND event_id%3=2""",
+WHERE event_type='error'""",
     "term_commands": """
-SELECT event_id AS seq, CAST(1995+event_id%9 AS INT) AS academic_year, CAST(1+event_id%3 AS INT) AS term_number
+SELECT event_id AS seq, CAST(1995+event_id%40 AS INT) AS academic_year, CAST(1+event_id%3 AS INT) AS term_number
 FROM {events}
-WHERE event_type='error' AND event_id%5=0""",
+WHERE event_type='error'""",
     "fee_default_commands": """
 SELECT event_id AS seq,
   CASE event_id%6 WHEN 0 THEN 'boarding' WHEN 1 THEN 'upper_primary' WHEN 2 THEN 'lower_primary' WHEN 3 THEN 'nursery' WHEN 4 THEN '' ELSE 'transport' END AS fee_key,
   CAST(CASE WHEN event_id%13=0 THEN -5 ELSE ceil(value)*1000 END AS INT) AS amount
 FROM {events}
-WHERE event_type='error' AND event_id%2=1""",
+WHERE event_type='error'""",
     "item_add_commands": """
 SELECT event_id AS seq, CASE WHEN event_id%9=0 THEN '  ' ELSE concat(' Item ',CAST(event_id AS STRING)) END AS item_name,
   CASE event_id%4 WHEN 0 THEN 'Nursery' WHEN 1 THEN 'Lower Primary' WHEN 2 THEN 'Upper Primary' ELSE 'All' END AS applicable_section,
@@ -152,25 +155,24 @@ SELECT event_id AS seq, CASE WHEN event_id%9=0 THEN '  ' ELSE concat(' Item ',CA
   CAST(CASE WHEN event_id%17=0 THEN -1 WHEN event_id%19=0 THEN NULL ELSE ceil(value) END AS DECIMAL(12,2)) AS price,
   CAST(event_id%50-5 AS INT) AS initial_stock
 FROM {events}
-WHERE event_type='view' AND event_id%2=0""",
+WHERE event_type='view'""",
     "item_update_commands": """
-SELECT event_id AS seq, user_id*13+1 AS uniform_id,
+SELECT event_id AS seq, user_id*15+1 AS uniform_id,
   CASE WHEN event_id%9=0 THEN '' ELSE concat('Renamed item ',CAST(event_id AS STRING)) END AS item_name,
   CASE event_id%4 WHEN 0 THEN 'Nursery' WHEN 1 THEN 'Lower Primary' WHEN 2 THEN 'Upper Primary' ELSE 'All' END AS applicable_section,
   CASE event_id%3 WHEN 0 THEN 'All' WHEN 1 THEN 'Male' ELSE 'Female' END AS applicable_gender,
   CAST(CASE WHEN event_id%17=0 THEN -1 ELSE ceil(value) END AS DECIMAL(12,2)) AS price
 FROM {events}
-WHERE event_type='click' AND event_id%2=1""",
+WHERE event_type='click'""",
     # Uniform issue requests: the issue lines, in issue order, replayed against opening stock.
     "issue_requests": """
-SELECT l_orderkey*10+l_linenumber AS request_id, o_custkey+1 AS student_id, l_partkey+1 AS uniform_id,
+SELECT l_orderkey*10+l_linenumber AS request_id, o_custkey+1 AS student_id, p_partkey+1 AS uniform_id,
   CAST(l_quantity AS INT) AS quantity,
   CAST(CAST(l_quantity AS INT)*CAST(p_retailprice AS DECIMAL(12,2)) - CASE WHEN l_discount>0.05 THEN 500 ELSE 0 END AS DECIMAL(12,2)) AS amount_paid,
   CAST(l_shipdate AS DATE) AS date_issued
 FROM {lineitem}
 JOIN {orders} ON l_orderkey=o_orderkey
-JOIN {part} ON l_partkey=p_partkey
-WHERE l_partkey%10<>0""",
+JOIN {part} ON p_partkey=CASE WHEN l_partkey%10=0 THEN l_partkey+1 ELSE l_partkey END""",
 }
 
 VIEW_SCHEMA = {

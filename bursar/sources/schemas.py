@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 MONEY = T.DecimalType(12, 2)
 DISCOUNT_MONEY = T.DecimalType(10, 2)
 RESULT_MONEY = T.DecimalType(18, 2)
+# Totals over whole tables: 10^12 rows of the largest amount stay far below the limit.
+TOTAL_MONEY = T.DecimalType(38, 2)
 
 
 def _schema(*fields: tuple[str, T.DataType, bool]) -> T.StructType:

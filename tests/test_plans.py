@@ -24,24 +24,15 @@ def test_eligibility_is_an_equi_join(spark, q):
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
 
 
-def test_recent_payments_is_a_top_k(spark, q):
-    df = q["recent_payments"](spark, SF)
-    text = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "GlobalLimit 5" in text and "Sort [payment_id" in text
-
-
-# The fixture's discount commands carry the literal term_id 11, so Catalyst folds the foreign-key
-# join's key into a filter on the (one-row) term side and plans a keyless nested-loop join there.
-# With a real term_id column it is a hash join: checked in test_discount_fk_checks_are_hash_joins.
-_LITERAL_KEY = {"apply_discounts", "apply_discounts_rejects"}
+def test_recent_payments_narrows_both_scans_to_the_page(spark, q):
+    plan = _plan(q["recent_payments"](spark, SF))
+    assert plan.count("PushedFilters") >= 2 and "NestedLoopJoin" not in plan
 
 
 def test_no_cross_products_anywhere(spark, q):
     for name, fn in q.items():
         plan = _plan(fn(spark, SF))
-        assert "CartesianProduct" not in plan, name
-        if name not in _LITERAL_KEY:
-            assert "BroadcastNestedLoopJoin" not in plan, name
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
 def test_discount_fk_checks_are_hash_joins(spark, school, make):
@@ -80,25 +71,13 @@ def test_sums_are_combined_before_the_shuffle(spark, q):
 
 
 
-def test_fold_runs_in_place_when_segment_tables_are_small(spark, school, make):
-    from decimal import Decimal
-
-    from bursar.operators.stock_fold import issue_uniforms
+def test_rejects_do_not_shuffle_the_base(spark, school, make):
+    """The base's keys meet the commands' keys where they lie; only the commands' side is built."""
+    from bursar.operators.changes import apply_payment_deletes
     from bursar.sources import schemas
-    from conftest import day
-    reqs = make(schemas.ISSUE_REQUESTS, [
-        {"request_id": i, "student_id": 1, "uniform_id": 1 + i % 3, "quantity": 1 + i % 4,
-         "amount_paid": Decimal("1"), "date_issued": day("2024-01-01")} for i in range(60)])
-    for limit, in_place in ((100_000, True), (0, False)):
-        res = issue_uniforms(school["items"], reqs, segments=4, broadcast_limit=limit)
-        df = res.issued
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        if in_place:
-            assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
-            assert "SortMergeJoin" not in plan
-        else:
-            assert "FlatMapGroupsInPandas" in plan
+    cmds = make(schemas.KEY_COMMANDS_PAYMENT, [{"seq": k, "payment_id": k * 3} for k in range(4)])
+    plan = _plan(apply_payment_deletes(school["payments"], cmds).rejects)
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_term_partitioned_payments_are_pruned(spark, school, tmp_path):

@@ -80,13 +80,12 @@ def test_hot_item_over_many_segments_matches_brute_force(make):
                                     "quantity_in_stock": s} for u, s in stock.items()])
     reqs = make(schemas.ISSUE_REQUESTS, rows)
     want_ids, want_left = brute(stock, rows)
-    # limit 0 forces the grouped path; block 2 / 3 force multi-level composition of segment functions
-    for nseg, limit, block in ((1, 100_000, 1024), (7, 100_000, 1024), (40, 100_000, 1024),
-                               (40, 0, 1024), (40, 100_000, 2), (40, 0, 3)):
-        res = issue_uniforms(items, reqs, segments=nseg, broadcast_limit=limit, block=block)
+    # block 2 / 3 force multi-level composition of segment functions
+    for nseg, block in ((1, 1024), (7, 1024), (40, 1024), (40, 2), (40, 3)):
+        res = issue_uniforms(items, reqs, segments=nseg, block=block)
         issued = res.issued.collect()
         got = {r["issue_key"] for r in issued}
-        assert got == want_ids, (nseg, limit, block)
+        assert got == want_ids, (nseg, block)
         by_id = {r["request_id"]: r for r in rows}
         for r in issued:  # carried columns come back exactly (money via cents, nulls kept)
             src = by_id[r["issue_key"]]
@@ -110,3 +109,28 @@ def test_missing_stock_counts_as_zero(make):
     res = issue_uniforms(items, reqs, segments=1)
     assert res.issued.count() == 0
     assert [r["reject_reason"] for r in res.rejects.collect()] == ["insufficient_stock"]
+
+
+def test_oversized_line_is_refused_alone(make):
+    items = make("uniform_items", [{"uniform_id": 1, "item_name": "Gown", "price": D("9999999999.99"),
+                                    "quantity_in_stock": 50}])
+    reqs = make(schemas.ISSUE_REQUESTS, [
+        {"request_id": k, "student_id": 1, "uniform_id": u, "quantity": q, "date_issued": day("2024-01-01")}
+        for k, u, q in ((1, 1, 2), (2, 1, 1), (3, None, 1), (4, 1, None))])
+    res = issue_uniforms(items, reqs, segments=3)
+    assert [(r["issue_key"], r["total_price"]) for r in res.issued.collect()] == [(2, D("9999999999.99"))]
+    assert {r["request_id"]: r["reject_reason"] for r in res.rejects.collect()} == {
+        1: "total_too_large", 3: "unknown_item", 4: "invalid_quantity"}
+    assert res.items.collect()[0]["quantity_in_stock"] == 49
+
+
+def test_new_version_of_the_issues_table(make):
+    items = make("uniform_items", [{"uniform_id": 1, "item_name": "Cap", "price": D("5"), "quantity_in_stock": 9}])
+    old = make("uniform_issues", [{"issue_key": 3, "student_id": 1, "uniform_id": 1, "quantity": 1}])
+    reqs = make(schemas.ISSUE_REQUESTS, [
+        {"request_id": k, "student_id": k, "uniform_id": 1, "quantity": q, "date_issued": day("2024-01-01")}
+        for k, q in ((3, 2), (3, 4), (7, 5), (8, 3))])
+    res = issue_uniforms(items, reqs, old, segments=2)
+    rows = sorted((r["issue_key"], r["quantity"]) for r in res.table.collect())
+    assert [k for k, _ in rows] == [3, 4, 5, 6] and sorted(q for _, q in rows[1:]) == [2, 3, 4]
+    assert res.issued.count() + res.rejects.count() == 4
