@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bursar.functions.formats import (
-    ACTIVE, LOW_STOCK_LIMIT, PHP_TRIM_CHARS, class_label, money, short_term_label, sum_or_zero,
-    term_label, text_key, total_money,
+    ACTIVE, LOW_STOCK_LIMIT, NO_CURRENT_TERM_LABEL, NOT_AVAILABLE, PHP_TRIM_CHARS, class_label, falsy_default,
+    first_name, money, money_text, php_int, short_term_label, sum_or_zero, term_label, text_key, total_money, yes_no,
 )
 from bursar.operators.balances import (
     boarding_amount, current_term_id, roster, sums_by_student, sums_by_student_term,
@@ -224,6 +224,23 @@ def student_statement(students, classes, payments, discounts, terms, boarding_fe
                       F.when(F.col("balance") > 0, F.lit("owing")).otherwise(F.lit("paid")).alias("payment_state"))
 
 
+def statement_display(statement: DataFrame, students: DataFrame) -> DataFrame:
+    """The statement as the page prints it (X5-X8, X11): first name, Yes/No, whole amounts with thousands
+    separators, the guardian or 'N/A', and the number part of the admission number."""
+    shown = statement.join(students.select("student_id", "guardian_name"), "student_id")
+    return shown.select("student_id", first_name("full_name").alias("first_name"), yes_no("is_boarder").alias("boarder"),
+                        money_text("total_due").alias("total_due_text"), money_text("balance").alias("balance_text"),
+                        falsy_default("guardian_name", NOT_AVAILABLE).alias("guardian"),
+                        php_int(F.regexp_extract("admission_number", "([^-]*)$", 1)).alias("admission_serial"))
+
+
+def report_term_label(terms: DataFrame) -> DataFrame:
+    """X2 on the reports page: the current term's label, else 'No current term set'. One row."""
+    first = terms.filter(F.col("is_current") == 1).agg(
+        F.min_by(F.struct("term_number", "academic_year"), F.col("term_id")).alias("t"))
+    return first.select(term_label("t.term_number", "t.academic_year", NO_CURRENT_TERM_LABEL).alias("term_label"))
+
+
 def _for_student(df: DataFrame, student_id: int | None) -> DataFrame:
     return df if student_id is None else df.filter(F.col("student_id") == F.lit(student_id))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import ACTIVE, php_trim, text_key
+from bursar.functions.formats import ACTIVE, PHP_TRIM_CHARS, php_trim, text_key
 
 _DETAIL_CLASS_COLUMNS = ["class_name", "section", "term_fee"]
 
@@ -44,14 +44,28 @@ def student_lookup(students: DataFrame, classes: DataFrame, admission_number: st
     return student_details(students, classes).filter(text_key("admission_number") == key)
 
 
-# The characters PHP's trim() strips.
-_PHP_WS = " \t\n\r\x00\x0b"
+_PHP_WS = PHP_TRIM_CHARS
+
+
+def _pattern(term: str) -> str:
+    """The term as a LIKE pattern: a backslash before a wildcard or another backslash escapes it, and before
+    any other character it is dropped, as MySQL reads patterns; at the end it stands for itself."""
+    out, k = [], 0
+    while k < len(term):
+        if term[k] == "\\":
+            following = term[k + 1:k + 2]
+            out.append("\\" + following if following in ("%", "_", "\\") and following else following or "\\\\")
+            k += 2
+        else:
+            out.append(term[k])
+            k += 1
+    return "".join(out)
 
 
 def _contains(col: str, term: str):
     # '%' and '_' typed by the user stay wildcards (the reference does not escape them);
     # matching is case-insensitive, as under MySQL's default collation.
-    return F.col(col).ilike(f"%{term.strip(_PHP_WS)}%")
+    return F.col(col).ilike(f"%{_pattern(term.strip(_PHP_WS))}%")
 
 
 def student_search(students: DataFrame, classes: DataFrame, term: str) -> DataFrame:

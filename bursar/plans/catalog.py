@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bursar.operators import lists, reports, students as stu, uniforms
 from bursar.operators.balances import term_balances
-from bursar.plans.oracle import DIRECTORY_CLASS, DIRECTORY_SEARCH, SEARCH_TERM
+from bursar.plans.oracle import (
+    DIRECTORY_CLASS, DIRECTORY_SEARCH, ONE_ADMISSION, ONE_CLASS, ONE_PAYMENT, ONE_STUDENT, OUTCOMES, SEARCH_TERM,
+)
 from bursar.sources.fixtures import Fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +102,32 @@ def _audits():
 
 
 READ_QUERIES.update(_audits())
+
+
+def _pages():
+    """The forms of the pages that show one student, one class or one payment."""
+    statuses = {f"class_fee_status_{kind}_class": _q(lambda fx, f=f: f(*_bal_args(fx), class_id=ONE_CLASS))
+                for kind, f in (("owing", reports.class_fee_status_owing), ("paid_up", reports.class_fee_status_paid_up))}
+    outcomes = {f"student_search_outcome_{name}": _q(lambda fx, n=number, t=term: stu.student_search_outcome(
+        fx["students"], fx["classes"], t, n)) for name, (number, term) in OUTCOMES.items()}
+    return statuses | outcomes | {
+        "student_lookup": _q(lambda fx: stu.student_lookup(fx["students"], fx["classes"], ONE_ADMISSION)),
+        "student_statement_one": _q(lambda fx: reports.student_statement(*_bal_args(fx), admission_number=ONE_ADMISSION)),
+        "receipt_one": _q(lambda fx: reports.receipts(
+            fx["fee_payments"], fx["students"], fx["classes"], fx["academic_terms"], fx["fee_discounts"],
+            fx["boarding_fee"], payment_id=ONE_PAYMENT)),
+        "payment_history_one": _q(lambda fx: reports.payment_history(
+            fx["fee_payments"], fx["academic_terms"], ONE_STUDENT)),
+        "discount_history_one": _q(lambda fx: reports.discount_history(
+            fx["fee_discounts"], fx["academic_terms"], ONE_STUDENT)),
+        "uniform_issue_history_one": _q(lambda fx: uniforms.uniform_issue_history(
+            fx["uniform_issues"], fx["uniform_items"], ONE_STUDENT)),
+        "eligible_items_for_class": _q(lambda fx: uniforms.eligible_items_for(
+            fx["students"].filter(f"class_id = {ONE_CLASS}"), fx["classes"], fx["uniform_items"])),
+        "statement_display": _q(lambda fx: reports.statement_display(
+            reports.student_statement(*_bal_args(fx)), fx["students"])),
+        "report_term_label": _q(lambda fx: reports.report_term_label(fx["academic_terms"])),
+    }
+
+
+READ_QUERIES.update(_pages())

@@ -247,3 +247,52 @@ c AS (SELECT * FROM academic_terms WHERE is_current = 1 ORDER BY term_id LIMIT 1
 SELECT COALESCE((SELECT 'Term ' || CAST(term_number AS VARCHAR) || ', ' || CAST(academic_year AS VARCHAR) FROM c),
                 'No term set') AS term_label""",
 })
+
+
+# One student's, one class's and one payment's pages: the population's result, filtered.
+ONE_STUDENT, ONE_CLASS, ONE_PAYMENT, ONE_ADMISSION = 43, 7, 9, " adm-000043 "
+_ADM = ONE_ADMISSION.strip().lower()
+
+
+def _only(name: str, condition: str) -> str:
+    return f"SELECT * FROM ({ORACLE[name]}) WHERE {condition}"
+
+
+ORACLE.update({
+    "student_lookup": _with(("students", "classes")) + f"""
+SELECT {_DETAIL} FROM students s JOIN classes c USING (class_id) WHERE lower(s.admission_number) = '{_ADM}'""",
+    "student_statement_one": _only("student_statement", f"lower(admission_number) = '{_ADM}'"),
+    "receipt_one": _only("receipts", f"payment_id = {ONE_PAYMENT}"),
+    "payment_history_one": _only("payment_history", f"student_id = {ONE_STUDENT}"),
+    "discount_history_one": _only("discount_history", f"student_id = {ONE_STUDENT}"),
+    "uniform_issue_history_one": _only("uniform_issue_history", f"student_id = {ONE_STUDENT}"),
+    "class_fee_status_owing_class": _only("class_fee_status_owing", f"class_id = {ONE_CLASS}"),
+    "class_fee_status_paid_up_class": _only("class_fee_status_paid_up", f"class_id = {ONE_CLASS}"),
+    "eligible_items_for_class": _with(("students", "classes", "uniform_items")) + f"""
+SELECT s.student_id, u.uniform_id, u.item_name, u.applicable_section, u.applicable_gender,
+       CAST(u.price AS {M}) AS price, u.quantity_in_stock
+FROM students s JOIN classes c USING (class_id) JOIN uniform_items u
+  ON u.applicable_section IN (c.section, 'All') AND u.applicable_gender IN (s.gender, 'All')
+WHERE class_id = {ONE_CLASS}""",
+    "statement_display": f"""SELECT st.student_id, split_part(st.full_name, ' ', 1) AS first_name,
+       CASE st.is_boarder WHEN 1 THEN 'Yes' ELSE 'No' END AS boarder,
+       format('{{:,}}', CAST(round(st.total_due, 0) AS BIGINT)) AS total_due_text,
+       format('{{:,}}', CAST(round(st.balance, 0) AS BIGINT)) AS balance_text,
+       CASE WHEN g.guardian IS NULL OR g.guardian IN ('', '0') THEN 'N/A' ELSE g.guardian END AS guardian,
+       TRY_CAST(regexp_extract(st.admission_number, '[^-]*$') AS INTEGER) AS admission_serial
+FROM ({ORACLE["student_statement"]}) st
+JOIN (SELECT student_id, guardian_name AS guardian FROM ({_with(("students",))} SELECT * FROM students)) g USING (student_id)""",
+    "report_term_label": ORACLE["current_term_label"].replace("'No term set'", "'No current term set'"),
+})
+
+#: Admission number and search term of each outcome of a lookup.
+OUTCOMES = {"found": (ONE_ADMISSION, ""), "not_found": ("ADM-none", "Customer"), "none": ("", "nobody at all"),
+            "one": ("", "customer#000000042")}
+for _name, (_number, _term) in OUTCOMES.items():
+    _by_number = _number.strip().lower()
+    ORACLE[f"student_search_outcome_{_name}"] = _with(("students", "classes")) + f""",
+h AS (SELECT count(*) AS n FROM students s JOIN classes c USING (class_id)
+      WHERE {f"lower(s.admission_number) = '{_by_number}'" if _by_number else f"s.full_name ILIKE '%{_term}%'"})
+SELECT '{_number.strip() or _term.strip()}' AS search_term, CAST(n AS BIGINT) AS match_count,
+       CASE WHEN {bool(_by_number)} THEN CASE n WHEN 0 THEN 'not_found' ELSE 'found' END
+            ELSE CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END END AS outcome FROM h"""

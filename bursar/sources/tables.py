@@ -100,14 +100,49 @@ def write_version(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
+MANIFEST = "_current"
+
+
 def write_versions(tables: Mapping[str, DataFrame], root: str, version: str) -> dict[str, str]:
     """Write several tables of one change set under ``root/version/<name>`` and return their paths.
 
-    Every table of a change set (e.g. a cascading delete, M3) goes into one new version folder; the
-    previous version is left untouched. The caller points readers at ``root/version`` after this
-    returns, so no reader sees half a change.
+    The previous version is left untouched, and readers do not see the new one before ``publish``
+    points to it. A retry after a failure overwrites what the unfinished attempt left; a published
+    version is never written again.
     """
-    return {name: write_version(df, f"{root}/{version}/{name}") for name, df in tables.items()}
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        if version in _published(spark, root):
+            raise ValueError(f"version {version!r} is published")
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
+    return {name: f"{root}/{version}/{name}" for name in tables}
+
+
+def _published(spark: SparkSession, root: str) -> list[str]:
+    """Published versions, the first one first."""
+    try:
+        rows = spark.read.schema("at bigint, version string").parquet(f"{root}/{MANIFEST}").orderBy("at").collect()
+    except AnalysisException:
+        return []
+    return [r.version for r in rows]
+
+
+def publish(tables: Mapping[str, DataFrame], root: str, version: str) -> str:
+    """Write a change set and then, in one small append, make it the current version: all or nothing."""
+    spark = next(iter(tables.values())).sparkSession
+    write_versions(tables, root, version)
+    entry = spark.createDataFrame([(len(_published(spark, root)), version)], "at bigint, version string")
+    entry.coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
+    return version
+
+
+def current_path(spark: SparkSession, root: str, name: str) -> str:
+    """Where readers find a table of the current version."""
+    versions = _published(spark, root)
+    if not versions:
+        raise ValueError(f"nothing is published under {root}")
+    return f"{root}/{versions[-1]}/{name}"
 
 
 def snapshot(tables: Mapping[str, DataFrame], dest: str, date: str) -> dict[str, str]:

@@ -207,3 +207,54 @@ def test_search_matches_like_semantics(school, make, names, term):
     got = {r["student_id"] for r in stu.student_search(students, school["classes"], term).collect()}
     want = {i + 1 for i, n in enumerate(names) if _like(f"%{term}%", n) or f"X{i}".lower() == term.lower()}
     assert got == want
+
+
+_SEQS = st.lists(st.sampled_from([1, 1, 2, 3, 3_000_000_000]), min_size=1, max_size=8)
+
+
+@given(_SEQS)
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+def test_inserts_account_for_commands_with_repeated_or_wide_seq(school, make, seqs):
+    from decimal import Decimal
+
+    from bursar.operators import changes as ch
+
+    def account(job, base, key, commands):
+        added, rejects = job.added.collect(), job.rejects.count()
+        assert len(added) + rejects == len(commands)
+        keys = [r[key] for r in added]
+        top = max(r[key] for r in base.collect())
+        assert len(set(keys)) == len(keys) and all(k > top for k in keys)
+
+    amounts = [Decimal(k % 3) for k in range(len(seqs))]
+    rows = [{"seq": s, "student_id": 1, "term_id": 2, "amount_paid": a} for s, a in zip(seqs, amounts)]
+    account(ch.apply_payments(school["payments"], make(schemas.PAYMENT_COMMANDS, rows), "2024-01-01"),
+            school["payments"], "payment_id", rows)
+    rows = [{"seq": s, "student_id": 1, "term_id": 2, "discount_amount": a, "approved_by": "H"} for s, a in zip(seqs, amounts)]
+    account(ch.apply_discounts(school["discounts"], school["students"], school["terms"],
+                               make(schemas.DISCOUNT_COMMANDS, rows), "2024-01-01"), school["discounts"], "discount_id", rows)
+    rows = [{"seq": s, "academic_year": 2030 + k // 2, "term_number": 1} for k, s in enumerate(seqs)]
+    account(ch.apply_new_terms(school["terms"], make(schemas.TERM_COMMANDS, rows)), school["terms"], "term_id", rows)
+    rows = [{"seq": s, "admission_number": f"N{k // 3}", "full_name": "x", "class_id": 1} for k, s in enumerate(seqs)]
+    account(ch.apply_registrations(school["students"], make(schemas.REGISTRATION_COMMANDS, rows)),
+            school["students"], "student_id", rows)
+    rows = [{"seq": s, "item_name": "" if k == 1 else "x", "price": Decimal(1)} for k, s in enumerate(seqs)]
+    account(ch.apply_new_items(school["items"], make(schemas.ITEM_COMMANDS, rows)), school["items"], "uniform_id", rows)
+
+
+def test_backslashes_in_a_search(school):
+    from bursar.operators import students as stu
+    names = lambda t: sorted(r.full_name for r in stu.student_search(school["students"], school["classes"], t).collect())
+    assert names("O\\B") == names("OB") and names("Oke\\llo") == ["brian Okello"]
+    assert names("100\\%") == ["Carol 100%_done"] and names("\\_done") == ["Carol 100%_done"] and names("x\\") == []
+
+
+def test_totals_beyond_18_digits(spark, make, school):
+    from decimal import Decimal
+
+    from bursar.operators import reports
+    from pyspark.sql import functions as F
+    one = make("fee_payments", [{"payment_id": 1, "student_id": 1, "term_id": 2, "amount_paid": Decimal("9999999999.99")}])
+    many = one.crossJoin(F.broadcast(spark.range(2_000_000))).drop("id")
+    got = reports.fee_collection_summary(many, school["terms"]).first()
+    assert got.collected_all == Decimal("19999999999980000.00") == got.collected_term

@@ -35,3 +35,22 @@ def test_ensure_write_and_snapshot(spark, tmp_path, school):
                           "user_id long, username string, password_hash string, full_name string, role string"
                           ).write.parquet(roster)
     assert "password_hash" not in tables.staff_roster(spark, roster).columns
+
+
+def test_change_set_is_published_as_a_whole(spark, tmp_path, school):
+    import pytest
+    from pyspark.sql import functions as F
+
+    root = str(tmp_path / "school")
+    names = ("students", "payments", "discounts")
+    tables.publish({n: school[n] for n in names}, root, "v1")
+    failing = {n: school[n].limit(1) for n in names}
+    failing["discounts"] = school["discounts"].withColumn("student_id", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        tables.publish(failing, root, "v2")
+    read = lambda n: spark.read.parquet(tables.current_path(spark, root, n)).count()
+    assert [read(n) for n in names] == [school[n].count() for n in names]
+    tables.publish({n: school[n].limit(1) for n in names}, root, "v2")  # the retry overwrites the unfinished folders
+    assert [read(n) for n in names] == [1, 1, 1]
+    with pytest.raises(ValueError, match="published"):
+        tables.publish({n: school[n] for n in names}, root, "v2")
