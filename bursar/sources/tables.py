@@ -112,36 +112,44 @@ def write_versions(tables: Mapping[str, DataFrame], root: str, version: str) ->
     """
     if tables:
         spark = next(iter(tables.values())).sparkSession
-        if version in _published(spark, root):
+        if version in published(spark, root):
             raise ValueError(f"version {version!r} is published")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
     return {name: f"{root}/{version}/{name}" for name in tables}
 
 
-def _published(spark: SparkSession, root: str) -> list[str]:
-    """Published versions, the first one first."""
+_ENTRY = "at bigint, version string, name string"
+
+
+def _manifest(spark: SparkSession, root: str) -> list:
+    """(at, version, table name) of what is published, the first one first."""
     try:
-        rows = spark.read.schema("at bigint, version string").parquet(f"{root}/{MANIFEST}").orderBy("at").collect()
+        return spark.read.schema(_ENTRY).parquet(f"{root}/{MANIFEST}").orderBy("at").collect()
     except AnalysisException:
         return []
-    return [r.version for r in rows]
+
+
+def published(spark: SparkSession, root: str) -> list[str]:
+    """Published versions, the first one first."""
+    return list(dict.fromkeys(r.version for r in _manifest(spark, root)))
 
 
 def publish(tables: Mapping[str, DataFrame], root: str, version: str) -> str:
-    """Write a change set and then, in one small append, make it the current version: all or nothing."""
+    """Write a change set and then, in one small append, make it current: all of its tables or none."""
     spark = next(iter(tables.values())).sparkSession
     write_versions(tables, root, version)
-    entry = spark.createDataFrame([(len(_published(spark, root)), version)], "at bigint, version string")
+    at = len(published(spark, root))
+    entry = spark.createDataFrame([(at, version, name) for name in tables], _ENTRY)
     entry.coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
     return version
 
 
 def current_path(spark: SparkSession, root: str, name: str) -> str:
-    """Where readers find a table of the current version."""
-    versions = _published(spark, root)
+    """Where readers find a table: in the latest published version that has it."""
+    versions = [r.version for r in _manifest(spark, root) if r.name == name]
     if not versions:
-        raise ValueError(f"nothing is published under {root}")
+        raise ValueError(f"{name!r} is not published under {root}")
     return f"{root}/{versions[-1]}/{name}"
 
 

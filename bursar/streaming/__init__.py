@@ -1,7 +1,7 @@
-"""Structured Streaming forms of the change jobs: stateful stock decisions per item
-(``issues.issue_decisions``) and any batch job per micro-batch (``commands.apply_stream``)."""
+"""Structured Streaming forms of the change jobs: issue requests against the published stock
+(``issues.issue_stream``) and any batch job per micro-batch (``commands.apply_stream``)."""
 
 from bursar.streaming.commands import apply_stream, appended_table, version_path
-from bursar.streaming.issues import issue_decisions
+from bursar.streaming.issues import issue_stream
 
-__all__ = ["apply_stream", "appended_table", "issue_decisions", "version_path"]
+__all__ = ["apply_stream", "appended_table", "issue_stream", "version_path"]

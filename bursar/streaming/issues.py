@@ -1,71 +1,40 @@
-"""Uniform issue requests as a stream: the reference's check-then-act on stock, as Spark state.
+"""Uniform issue requests as a stream: every micro-batch runs the batch fold on the published tables.
 
-The reference decides each request against the stock left at that moment. As a stream, the stock left
-per item is the state of a ``groupBy(uniform_id).applyInPandasWithState``: the first request of an
-item starts from its opening stock (a stream-static join with the item table), every micro-batch folds
-its requests for the item in (date_issued, request_id, student_id, quantity) order, and the state
-carries the stock left into the next micro-batch. A micro-batch bounds what one task folds for one
-item (``maxFilesPerTrigger`` / ``maxRecordsPerTrigger`` on the source).
+The reference decides each request against the stock left at that moment. A micro-batch reads the item and
+issue tables of the current published version, so restocks and item edits published by other jobs under
+the same root reach it, applies ``stock_fold.issue_uniforms`` (which never gathers an item's requests into one
+task) and publishes both tables as one version named after the batch. A micro-batch replayed after a
+failure finds its version published and does nothing, or overwrites what its first attempt left unfinished.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from bursar.operators.stock_fold import ORDER, fold_segment
-from bursar.sources import schemas
-from bursar.sources.tables import conform
+from pyspark.sql.streaming import StreamingQuery
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from bursar.operators.stock_fold import issue_uniforms
+from bursar.sources import tables
 
-DECISIONS = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("uniform_id", T.LongType()),
-    T.StructField("student_id", T.LongType()),
-    T.StructField("quantity", T.IntegerType()),
-    T.StructField("accepted", T.BooleanType()),
-    T.StructField("reject_reason", T.StringType()),
-    T.StructField("stock_left", T.LongType()),
-])
-_STATE = T.StructType([T.StructField("left", T.LongType())])
 
+def issue_stream(requests: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Apply a streaming request DataFrame to ``uniform_items`` and ``uniform_issues`` published under ``root``.
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf.sort_values(ORDER, kind="stable", na_position="first")
-    if pdf["known"].isna().all():  # the item does not exist: every request is refused
-        yield pd.DataFrame({
-            "request_id": pdf["request_id"], "uniform_id": pdf["uniform_id"], "student_id": pdf["student_id"],
-            "quantity": pdf["quantity"], "accepted": False, "reject_reason": "unknown_item",
-            "stock_left": pd.Series([None] * len(pdf), dtype="Int64")})
-        return
-    left = int(state.get[0]) if state.exists else int(pdf["opening"].dropna().iloc[0])
-    q = pdf["quantity"].fillna(0).to_numpy(dtype=np.int64)
-    accepted, _ = fold_segment(q, left)
-    after = left - np.cumsum(np.where(accepted, q, 0))
-    reason = np.where(accepted, None, np.where(q < 1, "invalid_quantity", "insufficient_stock"))
-    state.update((int(after[-1]) if len(after) else left,))
-    yield pd.DataFrame({
-        "request_id": pdf["request_id"].to_numpy(), "uniform_id": pdf["uniform_id"].to_numpy(),
-        "student_id": pdf["student_id"].to_numpy(), "quantity": pdf["quantity"].to_numpy(),
-        "accepted": accepted, "reject_reason": reason, "stock_left": after})
+    Rejects go to ``root_rejects/batch_id=<batch_id>``.
+    """
 
+    def apply_batch(batch: DataFrame, batch_id: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        version = f"issues-{batch_id:010d}"
+        if version in tables.published(spark, root):
+            return
+        now = {n: tables.conform(spark.read.parquet(tables.current_path(spark, root, n)), n)
+               for n in ("uniform_items", "uniform_issues")}
+        result = issue_uniforms(now["uniform_items"], batch, now["uniform_issues"])
+        (result.rejects.withColumn("batch_id", F.lit(batch_id))
+               .write.mode("overwrite").parquet(f"{root.rstrip('/')}_rejects/batch_id={batch_id}"))
+        tables.publish({"uniform_items": result.items, "uniform_issues": result.table}, root, version)
 
-def issue_decisions(requests: DataFrame, items: DataFrame) -> DataFrame:
-    """Streaming decisions (one row per request) for a streaming request DataFrame."""
-    req = conform(requests, schemas.ISSUE_REQUESTS)
-    stock = items.select("uniform_id",
-                         F.coalesce(F.col("quantity_in_stock"), F.lit(0)).cast("bigint").alias("opening"),
-                         F.lit(True).alias("known"))
-    keyed = req.join(stock, "uniform_id", "left")
-    return (keyed.groupBy("uniform_id")
-                 .applyInPandasWithState(_decide, DECISIONS, _STATE, "append", GroupStateTimeout.NoTimeout))
+    writer = requests.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

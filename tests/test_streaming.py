@@ -5,9 +5,9 @@ from __future__ import annotations
 from decimal import Decimal as D
 
 from bursar.operators import changes as ch
-from bursar.sources import schemas
+from bursar.sources import schemas, tables
 from bursar.streaming.commands import apply_stream, version_path
-from bursar.streaming.issues import issue_decisions
+from bursar.streaming.issues import issue_stream
 
 from conftest import day
 
@@ -18,32 +18,33 @@ def _write_batches(spark, folder, schema, batches):
         spark.createDataFrame(tuples, schema).coalesce(1).write.parquet(f"{folder}/part{i}")
 
 
-def test_issue_stream_carries_stock_between_batches(spark, make, tmp_path):
-    items = make("uniform_items", [
+def test_issue_stream_carries_stock_and_sees_restocks(spark, make, tmp_path):
+    root, src = str(tmp_path / "school"), str(tmp_path / "requests")
+    tables.publish({"uniform_items": make("uniform_items", [
         {"uniform_id": 1, "item_name": "Sweater", "price": D("10"), "quantity_in_stock": 5},
-        {"uniform_id": 2, "item_name": "Tie", "price": D("3"), "quantity_in_stock": 1}])
-    src = str(tmp_path / "requests")
+        {"uniform_id": 2, "item_name": "Tie", "price": D("3"), "quantity_in_stock": 1}]),
+        "uniform_issues": make("uniform_issues", [])}, root, "v0")
     r = lambda rid, u, q, d: {"request_id": rid, "student_id": rid, "uniform_id": u, "quantity": q,
                               "date_issued": day(d)}
-    _write_batches(spark, src, schemas.ISSUE_REQUESTS, [
-        [r(1, 1, 3, "2024-01-01"), r(2, 1, 4, "2024-01-02"), r(3, 2, 1, "2024-01-01")],
-        [r(4, 1, 2, "2024-01-03"), r(5, 1, 1, "2024-01-04"), r(6, 2, 1, "2024-01-05"), r(7, 9, 1, "2024-01-05"),
-         r(8, 1, 0, "2024-01-02")],
-    ])
-    stream = (spark.readStream.schema(schemas.ISSUE_REQUESTS).option("maxFilesPerTrigger", 1)
-                   .parquet(f"{src}/*"))
-    out = str(tmp_path / "decisions")
-    q = (issue_decisions(stream, items).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", str(tmp_path / "ckpt")).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    rows = {x["request_id"]: x for x in spark.read.parquet(out).collect()}
-    assert {k for k, v in rows.items() if v["accepted"]} == {1, 3, 4}
-    assert rows[2]["reject_reason"] == "insufficient_stock"
-    assert rows[5]["reject_reason"] == "insufficient_stock" and rows[5]["stock_left"] == 0
-    assert rows[6]["reject_reason"] == "insufficient_stock"
-    assert rows[7]["reject_reason"] == "unknown_item"
-    assert rows[8]["reject_reason"] == "invalid_quantity" and not rows[8]["accepted"]
+    current = lambda n: spark.read.parquet(tables.current_path(spark, root, n))
+
+    def arrive(part, rows):
+        tuples = [tuple(x.get(f.name) for f in schemas.ISSUE_REQUESTS.fields) for x in rows]
+        spark.createDataFrame(tuples, schemas.ISSUE_REQUESTS).coalesce(1).write.parquet(f"{src}/{part}")
+        stream = (spark.readStream.schema(schemas.ISSUE_REQUESTS).option("maxFilesPerTrigger", 1).parquet(f"{src}/*"))
+        issue_stream(stream, root, str(tmp_path / "ckpt")).awaitTermination(180)
+
+    arrive("a", [r(1, 1, 3, "2024-01-01"), r(2, 1, 4, "2024-01-02"), r(3, 2, 1, "2024-01-01"), r(7, 9, 1, "2024-01-05")])
+    assert {x.uniform_id: x.quantity_in_stock for x in current("uniform_items").collect()} == {1: 2, 2: 0}
+    restocked = ch.apply_restock(current("uniform_items"), make(schemas.RESTOCK_COMMANDS, [
+        {"seq": 1, "uniform_id": 2, "add_quantity": 5}]))
+    tables.publish({"uniform_items": restocked.table}, root, "restock-1")
+    arrive("b", [r(4, 1, 2, "2024-01-03"), r(5, 1, 1, "2024-01-04"), r(6, 2, 4, "2024-01-05"), r(8, 1, 0, "2024-01-02")])
+    assert {x.uniform_id: x.quantity_in_stock for x in current("uniform_items").collect()} == {1: 0, 2: 1}
+    issues = current("uniform_issues").collect()
+    assert sorted(x.student_id for x in issues) == [1, 3, 4, 6] and len({x.issue_key for x in issues}) == 4
+    rejects = {x.request_id: x.reject_reason for x in spark.read.parquet(f"{root}_rejects").collect()}
+    assert rejects == {2: "insufficient_stock", 5: "insufficient_stock", 7: "unknown_item", 8: "invalid_quantity"}
 
 
 def test_payment_commands_as_a_stream(spark, make, school, tmp_path):
