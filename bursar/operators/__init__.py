@@ -8,5 +8,5 @@
 - ``audits``: integrity checks of the reference's keys and one-row tables.
 - ``changes``: batch change jobs with rejects (registrations, edits, deletes, inserts, restocks).
 - ``stock_fold``: uniform issues against stock, an exact segmented fold that never gathers an item.
-- ``bounded``: size-checked small sides for broadcast joins.
+- ``numbering``: dense row numbers over a whole table.
 """

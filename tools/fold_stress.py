@@ -1,5 +1,5 @@
-"""Run the stock fold on real data with settings that force every scale path (many segments, tiny
-composition blocks, in-place and grouped Python steps) and compare each run with the DuckDB oracle.
+"""Run the stock fold on real data with settings that force carried runs everywhere (many segments, tiny
+composition blocks) and compare each run with the DuckDB oracle.
 
 Usage: python tools/fold_stress.py [sf_dir]   (default /root/testdata/sf0.1)
 """
@@ -23,9 +23,9 @@ for t in ["part", "orders", "lineitem"]:
 want = sorted(con.sql(CHANGE_ORACLE["issue_uniforms"]).fetchall())
 want_stock = sorted(con.sql(CHANGE_ORACLE["issue_uniforms_stock"]).fetchall())
 print("oracle accepted", len(want))
-for nseg, block, limit in ((64, 2, 100_000), (256, 2, 100_000), (256, 3, 0)):
+for nseg, block in ((64, 2), (256, 2), (256, 3)):
     t = time.time()
-    r = issue_uniforms(fx["uniform_items"], fx["issue_requests"], segments=nseg, block=block, broadcast_limit=limit)
+    r = issue_uniforms(fx["uniform_items"], fx["issue_requests"], segments=nseg, block=block)
     got = sorted(tuple(x) for x in r.issued.collect())
     stock = sorted(tuple(x) for x in r.items.collect())
-    print(nseg, block, limit, "match", got == want, stock == want_stock, round(time.time() - t, 1), "s")
+    print(nseg, block, "match", got == want, stock == want_stock, round(time.time() - t, 1), "s")
