@@ -15,6 +15,17 @@ from bursar.session import ensure_checkpoint_dir
 STEP_CHARS = 4_000_000
 
 
+_BUILT: dict = {}
+
+
+def built(key, build: Callable):
+    """What ``build`` made for ``key`` in this Python worker, which runs many tasks; only the latest is kept."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -56,10 +67,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node",
     seen = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Minima are written, so that the joins deal both sides out anew and can split a node with many links.
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large.filter("u > v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(low, "u")
         links = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .unionByName(joined.select("u", F.col("m").alias("v")))

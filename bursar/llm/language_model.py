@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -13,7 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.llm.common import cut, id_remainder, steps
+from bursar.llm.common import built, cut, id_remainder, steps
+from bursar.llm.quality import cell
 
 #: Words with an output of their own, in classes of equal size; the last of them all is the end.
 CLASSES = 32
@@ -23,10 +25,12 @@ VOCABULARY = CLASSES * CLASS_WORDS - 1
 RARE_CLASSES = 32
 HIDDEN = 16
 #: Words whose corpus counts every task holds; the counts of the others are joined.
-HEAD_WORDS = 200_000
+HEAD_WORDS = 100_000
 #: Backpropagation is truncated to windows of WINDOW tokens of LANES texts side by side.
 WINDOW = 16
-LANES = 256
+LANES = 512
+#: The warm start has fewer lanes, so that its few texts make more steps.
+WARM_LANES = 64
 #: The state is carried across windows up to this length in training (and without limit in scoring).
 SEGMENT = 1024
 #: Before the round over all documents, weights start from a pass over so many documents at most.
@@ -36,9 +40,9 @@ RATE = 0.006
 #: Distinct words a task counts before it hands them on.
 PARTIAL_WORDS = 300_000
 #: Characters of texts that are scored side by side.
-SCORE_CHARS = 12_000_000
+SCORE_CHARS = 8_000_000
 OUTPUT_ROWS = 16_384
-MAX_CODES = 400_000
+MAX_CODES = 200_000
 WORDS = CLASSES * CLASS_WORDS
 END = WORDS - 1
 
@@ -107,11 +111,10 @@ def gates(x: np.ndarray, state: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, un)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """exp of the logits, which stay far below the bound in a trained net."""
+    np.minimum(logits, np.float32(60), out=logits)
+    return np.exp(logits)
 
 
 def output(w: Weights, h: np.ndarray, code: np.ndarray, learn: bool):
@@ -120,11 +123,14 @@ def output(w: Weights, h: np.ndarray, code: np.ndarray, learn: bool):
     For a code of a rare class it is the class's alone. With ``learn`` also the gradients.
     """
     cls = np.where(code < WORDS, code // CLASS_WORDS, code - WORDS + CLASSES)
-    p = _softmax(h @ w["classes"] + w["class_bias"])
     every = np.arange(len(code))
-    logp = np.log(np.maximum(p[every, cls], 1e-30))
+    logits = h @ w["classes"] + w["class_bias"]
+    p = _exponentials(logits)
+    total = p.sum(axis=1)
+    logp = logits[every, cls] - np.log(total)
     grads, dh = {}, None
     if learn:
+        p /= total[:, None]
         p[every, cls] -= 1
         dh = p @ w["classes"].T
         grads = {"classes": h.T @ p, "class_bias": p.sum(0), "words": np.zeros_like(w["words"]),
@@ -135,11 +141,14 @@ def output(w: Weights, h: np.ndarray, code: np.ndarray, learn: bool):
         rows = order[bounds[c]:bounds[c + 1]]
         if not len(rows):
             continue
-        q, at, state = None, code[rows] % CLASS_WORDS, h[rows]
-        q = _softmax(state @ w["words"][c] + w["word_bias"][c])
-        logp[rows] += np.log(np.maximum(q[np.arange(len(rows)), at], 1e-30))
+        at, state, these = code[rows] % CLASS_WORDS, h[rows], every[:len(rows)]
+        logits = state @ w["words"][c] + w["word_bias"][c]
+        q = _exponentials(logits)
+        total = q.sum(axis=1)
+        logp[rows] += logits[these, at] - np.log(total)
         if learn:
-            q[np.arange(len(rows)), at] -= 1
+            q /= total[:, None]
+            q[these, at] -= 1
             grads["words"][c] = state.T @ q
             grads["word_bias"][c] = q.sum(0)
             dh[rows] += q @ w["words"][c].T
@@ -200,7 +209,8 @@ def window_gradients(w: Weights, codes: np.ndarray, real: np.ndarray, fresh: np.
 class Trainer:
     """Adam over windows of lanes."""
 
-    def __init__(self, weights: Weights, rate: float = RATE):
+    def __init__(self, weights: Weights, rate: float = RATE, lanes: int = LANES):
+        self.lanes = lanes
         self.w = {k: v.copy() for k, v in weights.items()}
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
@@ -209,7 +219,7 @@ class Trainer:
     def learn(self, texts: list[np.ndarray]) -> None:
         """One pass over coded texts: segments are dealt to lanes, and lanes advance window by window."""
         parts = [x[k:k + SEGMENT] for x in texts for k in range(0, len(x), SEGMENT)]
-        lanes: list[list[np.ndarray]] = [[] for _ in range(min(LANES, max(1, len(parts))))]
+        lanes: list[list[np.ndarray]] = [[] for _ in range(min(self.lanes, max(1, len(parts))))]
         size = np.zeros(len(lanes), np.int64)
         for k in np.argsort([-len(p) for p in parts], kind="stable"):
             lane = int(size.argmin())
@@ -281,12 +291,20 @@ class Statistics:
 
 
 def statistics(counts: DataFrame, texts: int) -> Statistics:
-    head = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()]
+    # The head is all words from a count on: the least of a bounded list of counts at which they are few enough.
+    fewest, above = None, 0
+    for r in sorted(counts.groupBy(cell("n").alias("cell")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        above += r.words
+        if above > HEAD_WORDS:
+            break
+        fewest = r.cell
+    found = counts.filter(F.col("n") >= fewest).collect() if fewest is not None else []
+    head = sorted(((r.word, r.n) for r in found), key=lambda x: (-x[1], x[0].encode("utf-8", "surrogatepass")))
     vocabulary = [w for w, _ in head[:VOCABULARY]]
     mass, types = np.zeros(RARE_CLASSES), np.zeros(RARE_CLASSES)
     total = distinct = 0
-    if head:
-        last = head[len(vocabulary) - 1]
+    last = head[len(vocabulary) - 1] if head else ("", 1 << 62)
+    if texts:
         rare = (F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("word") > last[0]))
         of = F.when(rare, F.crc32(F.right("word", F.lit(2)).cast("binary")) % RARE_CLASSES).otherwise(-1)
         for r in counts.groupBy(of.alias("class")).agg(F.sum("n").alias("mass"), F.count("*").alias("types")).collect():
@@ -323,7 +341,7 @@ def train(training: DataFrame, stats: Statistics, text: str = "text") -> Weights
     weights = initial(counts, stats.rare_mass)
     few = (training.filter(F.length(text) <= 20_000)
            .orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(WARM_DOCS).select(text).collect())
-    codes, warm = Codes(stats.vocabulary), Trainer(weights)
+    codes, warm = Codes(stats.vocabulary), Trainer(weights, lanes=WARM_LANES)
     texts = [codes.of(words_of(r[0] or "")) for r in few]
     for _ in range(WARM_PASSES):
         warm.learn(texts)
@@ -394,9 +412,6 @@ def text_log_probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_LOADED: dict[int, tuple] = {}
-
-
 def score(documents: DataFrame, counts: DataFrame, stats: Statistics, weights: Weights,
           text: str = "text") -> DataFrame:
     """doc_id, lm_tokens, lm_known, lm_base and lm_score: one row per row of ``documents``.
@@ -404,7 +419,7 @@ def score(documents: DataFrame, counts: DataFrame, stats: Statistics, weights: W
     lm_score is the model's log10 probability of the whole text and its end: the recurrent net gives the
     probability of each word or, for a word without an output of its own, of its rare class, within which
     the word has (c + 1) / (class tokens + class words + 1). lm_base is the sum of log10((c + 1) / (N + V + 1)).
-    Counts of the ``HEAD_WORDS`` most frequent words are held by every task; a text's other words are
+    Counts of the most frequent words, ``HEAD_WORDS`` at most, are held by every task; a text's other words are
     joined to the counts (their counts are small, so no key is hot) and summed per text. Null and empty
     texts consist of the end alone. Repeated rows are scored one by one.
     """
@@ -412,15 +427,16 @@ def score(documents: DataFrame, counts: DataFrame, stats: Statistics, weights: W
     if not stats.tokens:
         stats = Statistics([], {}, stats.rare_mass, stats.rare_types, 0, 0, 0)
     sent = spark.sparkContext.broadcast((weights, stats))
-    key = id(sent)
+    key = "language_model", uuid.uuid4().hex
+
+    def load() -> tuple:
+        w, s = sent.value
+        return w, s, Codes(list(s.head)), np.log10(np.array([*s.head.values(), *[0] * RARE_CLASSES]) + 1)
+
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _LOADED:  # a Python worker runs many tasks
-            w, s = sent.value
-            _LOADED.clear()
-            _LOADED[key] = w, s, Codes(list(s.head)), np.log10(np.array([*s.head.values(), *[0] * RARE_CLASSES]) + 1)
-        w, s, codes, log_count = _LOADED[key]
+        w, s, codes, log_count = built(key, load)
         within = np.log10(s.rare_mass + s.rare_types + 1)
         end = float(np.log10(s.ends + 1))
         row = TaskContext.get().partitionId() << 40
