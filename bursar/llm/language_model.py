@@ -339,10 +339,12 @@ def train(training: DataFrame, stats: Statistics, text: str = "text") -> Weights
         counts[k] = stats.head[w]
     counts[END] = stats.ends
     weights = initial(counts, stats.rare_mass)
-    few = (training.filter(F.length(text) <= 20_000)
-           .orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(WARM_DOCS).select(text).collect())
+    # Ids first: a sorted limit sends its rows from every task.
+    short = training.filter((F.length(text) <= 20_000) & F.col("doc_id").isNotNull())
+    ids = [r.doc_id for r in short.select("doc_id").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(WARM_DOCS).collect()]
+    few = short.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).select("doc_id", text).collect() if ids else []
     codes, warm = Codes(stats.vocabulary), Trainer(weights, lanes=WARM_LANES)
-    texts = [codes.of(words_of(r[0] or "")) for r in few]
+    texts = [codes.of(words_of(r[text])) for r in sorted(few, key=lambda r: ids.index(r.doc_id))]
     for _ in range(WARM_PASSES):
         warm.learn(texts)
     sent = spark.sparkContext.broadcast((warm.w, stats.vocabulary))
