@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bursar.llm import byte_bpe, jaccard_join, language_id, language_model, mixing, multi_index, quality, sharding, substring_dedup, toxicity
 from bursar.llm.common import id_remainder, read
+from bursar.llm.oracle import QUALITY_RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,4 +79,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op7_toxicity, op8_substring_dedup, op9_mixing, op10_multi_index)}
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES}

@@ -9,6 +9,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -61,6 +62,14 @@ def test_outliers_of_their_group_fail(spark, prose):
     assert sum(r.kept for r in got.values()) == 600  # symbols are usual in the other source
 
 
+def test_quality_rules_equal_their_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    rel = con.sql(queries.ORACLE["op1_quality_rules"])
+    got = queries.op1_quality_rules(spark, SF)
+    assert sorted(tuple(map(str, r)) for r in got.select(*rel.columns).collect()) == sorted(tuple(map(str, r)) for r in rel.fetchall())
+
+
 # ------------------------------------------------------------------------------------------ language ID
 
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=60), st.lists(st.integers(0, 3), max_size=80))
