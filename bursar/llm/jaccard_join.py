@@ -232,7 +232,9 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int =
              .mapInPandas(_candidates(threshold, tolerance), "a long, b long"))
     near = components(edges)
 
-    near = cut(near.join(near.groupBy("component").agg(F.count("*").alias("members")), "component")
+    # Written, here and below, so that the joins deal both sides out anew and can split large groups.
+    near = cut(near)
+    near = cut(near.join(cut(near.groupBy("component").agg(F.count("*").alias("members"))), "component")
                .join(texts.select("node", "first", "rows", "signature"), "node"))
     wanted = near.select("node", "component", "members", "rows", "signature", F.col("first.doc_id").alias("w_id"),
                          F.col("first.text_hash").alias("w_hash"))
@@ -251,11 +253,11 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int =
     classes = components(linked.filter("b is not null").select("a", "b"))
     smallest = (classes.join(texts.select("node", "copy_id"), "node").groupBy("component")
                 .agg(F.min("copy_id").alias("class_id")))
-    of = (texts.select("node", "copy_id", "rows").join(links, "node", "left")
-          .join(classes.join(smallest, "component").select("node", "component", "class_id"), "node", "left")
-          .select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
-                  F.coalesce("component", "node").alias("class_key"),
-                  (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    of = cut(texts.select("node", "copy_id", "rows").join(links, "node", "left")
+             .join(classes.join(smallest, "component").select("node", "component", "class_id"), "node", "left")
+             .select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
+                     F.coalesce("component", "node").alias("class_key"),
+                     (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     # Texts by the thousand share a node: the join is left to skew handling.
     return (rows.select("doc_id", "text_hash", "node", "n_shingles").join(of, "node", "left")
             .select("doc_id", "text_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
