@@ -246,8 +246,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, column:
               .join(classes.join(smallest, "component").select("node", "smallest"), "node", "left"))
     else:
         of = of.withColumn("links", F.lit(0).cast("long")).withColumn("smallest", F.lit(None).cast("long"))
-    of = of.select("node", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-                   F.coalesce("smallest", "least_id").alias("smallest"))
+    # Written, so that the join deals both sides out anew and can split a vector with very many copies.
+    of = cut(of.select("node", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+                       F.coalesce("smallest", "least_id").alias("smallest")))
     joined = rows.select("vec_id", "node").join(of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("smallest"))
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
