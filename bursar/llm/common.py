@@ -30,10 +30,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, free: bool = True) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the written rows.
+
+    With ``free`` the driver then collects its garbage: Spark removes the shuffle files of the work that led
+    here once nothing refers to it any more, and else they stay on disk until the driver happens to.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    if free:
+        spark.sparkContext._jvm.java.lang.System.gc()
+    return out
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Texts go to Python ``rows`` at a time, unless the session asks for something else than Spark's default."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, "10000") == "10000":
+        conf.set(key, str(rows))
 
 
 def id_remainder(doc_id: str, modulus: int) -> Column:
@@ -68,10 +84,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node",
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are written, so that the joins deal both sides out anew and can split a node with many links.
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), free=False)
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.filter("u > v").distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large.filter("u > v").distinct(), free=False)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), free=False)
         joined = large.join(low, "u")
         links = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .unionByName(joined.select("u", F.col("m").alias("v")))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.llm.common import aside, block_pairs, components, cut, forest, runs, steps
+from bursar.llm.common import aside, block_pairs, components, cut, forest, runs, small_batches, steps
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -212,6 +212,7 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int =
     A null or wordless text has no links and is its own class; fewer than ``size`` words form one shingle.
     Repeated rows are copies of each other. A null doc_id is kept; a class of null ids only has a null id.
     """
+    small_batches(documents)
     base = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     id_type = documents.schema["doc_id"].dataType.simpleString()
     rows = cut(base.mapInPandas(_sketch(size), f"doc_id {id_type}, text_hash long, node long, n_shingles int, "

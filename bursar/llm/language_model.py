@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.llm.common import built, cut, id_remainder, steps
+from bursar.llm.common import built, cut, id_remainder, small_batches, steps
 from bursar.llm.quality import cell
 
 #: Words with an output of their own, in classes of equal size; the last of them all is the end.
@@ -475,6 +475,7 @@ def score(documents: DataFrame, counts: DataFrame, stats: Statistics, weights: W
 
 def learn_and_score(documents: DataFrame, modulus: int = 7, held_out: int = 2) -> tuple[DataFrame, Statistics]:
     """The scores of all rows by a model learnt from those whose id is not held out, and its statistics."""
+    small_batches(documents)
     training = documents.select("doc_id", "text").filter(id_remainder("doc_id", modulus) != held_out)
     counts = cut(word_counts(training))
     stats = statistics(counts, training.count())

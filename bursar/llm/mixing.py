@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bursar.llm.common import aside
+from bursar.llm.common import aside, small_batches
 
 #: Documents of a block, the unit of the schedule.
 BLOCK_ROWS = 32
@@ -200,6 +200,7 @@ def _one_of(values: list) -> Column:
 
 def in_mix_order(documents: DataFrame, **options) -> DataFrame:
     """The rows and columns of ``documents`` in the order of the mix, in range partitions."""
+    small_batches(documents)
     base, back = aside(documents, lambda c: c.startswith("mix_"))
     out = mixed(base, carry=True, **options)
     return back(out.repartitionByRange("mix_position").sortWithinPartitions("mix_position"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bursar.llm.common import cut
+from bursar.llm.common import cut, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -127,6 +127,7 @@ def quality_rules(documents: DataFrame, min_group: int = MIN_GROUP, fence: int =
     groups of their own. A null or empty text has all counts 0 and fails the base rule. Repeated rows
     count and are judged one by one; an empty table gives no rows.
     """
+    small_batches(documents)
     columns = [F.col(c) for c in ("doc_id", "lang", "source", "text")]
     narrow = documents.select(*columns)
     fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang", "source"))

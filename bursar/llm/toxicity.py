@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bursar.llm.common import id_remainder, steps
+from bursar.llm.common import built, id_remainder, small_batches, steps
 
 #: Bounds of the labelled sample: documents per class, characters of a document that may be drawn.
 SAMPLE_DOCS = 3000
@@ -29,8 +30,10 @@ MIN_DOCS = 3
 MIN_SHARE = 0.7
 #: Tokens of a block of the forward-backward recursion; blocks of a step run side by side.
 BLOCK = 64
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 THRESHOLD = 0.3
+#: Characters tagged side by side.
+STEP_CHARS = 1_500_000
 SPAN_MARGINAL = 0.5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -166,33 +169,41 @@ def fit(sample: list[tuple[str, int]], totals: dict[int, int], seed: int = 5) ->
     """
     if len({y for _, y in sample}) < 2:
         return None
-    tokens = [[features(w) for w in text.split()] for text, _ in sample]
-    seen: tuple[Counter, Counter] = Counter(), Counter()
-    for words, (_, y) in zip(tokens, sample):
-        seen[y].update({f for w in words for f in w})
-    size = {c: max(1, sum(t == c for _, t in sample)) for c in (0, 1)}
-    true = {c: totals.get(c, 1) / size[c] for c in (0, 1)}  # rows of the class that a sampled one stands for
-    share = {f: n * true[1] / (n * true[1] + (seen[0][f] + 0.25) * true[0])
-             for f, n in seen[1].items() if n >= MIN_DOCS}
+    docs = {c: [text for text, y in sample if y == c] for c in (0, 1)}
+    of_text = lambda text: {f for w in set(WORD.findall(text)) for f in features(w)}
+    toxic: Counter = Counter()
+    for text in docs[1]:
+        toxic.update(of_text(text))
+    toxic = Counter({f: n for f, n in toxic.items() if n >= MIN_DOCS})
+    clean: Counter = Counter()
+    for text in docs[0]:
+        clean.update(of_text(text) & toxic.keys())
+    true = {c: totals.get(c, 1) / len(docs[c]) for c in (0, 1)}  # rows of the class that a sampled one stands for
+    share = {f: n * true[1] / (n * true[1] + (clean[f] + 0.25) * true[0]) for f, n in toxic.items()}
     marks = {f for f, s in share.items() if s >= MIN_SHARE}
-    strength = sorted(share, key=lambda f: (f not in marks, -abs(share[f] - 0.5) * np.log1p(seen[1][f] + seen[0][f]), f))
+    strength = sorted(share, key=lambda f: (f not in marks, -abs(share[f] - 0.5) * np.log1p(toxic[f] + clean[f]), f))
     index = {f: k for k, f in enumerate(strength[:FEATURES])}
 
     rng = np.random.default_rng(seed)
-    marked, plain = [], []
-    for words, (_, y) in zip(tokens, sample):
+    marked, plain, seen = [], [], 0  # of the plain segments a uniform sample
+    for text, y in sample:
+        words = WORD.findall(text)
         for k in range(0, len(words), SEGMENT):
             part = words[k:k + SEGMENT]
-            tags = [int(y == 1 and not marks.isdisjoint(w)) for w in part]
+            tags = [int(y == 1 and not marks.isdisjoint(features(w))) for w in part]
             if any(tags):
                 marked.append((part, tags))
             elif y == 0 or rng.random() < 0.3:
-                plain.append((part, tags))
+                seen += 1
+                at = len(plain) if len(plain) < SEGMENTS // 2 else int(rng.integers(seen))
+                if at < SEGMENTS // 2:
+                    plain[at:at + 1] = [(part, tags)]
     if not marked:
         weights, bias, potentials = {}, -6.0, np.ones((2, 2))
     else:
         pick = lambda x: [x[k] for k in sorted(rng.permutation(len(x))[:SEGMENTS // 2])]
-        weights, bias, potentials = _train(pick(marked) + pick(plain), index)
+        chosen = [([features(w) for w in part], tags) for part, tags in pick(marked) + plain]
+        weights, bias, potentials = _train(chosen, index)
     model = Model(weights, bias, potentials, np.zeros(4))
 
     facts = document_facts(model, [t for t, _ in sample])
@@ -302,10 +313,8 @@ def _facts(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def document_facts(model: Model, texts: list[str]) -> np.ndarray:
-    return _facts(*token_marginals(model, _Words(model), texts))
-
-
-_WORDS: dict[int, _Words] = {}
+    words = _Words(model)
+    return np.concatenate([_facts(*token_marginals(model, words, texts[k:k + 200])) for k in range(0, len(texts), 200)])
 
 
 def tag(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -316,21 +325,20 @@ def tag(documents: DataFrame, model: Model | None, text: str = "text") -> DataFr
     spans and the score of a text without toxic tokens; without a model all scores are 0. Input columns
     named tox_... are replaced; repeated rows stay. The broadcast model has at most ``FEATURES`` weights.
     """
+    small_batches(documents)
     base = documents.drop("tox_score", "tox_spans")
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    key = id(sent)
+    key = "toxicity", uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
-        if model and key not in _WORDS:  # a Python worker runs many tasks
-            _WORDS.clear()
-            _WORDS[key] = _Words(model)
-        for pdf in steps(batches, text):
+        words = built(key, lambda: _Words(model)) if model else None
+        for pdf in steps(batches, text, STEP_CHARS):
             texts = [t if isinstance(t, str) else "" for t in pdf[text]]
             spans: list[list[dict]] = [[] for _ in texts]
             score = np.zeros(len(texts))
             if model:
-                p, lengths = token_marginals(model, _WORDS[key], texts)
+                p, lengths = token_marginals(model, words, texts)
                 score = 1 / (1 + np.exp(-_facts(p, lengths) @ model.calibration))
                 starts = np.cumsum(lengths) - lengths
                 hot = p >= SPAN_MARGINAL
