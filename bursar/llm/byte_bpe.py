@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,12 +12,12 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from bursar.llm.common import steps
+from bursar.llm.common import built, small_batches, steps
 
 #: Bounds of a worker's memory: a full cache is emptied and filled again.
 MAX_STATES = 200_000
-MAX_PIECES = 400_000
-MAX_PAIRS = 1_000_000
+MAX_PIECES = 200_000
+MAX_PAIRS = 300_000
 _BYTES = [bytes([b]) for b in range(256)]
 #: Later than any rank.
 NEVER = 1 << 62
@@ -54,19 +55,22 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # Of each state: (last token, pending, starts), edges by byte, the tokens if the piece ends here.
+        # Of each state: last token and pending bytes, starts, the tokens if the piece ends here; edges by
+        # state << 8 | byte.
         self.known: dict[tuple[bytes, bytes], int] = {}
-        self.content: list[tuple[bytes, bytes, tuple[int, ...]]] = []
-        self.edges: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.content: list[tuple[bytes, bytes]] = []
+        self.starts: list[tuple[int, ...]] = []
         self.final: list[tuple[int, ...] | None] = []
+        self.edges: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._state(b"", b"", (0,))
 
     def _state(self, last: bytes, pending: bytes, starts: tuple[int, ...]) -> int:
-        at = self.known.get((last, pending))
+        key = last, pending
+        at = self.known.get(key)
         if at is None:
-            at = self.known[last, pending] = len(self.content)
-            self.content.append((last, pending, starts))
-            self.edges.append({})
+            at = self.known[key] = len(self.content)
+            self.content.append(key)
+            self.starts.append(starts)
             self.final.append(None)
         return at
 
@@ -132,7 +136,7 @@ class Transducer:
         return ok
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, pending, starts = self.content[state]
+        (last, pending), starts = self.content[state], self.starts[state]
         pending += _BYTES[byte]
         n = len(pending)
         for s in range(max(0, n - self.longest), n):
@@ -168,7 +172,7 @@ class Transducer:
         return self._state(last, pending, tuple(max(s - settled, 0) for s in starts[settled:])), tuple(written)
 
     def _finish(self, state: int) -> tuple[int, ...]:
-        _, pending, starts = self.content[state]
+        pending, starts = self.content[state][1], self.starts[state]
         out, j = [], len(pending)
         while j > 0:
             out.append(self.ranks[pending[starts[j]:j]])
@@ -183,14 +187,16 @@ class Transducer:
             self._reset()
         out: list[int] = []
         state = 0
+        edges = self.edges
         for byte in piece:
-            edge = self.edges[state].get(byte)
+            edge = edges.get(state << 8 | byte)
             if edge is None:
-                edge = self.edges[state][byte] = self._step(state, byte)
+                edge = edges[state << 8 | byte] = self._step(state, byte)
                 if len(self.content) > 2 * MAX_STATES:  # one very long piece: go on from a fresh copy of the state
-                    content = self.content[edge[0]]
+                    content, starts = self.content[edge[0]], self.starts[edge[0]]
                     self._reset()
-                    edge = self._state(*content), edge[1]
+                    edges = self.edges
+                    edge = self._state(*content, starts), edge[1]
             state, written = edge
             if written:
                 out += written
@@ -272,15 +278,9 @@ def decode_stream(packed: bytes, tokens: dict[int, bytes]) -> Iterable[str]:
     yield stream.feed(b"", end=True)
 
 
-_CODERS: dict[int, tuple[Encoder, dict[int, bytes]]] = {}
-
-
-def _coder(key: int, model) -> tuple[Encoder, dict[int, bytes]]:
-    if key not in _CODERS:  # a Python worker runs many tasks
-        ranks, pattern = model.value
-        _CODERS.clear()
-        _CODERS[key] = Encoder(ranks, pattern), {rank: token for token, rank in ranks.items()}
-    return _CODERS[key]
+def _coder(model) -> tuple[Encoder, dict[int, bytes]]:
+    ranks, pattern = model.value
+    return Encoder(ranks, pattern), {rank: token for token, rank in ranks.items()}
 
 
 def encode_decode(documents: DataFrame, ranks_path: str, pattern: str, text: str = "text",
@@ -293,12 +293,13 @@ def encode_decode(documents: DataFrame, ranks_path: str, pattern: str, text: str
     driver reads the ranks file and broadcasts it (its size is the vocabulary's); a worker's caches are
     bounded. Rows stream through without a shuffle.
     """
+    small_batches(documents)
     base = documents.drop("bpe_count", "bpe_ids", "bpe_text")
     model = documents.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), pattern))
-    key = id(model)
+    key = "byte_bpe", uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, tokens = _coder(key, model)
+        encoder, tokens = built(key, lambda: _coder(model))
         for pdf in steps(batches, text):
             packed = [encoder.encode(t) if isinstance(t, str) else b"" for t in pdf[text]]
             ids = [np.frombuffer(p, "<u4").astype(np.int32) for p in packed] if as_array else packed

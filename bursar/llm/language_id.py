@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bursar.llm.common import id_remainder, steps
+from bursar.llm.common import built, id_remainder, small_batches, steps
 
 #: Bounds of the labelled sample: documents per language, characters of a document that may be drawn,
 #: and characters of a language's learning text.
@@ -23,6 +24,8 @@ BLOCK = 256
 #: A text with over this many phrases per character in every language is in none of them.
 MAX_PHRASE_RATE = 0.75
 UNKNOWN = "und"
+#: Characters parsed side by side.
+STEP_CHARS = 1_000_000
 
 
 def normalised(text: str) -> np.ndarray:
@@ -138,16 +141,10 @@ class Parser:
         return out
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def _predict(model, batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
     """Adds lid_lang, lid_score and lid_rate."""
-    if model.id not in _PARSERS:  # a Python worker runs many tasks
-        _PARSERS.clear()
-        _PARSERS[model.id] = Parser(model.value) if model.value else None
-    parser = _PARSERS[model.id]
-    for pdf in steps(batches, text):
+    parser = built(model.id, lambda: Parser(model.value) if model.value else None)
+    for pdf in steps(batches, text, STEP_CHARS):
         texts = [normalised(t) if isinstance(t, str) else np.zeros(0, np.uint32) for t in pdf[text]]
         has_letter = np.array([bool((t != 32).any()) for t in texts])
         lang = np.full(len(pdf), UNKNOWN, object)
@@ -199,6 +196,7 @@ def identify(documents: DataFrame, samples: dict[str, list[str]], text: str = "t
     to learn from. The broadcast holds at most ``SAMPLE_DOCS`` bounded texts a language. Input columns
     named lid_... are replaced; rows are neither dropped nor joined, so repeated rows stay.
     """
+    small_batches(documents)
     base = documents.drop("lid_lang", "lid_score", "lid_rate")
     model = documents.sparkSession.sparkContext.broadcast(samples)
     model_ref = _Model(model)
@@ -211,7 +209,7 @@ class _Model:
     """A broadcast with an id to cache what workers build from it."""
 
     def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, id(broadcast)
+        self.broadcast, self.id = broadcast, ("language_id", uuid.uuid4().hex)
 
     @property
     def value(self):
