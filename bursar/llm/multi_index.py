@@ -18,12 +18,14 @@ THRESHOLD = 0.9
 SAMPLE, ROUNDS = 20_000, 12
 #: Vectors per grid cell aimed at; words of a codebook at least and at most.
 PER_CELL, LEAST_WORDS, MOST_WORDS = 64, 4, 1024
-#: Queries whose true neighbours among all rows are counted to choose the number of visited cells.
-QUERIES = 1000
+#: Queries whose true neighbours among all rows are counted to choose the number of visited cells: so many
+#: at first, four times as many until ENOUGH of them have neighbours, and at most.
+QUERIES, ENOUGH, MOST_QUERIES = 1000, 100, 16_000
 TARGET_RECALL = 0.995
-MOST_CELLS = 64
 #: Vectors of a side that one group compares.
 BLOCK = 1024
+#: Sums of distances that one step orders.
+STEP_SUMS = 4_000_000
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -64,20 +66,36 @@ class Index:
         cell of the a-th and b-th words has a * b - 1 cells that come no later, so only those with
         a * b <= count can be among the first ``count``: these are summed and sorted for all vectors at once.
         """
-        half = self.first.shape[1]
         count = min(count, len(self.first) * len(self.second))
         sides = []
-        for points, words in ((vectors[:, :half], self.first), (vectors[:, half:], self.second)):
-            d = _distances(points, words)
+        for d in self.distances(vectors):
             order = np.argsort(d, axis=1, kind="stable")[:, :count]
             sides.append((order, np.take_along_axis(d, order, axis=1)))
         (o1, d1), (o2, d2) = sides
-        a, b = np.array([(p, q) for p in range(o1.shape[1]) for q in range(o2.shape[1])
-                         if (p + 1) * (q + 1) <= count]).T
-        # Ties are taken by the words' ranks, which is the order of (a, b).
-        best = np.argsort(d1[:, a] + d2[:, b], axis=1, kind="stable")[:, :count]
-        return (np.take_along_axis(o1, a[best], axis=1) * len(self.second)
-                + np.take_along_axis(o2, b[best], axis=1))
+        a, b = np.array([(p, q) for p in range(o1.shape[1]) for q in range(min(o2.shape[1], count // (p + 1)))]).T
+        out, step = np.empty((len(vectors), count), np.int64), max(1, STEP_SUMS // len(a))
+        for k in range(0, len(vectors), step):
+            part = slice(k, k + step)
+            # Ties are taken by the words' ranks, which is the order of (a, b).
+            best = np.argsort(d1[part][:, a] + d2[part][:, b], axis=1, kind="stable")[:, :count]
+            out[part] = (np.take_along_axis(o1[part], a[best], axis=1) * len(self.second)
+                         + np.take_along_axis(o2[part], b[best], axis=1))
+        return out
+
+    def distances(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of each vector's halves from the words of their codebooks."""
+        half = self.first.shape[1]
+        return _distances(vectors[:, :half], self.first), _distances(vectors[:, half:], self.second)
+
+    def places(self, d1: np.ndarray, d2: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells of the whole grid one vector visits until it has been in each of ``cells`` (ties count)."""
+        sums = d1[cells // len(self.second)] + d2[cells % len(self.second)]
+        return np.searchsorted(np.sort(d2), sums[:, None] - d1[None] + 1e-9, side="right").sum(axis=1)
+
+
+def one_cell(dim: int) -> Index:
+    """All vectors in one cell, where all pairs are compared."""
+    return Index(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)))
 
 
 def _matrix(column) -> np.ndarray:
@@ -117,41 +135,51 @@ def fit(distinct: DataFrame, n: int) -> Index:
     return Index(fit_codebook(points[:, :half], words, 1), fit_codebook(points[:, half:], words, 2))
 
 
-def visited_cells(distinct: DataFrame, index: Index, threshold: float = THRESHOLD) -> tuple[int, float]:
+def visited_cells(distinct: DataFrame, index: Index, n: int, threshold: float = THRESHOLD) -> tuple[int | None, float]:
     """How many cells a vector must visit for the target recall, and the recall measured at that.
 
-    The ``QUERIES`` first vectors in the order of a hash are compared with all vectors by brute force,
-    block by block; each true neighbour is counted under the place of its own cell in the query's order.
+    The first vectors in the order of a hash are compared with all vectors by brute force, block by block;
+    each true neighbour is counted under the place of its own cell in the query's order of the whole grid.
+    Recall is the mean over the queries that have neighbours, so a large group of near copies weighs as much as
+    it has vectors and not as many as it has pairs. There are more queries until ``ENOUGH`` have neighbours or
+    all ``n`` vectors were asked; if ``MOST_QUERIES`` do not suffice, recall is unknown and the number is None.
     """
     spark = distinct.sparkSession
-    chosen = distinct.orderBy(F.xxhash64(F.lit(31), "node"), "node").limit(QUERIES).select("node", "raw").collect()
-    queries = unit(_matrix(r.raw for r in chosen))
-    cells = index.cells(queries, MOST_CELLS)
-    sent = spark.sparkContext.broadcast((queries, cells, np.array([r.node for r in chosen]), index))
 
     def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries, cells, nodes, index = sent.value
-        seen = np.zeros(cells.shape[1] + 1, np.int64)
+        raw, nodes, index = sent.value
+        queries = unit(_matrix(raw))
+        d1, d2 = index.distances(queries)
         for pdf in batches:
+            out = [(np.zeros(0, int),) * 3]
             for k in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[k:k + BLOCK]
-                rows = unit(_matrix(part["raw"]))
-                near = (queries @ rows.T >= threshold) & (nodes[:, None] != part["node"].to_numpy()[None])
-                q, r = np.nonzero(near)
-                if len(q):
-                    home = index.cells(rows, 1)[:, 0]
-                    hit = cells[q] == home[r][:, None]
-                    np.add.at(seen, np.where(hit.any(1), hit.argmax(1), cells.shape[1]), 1)
-        yield pd.DataFrame({"place": np.arange(len(seen)), "n": seen})
-
-    counted = {r.place: r.n for r in distinct.select("node", "raw").mapInPandas(ranks, "place int, n long")
-               .groupBy("place").agg(F.sum("n").alias("n")).collect()}
-    found = np.array([counted.get(k, 0) for k in range(cells.shape[1] + 1)], float)
-    if not found.sum():
-        return min(8, cells.shape[1]), 1.0
-    share = np.cumsum(found) / found.sum()
-    enough = int(np.argmax(share[:-1] >= TARGET_RECALL)) + 1 if (share[:-1] >= TARGET_RECALL).any() else cells.shape[1]
-    return enough, float(share[enough - 1])
+                rows, node = unit(_matrix(part["raw"])), part["node"].to_numpy()
+                home = index.cells(rows, 1)[:, 0]
+                for at in range(0, len(queries), BLOCK):
+                    near = (queries[at:at + BLOCK] @ rows.T >= threshold) & (nodes[at:at + BLOCK, None] != node[None])
+                    for q in np.flatnonzero(near.any(axis=1)):
+                        cells, count = np.unique(home[near[q]], return_counts=True)
+                        out.append((np.full(len(cells), at + q), index.places(d1[at + q], d2[at + q], cells), count))
+            yield pd.DataFrame(dict(zip(("q", "place", "n"), map(np.concatenate, zip(*out)))))
+
+    asked = QUERIES
+    while True:
+        chosen = distinct.orderBy(F.xxhash64(F.lit(31), "node"), "node").limit(asked).select("node", "raw").collect()
+        sent = spark.sparkContext.broadcast(([bytes(r.raw) for r in chosen], np.array([r.node for r in chosen]), index))
+        found = distinct.select("node", "raw").mapInPandas(ranks, "q int, place int, n long") \
+            .groupBy("q", "place").agg(F.sum("n").alias("n")).toPandas()
+        if found["q"].nunique() >= ENOUGH or asked >= n:
+            break
+        if asked >= MOST_QUERIES:
+            return None, 1.0
+        asked = min(4 * asked, MOST_QUERIES)
+    if not len(found):
+        return 1, 1.0
+    found["share"] = found["n"] / found.groupby("q")["n"].transform("sum") / found["q"].nunique()
+    share = found.groupby("place")["share"].sum().sort_index().cumsum()
+    enough = int(share.index[np.argmax(share.to_numpy() >= TARGET_RECALL)])
+    return enough, min(1.0, float(share[enough]))
 
 
 def _assign(sent, count: int):
@@ -203,8 +231,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, column:
     merged first, so copies are counted and never compared. A codebook for each half of the unit vectors,
     fitted on a bounded sample, spans a grid; every vector lies in one cell and visits the nearest cells in
     the order of the multi-sequence traversal. How many follows from a brute-force count over all rows for
-    a fixed number of queries, so that the share of neighbours found reaches ``TARGET_RECALL``. Visitors and
-    members of a cell meet in blocks, where cosines are computed exactly; tasks write counts and spanning
+    a sample of queries, so that the share of its neighbours that a query finds reaches ``TARGET_RECALL`` on
+    average. Where that cannot be measured, or takes so many cells that comparing all pairs moves fewer rows,
+    the grid is a single cell and all pairs are compared: recall is 1 then. Visitors and members of a cell meet in blocks, where cosines are computed exactly; tasks write counts and spanning
     trees, never pairs. A pair is counted once whichever side finds it.
 
     Vectors that are null or zero, hold null or non-finite components, or are not as long as most have no
@@ -220,7 +249,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, column:
         visits, recall, links, classes = 0, 1.0, None, None
     else:
         index = fit(distinct, n)
-        visits, recall = visited_cells(distinct, index, threshold)
+        visits, recall = visited_cells(distinct, index, n, threshold)
+        # A single cell sends each vector to 2 n / BLOCK pairs of blocks.
+        if visits is None or visits > max(16, 2 * n // BLOCK):
+            index, visits, recall = one_cell(index.first.shape[1] + index.second.shape[1]), 1, 1.0
         sent = spark.sparkContext.broadcast(index)
         assigned = cut(distinct.select("node", "rows", "raw").mapInPandas(_assign(sent, visits), "node long, rows long, raw binary, cells array<long>"))
         members = assigned.withColumn("cell", F.col("cells")[0])

@@ -511,3 +511,39 @@ def test_links_against_brute_force(spark, monkeypatch):
     assert (links <= near.sum(1)).all() and links.sum() >= 0.98 * near.sum()
     assert all(got[i].kept == (got[i].component_id == i) for i in got)
     assert all(got[i].component_id <= i for i in got) and all(got[360 + k].component_id == got[k].component_id for k in range(10))
+
+
+def _pairs(rng, n, dim=16, cosine=0.92):
+    """n vectors and a neighbour of each at the given cosine."""
+    x = multi_index.unit(rng.standard_normal((n, dim)))
+    side = rng.standard_normal((n, dim))
+    side = multi_index.unit(side - (side * x).sum(1, keepdims=True) * x)
+    return x, cosine * x + (1 - cosine ** 2) ** 0.5 * side
+
+
+def _found(spark, x):
+    """Links found and true links of each vector, and one row of the result."""
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    unit = multi_index.unit(x)
+    near = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r for r in multi_index.near_duplicates(df).collect()}
+    return np.array([got[i].n_links for i in range(len(x))]), near, got[0]
+
+
+def test_a_large_group_does_not_hide_lost_links(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "PER_CELL", 4)
+    rng = np.random.default_rng(8)
+    group = rng.standard_normal((1, 16)) + rng.standard_normal((400, 16)) * 0.05
+    links, near, _ = _found(spark, np.concatenate([*_pairs(rng, 150), group]))
+    assert (near[300:] >= 399).all() and links[:300].sum() >= 0.97 * near[:300].sum()
+
+
+@pytest.mark.parametrize("most", [16_000, 80])
+def test_rare_neighbours_are_found(spark, monkeypatch, most):
+    monkeypatch.setattr(multi_index, "PER_CELL", 1)
+    monkeypatch.setattr(multi_index, "QUERIES", 2)
+    monkeypatch.setattr(multi_index, "MOST_QUERIES", most, raising=False)
+    rng = np.random.default_rng(9)
+    links, near, row = _found(spark, np.concatenate([*_pairs(rng, 30, 16, 0.902), rng.standard_normal((1500, 16))]))
+    assert near.sum() == 60 and (links == near).all() and row.measured_recall == 1
