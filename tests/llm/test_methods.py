@@ -437,6 +437,25 @@ def test_fuzzy_passage_and_fragments(spark, prose):
     assert kept[2] == docs[1][1] and len(kept[4].split()) in range(57, 64)
 
 
+@pytest.mark.parametrize("changed, recall", [(2, 1), (5, 0.99), (8, 0.98), (10, 0.9)])
+def test_planted_passages_with_changed_words(spark, changed, recall):
+    rnd, rows = random.Random(changed), []
+    own = lambda n: [f"w{rnd.getrandbits(60)}" for _ in range(n)]
+    for k in range(100):
+        passage = own(50)
+        rows.append((k, " ".join(own(80) + passage + own(80))))
+        for at in rnd.sample(range(1, 49), changed):
+            passage[at] = own(1)[0]
+        rows.append((1000 + k, " ".join(own(80) + passage + own(80))))
+    got = {r.doc_id: r for r in substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].n_passages == 0 for k in range(100))
+    found = [got[1000 + k] for k in range(100) if got[1000 + k].n_passages]
+    for r in found:
+        assert all(77 <= p.start and p.end <= 133 and p.ref_doc_id == r.doc_id - 1000 for p in r.passages)
+        assert all(p.n_equal >= 0.8 * (p.end - p.start) for p in r.passages)
+    assert len(found) >= 100 * recall
+
+
 def test_cut_out():
     assert substring_dedup.cut_out("a b\n c  d e", [(1, 3)]) == "a d e"
     assert substring_dedup.cut_out("a b c", [(0, 3)]) == "" and substring_dedup.cut_out(" a b c", [(2, 3), (1, 2)]) == " a "
