@@ -456,6 +456,20 @@ def test_planted_passages_with_changed_words(spark, changed, recall):
     assert len(found) >= 100 * recall
 
 
+def test_passage_made_of_pieces_of_earlier_documents(spark, prose):
+    own = lambda seed: prose(seed, 60)
+    rows, rnd = [], random.Random(12)
+    for k in range(10):
+        passage = [f"w{rnd.getrandbits(60)}" for _ in range(70)]
+        # Every seed of the passage occurs in one of the pieces, none of which is a passage.
+        for j, text in enumerate([passage[:30], passage[20:50], passage[40:], passage, passage]):
+            rows.append((10 * k + j, " ".join([own(1000 + 20 * k + j), *text, own(2000 + 20 * k + j)])))
+    got = {r.doc_id: r for r in substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(10):
+        assert all(got[10 * k + j].n_passages == 0 for j in range(4))
+        assert {p.ref_doc_id for p in got[10 * k + 4].passages} == {10 * k + 3} and 70 <= got[10 * k + 4].repeated_words <= 73
+
+
 def test_cut_out():
     assert substring_dedup.cut_out("a b\n c  d e", [(1, 3)]) == "a d e"
     assert substring_dedup.cut_out("a b c", [(0, 3)]) == "" and substring_dedup.cut_out(" a b c", [(2, 3), (1, 2)]) == " a "
