@@ -9,7 +9,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from bursar.llm import byte_bpe, jaccard_join, substring_dedup
+from bursar.llm import byte_bpe, jaccard_join, mixing, substring_dedup
 from tests.llm.conftest import SF
 from tests.llm.test_methods import brute_links
 
@@ -49,3 +49,14 @@ def test_pipeline(spark, documents):
 def test_run_writes_every_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and out.columns[:4] == ["doc_id", "lang", "source", "n_tokens"]
+
+
+def test_the_mix_reaches_the_result(spark, documents, tmp_path):
+    docs = documents.select("doc_id", "lang", "source", "text")
+    corpus_pipeline.mix_sources(spark, docs, SF).write.option("maxRecordsPerFile", 7).parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.tokenize(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
+    want = {r.doc_id: r for r in mixing.mixed(docs).collect()}
+    assert sorted(r.mix_position for r in got) == list(range(documents.count()))
+    for r in got:
+        assert r.mix_position == want[r.doc_id].mix_position
+        assert want[r.doc_id].mix_release <= want[r.doc_id].mix_slot < want[r.doc_id].mix_deadline
