@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ from bursar.llm.common import aside, small_batches
 
 #: Documents of a block, the unit of the schedule.
 BLOCK_ROWS = 32
-#: Slots of one period; target weights are rounded to multiples of its inverse.
-PERIOD = 4096
+#: Slots of one period; target weights are rounded to multiples of its inverse. As no input has so many blocks,
+#: a phase ends within its first period and stays within a block of the true weights.
+PERIOD = 1 << 32
 #: The largest sources, each a stream of its own; all further ones share one more stream.
 MAX_STREAMS = 255
 #: Slices of the hash order, in which a source's documents are numbered independently.
@@ -31,38 +33,39 @@ def quantised(weights: np.ndarray, period: int) -> np.ndarray:
     return share + 1
 
 
-def one_period(shares: np.ndarray, period: int) -> np.ndarray:
-    """The stream of each slot of a period.
+def one_period(shares: np.ndarray, period: int, left: np.ndarray) -> np.ndarray:
+    """The stream of each slot of a period, up to the slot in which a stream has given all its ``left`` blocks.
 
     Block j of a stream with ``share`` of ``period`` slots is released at floor(j * period / share)
     and due by ceil((j + 1) * period / share); each slot takes the released block with the earliest
     deadline (ties: the lowest stream). Shares add up to the period, so every block meets its window.
     """
-    by_release: list[list[int]] = [[] for _ in range(period)]
-    for s in range(len(shares)):
-        by_release[0].append(s)
-    given = [0] * len(shares)
+    share, most = [int(q) for q in shares], [int(n) for n in left]
+    given = [0] * len(share)
+    waiting = [(0, s) for s in range(len(share))]
     ready: list[tuple[int, int]] = []
-    out = np.empty(period, np.int64)
+    out = array("H" if len(share) <= 1 << 16 else "L")
     for t in range(period):
-        for s in by_release[t]:
-            heapq.heappush(ready, (-(-(given[s] + 1) * period // int(shares[s])), s))
+        while waiting and waiting[0][0] <= t:
+            _, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(given[s] + 1) * period // share[s]), s))
         due, s = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a block missed its deadline")
-        out[t] = s
+        out.append(s)
         given[s] += 1
-        release = max(t + 1, given[s] * period // int(shares[s]))
-        if given[s] < shares[s] and release < period:
-            by_release[release].append(s)
-    return out
+        if given[s] == most[s]:
+            break
+        if given[s] < share[s]:
+            heapq.heappush(waiting, (max(t + 1, given[s] * period // share[s]), s))
+    return np.array(out, np.int64)
 
 
 def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> dict:
     """The whole schedule in closed form: phases, each a repeated period over the streams left.
 
     A phase ends with the first stream that runs out; the weights of the others are scaled up for the
-    next. There are at most as many phases as streams.
+    next. There are at most as many phases as streams. Work and memory (4 bytes a block) grow with the blocks.
     """
     left, weight = np.array(blocks, np.int64), np.array(weights, float)
     done = np.zeros(len(left), np.int64)
@@ -70,12 +73,13 @@ def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> d
     while (left > 0).any():
         live = np.flatnonzero(left > 0)
         share = quantised(weight[live], period)
-        slots = one_period(share, period)
-        places = [np.flatnonzero(slots == k) for k in range(len(live))]
+        slots = one_period(share, period, left[live])
+        order = np.argsort(slots, kind="stable").astype(np.int32 if len(slots) < 1 << 31 else np.int64)
+        places = np.split(order, np.cumsum(np.bincount(slots, minlength=len(live)))[:-1])
         # The slot after which each stream is out; the phase ends at the first of them.
-        ends = [(int(left[s]) - 1) // int(q) * period + int(p[(int(left[s]) - 1) % int(q)]) + 1
-                for s, q, p in zip(live, share, places)]
-        length = min(ends)
+        length = len(slots) if (left[live] <= share).any() and len(slots) < period else min(
+            (int(left[s]) - 1) // int(q) * period + int(p[(int(left[s]) - 1) % int(q)]) + 1
+            for s, q, p in zip(live, share, places))
         for s, q, p in zip(live, share, places):
             took = length // period * int(q) + int(np.searchsorted(p, length % period))
             phases.append({"stream": int(s), "from": int(done[s]), "to": int(done[s]) + took, "start": start,
@@ -86,8 +90,16 @@ def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> d
     return {"period": period, "phases": phases, "slots": start}
 
 
-def _timed(plan: dict, sizes: list[int], block_rows: int):
-    """A function that puts slot, release, deadline and position on (stream, number) rows."""
+def _timed(sent, sizes: list[int], block_rows: int):
+    """A function that puts slot, release, deadline and position on (stream, number) rows; ``sent`` holds the plan."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _places(sent.value, sizes, block_rows)(batches)
+
+    return run
+
+
+def _places(plan: dict, sizes: list[int], block_rows: int):
     by: dict[int, list[dict]] = {}
     for p in plan["phases"]:
         by.setdefault(p["stream"], []).append(p)
@@ -144,7 +156,7 @@ def mixed(documents: DataFrame, weights: dict[str | None, float] | None = None,
 
     Documents of a stream come in the order of a hash of the id. They are numbered in slices of that
     order, whose counts give the offsets, so that no task holds a whole source. The driver holds counts of
-    ``max_streams`` + 1 streams and at most as many periods. Repeated rows keep separate places.
+    ``max_streams`` + 1 streams and the slots of all blocks, 4 bytes each. Repeated rows keep separate places.
     """
     spark = documents.sparkSession
     taken = [c for c in documents.columns if c.startswith("mix_")]
@@ -188,7 +200,7 @@ def mixed(documents: DataFrame, weights: dict[str | None, float] | None = None,
                 .drop("mix_offset", "mix_in", "mix_hash", "mix_slice"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
     return numbered.mapInPandas(
-        _timed(plan, sizes, block_rows),
+        _timed(spark.sparkContext.broadcast(plan), sizes, block_rows),
         f"{fields}, mix_block long, mix_slot long, mix_release long, mix_deadline long, mix_position long")
 
 

@@ -496,6 +496,16 @@ def test_schedule_keeps_windows(streams):
     assert sorted(taken) == list(range(sum(blocks))) and [ends[s] for s in range(len(blocks))] == blocks
 
 
+def test_many_blocks_stay_within_a_block_of_the_true_weights():
+    weights = np.array([0.2, 0.3, 0.1234567, 0.3765433])
+    plan = mixing.schedule([100_000] * 4, weights.tolist())
+    for p in plan["phases"][:4]:
+        t = np.array([0, *(np.asarray(p["places"]) + 1)])
+        assert p["to"] == len(p["places"]) and p["start"] == 0
+        assert (abs(np.arange(len(t)) - t * weights[p["stream"]]) < 1 + 1e-3).all()
+    assert plan["slots"] == 400_000
+
+
 def test_mix_stays_within_a_block(spark):
     rows = pd.DataFrame([r.asDict() for r in mixing.mixed(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"),
                                                           block_rows=2).collect()]).sort_values("mix_position")
