@@ -149,8 +149,9 @@ def mixed(documents: DataFrame, weights: dict[str | None, float] | None = None,
 
     The target weight of a source is ``weights[source]``, or where none are given its row count to the
     power ``alpha``. Sources beyond the ``max_streams`` largest, and those that ``weights`` leaves out,
-    share one stream, which weighs what the weights leave of 1 or, if they leave nothing, its share of
-    the rows. A null source is a source of its own. No row is dropped or repeated: when a stream runs
+    share one stream, which weighs the sum of their weights; inside it they come in turn by their own weights.
+    Sources without a given weight share, by their rows, what the weights leave of 1 or, if they leave
+    nothing, their share of the rows. A null source is a source of its own. No row is dropped or repeated: when a stream runs
     out, the others go on at their relative weights. Within such a phase a stream's share of the blocks
     is never a whole block away from its weight (rounded to 1/period).
 
@@ -173,10 +174,22 @@ def mixed(documents: DataFrame, weights: dict[str | None, float] | None = None,
     named = sum(n for *_, n in given)
     sizes = [n for *_, n in given] + [total - named]
     listed = sum(w for _, w, _ in given)
+    others = top.join(F.broadcast(_named(spark, [(s, 0.0) for s, *_ in given])),
+                      F.col("source").cast("string").eqNullSafe(F.col("mix_name")), "left_anti")
     if weights:
-        rest = 1 - listed if listed < 1 else listed * max(total - named, 1) / max(named, 1)
+        # Sources beyond the largest weights keep theirs; those without one share what the weights leave.
+        own = _named(spark, [(s, float(w)) for s, w in weights.items() if w > 0])
+        others = others.join(F.broadcast(own), F.col("source").cast("string").eqNullSafe(F.col("mix_name")), "left")
+        more = others.agg(F.coalesce(F.sum("mix_value"), F.lit(0.0)),
+                          F.coalesce(F.sum(F.when(F.col("mix_value").isNull(), F.col("n"))), F.lit(0))).first()
+        every = listed + more[0]
+        without = 1 - every if every < 1 else every * max(more[1], 1) / max(total - more[1], 1)
+        rest = more[0] + (without if more[1] or not more[0] else 0)
+        others = others.withColumn("mix_weight", F.coalesce("mix_value", F.lit(without / max(more[1], 1)) * F.col("n")))
     else:
-        rest = float(max(total - named, 1)) ** alpha
+        others = others.withColumn("mix_weight", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
+        rest = others.agg(F.coalesce(F.sum("mix_weight"), F.lit(1.0))).first()[0]
+    end = others.agg(F.max(F.col("n") / F.col("mix_weight"))).first()[0] if total > named else None
     target = [w for _, w, _ in given] + [rest]
     plan = schedule([-(-n // block_rows) for n in sizes], target, period)
 
@@ -187,6 +200,8 @@ def mixed(documents: DataFrame, weights: dict[str | None, float] | None = None,
         .withColumn("mix_stream", F.coalesce("mix_of", F.lit(len(given)))).drop("mix_name", "mix_of")
     found = found.withColumn("mix_hash", F.xxhash64(F.lit(seed), "doc_id")) \
         .withColumn("mix_slice", F.shiftrightunsigned("mix_hash", 52).cast("int") % SLICES)
+    if end:
+        found = _in_turn(found, others, len(given), float(end))
     kept = found if carry else found.select("doc_id", "source", "mix_stream", "mix_hash", "mix_slice")
     counts = found.groupBy("mix_stream", "mix_slice").agg(F.count("*").alias("mix_n"))
     before = Window.partitionBy("mix_stream").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -204,6 +219,25 @@ def mixed(documents: DataFrame, weights: dict[str | None, float] | None = None,
         f"{fields}, mix_block long, mix_slot long, mix_release long, mix_deadline long, mix_position long")
 
 
+def _named(spark, rows: list[tuple[str | None, float]]) -> DataFrame:
+    return spark.createDataFrame(rows, "mix_name string, mix_value double")
+
+
+def _in_turn(found: DataFrame, others: DataFrame, stream: int, end: float) -> DataFrame:
+    """The rows of the shared stream get the order of a second level: document i of a source with weight w comes
+    at (i + phase) / w, so at any time each source has given its weight's share to within a document, until
+    it runs out. The time takes the place of the hash, its slices those of the hash order."""
+    shared = found.filter(F.col("mix_stream") == stream)
+    inside = Window.partitionBy("source").orderBy("mix_hash", "doc_id")
+    phase = F.pmod(F.xxhash64(F.lit(7), "source"), F.lit(1 << 20)) / float(1 << 20)
+    timed = (shared.withColumn("mix_i", F.row_number().over(inside) - 1)
+             .join(others.select(F.col("source").alias("mix_other"), "mix_weight"), F.col("source").eqNullSafe(F.col("mix_other")))
+             .withColumn("mix_time", (F.col("mix_i") + phase) / F.col("mix_weight") / F.lit(end))
+             .withColumn("mix_slice", F.least(F.floor(F.col("mix_time") * SLICES), F.lit(SLICES - 1)).cast("int"))
+             .withColumn("mix_hash", (F.col("mix_time") * float(1 << 52)).cast("long")))
+    return found.filter(F.col("mix_stream") < stream).unionByName(timed.select(*found.columns))
+
+
 def _one_of(values: list) -> Column:
     known = [v for v in values if v is not None]
     found = F.col("source").isin(known) if known else F.lit(False)

@@ -506,6 +506,18 @@ def test_many_blocks_stay_within_a_block_of_the_true_weights():
     assert plan["slots"] == 400_000
 
 
+@pytest.mark.parametrize("weights", [None, {f"s{k:02}": (1 + k % 2) / 60 for k in range(40)}])
+def test_sources_beyond_the_streams_keep_their_weights(spark, weights):
+    rows = [(100 * k + j, f"s{k:02}") for k in range(40) for j in range(50)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_rows=2, max_streams=8).collect()
+    order = [r.source for r in sorted(got, key=lambda r: r.mix_position)]
+    assert sorted(r.mix_position for r in got) == list(range(2000))
+    first = Counter(order[:600])
+    for k in range(40):
+        want = 600 / 40 if weights is None else 600 * (1 + k % 2) / 60
+        assert abs(first[f"s{k:02}"] - want) <= 4
+
+
 def test_mix_stays_within_a_block(spark):
     rows = pd.DataFrame([r.asDict() for r in mixing.mixed(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"),
                                                           block_rows=2).collect()]).sort_values("mix_position")
