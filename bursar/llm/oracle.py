@@ -57,3 +57,37 @@ outside AS (SELECT m.rid FROM m JOIN reach r ON {_SAME_GROUP.format(a="m", b="r"
 SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        {', '.join(SLACK)}, NOT base_failed AND rid NOT IN (SELECT rid FROM outside) AS kept
 FROM m"""
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PHRASE_COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({_LOWER.format('text')}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, w[i:i + k - 1] AS p
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words) CROSS JOIN (SELECT unnest(range(1, 6)) AS k)
+  WHERE i + k - 1 <= len(w)),
+often AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, k, h.f AS l, t.f AS r, n,
+         ((1000::HUGEINT * c.f * n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM often WHERE len(p) > 1) c
+  JOIN often h ON h.lang = c.lang AND h.p = c.p[1:k]
+  JOIN often t ON t.lang = c.lang AND t.p = c.p[k + 1:]
+  JOIN totals n ON n.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+shorter AS (
+  SELECT DISTINCT q.lang, q.p[i:i + m - 1] AS p
+  FROM (SELECT *, unnest(range(1, len(p))) AS i FROM often WHERE len(p) > 2) q, (SELECT unnest(range(2, 5)) AS m) s, often o
+  WHERE m < len(q.p) AND i + m - 1 <= len(q.p) AND o.lang = q.lang AND o.p = q.p[i:i + m - 1] AND 100 * q.f >= 100 * o.f),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM best WHERE NOT EXISTS (SELECT 1 FROM shorter s WHERE s.lang = best.lang AND s.p = best.p))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""

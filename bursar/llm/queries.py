@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bursar.llm import byte_bpe, jaccard_join, language_id, language_model, mixing, multi_index, quality, sharding, substring_dedup, toxicity
+from bursar.llm import byte_bpe, collocations, jaccard_join, language_id, language_model, mixing, multi_index, quality, sharding, substring_dedup, toxicity
 from bursar.llm.common import id_remainder, read
-from bursar.llm.oracle import QUALITY_RULES
+from bursar.llm.oracle import PHRASE_COLLOCATIONS, QUALITY_RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,9 +74,13 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_language_id, op3_language_model, op4_byte_bpe, op5_jaccard_join, op6_sharding,
-    op7_toxicity, op8_substring_dedup, op9_mixing, op10_multi_index)}
+    op7_toxicity, op8_substring_dedup, op9_mixing, op10_multi_index, op11_collocations)}
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES}
+ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op11_collocations": PHRASE_COLLOCATIONS}
