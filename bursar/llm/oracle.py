@@ -91,3 +91,31 @@ ranked AS (
   FROM best WHERE NOT EXISTS (SELECT 1 FROM shorter s WHERE s.lang = best.lang AND s.p = best.p))
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
+
+PREFIX_TRIE = """
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (  -- CRC-32 bit by bit over the decimal digits
+  SELECT conv_id, own, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           flatten([[ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(conv_id::VARCHAR, '')])),
+           lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) % 9 AS h
+  FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:h], []), c.own[h + 1:]) AS p
+  FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+nodes AS (
+  SELECT p[1:d] AS p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(p) = d), '')) AS ends_sha256
+  FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM rebuilt) GROUP BY p[1:d], d),
+facts AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(p[depth].text) END AS saved FROM nodes),
+children AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+below AS (
+  SELECT x.p[1:x.d] AS p, sum(saved) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM facts) x LEFT JOIN children c ON c.p = x.p GROUP BY x.p[1:x.d])
+SELECT f.conv_id, f.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_convs, coalesce(c.n, 0) AS n_children,
+       b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM facts f JOIN below b ON b.p = f.p LEFT JOIN children c ON c.p = f.p
+LEFT JOIN nodes q ON f.depth > 0 AND q.p = f.p[1:f.depth - 1]
+"""

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bursar.llm import byte_bpe, collocations, jaccard_join, language_id, language_model, mixing, multi_index, quality, sharding, substring_dedup, toxicity
+from bursar.llm import byte_bpe, collocations, jaccard_join, language_id, language_model, mixing, multi_index, packing, prefix_trie, quality, sharding, substring_dedup, toxicity
 from bursar.llm.common import id_remainder, read
-from bursar.llm.oracle import PHRASE_COLLOCATIONS, QUALITY_RULES
+from bursar.llm.oracle import PHRASE_COLLOCATIONS, PREFIX_TRIE, QUALITY_RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,9 +78,20 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.packed_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "padded")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_rules, op2_language_id, op3_language_model, op4_byte_bpe, op5_jaccard_join, op6_sharding,
-    op7_toxicity, op8_substring_dedup, op9_mixing, op10_multi_index, op11_collocations)}
+    op7_toxicity, op8_substring_dedup, op9_mixing, op10_multi_index, op11_collocations, op12_packing, op13_prefix_trie)}
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op11_collocations": PHRASE_COLLOCATIONS}
+ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op11_collocations": PHRASE_COLLOCATIONS,
+                          "op13_prefix_trie": PREFIX_TRIE}
