@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bursar.operators.numbering import numbered
+from bursar.operators.staging import staged
 from bursar.functions.formats import ACTIVE, is_php_empty, php_trim, receipt_number, text_key
 from bursar.sources import schemas
 from bursar.sources.tables import conform
@@ -87,10 +88,10 @@ def _first_by_key(commands: DataFrame, keys: list[str], cols: list[str]) -> Data
 def _present(base: DataFrame, commands: DataFrame, keys: list[str]) -> DataFrame:
     """The commands' keys that the base has, marked ``_present``: at most one row per command.
 
-    The commands' distinct keys are the build side, so the base is scanned once and not sorted or
-    shuffled while they are small.
+    The commands' distinct keys are written first, so their size is known: up to the session's broadcast
+    threshold they meet the base where it lies, which is then neither sorted nor shuffled.
     """
-    wanted = commands.select(*keys).distinct()
+    wanted = staged(commands.select(*keys).distinct())
     return base.select(*keys).join(wanted, keys, "left_semi").distinct().withColumn("_present", F.lit(True))
 
 

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
 from decimal import Decimal
@@ -11,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from bursar.session import get_session  # noqa: E402
 from bursar.sources import schemas  # noqa: E402
+from tests.days import day  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,10 +22,6 @@ def spark():
 D = Decimal
 
 
-def day(s: str) -> dt.date:
-    return dt.date.fromisoformat(s)
-
-
 @pytest.fixture
 def make(spark):
     """make(table_name_or_schema, rows): a DataFrame with the declared schema (rows as dicts)."""

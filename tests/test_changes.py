@@ -5,7 +5,7 @@ from decimal import Decimal as D
 from bursar.operators import changes as ch
 from bursar.sources import schemas
 
-from conftest import day
+from tests.days import day
 
 
 def test_registrations_rules(make, school):

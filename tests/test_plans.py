@@ -71,13 +71,20 @@ def test_sums_are_combined_before_the_shuffle(spark, q):
 
 
 
-def test_rejects_do_not_shuffle_the_base(spark, school, make):
-    """The base's keys meet the commands' keys where they lie; only the commands' side is built."""
+@pytest.mark.parametrize("on_files", [True, False])
+def test_rejects_do_not_shuffle_the_base(spark, school, make, tmp_path, on_files):
+    """The base's keys meet the commands' keys where they lie, whether or not the frames have size statistics."""
     from bursar.operators.changes import apply_payment_deletes
-    from bursar.sources import schemas
+    from bursar.sources import schemas, tables
     cmds = make(schemas.KEY_COMMANDS_PAYMENT, [{"seq": k, "payment_id": k * 3} for k in range(4)])
-    plan = _plan(apply_payment_deletes(school["payments"], cmds).rejects)
-    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    payments = school["payments"]
+    if on_files:
+        payments = tables.fee_payments(spark, tables.write_version(payments, str(tmp_path / "payments")))
+    result = apply_payment_deletes(payments, cmds)
+    plan = _plan(result.rejects)
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi), plan
+    assert {r.payment_id for r in result.rejects.collect()} == {0, 9}
 
 
 def test_term_partitioned_payments_are_pruned(spark, school, tmp_path):

@@ -10,7 +10,7 @@ import numpy as np
 from bursar.operators.stock_fold import apply_at, compose, fold_segment, issue_uniforms, transition
 from bursar.sources import schemas
 
-from conftest import day
+from tests.days import day
 
 
 def brute(stock: dict[int, int], reqs: list[dict]) -> tuple[set[int], dict[int, int]]:

@@ -9,7 +9,7 @@ from bursar.sources import schemas, tables
 from bursar.streaming.commands import apply_stream, version_path
 from bursar.streaming.issues import issue_stream
 
-from conftest import day
+from tests.days import day
 
 
 def _write_batches(spark, folder, schema, batches):
