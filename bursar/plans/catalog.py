@@ -80,13 +80,15 @@ READ_QUERIES: dict[str, Query] = {
 
 def all_queries() -> dict[str, Query]:
     from bursar.plans.changes_catalog import CHANGE_QUERIES
-    return {**READ_QUERIES, **CHANGE_QUERIES}
+    from bursar.plans.log_catalog import LOG_QUERIES
+    return {**READ_QUERIES, **CHANGE_QUERIES, **LOG_QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
     from bursar.plans.changes_catalog import CHANGE_ORACLE
+    from bursar.plans.log_catalog import LOG_ORACLE
     from bursar.plans.oracle import ORACLE
-    return {**ORACLE, **CHANGE_ORACLE}
+    return {**ORACLE, **CHANGE_ORACLE, **LOG_ORACLE}
 
 
 def _audits():

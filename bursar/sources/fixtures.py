@@ -164,6 +164,47 @@ SELECT event_id AS seq, user_id*15+1 AS uniform_id,
   CAST(CASE WHEN event_id%17=0 THEN -1 ELSE ceil(value) END AS DECIMAL(12,2)) AS price
 FROM {events}
 WHERE event_type='click'""",
+    # Restocks with a day, spread over the days of the issue requests.
+    "dated_restock_commands": """
+SELECT event_id AS seq, CASE WHEN event_id%3=0 THEN user_id*15+1 ELSE event_id%50+1 END AS uniform_id,
+  CAST(CASE WHEN event_id%10=0 THEN 0 ELSE ceil(value) END AS INT) AS add_quantity,
+  DATE '1995-01-02' + CAST(event_id%2400 AS INT) AS date_added
+FROM {events}
+WHERE event_type='view'""",
+    # Payments recorded, edited and deleted in one log; half of the edits and deletes aim near the key that a
+    # payment recorded at about that time gets.
+    "payment_log": """
+SELECT event_id AS seq,
+  CASE event_type WHEN 'purchase' THEN 'record' WHEN 'error' THEN 'edit' ELSE 'delete' END AS action,
+  CASE WHEN event_type='purchase' THEN NULL WHEN event_id%2=0 THEN event_id+1
+    ELSE (SELECT max(o_orderkey)+1 FROM {orders} WHERE o_orderstatus<>'P') + CAST(floor(event_id/5) AS BIGINT) - event_id%40 + 15 END AS payment_id,
+  user_id*11+1 AS student_id, CAST(8+event_id%16 AS INT) AS term_id,
+  CAST(CASE WHEN event_id%10=0 THEN 0 ELSE ceil(value) END AS DECIMAL(12,2)) AS amount_paid,
+  CASE WHEN event_id%4=0 THEN 'Bank' ELSE 'Cash' END AS payment_method,
+  concat(' Clerk ',CAST(user_id%5 AS STRING),' ') AS received_by, CAST(ts AS DATE) AS date_paid
+FROM {events}
+WHERE event_type IN ('purchase','error','signup')""",
+    # Registrations that want few numbers again and again, and deletions of students of the table and of those
+    # that a registration near in time makes.
+    "student_log": """
+SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'register' ELSE 'delete' END AS action,
+  CASE WHEN event_type='click' THEN NULL WHEN event_id%2=0 THEN user_id*11+1
+    ELSE (SELECT max(c_custkey)+1 FROM {customer}) + CAST(floor(event_id*2/5) AS BIGINT) - event_id%12 + 4 END AS student_id,
+  CASE WHEN event_type<>'click' THEN NULL WHEN event_id%7=0 THEN '' WHEN event_id%5=0 THEN concat('ADM-',lpad(CAST(user_id*11+1 AS STRING),6,'0'))
+    WHEN event_id%3=0 THEN 'adm-Hot' ELSE concat('ADM-',CAST(900000+user_id%20 AS STRING)) END AS admission_number,
+  concat(' New ',CAST(event_id AS STRING),' ') AS full_name, 'Male' AS gender,
+  CAST(user_id%25+1 AS INT) AS class_id, 0 AS is_boarder
+FROM {events}
+WHERE event_type IN ('click','error')""",
+    # What clerks typed: numbers, parts of names, wildcards, nothing.
+    "search_terms": """
+SELECT event_id AS term_key,
+  CASE WHEN event_id%4=0 THEN concat(' adm-',lpad(CAST(user_id*11+1 AS STRING),6,'0')) END AS admission_number,
+  CASE event_id%9 WHEN 0 THEN '' WHEN 1 THEN concat('r#0000',CAST(user_id%90+10 AS STRING)) WHEN 2 THEN concat('%',CAST(user_id AS STRING),'%')
+    WHEN 3 THEN CAST(user_id%100 AS STRING) WHEN 4 THEN concat('Customer#_0000',CAST(user_id AS STRING)) WHEN 5 THEN concat('ADM-',lpad(CAST(user_id AS STRING),6,'0'))
+    ELSE concat('000',CAST(user_id AS STRING)) END AS search
+FROM {events}
+WHERE event_type='signup' AND event_id%20=6""",
     # Uniform issue requests: the issue lines, in issue order, replayed against opening stock.
     "issue_requests": """
 SELECT l_orderkey*10+l_linenumber AS request_id, o_custkey+1 AS student_id, p_partkey+1 AS uniform_id,
@@ -190,6 +231,10 @@ VIEW_SCHEMA = {
     "item_add_commands": schemas.ITEM_COMMANDS,
     "item_update_commands": schemas.ITEM_COMMANDS,
     "issue_requests": schemas.ISSUE_REQUESTS,
+    "dated_restock_commands": schemas.DATED_RESTOCKS,
+    "payment_log": schemas.PAYMENT_LOG,
+    "student_log": schemas.STUDENT_LOG,
+    "search_terms": schemas.SEARCH_TERMS,
 }
 
 _HANDLES: dict[tuple[str, str, str], DataFrame] = {}

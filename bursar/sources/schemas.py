@@ -191,6 +191,44 @@ RESTOCK_COMMANDS = _schema(
     ("add_quantity", T.IntegerType(), True),
 )
 
+DATED_RESTOCKS = _schema(
+    ("seq", T.LongType(), False),
+    ("uniform_id", T.LongType(), True),
+    ("add_quantity", T.IntegerType(), True),
+    ("date_added", T.DateType(), True),
+)
+
+# Payments recorded, edited and deleted in one time order.
+PAYMENT_LOG = _schema(
+    ("seq", T.LongType(), False),
+    ("action", T.StringType(), True),
+    ("payment_id", T.LongType(), True),
+    ("student_id", T.LongType(), True),
+    ("term_id", T.IntegerType(), True),
+    ("amount_paid", MONEY, True),
+    ("payment_method", T.StringType(), True),
+    ("received_by", T.StringType(), True),
+    ("date_paid", T.DateType(), True),
+)
+
+# Students registered and deleted in one time order.
+STUDENT_LOG = _schema(
+    ("seq", T.LongType(), False),
+    ("action", T.StringType(), True),
+    ("student_id", T.LongType(), True),
+    ("admission_number", T.StringType(), True),
+    ("full_name", T.StringType(), True),
+    ("gender", T.StringType(), True),
+    ("date_of_birth", T.DateType(), True),
+    ("class_id", T.IntegerType(), True),
+    ("is_boarder", T.IntegerType(), True),
+    ("guardian_name", T.StringType(), True),
+    ("guardian_phone", T.StringType(), True),
+)
+
+SEARCH_TERMS = _schema(("term_key", T.LongType(), False), ("admission_number", T.StringType(), True),
+                       ("search", T.StringType(), True))
+
 ITEM_COMMANDS = _schema(
     ("seq", T.LongType(), False),
     ("uniform_id", T.LongType(), True),
