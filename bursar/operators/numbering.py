@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from bursar.session import ensure_checkpoint_dir
 
 
+def positions(df: DataFrame, name: str = "position") -> DataFrame:
+    """``df`` with each row's place in the order that it comes in (of a sorted frame: that of the sort), from 1."""
+    out = numbered(df.withColumn("_came", F.monotonically_increasing_id()), ["_came"], name)
+    return out.drop("_came")
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with a ``bigint`` column ``name``: 1, 2, ... in the order of ``order`` (nulls first).
 

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bursar.operators.numbering import numbered
+from bursar.operators.staging import staged
 from bursar.sources import schemas
 from bursar.sources.schemas import MONEY
 from bursar.sources.tables import conform
@@ -388,8 +389,11 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, issues: DataFrame | No
                 .mapInPandas(_fold_partition, _DECIDED).checkpoint(eager=True))
 
     # The carried runs, with the price and the stock that the item's first segment hands on.
+    # Handed on to segments (one carried run each) and joined on these, so no join hashes a hot item's requests.
+    opened = out.filter(F.col("state") == OPEN)
     handed = out.filter(F.col("state") == HEAD).select("uniform_id", "price_cents", F.col("end_left").alias("opening"))
-    joined = out.filter(F.col("state") == OPEN).drop("price_cents", "state", "end_left").join(handed, "uniform_id", "left")
+    of_segment = staged(opened.select("uniform_id", "seg").distinct().join(handed, "uniform_id", "left").drop("uniform_id"))
+    joined = opened.drop("price_cents", "state", "end_left").join(of_segment, "seg", "left")
     unknown = joined.filter(F.col("opening").isNull())
     carried = joined.filter(F.col("opening").isNotNull())
     usable = F.when((F.col("quantity") >= 1) & (F.col("quantity") * F.col("price_cents") <= MAX_CENTS), F.col("quantity"))
@@ -437,7 +441,7 @@ def issue_uniforms(items: DataFrame, requests: DataFrame, issues: DataFrame | No
     issued, table = accepted, None
     if issues is not None:
         top = issues.agg(F.coalesce(F.max("issue_key"), F.lit(0)).cast("bigint")).scalar()
-        issued = (numbered(accepted, ["issue_key"], "_pos").withColumn("issue_key", top + F.col("_pos")).drop("_pos"))
+        issued = (numbered(accepted, ["issue_key", "date_issued", "student_id", "uniform_id", "quantity"], "_pos").withColumn("issue_key", top + F.col("_pos")).drop("_pos"))
         table = issues.unionByName(conform(issued, schemas.UNIFORM_ISSUES))
     reason = F.element_at(F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv)), F.col("state"))
     rejects = decided.filter(F.col("state") != ACCEPTED).select("request_id", "uniform_id", reason.alias("reject_reason"))

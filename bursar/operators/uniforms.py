@@ -90,7 +90,8 @@ def eligible_items_for(selected_students: DataFrame, classes: DataFrame, items:
                          F.col("match_section").alias("applicable_section"),
                          F.col("match_gender").alias("applicable_gender"),
                          money("price").alias("price"), "quantity_in_stock")
-                 .orderBy("student_id", F.lower("item_name"), "item_name", "uniform_id"))
+                 # A page is one student's: sorted within the student, not over all pairs.
+                 .repartition("student_id").sortWithinPartitions("student_id", F.lower("item_name"), "item_name", "uniform_id"))
 
 
 def uniform_issue_history(issues: DataFrame, items: DataFrame, student_id: int | None = None) -> DataFrame:

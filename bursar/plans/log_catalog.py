@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from bursar.operators import changes as ch
+from bursar.operators import versions
+from bursar.operators.audits import boarding_fee_check
+from bursar.operators.balances import term_balances
+from bursar.operators.numbering import positions
 from bursar.operators.payment_log import apply_payment_log
+from bursar.operators.staging import staged
+from bursar.operators.stock_fold import issue_uniforms
 from bursar.operators.stock_ledger import stock_ledger
 from bursar.operators.student_log import apply_student_log
 from bursar.operators.student_search_many import search_outcomes
-from bursar.plans.catalog import _q
-from bursar.plans.changes_catalog import ITEM_COLS, PAYMENT_COLS, STUDENT_COLS, TODAY, _empty, _t
-from bursar.plans.oracle import _with
+from bursar.plans.catalog import READ_QUERIES, _q
+from bursar.plans.changes_catalog import _FOLD, ISSUE_COLS, ITEM_COLS, PAYMENT_COLS, STUDENT_COLS, TODAY, _empty, _t
+from bursar.plans.oracle import BAL_CTES, BAL_SELECT, ORACLE, _with
+from bursar.session import ensure_checkpoint_dir
+from bursar.sources import declared, tables
 
 LOG_ORACLE: dict[str, str] = {}
 LOG_QUERIES: dict = {}
@@ -139,3 +151,128 @@ SELECT term_key, CASE WHEN number <> '' THEN number ELSE search END AS search_te
   CASE WHEN number <> '' THEN CASE WHEN n > 0 THEN 'found' ELSE 'not_found' END
        WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS outcome FROM m"""
 LOG_QUERIES["search_outcomes"] = _q(lambda fx: search_outcomes(fx["students"], fx["classes"], fx["search_terms"]))
+
+# ------------------------------------------------------------- balances from stored sums
+# The stored sums of the table before the log, moved by the log's deltas; the oracle sums the table after it.
+
+
+def _kept(fx):
+    from bursar.operators import kept_sums as ks
+    payments, result = fx["fee_payments"], _paylog(fx)
+    after = staged(result.table)
+    # Keys that the log touched or made: its own, and those beyond the table's largest.
+    top = payments.agg(F.max("payment_id")).scalar()
+    touched = fx["payment_log"].select("payment_id").filter("payment_id is not null").unionByName(
+        after.filter(F.col("payment_id") > top).select("payment_id"))
+    out, into = ks.row_changes(payments, after, touched, "payment_id")
+    sums = ks.merged_sums(ks.stored_sums(payments, "amount_paid"), ks.deltas(out, into, "amount_paid"))
+    return sums, fx
+
+
+LOG_ORACLE["payment_sums_kept"] = _PAYLOG + f""",
+t AS (SELECT {_PAYCOLS} FROM p LEFT JOIN edited e ON e.payment_id = p.payment_id WHERE p.payment_id NOT IN (SELECT payment_id FROM gone))
+SELECT student_id, term_id, CAST(sum(amount_paid) AS DECIMAL(38,2)) AS total, count(*) AS n FROM t GROUP BY student_id, term_id"""
+LOG_QUERIES["payment_sums_kept"] = _q(lambda fx: _kept(fx)[0])
+
+
+def _kept_balances(fx):
+    from bursar.operators import kept_sums as ks
+    sums, _ = _kept(fx)
+    return ks.balances_from_sums(fx["students"], fx["classes"], sums, ks.stored_sums(fx["fee_discounts"], "discount_amount"),
+                                 fx["academic_terms"], fx["boarding_fee"])
+
+
+# The log's table takes the place of the payments in the balance query's SQL.
+_AFTER = ["students", "classes", "academic_terms", "fee_discounts", "boarding_fee"]
+LOG_ORACLE["student_balances_kept"] = (_PAYLOG + ",\n" + _with(_AFTER)[len("WITH "):] + f""",
+after_log AS (SELECT {_PAYCOLS} FROM p LEFT JOIN edited e ON e.payment_id = p.payment_id WHERE p.payment_id NOT IN (SELECT payment_id FROM gone)),
+""" + ",\n".join(c.replace("FROM fee_payments", "FROM after_log") for c in BAL_CTES) + f"""
+SELECT {BAL_SELECT} FROM bal""")
+LOG_QUERIES["student_balances_kept"] = _q(_kept_balances)
+
+# ------------------------------------------------------------------------ versions (S11, S12, S13, M15's table)
+
+
+def _folder(fx, name):
+    return f"{ensure_checkpoint_dir(fx.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _published(fx):
+    """The payments after two published versions: first as they are, then after the log."""
+    root = _folder(fx, "published")
+    tables.publish({"fee_payments": fx["fee_payments"], "academic_terms": fx["academic_terms"]}, root, "v1")
+    before = tables.fee_payments(fx.spark, tables.current_path(fx.spark, root, "fee_payments"))
+    tables.publish({"fee_payments": apply_payment_log(before, fx["payment_log"], today=TODAY).table}, root, "v2")
+    assert tables.current_path(fx.spark, root, "academic_terms").endswith("/v1/academic_terms")
+    return tables.fee_payments(fx.spark, tables.current_path(fx.spark, root, "fee_payments"))
+
+
+def _restored(fx):
+    """The discounts from a backup that was checked and restored."""
+    dest, root = _folder(fx, "backup"), _folder(fx, "restored")
+    versions.backup({"fee_discounts": fx["fee_discounts"]}, dest, "1998-08-02")
+    versions.restore(fx.spark, dest, "1998-08-02", root, "v1")
+    return tables.fee_discounts(fx.spark, tables.current_path(fx.spark, root, "fee_discounts"))
+
+
+def _ensured(fx):
+    """The items from a folder that was created empty and then filled."""
+    path = _folder(fx, "ensured")
+    tables.ensure_table(fx.spark, "uniform_items", path)
+    fx["uniform_items"].write.mode("append").parquet(path)
+    return tables.ensure_table(fx.spark, "uniform_items", path)
+
+
+def _declared(fx):
+    """The core balances over declared, bucketed tables."""
+    database, folder = f"bursar_{uuid.uuid4().hex[:12]}", _folder(fx, "declared")
+    for name in ("students", "fee_payments", "fee_discounts"):
+        declared.declare(fx.spark, name, database, buckets=8, path=f"{folder}/{name}")
+        declared.append(fx[name], name, database)
+    of = lambda name: declared.table(fx.spark, name, database)
+    return term_balances(of("students"), fx["classes"], of("fee_payments"), of("fee_discounts"), fx["academic_terms"], fx["boarding_fee"])
+
+
+LOG_QUERIES["published_payments"] = _q(_published)
+LOG_ORACLE["published_payments"] = LOG_ORACLE["apply_payment_log"]
+LOG_QUERIES["restored_discounts"] = _q(_restored)
+LOG_ORACLE["restored_discounts"] = _with(("fee_discounts",)) + "\nSELECT * FROM fee_discounts"
+LOG_QUERIES["ensured_items"] = _q(_ensured)
+LOG_ORACLE["ensured_items"] = _with(("uniform_items",)) + "\nSELECT * FROM uniform_items"
+LOG_QUERIES["student_balances_declared"] = _q(_declared)
+LOG_ORACLE["student_balances_declared"] = ORACLE["student_balances"]
+LOG_QUERIES["payment_differences"] = _q(lambda fx: versions.differences(
+    staged(fx["fee_payments"]), staged(_paylog(fx).table), "payment_id"))
+LOG_ORACLE["payment_differences"] = _PAYLOG + f""",
+t AS (SELECT {_PAYCOLS} FROM p LEFT JOIN edited e ON e.payment_id = p.payment_id WHERE p.payment_id NOT IN (SELECT payment_id FROM gone)),
+f AS (SELECT * FROM fee_payments)
+SELECT COALESCE(f.payment_id, t.payment_id) AS payment_id,
+  CASE WHEN f.payment_id IS NULL THEN 'added' WHEN t.payment_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  CASE WHEN f.payment_id IS NULL OR t.payment_id IS NULL THEN '' ELSE concat_ws(',', {', '.join(
+      f"CASE WHEN f.{c} IS DISTINCT FROM t.{c} THEN '{c}' END" for c in PAYMENT_COLS[1:])}) END AS columns
+FROM f FULL JOIN t ON t.payment_id = f.payment_id
+WHERE f.payment_id IS NULL OR t.payment_id IS NULL OR {' OR '.join(f'f.{c} IS DISTINCT FROM t.{c}' for c in PAYMENT_COLS[1:])}"""
+LOG_QUERIES["issue_uniforms_table"] = _q(lambda fx: issue_uniforms(fx["uniform_items"], fx["issue_requests"], fx["uniform_issues"]).table)
+LOG_ORACLE["issue_uniforms_table"] = _FOLD.replace("WITH RECURSIVE ", "WITH RECURSIVE " + _with(("uniform_issues",))[len("WITH "):] + ",\n", 1) + f"""
+SELECT {', '.join(ISSUE_COLS)} FROM uniform_issues
+UNION ALL SELECT (SELECT max(issue_key) FROM uniform_issues) + row_number() OVER (ORDER BY request_id, date_issued, student_id, uniform_id, quantity), student_id, uniform_id, quantity,
+       CAST(price * quantity AS DECIMAL(12,2)), amount_paid, date_issued FROM d WHERE accepted"""
+LOG_QUERIES["audit_boarding_fee"] = _q(lambda fx: boarding_fee_check(fx["boarding_fee"]))
+LOG_ORACLE["audit_boarding_fee"] = _with(("boarding_fee",)) + """
+SELECT count(*) AS rows, CAST(COALESCE(min(amount), 0) AS DECIMAL(18,2)) AS amount_used, count(*) = 1 AS ok FROM boarding_fee"""
+
+# ------------------------------------------------------- the pages' orders (O1-O14, X14), as positions
+# The place of each row in the order the operator returns; the oracle numbers the rows by the page's order.
+_NAME = "lower(full_name), full_name, student_id"
+_ITEM = "lower(item_name), item_name, uniform_id"
+for _of, _order in {
+        "outstanding_balances": f"class_id, {_NAME}", "class_fee_status_paid_up": f"class_id, {_NAME}",
+        "class_fee_status_owing": f"class_id, balance DESC, {_NAME}",
+        "recent_payments": "class_id, payment_id DESC", "uniform_item_sales": "revenue DESC, uniform_id",
+        "payment_history_one": "payment_id DESC", "discount_history_one": "discount_id DESC",
+        "uniform_issue_history_one": "date_issued DESC, issue_key, uniform_id", "term_list": "academic_year DESC, term_number DESC, term_id",
+        "uniform_stock": _ITEM, "uniform_eligibility": f"section, gender, {_ITEM}", "fee_default_list": "lower(label), fee_key", "staff_roster": "role, username",
+        "class_list": "class_id", "class_counts": "class_id", "low_stock_items": "quantity_in_stock, uniform_id",
+        "student_search": "class_id, lower(full_name), student_id", "student_directory": f"class_id, {_NAME}"}.items():
+    LOG_QUERIES[f"{_of}_in_order"] = (lambda spark, sf_dir, q=READ_QUERIES[_of]: positions(q(spark, sf_dir)))
+    LOG_ORACLE[f"{_of}_in_order"] = f"SELECT *, row_number() OVER (ORDER BY {_order}) AS position FROM ({ORACLE[_of]})"
