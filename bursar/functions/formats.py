@@ -6,6 +6,8 @@ strings count as empty, half-up rounding) are reproduced column-wise, so they st
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,10 +39,25 @@ def php_trim(col: Column | str) -> Column:
     return F.btrim(_c(col), F.lit(PHP_TRIM_CHARS))
 
 
+def _folding() -> tuple[str, str]:
+    """For translate(): small Latin letters with marks, and the letters without; marks that stand alone go."""
+    letters = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]
+               if chr(c).islower()}
+    folded = {c: base for c, base in letters.items() if base != c and base.isascii()}
+    return "".join(folded) + "".join(map(chr, range(0x300, 0x370))), "".join(folded.values())
+
+
+_MARKED, _PLAIN = _folding()
+
+
 def text_key(col: Column | str) -> Column:
-    """Comparison key for text the reference compares in MySQL's default, case-insensitive
-    collation (admission numbers: lookups and the unique index)."""
-    return F.lower(_c(col))
+    """Comparison and sort key for text that the reference compares in MySQL's default collation, which minds neither
+    letter case nor accents: names, admission numbers, searches and the unique index.
+
+    Spark's own accent-insensitive collations compare the same way, but not under LIKE, and a collated column has
+    no plain key to hand to a task or a file; so the key is made, and everything else is a plain comparison of it.
+    """
+    return F.translate(F.lower(_c(col)), _MARKED, _PLAIN)
 
 
 def is_php_empty(col: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import short_term_label, term_label
+from bursar.functions.formats import short_term_label, term_label, text_key
 
 
 def class_list(classes: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def term_list(terms: DataFrame) -> DataFrame:
 
 def fee_default_list(fee_defaults: DataFrame) -> DataFrame:
     """Fee defaults by label."""
-    return fee_defaults.select("fee_key", "label", "amount").orderBy(F.lower("label"), "fee_key")
+    return fee_defaults.select("fee_key", "label", "amount").orderBy(text_key("label"), "fee_key")
 
 
 def staff_roster(users: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def outstanding_balances(students, classes, payments, discounts, terms, boarding
     """Reports page: active students still owing this term (balance > 0, strictly), by class, name."""
     core = term_balances(students, classes, payments, discounts, terms, boarding_fee)
     return (core.filter(F.col("balance") > 0)
-                .orderBy("class_id", F.lower("full_name"), "full_name", "student_id"))
+                .orderBy("class_id", text_key("full_name"), "full_name", "student_id"))
 
 
 def outstanding_summary(students, classes, payments, discounts, terms, boarding_fee) -> DataFrame:
@@ -86,7 +86,7 @@ def class_fee_status_owing(students, classes, payments, discounts, terms, boardi
     """Class fee-status page, owing list: per class, highest balance first, then name."""
     core = _class_status(students, classes, payments, discounts, terms, boarding_fee, class_id)
     return (core.filter(F.col("balance") > 0).select(*STATUS_COLUMNS)
-                .orderBy("class_id", F.desc("balance"), F.lower("full_name"), "full_name", "student_id"))
+                .orderBy("class_id", F.desc("balance"), text_key("full_name"), "full_name", "student_id"))
 
 
 def class_fee_status_paid_up(students, classes, payments, discounts, terms, boarding_fee,
@@ -95,7 +95,7 @@ def class_fee_status_paid_up(students, classes, payments, discounts, terms, boar
     core = _class_status(students, classes, payments, discounts, terms, boarding_fee, class_id)
     return (core.filter(F.col("balance") <= 0).select(*STATUS_COLUMNS)
                 .withColumn("shown_balance", money(F.greatest(F.col("balance"), F.lit(0))))
-                .orderBy("class_id", F.lower("full_name"), "full_name", "student_id"))
+                .orderBy("class_id", text_key("full_name"), "full_name", "student_id"))
 
 
 def class_fee_status_counts(students, classes, payments, discounts, terms, boarding_fee) -> DataFrame:
@@ -129,22 +129,45 @@ def dashboard_stats(students: DataFrame, classes: DataFrame, items: DataFrame) -
                     low.cast("bigint").alias("low_stock_items"))
 
 
-def recent_payments(payments, students, classes, discounts, terms, boarding_fee, n: int = 5) -> DataFrame:
+#: How many keys below the newest a page of one row looks at first, and how much further each time that is not enough.
+RECENT_KEYS, FURTHER = 16, 16
+
+
+def newest_joined(payments, students, classes, n: int, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """The n payments with the largest keys that have a student and a class row, newest first.
+
+    Read from the newest keys down: the range of keys, a literal that reaches the scan, grows until it holds n such payments
+    or the whole table. Of a table written in the order of its keys only the newest row groups are read. ``bounds`` are the
+    smallest and largest key (``sources.tables.key_bounds`` has them from the files' footers); without them the key
+    column alone is scanned for them.
+    """
+    low, high = bounds or payments.agg(F.min("payment_id"), F.max("payment_id")).first()
+    people = (students.select("student_id", "full_name", "is_boarder", "class_id")
+              .join(classes.select("class_id", "class_name", "term_fee"), "class_id"))
+    slim = payments.select("payment_id", "student_id", "amount_paid", "date_paid", "receipt_number")
+    width = RECENT_KEYS * n
+    while True:
+        some = slim if high is None else slim.filter(F.col("payment_id") > F.lit(high - width))
+        joined = some.join(people, "student_id").orderBy(F.desc("payment_id")).limit(n)
+        rows = joined.collect()  # n is a page size
+        if len(rows) == n or high is None or high - width < low:
+            return payments.sparkSession.createDataFrame(rows, joined.schema)
+        width *= FURTHER
+
+
+def recent_payments(payments, students, classes, discounts, terms, boarding_fee, n: int = 5,
+                    bounds: tuple[int, int] | None = None) -> DataFrame:
     """Dashboard: the n latest payments (by payment_id) of any student/term, with that student's
     *current-term* balance, arranged by class order (ties keep newest first).
 
-    One join of the payments with the roster (inner, so payments without a student or class row drop
-    out) and one top-n: ``n`` is a page size, at most ``MAX_PAGE``. The n rows are fetched, and their
-    student ids narrow the payment and discount scans as literals, so only these rows are summed.
+    Payments without a student or class row drop out. ``n`` is a page size, at most ``MAX_PAGE``. The n rows are
+    fetched (``newest_joined``), and their student ids narrow the payment and discount scans as literals, so only these
+    rows are summed.
     """
     if not 0 < n <= MAX_PAGE:
         raise ValueError(f"n must be between 1 and {MAX_PAGE}")
     term_id, board = term_and_boarding(terms, boarding_fee)
-    joined = (payments.select("payment_id", "student_id", "amount_paid", "date_paid", "receipt_number")
-              .join(students.select("student_id", "full_name", "is_boarder", "class_id"), "student_id")
-              .join(classes.select("class_id", "class_name", "term_fee"), "class_id")
-              .orderBy(F.desc("payment_id")).limit(n))
-    top = payments.sparkSession.createDataFrame(joined.collect(), joined.schema)
+    top = newest_joined(payments, students, classes, n, bounds)
     ids = [r.student_id for r in top.select("student_id").distinct().collect()]
     mine = F.col("student_id").isin(ids)
     disc = sums_by_student(discounts.filter(mine), "discount_amount", "discount", term_id)

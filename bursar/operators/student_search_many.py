@@ -48,7 +48,7 @@ def _like_pattern(term: Column) -> Column:
 
 def _name_counts(names: DataFrame, asked: DataFrame) -> DataFrame:
     """search, named: how many students' names match each distinct pattern of ``asked`` (search, pattern)."""
-    literal = staged(asked.withColumn("parts", _literals(F.lower("pattern"))))
+    literal = staged(asked.withColumn("parts", _literals(F.col("pattern"))))
     index = names.select("name", "n", F.explode(F.concat(*(_runs(F.col("name"), k) for k in range(1, LETTERS + 1)))).alias("run"))
     index = staged(index.filter("run <> ''").dropDuplicates(["name", "run"]))
     # Of each part its longest runs; a part of one or two letters is a run itself.
@@ -58,7 +58,7 @@ def _name_counts(names: DataFrame, asked: DataFrame) -> DataFrame:
     rarest = staged(runs.join(rarity, "run", "left").groupBy("search", "pattern")
                     .agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "run")).alias("r"))
                     .select("search", "pattern", F.col("r.run").alias("run")))
-    found = (rarest.join(index, "run").filter(F.expr("name like concat('%', lower(pattern), '%')"))
+    found = (rarest.join(index, "run").filter(F.expr("name like concat('%', pattern, '%')"))
              .groupBy("search").agg(F.sum("n").alias("named")))
     # Wildcards alone: at least so many characters as there are underscores, of names of any kind.
     length = F.char_length(F.regexp_replace("pattern", "%", ""))
@@ -84,16 +84,16 @@ def search_outcomes(students: DataFrame, classes: DataFrame, terms: DataFrame) -
     """
     t = conform(terms, schemas.SEARCH_TERMS).select(
         "term_key", php_trim(F.coalesce("admission_number", F.lit(""))).alias("number"), php_trim(F.coalesce("search", F.lit(""))).alias("search"))
-    details = student_details(students, classes).select("student_id", text_key("admission_number").alias("key"), F.lower("full_name").alias("name"))
+    details = student_details(students, classes).select("student_id", text_key("admission_number").alias("key"), text_key("full_name").alias("name"))
     wanted = staged(t.select(F.when(F.col("number") != "", F.col("number")).otherwise(F.lit("")).alias("number"),
                              F.when(F.col("number") != "", F.lit("")).otherwise(F.col("search")).alias("search")).distinct()
                     .filter("number <> '' or search <> ''"))
-    asked = staged(wanted.filter("search <> ''").select("search", _like_pattern(F.col("search")).alias("pattern")))
+    asked = staged(wanted.filter("search <> ''").select("search", text_key(_like_pattern(F.col("search"))).alias("pattern")))
     names = staged(details.filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n")))
     named = _name_counts(names, asked)
     # Students found by their number: all of them for a number, and for a search those whose name does not match anyway.
     keyed = wanted.select("number", "search", text_key(F.concat("number", "search")).alias("key")).join(details, "key")
-    like = F.expr("coalesce(name like concat('%', lower(pattern), '%'), false)")
+    like = F.expr("coalesce(name like concat('%', pattern, '%'), false)")
     numbered = (keyed.join(asked, "search", "left").filter((F.col("number") != "") | ~like)
                 .groupBy("number", "search").agg(F.count(F.lit(1)).alias("numbered")))
     answers = (wanted.join(numbered, ["number", "search"], "left").join(named, "search", "left")

@@ -64,8 +64,9 @@ def _pattern(term: str) -> str:
 
 def _contains(col: str, term: str):
     # '%' and '_' typed by the user stay wildcards (the reference does not escape them);
-    # matching is case-insensitive, as under MySQL's default collation.
-    return F.col(col).ilike(f"%{_pattern(term.strip(_PHP_WS))}%")
+    # matching minds neither case nor accents, as under MySQL's default collation.
+    pattern = F.lit(f"%{_pattern(term.strip(_PHP_WS))}%")
+    return F.like(text_key(col), text_key(pattern))
 
 
 def student_search(students: DataFrame, classes: DataFrame, term: str) -> DataFrame:
@@ -75,7 +76,7 @@ def student_search(students: DataFrame, classes: DataFrame, term: str) -> DataFr
         return student_details(students, classes).limit(0)
     hit = (text_key("admission_number") == text_key(F.lit(t))) | _contains("full_name", t)
     return (student_details(students, classes).filter(hit)
-            .orderBy("class_id", F.lower("full_name"), "student_id"))
+            .orderBy("class_id", text_key("full_name"), "student_id"))
 
 
 def student_search_outcome(students: DataFrame, classes: DataFrame, term: str,
@@ -105,4 +106,4 @@ def student_directory(students: DataFrame, classes: DataFrame, search: str = "",
         df = df.filter(_contains("full_name", search) | _contains("admission_number", search))
     if class_id is not None:
         df = df.filter(F.col("class_id") == F.lit(class_id))
-    return df.orderBy("class_id", F.lower("full_name"), "full_name", "student_id")
+    return df.orderBy("class_id", text_key("full_name"), "full_name", "student_id")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bursar.functions.formats import ALL, LOW_STOCK_LIMIT, money
+from bursar.functions.formats import ALL, LOW_STOCK_LIMIT, money, text_key
 from bursar.operators.students import student_details
 
 _ITEM_COLUMNS = ["uniform_id", "item_name", "applicable_section", "applicable_gender", "price",
@@ -47,7 +47,7 @@ def uniform_eligibility(students: DataFrame, classes: DataFrame, items: DataFram
                          F.col("match_section").alias("applicable_section"),
                          F.col("match_gender").alias("applicable_gender"),
                          money("price").alias("price"), "quantity_in_stock")
-                 .orderBy("section", "gender", F.lower("item_name"), "item_name", "uniform_id"))
+                 .orderBy("section", "gender", text_key("item_name"), "item_name", "uniform_id"))
 
 
 def uniform_eligibility_counts(students: DataFrame, classes: DataFrame, items: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def eligible_items_for(selected_students: DataFrame, classes: DataFrame, items:
                          F.col("match_gender").alias("applicable_gender"),
                          money("price").alias("price"), "quantity_in_stock")
                  # A page is one student's: sorted within the student, not over all pairs.
-                 .repartition("student_id").sortWithinPartitions("student_id", F.lower("item_name"), "item_name", "uniform_id"))
+                 .repartition("student_id").sortWithinPartitions("student_id", text_key("item_name"), "item_name", "uniform_id"))
 
 
 def uniform_issue_history(issues: DataFrame, items: DataFrame, student_id: int | None = None) -> DataFrame:
@@ -114,7 +114,7 @@ def uniform_stock(items: DataFrame) -> DataFrame:
                          money("price").alias("price"), "quantity_in_stock",
                          (F.col("quantity_in_stock") == 0).alias("out_of_stock"),
                          (F.col("quantity_in_stock") <= LOW_STOCK_LIMIT).alias("low_stock"))
-                 .orderBy(F.lower("item_name"), "item_name", "uniform_id"))
+                 .orderBy(text_key("item_name"), "item_name", "uniform_id"))
 
 
 def low_stock_items(items: DataFrame) -> DataFrame:

@@ -101,6 +101,8 @@ def write_version(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 MANIFEST = "_current"
+#: A table's name with this mark stands for rows added to it.
+ADDED = "+"
 
 
 def write_versions(tables: Mapping[str, DataFrame], root: str, version: str) -> dict[str, str]:
@@ -153,6 +155,33 @@ def current_path(spark: SparkSession, root: str, name: str) -> str:
     return f"{root}/{versions[-1]}/{name}"
 
 
+def current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table as readers see it: its latest published version, and the rows published as additions since."""
+    paths: list[str] = []
+    for r in _manifest(spark, root):
+        if r.name == name:
+            paths = [f"{root}/{r.version}/{name}"]
+        elif r.name == name + ADDED:
+            paths.append(f"{root}/{r.version}/{name}{ADDED}")
+    if not paths:
+        raise ValueError(f"{name!r} is not published under {root}")
+    return conform(spark.read.schema(schemas.TABLES[name]).parquet(*paths), name)
+
+
+def key_bounds(spark: SparkSession, path: str, key: str) -> tuple[int, int] | None:
+    """Smallest and largest key of a Parquet table, from the footers of its files: no row is read. None: no rows."""
+    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = spark.read.parquet(path).agg(F.min(key), F.max(key)).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return None if found[0] is None else (found[0], found[1])
+
+
 def snapshot(tables: Mapping[str, DataFrame], dest: str, date: str) -> dict[str, str]:
     """Copy every table to ``dest/date/<name>`` (the reference's manual backup)."""
     return write_versions(tables, dest, date)

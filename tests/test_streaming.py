@@ -26,7 +26,7 @@ def test_issue_stream_carries_stock_and_sees_restocks(spark, make, tmp_path):
         "uniform_issues": make("uniform_issues", [])}, root, "v0")
     r = lambda rid, u, q, d: {"request_id": rid, "student_id": rid, "uniform_id": u, "quantity": q,
                               "date_issued": day(d)}
-    current = lambda n: spark.read.parquet(tables.current_path(spark, root, n))
+    current = lambda n: tables.current(spark, root, n)
 
     def arrive(part, rows):
         tuples = [tuple(x.get(f.name) for f in schemas.ISSUE_REQUESTS.fields) for x in rows]
@@ -42,6 +42,8 @@ def test_issue_stream_carries_stock_and_sees_restocks(spark, make, tmp_path):
     arrive("b", [r(4, 1, 2, "2024-01-03"), r(5, 1, 1, "2024-01-04"), r(6, 2, 4, "2024-01-05"), r(8, 1, 0, "2024-01-02")])
     assert {x.uniform_id: x.quantity_in_stock for x in current("uniform_items").collect()} == {1: 0, 2: 1}
     issues = current("uniform_issues").collect()
+    # Each batch wrote its own new rows only.
+    assert [spark.read.parquet(str(p)).count() for p in sorted(tmp_path.rglob("uniform_issues+"))] == [2, 2]
     assert sorted(x.student_id for x in issues) == [1, 3, 4, 6] and len({x.issue_key for x in issues}) == 4
     rejects = {x.request_id: x.reject_reason for x in spark.read.parquet(f"{root}_rejects").collect()}
     assert rejects == {2: "insufficient_stock", 5: "insufficient_stock", 7: "unknown_item", 8: "invalid_quantity"}
