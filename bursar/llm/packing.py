@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bursar.llm.common import aside, built, small_batches, steps
@@ -18,52 +19,80 @@ from bursar.llm.common import aside, built, small_batches, steps
 TOKENS, SEGMENTS, LOSS = 2048, 128, 2048
 #: Tokens of a lot, the examples that are packed together: bounds the memory of a task, which packs lot by lot.
 LOT_TOKENS = 1_000_000
-#: Words whose ids a task remembers, twice: the latest so many, and those before them.
-CACHED_WORDS = 150_000
+#: Parts of words whose ids a task remembers.
+CACHED_PARTS = 400_000
+
+
+#: Texts of these characters alone fall into parts that are tokenized one by one (fixed values: the vocabulary's own
+#: pattern, for letters that lower-casing and the normal form treat one by one). In other texts this holds word by word.
+_PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\x09-\x0d\x20]+")
+_SPACE = re.compile("[\x09-\x0d\x20]+")
+#: The vocabulary writes printable bytes as the characters of these codes, the others as those from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+#: Characters of a text that are parted at once; a longer text is cut at white space.
+SLICE = 1_000_000
 
 
 class Words:
-    """Ids of words (bytes between ASCII white space) as little-endian unsigned 32-bit integers.
+    """Ids of texts as little-endian unsigned 32-bit integers, by way of a memory of the parts of their words.
 
     The tokenizer's pattern never crosses white space, and neither do its normal form and lower-casing, so a
-    text's ids are those of its words in a row.
+    text's ids are those of its words in a row; a plain word's are those of its letters, digits and signs in a row.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
-        self.latest: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.model = self.library.model
+        self.known: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        if _PLAIN.fullmatch(text):
+            return _PARTS.findall(text.lower())
+        out: list[str] = []
+        for word in _SPACE.split(text):
+            out += _PARTS.findall(word.lower()) if _PLAIN.fullmatch(word) else [word]
+        return out
+
+    def _encoded(self, part: str) -> bytes:
+        if _PLAIN.fullmatch(part):  # in lower case and in one part already, so the merges alone remain
+            ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_WRITTEN))]
+        else:
+            ids = self.library.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids_of(self, texts: list[str]) -> list[bytes]:
+        split = [self._parts(t) for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        if len(self.known) + len(new) > CACHED_PARTS:
+            self.known.clear()
+            new = list(set().union(*split))
+        for part in new:
+            self.known[part] = self._encoded(part)
+        get = self.known.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        known = {}
-        for w in set().union(*split):
-            known[w] = self.latest.get(w) or self.before.get(w)
-        new = [w for w, ids in known.items() if ids is None]
-        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        if len(self.latest) + len(known) > CACHED_WORDS:
-            self.before, self.latest = self.latest, {}
-        self.latest.update(known)
-        return [b"".join([known[w] for w in words]) for words in split]
-
-
-def tokenized(documents: DataFrame, path: str, end: int = 1, text: str = "text") -> DataFrame:
-    """``documents`` with pack_ids (little-endian unsigned 32-bit, the id ``end`` last) in place of the text, and
-    pack_size, how many. A null or empty text has only the last id."""
-    small_batches(documents)
-    tail = np.array([end], "<u4").tobytes()
+        out = self._ids_of([t if t and len(t) <= SLICE else "" for t in texts])
+        for k, text in enumerate(texts):
+            if text and len(text) > SLICE:
+                cuts = [0]
+                while len(text) - cuts[-1] > SLICE:
+                    space = _SPACE.search(text, cuts[-1] + SLICE)
+                    cuts.append(space.end() if space else len(text))
+                out[k] = b"".join(self._ids_of([text[a:b]])[0] for a, b in zip(cuts, [*cuts[1:], len(text)]))
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = built(("packing", path), lambda: Words(path))
-        for pdf in steps(batches, text, 1_000_000):
-            ids = [i + tail for i in words.ids(pdf[text].tolist())]
-            yield pdf.drop(columns=text).assign(pack_ids=ids, pack_size=[len(i) // 4 for i in ids])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.schema if f.name != text)
-    return documents.mapInPandas(run, fields + "pack_ids binary, pack_size long")
+def _tokenized(batches: Iterator[pd.DataFrame], path: str, end: int, text: str) -> Iterator[pd.DataFrame]:
+    words = built(("packing", path), lambda: Words(path))
+    tail = struct.pack("<I", end)
+    for pdf in steps(batches, text, 1_000_000):
+        ids = [i + tail for i in words.ids(pdf[text].tolist())]
+        yield pdf.drop(columns=text).assign(pack_ids=ids, pack_size=[len(i) // 4 for i in ids])
 
 
 class Packer:
@@ -171,6 +200,37 @@ class Packer:
         return done, pieces
 
 
+def _packed(batches: Iterator[pd.DataFrame], limits: tuple[int, int, int], size: str, loss: str,
+            lot_tokens: int) -> Iterator[tuple[pd.DataFrame, list[list[tuple]]]]:
+    """Rows and their pieces, a lot at a time; rows that a lot leaves unfinished come with a later one."""
+    first = TaskContext.get().partitionId() << 40
+    packer, held, new = Packer(limits), [], 0
+
+    def placed(last: bool) -> Iterator[tuple[pd.DataFrame, list[list[tuple]]]]:
+        nonlocal held
+        packer.fill(last)
+        done, pieces = packer.take_done()
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True)
+        held = [rows[~done]]
+        rows = rows[done]
+        for a in range(0, len(pieces), 500):
+            yield rows.iloc[a:a + 500], [[(*p[:3], first + p[3], *p[4:]) for p in found] for found in pieces[a:a + 500]]
+
+    for pdf in batches:
+        for a in range(0, len(pdf), 250):
+            part = pdf.iloc[a:a + 250]
+            sizes = np.maximum(part[size].fillna(0).to_numpy(np.int64), 0)
+            packer.add(sizes, np.clip(part[loss].fillna(0).to_numpy(np.int64), 0, sizes))
+            held.append(part)
+            new += int(sizes.sum())
+            if new >= lot_tokens:
+                yield from placed(False)
+                new = 0
+    yield from placed(True)
+
+
 _PIECE = ("start", "length", "loss", "sequence", "offset", "padded")
 
 
@@ -193,54 +253,37 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS,
     base, back = aside(examples, lambda c: c == "packed_pieces")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = TaskContext.get().partitionId() << 40
-        packer, held, new = Packer(limits), [], 0
-
-        def placed(last: bool) -> Iterator[pd.DataFrame]:
-            nonlocal held
-            packer.fill(last)
-            done, pieces = packer.take_done()
-            rows = pd.concat(held, ignore_index=True) if held else None
-            if rows is None:
-                return
-            held = [rows[~done]]
-            for a in range(0, len(pieces), 500):
-                yield rows[done].iloc[a:a + 500].assign(packed_pieces=[
-                    [dict(zip(_PIECE, (p[0], p[1], p[2], first + p[3], p[4], p[5]))) for p in found] for found in pieces[a:a + 500]])
-
-        for pdf in batches:
-            for a in range(0, len(pdf), 250):
-                part = pdf.iloc[a:a + 250]
-                sizes = np.maximum(part[size].fillna(0).to_numpy(np.int64), 0)
-                packer.add(sizes, np.clip(part[loss].fillna(0).to_numpy(np.int64), 0, sizes))
-                held.append(part)
-                new += int(sizes.sum())
-                if new >= lot_tokens:
-                    yield from placed(False)
-                    new = 0
-        yield from placed(True)
+        for pdf, pieces in _packed(batches, limits, size, loss, lot_tokens):
+            yield pdf.assign(packed_pieces=[[dict(zip(_PIECE, p)) for p in found] for found in pieces])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     piece = ", ".join(f"{c}: long" for c in _PIECE)
-    return back_with(base.mapInPandas(run, f"{fields}, packed_pieces array<struct<{piece}>>"), back)
+    packed = base.mapInPandas(run, f"{fields}, packed_pieces array<struct<{piece}>>")
+    return packed.toDF(*back(packed.drop("packed_pieces")).columns, "packed_pieces")
 
 
-def back_with(packed: DataFrame, back) -> DataFrame:
-    """The columns under their own names again, and packed_pieces as the last."""
-    names = back(packed.drop("packed_pieces")).columns
-    return packed.toDF(*names, "packed_pieces")
+def packed_documents(documents: DataFrame, path: str, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), end: int = 1,
+                     lot_tokens: int = LOT_TOKENS) -> DataFrame:
+    """Pieces of tokenized documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,
+    offset, padded.
 
+    A document's ids are those of its text by the tokenizer at ``path``, without special tokens, and then ``end``; a null or empty
+    text has only that. All ids but a document's first bear a loss, as there is nothing that the first could be
+    predicted from. Tokenized and packed in one pass over the rows where they lie (see ``pack``).
+    """
+    small_batches(documents)
+    id_type = documents.schema["doc_id"].dataType.simpleString()
 
-def packed_documents(documents: DataFrame, path: str, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), **options) -> DataFrame:
-    """Pieces of tokenized documents: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset, padded.
+    def with_loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _tokenized(batches, path, end, "text"):
+            yield pdf.assign(pack_loss=pdf["pack_size"] - 1)
 
-    All ids of a plain document but its first bear a loss, as there is nothing that the first could be predicted from.
-    """
-    coded = tokenized(documents.select("doc_id", "text"), path).withColumn("pack_loss", F.col("pack_size") - 1)
-    packed = pack(coded, limits, **options)
-    piece = F.col("p")
-    return (packed.select("doc_id", "pack_ids", "pack_size", F.explode("packed_pieces").alias("p"))
-            .select("doc_id", piece["start"].alias("start"), piece["length"].alias("length"),
-                    F.substring("pack_ids", (piece["start"] * 4 + 1).cast("int"), (piece["length"] * 4).cast("int")).alias("ids"),
-                    F.col("pack_size").alias("doc_tokens"), piece["sequence"].alias("sequence_id"), piece["offset"].alias("offset"),
-                    piece["padded"].alias("padded")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, pieces in _packed(with_loss(batches), limits, "pack_size", "pack_loss", lot_tokens):
+            rows = [(doc_id, p[0], p[1], ids[4 * p[0]:4 * (p[0] + p[1])], len(ids) // 4, p[3], p[4], p[5])
+                    for doc_id, ids, found in zip(pdf["doc_id"], pdf["pack_ids"], pieces) for p in found]
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded"])
+            yield out.astype({"doc_id": pdf["doc_id"].dtype})
+
+    return documents.select("doc_id", "text").mapInPandas(
+        run, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded long")
