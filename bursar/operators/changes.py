@@ -92,7 +92,7 @@ def _present(base: DataFrame, commands: DataFrame, keys: list[str]) -> DataFrame
     threshold they meet the base where it lies, which is then neither sorted nor shuffled.
     """
     wanted = staged(commands.select(*keys).distinct())
-    return base.select(*keys).join(wanted, keys, "left_semi").distinct().withColumn("_present", F.lit(True))
+    return base.select(*keys).join(wanted, keys).distinct().withColumn("_present", F.lit(True))
 
 
 def _replace(base: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:
