@@ -6,26 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bursar.llm import word_codes
-from bursar.llm.common import cut, small_batches
+from bursar.llm.common import cut, few_rows_at_once, runs, scratch, small_batches, written
 from bursar.llm.jaccard_join import mixed
 
 #: Words of a phrase at most, occurrences it needs, rows reported for each language.
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Shards of one cycle; one is scanned in each step.
-SHARDS = 4
+SHARDS = 3
 #: Cells of the table that tells the step from which a phrase counts as reached: one byte each, a table for
 #: each length but the last. When it fills up, more phrases are counted than need be, never fewer.
 CELLS = 1 << 22
 NEVER = 255
 
-_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("since", pa.int32()), ("f", pa.int64())])
-_COUNTS = "lang string, phrase binary, since int, f long"
+#: Phrases that a task counts before it hands them on, and words of the texts to each bucket of phrases.
+HELD_PHRASES, BUCKET_WORDS = 500_000, 2_000_000
 
 
 def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,78 +52,145 @@ def grams(codes: np.ndarray, lang: str, lengths: int) -> Iterator[np.ndarray]:
         yield h
 
 
+def phrase_hashes(codes: np.ndarray, lang: str) -> np.ndarray:
+    """The same hashes of phrases, one a row of codes."""
+    h = mixed(codes[:, 0] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode())))
+    for k in range(1, codes.shape[1]):
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + codes[:, k])
+    return h
+
+
 def cells_of(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & np.uint64(cells - 1)).astype(np.int64), ((hashes >> np.uint64(32)) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def counted(codes: np.ndarray, length: int, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct runs of ``length`` codes at the positions ``at``: rows of codes, a position and the count of each."""
-    order = np.argsort(hashes[at], kind="stable")
-    at = at[order]
-    runs = np.stack([codes[at + k] for k in range(length)], axis=1)
-    h = hashes[at]
-    new = np.ones(len(at), bool)
-    new[1:] = h[1:] != h[:-1]
-    if (runs[1:][~new[1:]] != runs[:-1][~new[1:]]).any():  # two runs share a hash: put them in order themselves
-        order = np.lexsort(runs.T)
-        at, runs = at[order], runs[order]
-        new[1:] = (runs[1:] != runs[:-1]).any(axis=1)
+def summed(codes: np.ndarray, hashes: np.ndarray, since: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal rows of ``codes`` (one column a word) made one, their counts added, in the order of their hashes."""
+    order = np.argsort(hashes, kind="stable")
+    codes, hashes = codes[order], hashes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    if (codes[1:][~new[1:]] != codes[:-1][~new[1:]]).any():  # two phrases share a hash: put them in order themselves
+        again = np.lexsort((*codes.T, hashes))
+        order, codes, hashes = order[again], codes[again], hashes[again]
+        new[1:] = (codes[1:] != codes[:-1]).any(axis=1)
     starts = np.flatnonzero(new)
-    return runs[starts], at[starts], np.diff(np.append(starts, len(at)))
+    sums = np.add.reduceat(f[order], starts) if len(starts) else f[:0]
+    return codes[starts], hashes[starts], since[order][starts], sums
+
+
+_BLOCK = "kind int, bucket int, lang string, k int, codes binary, since binary, f binary"
+STATE, DONE, CELLS_SET = range(3)
 
 
-def _count(step: int, shards: int, max_words: int, tables):
+def _blocks(kind: int, lang: str, codes: np.ndarray, hashes: np.ndarray, since: np.ndarray, f: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Phrases of one language and length as packed rows, one for each bucket of their hashes (which are in order).
+
+    Within a bucket they are sorted, and codes lie word by word, so that equal words lie together.
+    """
+    bucket = (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        order = a + np.lexsort(codes[a:b].T[::-1])
+        yield (kind, int(bucket[a]), lang, codes.shape[1], codes[order].T.tobytes(), since[order].astype(np.uint8).tobytes(),
+               f[order].astype(np.int64).tobytes())
+
+
+def _unpacked(k: int, codes: bytes, since: bytes, f: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(codes, np.uint64).reshape(k, -1).T, np.frombuffer(since, np.uint8), np.frombuffer(f, np.int64)
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def _count(step: int, shards: int, max_words: int, buckets: int, tables):
     """Counts one shard: each phrase whose two subphrases are reached, for one full cycle from then on."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reached = tables.value
-        for batch in batches:
-            for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("codes").to_pylist()):
+        held: dict[tuple[str, int], list] = {}
+        size = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            nonlocal size
+            out = []
+            for (lang, _), parts in held.items():
+                out += _blocks(STATE, lang, *summed(*(np.concatenate([p[c] for p in parts]) for c in range(4))), buckets)
+            held.clear()
+            size = 0
+            for a in range(0, len(out), 100):
+                yield _rows(out[a:a + 100])
+
+        for pdf in batches:
+            for lang, raw in zip(pdf["lang"], pdf["codes"]):
                 codes = np.frombuffer(raw, np.uint64)
-                real = codes != 0
                 since = None  # the step from which the shorter phrase at each position counts as reached
                 for k, h in enumerate(grams(codes, lang, max_words), 1):
                     if not len(h):
                         break
-                    if k == 1:
-                        begins = np.where(real, 0, NEVER).astype(np.uint8)
-                    else:
-                        begins = np.maximum(since[:-1], since[1:])
+                    begins = np.where(codes != 0, 0, NEVER).astype(np.uint8) if k == 1 else np.maximum(since[:-1], since[1:])
                     live = np.flatnonzero(begins != NEVER)
                     if not len(live):
                         break
-                    now = live[(begins[live].astype(np.int64) <= step) & (begins[live].astype(np.int64) > step - shards)]
+                    first = begins[live].astype(np.int64)
+                    now = live[(first <= step) & (first > step - shards)]
                     if len(now):
-                        runs, at, f = counted(codes, k, now, h)
-                        n, width = len(f), 8 * k
-                        offsets = pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes())
-                        phrase = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(runs.tobytes())])
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), phrase,
-                                                          pa.array(begins[at].astype(np.int32)), pa.array(f.astype(np.int64))],
-                                                         schema=_COUNTED)
+                        runs_now = np.stack([codes[now + j] for j in range(k)], axis=1)
+                        counted = summed(runs_now, h[now], begins[now], np.ones(len(now), np.int64))
+                        held.setdefault((lang, k), []).append(counted)
+                        size += len(counted[1])
                     if k < max_words:
                         since = np.full(len(h), NEVER, np.uint8)
                         a, b = cells_of(h[live], len(reached[k - 1]))
                         since[live] = np.maximum(reached[k - 1][a], reached[k - 1][b])
+                if size >= HELD_PHRASES:
+                    yield from flush()
+        if size:
+            yield from flush()
     return run
 
 
-def _reached_cells(cells: int):
+def _merge(step: int, shards: int, max_words: int, min_count: int, buckets: int, cells: int):
+    """The buckets' phrases so far with the new counts: what goes on, what is done, and the cells of what is reached."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for (lang, size), part in pdf.groupby(["lang", pdf["phrase"].str.len()]):
-                k = size // 8
-                codes = np.frombuffer(b"".join(part["phrase"]), np.uint64).reshape(-1, k)
-                h = mixed(codes[:, 0] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode())))
-                for c in range(1, k):
-                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + codes[:, c])
-                found = np.unique(np.concatenate(cells_of(h, cells)))
-                yield pd.DataFrame({"k": np.full(len(found), k), "cell": found})
+        for group in runs(batches, ["bucket"]):
+            out = []
+            for (lang, k), part in group.groupby(["lang", "k"]):
+                blocks = [_unpacked(k, *r) for r in zip(part["codes"], part["since"], part["f"])]
+                codes, since, f = (np.concatenate([b[c] for b in blocks]) for c in range(3))
+                codes, h, since, f = summed(codes, phrase_hashes(codes, lang), since, f)
+                often = f >= min_count
+                if k < max_words and often.any():
+                    found = np.unique(np.concatenate(cells_of(h[often], cells))).astype(np.int32)
+                    out.append((CELLS_SET, int(part["bucket"].iloc[0]), lang, k, found.tobytes(), b"", b""))
+                complete = since.astype(np.int64) <= step - shards + 1
+                for kind, chosen in ((STATE, ~complete), (DONE, complete & often)):
+                    if chosen.any():
+                        out += _blocks(kind, lang, codes[chosen], h[chosen], since[chosen], f[chosen], buckets)
+            if out:
+                yield _rows(out)
     return run
 
 
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k, raw in zip(pdf["k"], pdf["codes"]):
+            found = np.frombuffer(raw, np.int32)
+            yield pd.DataFrame({"k": np.full(len(found), k), "cell": found})
+
+
+def _phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Done phrases, one a row: their codes in a row, each most significant byte first."""
+    for pdf in batches:
+        for lang, k, *block in zip(pdf["lang"], pdf["k"], pdf["codes"], pdf["since"], pdf["f"]):
+            codes, _, f = _unpacked(k, *block)
+            raw, width = codes.astype(">u8").tobytes(), 8 * k
+            yield pd.DataFrame({"lang": lang, "phrase": [raw[a:a + width] for a in range(0, len(raw), width)], "f": f})
+
+
 def frequent_phrases(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, shards: int = SHARDS,
-                     cells: int = CELLS) -> DataFrame:
-    """(lang, phrase, f): every phrase of 1 to ``max_words`` words with f >= ``min_count``; a phrase is the codes of
+                     cells: int = CELLS) -> tuple[DataFrame, list[np.ndarray]]:
+    """(lang, phrase, f), and the tables of what is reached: every phrase of 1 to ``max_words`` words with f >= ``min_count``; a phrase is the codes of
     its words, f all its occurrences.
 
     Step t counts shard t modulo ``shards``. Single words are counted from step 0; a longer phrase from the step
@@ -133,23 +199,28 @@ def frequent_phrases(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: i
     began, so its count is that of all data. What has completed its cycle leaves the running state. The
     tables that tell tasks which subphrases are reached have a fixed size: two cells a phrase, each with the step
     at which it was set. A cell shared by chance only activates a phrase too early, which is then counted over its
-    own full cycle all the same.
+    own full cycle all the same. Counts travel and rest in packed blocks by a hash of the phrase; tasks add
+    up their counts first, so a frequent phrase burdens no bucket.
     """
     spark = chunks.sparkSession
+    if 6 * shards >= NEVER:
+        raise ValueError("too many steps for one byte a cell: use fewer shards")
     reached = [np.full(cells, NEVER, np.uint8) for _ in range(max_words - 1)]
     changed = [-1] * (max_words - 1)  # the step from which the last cells of a length count
+    folder = scratch(spark, "collocations")
+    n_words = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(16, n_words // BUCKET_WORDS)
     state, done, step = None, [], 0
     while step < shards or any(c > step - shards for c in changed):
-        if 5 * shards + step > NEVER + 4 * shards:
-            raise ValueError("too many steps for one byte a cell: use fewer shards")
         sent = spark.sparkContext.broadcast(reached)
         new = (chunks.filter(F.col("shard") == step % shards).select("lang", "codes")
-               .mapInArrow(_count(step, shards, max_words, sent), _COUNTS))
+               .mapInPandas(_count(step, shards, max_words, buckets, sent), _BLOCK))
         both = new if state is None else state.unionByName(new)
-        merged = cut(both.groupBy("lang", "phrase").agg(F.min("since").alias("since"), F.sum("f").alias("f")))
-        often = merged.filter(F.col("f") >= min_count)
-        marks = (often.filter(F.length("phrase") < 8 * max_words).select("lang", "phrase")
-                 .mapInPandas(_reached_cells(cells), "k int, cell int").distinct()
+        # Two folders in turn: a step writes over the state before the last.
+        with few_rows_at_once(spark):
+            merged = written(both.repartition("bucket").sortWithinPartitions("bucket")
+                             .mapInPandas(_merge(step, shards, max_words, min_count, buckets, cells), _BLOCK), f"{folder}/{step % 2}")
+        marks = (merged.filter(F.col("kind") == CELLS_SET).mapInPandas(_cells, "k int, cell int").distinct()
                  .groupBy("k", (F.col("cell") / 4096).cast("int")).agg(F.collect_list("cell").alias("cells")))
         for r in marks.collect():  # at most the cells of the tables, whatever the input
             at = np.asarray(r["cells"])
@@ -159,26 +230,23 @@ def frequent_phrases(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: i
                 changed[r["k"] - 1] = step + 1
         sent.destroy()
         if step >= shards - 1:
-            complete = F.col("since") <= step - shards + 1
-            done.append(cut(often.filter(complete).select("lang", "phrase", "f"), free=False))
-            state = merged.filter(~complete)
-        else:
-            state = merged
+            done.append(cut(merged.filter(F.col("kind") == DONE).mapInPandas(_phrases, "lang string, phrase binary, f long"), free=False))
+        state = merged.filter(F.col("kind") == STATE)
         step += 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out, reached
 
 
 def coded_chunks(documents: DataFrame, text: str = "text", lang: str = "lang", shards: int = SHARDS) -> DataFrame:
     """Written chunks of coded words: shard, lang, n (words), codes and distinct words."""
     small_batches(documents)
-    return cut(documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    return written(documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
                .filter("text is not null")
                .mapInPandas(_coded, "lang string, number int, n long, codes binary, words binary")
                .withColumn("shard", F.pmod(F.col("number") + F.spark_partition_id(), F.lit(shards)))
-               .drop("number"))
+               .drop("number"), scratch(documents.sparkSession, "coded"))
 
 
 def _with_cuts(often: DataFrame) -> DataFrame:
@@ -190,12 +258,20 @@ def _with_cuts(often: DataFrame) -> DataFrame:
             .withColumn("tail", F.substring(words, F.col("k") * 8 + 1, F.length(words))))
 
 
-def _spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for raw in pdf["words"]:
-            codes, _, starts, ends, lower = word_codes.words_of(raw)
-            yield pd.DataFrame({"code": codes.view(np.int64),
-                                "word": [lower[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())]})
+def _spelled(tables):
+    """Code and word of each word that is reached in its language, once for each task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reached, known = tables.value, np.zeros(0, np.uint64)
+        for pdf in batches:
+            for lang, raw in zip(pdf["lang"], pdf["words"]):
+                codes, _, starts, ends, lower = word_codes.words_of(raw)
+                a, b = cells_of(next(grams(codes, lang, 1)), len(reached))
+                new = np.flatnonzero((np.maximum(reached[a], reached[b]) != NEVER) & ~np.isin(codes, known))
+                if len(new):
+                    known = np.concatenate([known, codes[new]])
+                    yield pd.DataFrame({"code": codes[new].view(np.int64), "word": [
+                        lower[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())]})
+    return run
 
 
 def _codes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +279,7 @@ def _codes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = (pdf["phrase"].str.len() // 8).to_numpy(np.int64)
         of = np.repeat(np.arange(len(pdf)), sizes)
         place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        codes = np.frombuffer(b"".join(pdf["phrase"]), np.int64)
+        codes = np.frombuffer(b"".join(pdf["phrase"]), ">i8").astype(np.int64)
         yield pd.DataFrame({"lang": pdf["lang"].to_numpy()[of], "phrase": pdf["phrase"].to_numpy()[of],
                             "place": place, "code": codes})
 
@@ -222,7 +298,8 @@ def collocations(documents: DataFrame, min_count: int = MIN_COUNT, max_words: in
     shards = options.get("shards", SHARDS)
     chunks = coded_chunks(documents, text, lang, shards)
     totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
-    often = cut(frequent_phrases(chunks, min_count, max_words, **options))
+    found, reached = frequent_phrases(chunks, min_count, max_words, **options)
+    often = cut(found)
     part = lambda name, f: often.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     big = lambda c: F.col(c).cast("decimal(19,0)")
     # Written before each join on parts: a word that begins very many phrases can then be split.
@@ -237,12 +314,13 @@ def collocations(documents: DataFrame, min_count: int = MIN_COUNT, max_words: in
         F.expr("substring(phrase, 1, length(phrase) - 8)"), F.expr("substring(phrase, 9, length(phrase))"))).alias("phrase")).distinct())
     kept = cut(best.join(inside, ["lang", "phrase", "f"], "left_anti"))
     places = kept.select("lang", "phrase").mapInPandas(_codes_of, "lang string, phrase binary, place int, code long")
-    needed = places.select("code").distinct()
-    spelled = (chunks.select("words").mapInPandas(_spelled, "code long, word string").join(needed, "code", "left_semi")
-               .groupBy("code").agg(F.min("word").alias("word"), F.max("word").alias("other"))
+    sent = documents.sparkSession.sparkContext.broadcast(reached[0])
+    spelled = (chunks.select("lang", "words").mapInPandas(_spelled(sent), "code long, word string")
+               .groupBy("code").agg(F.min("word").alias("word"), F.max("word").alias("other")).join(places.select("code").distinct(), "code", "left_semi")
                .select("code", F.when(F.col("word") == F.col("other"), F.col("word"))
                        .otherwise(F.raise_error(F.lit("two words share a 64-bit code"))).alias("word")))
-    spelled = cut(spelled, free=False)
+    with few_rows_at_once(documents.sparkSession):
+        spelled = cut(spelled, free=False)
     texts = (places.join(spelled, "code").groupBy("lang", "phrase")
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("words")))
     rows = (kept.join(texts, ["lang", "phrase"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,35 @@ def cut(df: DataFrame, free: bool = True) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` (in place of what is there) as compressed Parquet, and read again."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    del df
+    spark.sparkContext._jvm.java.lang.System.gc()  # as in cut(): frees the shuffle files of finished work
+    return spark.read.parquet(path)
+
+
+@contextmanager
+def few_rows_at_once(spark: SparkSession, rows: int = 8):
+    """Rows with blocks of megabytes are read and sent to Python ``rows`` at a time by the actions inside."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, str(rows))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> None:
     """Texts go to Python ``rows`` at a time, unless the session asks for something else than Spark's default."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -68,6 +99,21 @@ def steps(batches: Iterator[pd.DataFrame], column: str = "text",
             yield part
 
 
+def gathered(batches: Iterator[pd.DataFrame], column: str = "text", chars: int = STEP_CHARS) -> Iterator[pd.DataFrame]:
+    """Batches joined until they hold about ``chars`` characters, for work that is the cheaper the more rows it has at once."""
+    held, size = [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        size += int(pdf[column].str.len().fillna(0).sum())
+        if size >= chars:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node",
                component: str = "component", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b of type long) can reach.

@@ -9,7 +9,7 @@ import numpy as np
 from bursar.llm.jaccard_join import mixed
 
 #: Bytes of one chunk; a piece without any break may make a chunk larger.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 WORD, GAP, BREAK = 0, 1, 2
 #: Class of each byte: words are parted by space and tab, pieces by .,;:!? and the line ends 0A to 0D.
