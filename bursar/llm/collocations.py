@@ -17,29 +17,27 @@ from bursar.llm.jaccard_join import mixed
 #: Words of a phrase at most, occurrences it needs, rows reported for each language.
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Shards of one cycle; one is scanned in each step.
-SHARDS = 3
+SHARDS = 2
 #: Cells of the table that tells the step from which a phrase counts as reached: one byte each, a table for
 #: each length but the last. When it fills up, more phrases are counted than need be, never fewer.
 CELLS = 1 << 22
 NEVER = 255
 
 #: Phrases that a task counts before it hands them on, and words of the texts to each bucket of phrases.
-HELD_PHRASES, BUCKET_WORDS = 500_000, 2_000_000
+HELD_PHRASES, BUCKET_WORDS = 800_000, 2_000_000
 
 
 def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chunks of texts of one language as codes with a 0 between pieces, and their distinct words."""
+    """Chunks of texts of one language as codes with a 0 between pieces."""
     number = 0
     for pdf in batches:
         for lang, part in pdf.groupby("lang", sort=True):
             for chunk in word_codes.chunks(part["text"].tolist()):
-                codes, pieces, starts, ends, lower = word_codes.words_of(chunk)
+                codes, pieces, *_ = word_codes.words_of(chunk)
                 if not len(codes):
                     continue
-                first = np.unique(codes, return_index=True)[1]
-                words = b" ".join([lower[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
                 yield pd.DataFrame({"lang": [lang], "number": [number], "n": [len(codes)],
-                                    "codes": [word_codes.with_breaks(codes, pieces).tobytes()], "words": [words]})
+                                    "codes": [word_codes.with_breaks(codes, pieces).tobytes()]})
                 number += 1
 
 
@@ -189,8 +187,8 @@ def _phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def frequent_phrases(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, shards: int = SHARDS,
-                     cells: int = CELLS) -> tuple[DataFrame, list[np.ndarray]]:
-    """(lang, phrase, f), and the tables of what is reached: every phrase of 1 to ``max_words`` words with f >= ``min_count``; a phrase is the codes of
+                     cells: int = CELLS) -> DataFrame:
+    """(lang, phrase, f): every phrase of 1 to ``max_words`` words with f >= ``min_count``; a phrase is the codes of
     its words, f all its occurrences.
 
     Step t counts shard t modulo ``shards``. Single words are counted from step 0; a longer phrase from the step
@@ -236,15 +234,15 @@ def frequent_phrases(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: i
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out, reached
+    return out
 
 
 def coded_chunks(documents: DataFrame, text: str = "text", lang: str = "lang", shards: int = SHARDS) -> DataFrame:
-    """Written chunks of coded words: shard, lang, n (words), codes and distinct words."""
+    """Written chunks of coded words: shard, lang, n (words) and codes."""
     small_batches(documents)
     return written(documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
                .filter("text is not null")
-               .mapInPandas(_coded, "lang string, number int, n long, codes binary, words binary")
+               .mapInPandas(_coded, "lang string, number int, n long, codes binary")
                .withColumn("shard", F.pmod(F.col("number") + F.spark_partition_id(), F.lit(shards)))
                .drop("number"), scratch(documents.sparkSession, "coded"))
 
@@ -258,22 +256,49 @@ def _with_cuts(often: DataFrame) -> DataFrame:
             .withColumn("tail", F.substring(words, F.col("k") * 8 + 1, F.length(words))))
 
 
-def _spelled(tables):
-    """Code and word of each word that is reached in its language, once for each task."""
+def _needed_cells(cells: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reached, known = tables.value, np.zeros(0, np.uint64)
         for pdf in batches:
-            for lang, raw in zip(pdf["lang"], pdf["words"]):
-                codes, _, starts, ends, lower = word_codes.words_of(raw)
-                a, b = cells_of(next(grams(codes, lang, 1)), len(reached))
-                new = np.flatnonzero((np.maximum(reached[a], reached[b]) != NEVER) & ~np.isin(codes, known))
-                if len(new):
-                    known = np.concatenate([known, codes[new]])
-                    yield pd.DataFrame({"code": codes[new].view(np.int64), "word": [
-                        lower[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())]})
+            found = np.unique(np.concatenate(cells_of(mixed(pdf["code"].to_numpy(np.int64).view(np.uint64)), cells)))
+            yield pd.DataFrame({"cell": found.astype(np.int32)})
     return run
 
 
+def _spelled(sent):
+    """Code and word of each word that may be needed, once for each task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        needed, known = sent.value, np.zeros(0, np.uint64)
+        for pdf in batches:
+            for chunk in word_codes.chunks(pdf["text"].tolist()):
+                codes, _, starts, ends, lower = word_codes.words_of(chunk)
+                a, b = cells_of(mixed(codes), len(needed))
+                at = np.flatnonzero(needed[a] & needed[b])
+                at = at[np.unique(codes[at], return_index=True)[1]]
+                at = at[~np.isin(codes[at], known)]
+                if len(at):
+                    known = np.concatenate([known, codes[at]])
+                    yield pd.DataFrame({"code": codes[at].view(np.int64), "word": [
+                        lower[x:y].decode("utf-8", "replace") for x, y in zip(starts[at].tolist(), ends[at].tolist())]})
+    return run
+
+
+def spelled(documents: DataFrame, needed: DataFrame, text: str, cells: int = CELLS) -> DataFrame:
+    """(code, word) of the codes of ``needed`` (code), from the texts.
+
+    Tasks know what is needed from a table of fixed size; what else it lets through goes with the join. Two words of
+    one code, which no choice could tell apart, stop the job.
+    """
+    spark = documents.sparkSession
+    table = np.zeros(cells, bool)
+    marks = needed.mapInPandas(_needed_cells(cells), "cell int").distinct().groupBy((F.col("cell") / 4096).cast("int")).agg(F.collect_list("cell").alias("cells"))
+    for r in marks.collect():  # at most the cells of the table
+        table[r["cells"]] = True
+    return (documents.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(_spelled(spark.sparkContext.broadcast(table)), "code long, word string")
+            .groupBy("code").agg(F.min("word").alias("word"), F.max("word").alias("other")).join(needed, "code", "left_semi")
+            .select("code", F.when(F.col("word") == F.col("other"), F.col("word"))
+                    .otherwise(F.raise_error(F.lit("two words share a 64-bit code"))).alias("word")))
+
+
 def _codes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sizes = (pdf["phrase"].str.len() // 8).to_numpy(np.int64)
@@ -298,8 +323,7 @@ def collocations(documents: DataFrame, min_count: int = MIN_COUNT, max_words: in
     shards = options.get("shards", SHARDS)
     chunks = coded_chunks(documents, text, lang, shards)
     totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
-    found, reached = frequent_phrases(chunks, min_count, max_words, **options)
-    often = cut(found)
+    often = cut(frequent_phrases(chunks, min_count, max_words, **options))
     part = lambda name, f: often.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     big = lambda c: F.col(c).cast("decimal(19,0)")
     # Written before each join on parts: a word that begins very many phrases can then be split.
@@ -312,22 +336,18 @@ def collocations(documents: DataFrame, min_count: int = MIN_COUNT, max_words: in
     longer = often.filter(F.length("phrase") > 16)
     inside = (longer.select("lang", "f", F.explode(F.array(
         F.expr("substring(phrase, 1, length(phrase) - 8)"), F.expr("substring(phrase, 9, length(phrase))"))).alias("phrase")).distinct())
-    kept = cut(best.join(inside, ["lang", "phrase", "f"], "left_anti"))
-    places = kept.select("lang", "phrase").mapInPandas(_codes_of, "lang string, phrase binary, place int, code long")
-    sent = documents.sparkSession.sparkContext.broadcast(reached[0])
-    spelled = (chunks.select("lang", "words").mapInPandas(_spelled(sent), "code long, word string")
-               .groupBy("code").agg(F.min("word").alias("word"), F.max("word").alias("other")).join(places.select("code").distinct(), "code", "left_semi")
-               .select("code", F.when(F.col("word") == F.col("other"), F.col("word"))
-                       .otherwise(F.raise_error(F.lit("two words share a 64-bit code"))).alias("word")))
-    with few_rows_at_once(documents.sparkSession):
-        spelled = cut(spelled, free=False)
-    texts = (places.join(spelled, "code").groupBy("lang", "phrase")
+    # The best of each language with all ties of the last, in two levels: what meets in one task is at most top for each of
+    # 32 parts of a language, and ties. Only these phrases are spelled out.
+    order = [F.col("score").desc(), F.col("f").desc()]
+    some = (best.join(inside, ["lang", "phrase", "f"], "left_anti").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(32)))
+            .withColumn("place", F.rank().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("place") <= top))
+    kept = cut(some.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= top).drop("part", "place"))
+    places = cut(kept.select("lang", "phrase").mapInPandas(_codes_of, "lang string, phrase binary, place int, code long"), free=False)
+    words = cut(spelled(documents, places.select("code").distinct(), text))
+    texts = (places.join(words, "code").groupBy("lang", "phrase")
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("words")))
     rows = (kept.join(texts, ["lang", "phrase"])
             .select("lang", F.col("words").alias("phrase"), F.col("f").alias("a"), "l", "r", "n", "score"))
-    # In two levels: the rows that meet in one task are at most top for each of 32 parts of a language.
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    some = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(32)))
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
-    return (some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
+    return (rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
             .filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
