@@ -99,21 +99,6 @@ def steps(batches: Iterator[pd.DataFrame], column: str = "text",
             yield part
 
 
-def gathered(batches: Iterator[pd.DataFrame], column: str = "text", chars: int = STEP_CHARS) -> Iterator[pd.DataFrame]:
-    """Batches joined until they hold about ``chars`` characters, for work that is the cheaper the more rows it has at once."""
-    held, size = [], 0
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        held.append(pdf)
-        size += int(pdf[column].str.len().fillna(0).sum())
-        if size >= chars:
-            yield pd.concat(held, ignore_index=True)
-            held, size = [], 0
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node",
                component: str = "component", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b of type long) can reach.

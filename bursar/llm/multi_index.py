@@ -17,10 +17,10 @@ THRESHOLD = 0.9
 #: Bound of the sample that codebooks are fitted on, and Lloyd rounds.
 SAMPLE, ROUNDS = 20_000, 12
 #: Vectors per grid cell aimed at; words of a codebook at least and at most.
-PER_CELL, LEAST_WORDS, MOST_WORDS = 64, 4, 1024
-#: Queries whose true neighbours among all rows are counted to choose the number of visited cells: so many
-#: at first, four times as many until ENOUGH of them have neighbours, and at most.
-QUERIES, ENOUGH, MOST_QUERIES = 1000, 100, 16_000
+PER_CELL, LEAST_WORDS, MOST_WORDS = 64, 4, 4096
+#: Queries whose true neighbours among all rows are counted to choose the number of visited cells; where fewer than
+#: ENOUGH of them have neighbours, neighbours are made for MADE vectors, as far away as linked ones can be.
+QUERIES, ENOUGH, MADE = 1000, 100, 1000
 TARGET_RECALL = 0.995
 #: Vectors of a side that one group compares.
 BLOCK = 1024
@@ -135,14 +135,23 @@ def fit(distinct: DataFrame, n: int) -> Index:
     return Index(fit_codebook(points[:, :half], words, 1), fit_codebook(points[:, half:], words, 2))
 
 
-def visited_cells(distinct: DataFrame, index: Index, n: int, threshold: float = THRESHOLD) -> tuple[int | None, float]:
+def made_neighbours(queries: np.ndarray, threshold: float) -> np.ndarray:
+    """For each query a vector at exactly the threshold's cosine, in a random direction."""
+    side = np.random.default_rng(37).standard_normal(queries.shape)
+    side -= (side * queries).sum(axis=1, keepdims=True) * queries
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    return threshold * queries + (1 - threshold ** 2) ** 0.5 * side
+
+
+def visited_cells(distinct: DataFrame, index: Index, n: int, threshold: float = THRESHOLD) -> tuple[int, float]:
     """How many cells a vector must visit for the target recall, and the recall measured at that.
 
     The first vectors in the order of a hash are compared with all vectors by brute force, block by block;
     each true neighbour is counted under the place of its own cell in the query's order of the whole grid.
     Recall is the mean over the queries that have neighbours, so a large group of near copies weighs as much as
-    it has vectors and not as many as it has pairs. There are more queries until ``ENOUGH`` have neighbours or
-    all ``n`` vectors were asked; if ``MOST_QUERIES`` do not suffice, recall is unknown and the number is None.
+    it has vectors and not as many as it has pairs. Where fewer than ``ENOUGH`` have neighbours (and not all ``n`` vectors
+    were asked), as in a large corpus without many near copies, vectors also get a made neighbour just at the threshold.
+    True ones are at least as near, so their recall is the target at least, and nothing needs to be compared to learn it.
     """
     spark = distinct.sparkSession
 
@@ -163,17 +172,17 @@ def visited_cells(distinct: DataFrame, index: Index, n: int, threshold: float =
                         out.append((np.full(len(cells), at + q), index.places(d1[at + q], d2[at + q], cells), count))
             yield pd.DataFrame(dict(zip(("q", "place", "n"), map(np.concatenate, zip(*out)))))
 
-    asked = QUERIES
-    while True:
-        chosen = distinct.orderBy(F.xxhash64(F.lit(31), "node"), "node").limit(asked).select("node", "raw").collect()
-        sent = spark.sparkContext.broadcast(([bytes(r.raw) for r in chosen], np.array([r.node for r in chosen]), index))
-        found = distinct.select("node", "raw").mapInPandas(ranks, "q int, place int, n long") \
-            .groupBy("q", "place").agg(F.sum("n").alias("n")).toPandas()
-        if found["q"].nunique() >= ENOUGH or asked >= n:
-            break
-        if asked >= MOST_QUERIES:
-            return None, 1.0
-        asked = min(4 * asked, MOST_QUERIES)
+    sample = distinct.orderBy(F.xxhash64(F.lit(31), "node"), "node").limit(max(QUERIES, MADE)).select("node", "raw").collect()
+    chosen = sample[:QUERIES]
+    sent = spark.sparkContext.broadcast(([bytes(r.raw) for r in chosen], np.array([r.node for r in chosen]), index))
+    found = distinct.select("node", "raw").mapInPandas(ranks, "q int, place int, n long") \
+        .groupBy("q", "place").agg(F.sum("n").alias("n")).toPandas()
+    if found["q"].nunique() < ENOUGH and len(chosen) < n:
+        queries = unit(_matrix(r.raw for r in sample[:MADE]))
+        d1, d2 = index.distances(queries)
+        home = index.cells(made_neighbours(queries, threshold), 1)[:, 0]
+        made = [int(index.places(d1[q], d2[q], home[q:q + 1])[0]) for q in range(len(queries))]
+        found = pd.concat([found, pd.DataFrame({"q": -1 - np.arange(len(made)), "place": made, "n": 1})], ignore_index=True)
     if not len(found):
         return 1, 1.0
     found["share"] = found["n"] / found.groupby("q")["n"].transform("sum") / found["q"].nunique()
@@ -231,9 +240,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, column:
     merged first, so copies are counted and never compared. A codebook for each half of the unit vectors,
     fitted on a bounded sample, spans a grid; every vector lies in one cell and visits the nearest cells in
     the order of the multi-sequence traversal. How many follows from a brute-force count over all rows for
-    a sample of queries, so that the share of its neighbours that a query finds reaches ``TARGET_RECALL`` on
-    average. Where that cannot be measured, or takes so many cells that comparing all pairs moves fewer rows,
-    the grid is a single cell and all pairs are compared: recall is 1 then. Visitors and members of a cell meet in blocks, where cosines are computed exactly; tasks write counts and spanning
+    a sample of queries (and from made neighbours, where true ones are rare), so that the share of its neighbours that
+    a query finds reaches ``TARGET_RECALL`` on average. Where that takes so many cells that comparing all pairs moves
+    fewer rows, as in small tables, the grid is a single cell and all pairs are compared: recall is 1 then. Visitors and members of a cell meet in blocks, where cosines are computed exactly; tasks write counts and spanning
     trees, never pairs. A pair is counted once whichever side finds it.
 
     Vectors that are null or zero, hold null or non-finite components, or are not as long as most have no
@@ -251,7 +260,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, column:
         index = fit(distinct, n)
         visits, recall = visited_cells(distinct, index, n, threshold)
         # A single cell sends each vector to 2 n / BLOCK pairs of blocks.
-        if visits is None or visits > max(16, 2 * n // BLOCK):
+        if visits > max(16, 2 * n // BLOCK):
             index, visits, recall = one_cell(index.first.shape[1] + index.second.shape[1]), 1, 1.0
         sent = spark.sparkContext.broadcast(index)
         assigned = cut(distinct.select("node", "rows", "raw").mapInPandas(_assign(sent, visits), "node long, rows long, raw binary, cells array<long>"))
