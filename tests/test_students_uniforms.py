@@ -60,6 +60,29 @@ def test_eligibility_segments_and_counts(school):
         ("Lower Primary", "Female"): 1, ("Lower Primary", "Male"): 2}
 
 
+def test_eligible_pairs_are_not_shuffled(spark, make, monkeypatch):
+    monkeypatch.setattr(uniforms, "BLOCK_ITEMS", 3)
+    monkeypatch.setattr(uniforms, "BLOCK_STUDENTS", 2)
+    sections, genders = ["Nursery", "All", None], ["Male", "Female", "All", None]
+    classes = make("classes", [{"class_id": k, "class_name": f"C{k}", "section": s, "term_fee": D(1)} for k, s in enumerate(sections)])
+    students = make("students", [{"student_id": k // 2, "admission_number": f"A{k}", "class_id": k % 4, "gender": genders[k % 5 % 4],
+                                  "status": "Active"} for k in range(24)])  # ids come twice, a class has no row
+    items = make("uniform_items", [{"uniform_id": k % 19, "item_name": f"i{k * 7 % 10}" if k % 6 else None, "applicable_section": sections[k % 3],
+                                    "applicable_gender": genders[k // 3 % 4], "price": D(k), "quantity_in_stock": k} for k in range(40)])
+    pairs = uniforms.eligible_items_for(students, classes, items)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(items") < plan.index("Exchange")  # pairs come into being after the last exchange
+    fits = lambda own, wanted: wanted is not None and wanted in (own, "All")
+    section = {c.class_id: c.section for c in classes.collect()}
+    want = sorted((s.student_id, i.quantity_in_stock) for s in students.collect() if s.class_id in section for i in items.collect()
+                  if fits(section[s.class_id], i.applicable_section) and fits(s.gender, i.applicable_gender))
+    got = pairs.collect()
+    assert sorted((r.student_id, r.quantity_in_stock) for r in got) == want
+    one = uniforms.eligible_items_for(students.filter("admission_number = 'A1'"), classes, items).collect()
+    names = [(r.item_name is not None, r.item_name or "", r.uniform_id) for r in one]
+    assert len(names) > 4 and names == sorted(names)
+
+
 def test_item_sales_and_totals(school):
     rows = uniforms.uniform_stock(school["items"]).collect()
     assert [r["uniform_id"] for r in rows] == [2, 3, 1, 4]  # by name, equal names by id
