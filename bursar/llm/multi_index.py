@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bursar.llm.common import components, cut, forest, runs
+from bursar.operators.staging import staged
 
 THRESHOLD = 0.9
 #: Bound of the sample that codebooks are fitted on, and Lloyd rounds.
@@ -218,10 +219,11 @@ def _compare(threshold: float):
             if not len(x):
                 continue
             # The prober x visits y's cell and counts y here. y counts x in x's cell, if it visits that one, else here too.
-            cells = np.array(pdf["cells"].tolist())
+            own = np.array([c[0] for c in pdf["cells"]])
+            visited, among = np.array(pdf["cells"].iloc[at].tolist()), np.searchsorted(at, y)
             back = np.zeros(len(x), bool)
-            for c in range(cells.shape[1]):
-                back |= cells[y, c] == cells[x, 0]
+            for c in range(visited.shape[1]):
+                back |= visited[among, c] == own[x]
             links = np.bincount(x, weights=rows[y], minlength=len(pdf)) + np.bincount(y[~back], weights=rows[x[~back]], minlength=len(pdf))
             # A vector is there twice, as a member and as a prober: trees go by the vector.
             distinct, number = np.unique(node, return_inverse=True)
@@ -233,6 +235,26 @@ def _compare(threshold: float):
     return run
 
 
+def meetings(assigned: DataFrame) -> DataFrame:
+    """(cell, m, p, member, node, rows, raw, cells): members and probers of each cell, by pairs of their blocks.
+
+    A member has the list of all cells that it visits; a prober, of which there are as many as visited cells, only its own cell.
+    """
+    members = assigned.withColumn("cell", F.col("cells")[0])
+    probers = assigned.withColumn("cell", F.explode("cells")).withColumn("cells", F.slice("cells", 1, 1))
+    visits = assigned.select(F.explode("cells").alias("cell"), F.col("cells")[0].alias("own"))
+    # Written, so that the planner knows how small this is: probers are then not dealt out for this join too.
+    sizes = staged(visits.groupBy("cell").agg(F.count("*").alias("p"), F.sum((F.col("cell") == F.col("own")).cast("long")).alias("m"))
+                   .filter("m > 0 and p > 1")
+                   .select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("m_blocks"), F.ceil(F.col("p") / BLOCK).cast("int").alias("p_blocks")))
+    spread = lambda df, own, n_own, other, n_other, role: (
+        df.join(sizes, "cell").withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+        .select("cell", "m", "p", F.lit(role).alias("member"), "node", "rows", "raw", "cells"))
+    return spread(members, "m", "m_blocks", "p", "p_blocks", True).unionByName(
+        spread(probers, "p", "p_blocks", "m", "m_blocks", False))
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept, visited_cells, measured_recall: one row per row of ``embeddings``.
 
@@ -264,18 +286,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, column:
             index, visits, recall = one_cell(index.first.shape[1] + index.second.shape[1]), 1, 1.0
         sent = spark.sparkContext.broadcast(index)
         assigned = cut(distinct.select("node", "rows", "raw").mapInPandas(_assign(sent, visits), "node long, rows long, raw binary, cells array<long>"))
-        members = assigned.withColumn("cell", F.col("cells")[0])
-        probers = assigned.withColumn("cell", F.explode("cells"))
-        sizes = (probers.select("cell", (F.col("cell") == F.col("cells")[0]).alias("home"))
-                 .groupBy("cell").agg(F.count("*").alias("p"), F.sum(F.col("home").cast("long")).alias("m"))
-                 .filter("m > 0 and p > 1")
-                 .select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("m_blocks"), F.ceil(F.col("p") / BLOCK).cast("int").alias("p_blocks")))
-        spread = lambda df, own, n_own, other, n_other, role: (
-            df.join(sizes, "cell").withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
-            .select("cell", "m", "p", F.lit(role).alias("member"), "node", "rows", "raw", "cells"))
-        met = spread(members, "m", "m_blocks", "p", "p_blocks", True).unionByName(
-            spread(probers, "p", "p_blocks", "m", "m_blocks", False))
+        met = meetings(assigned)
         linked = cut(met.repartition("cell", "m", "p").sortWithinPartitions("cell", "m", "p")
                      .mapInPandas(_compare(threshold), "a long, b long, n long"))
         links = linked.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))

@@ -306,6 +306,18 @@ def test_rare_neighbours_of_a_large_table_without_all_pairs(spark):
     assert 1 < visits * multi_index.PER_CELL < n / 4 and got[5].measured_recall >= 0.99
 
 
+def test_probers_travel_with_one_cell(spark, monkeypatch):
+    """Rows that meet: members with all the cells that they visit, probers, one for each visited cell, with their own alone."""
+    from bursar.llm import multi_index
+    monkeypatch.setattr(multi_index, "BLOCK", 3)
+    visited = [[k % 4, (k + 1) % 4, (k + 2) % 4] for k in range(20)]
+    df = spark.createDataFrame([(k, 1, b"x", c) for k, c in enumerate(visited)], "node long, rows long, raw binary, cells array<long>")
+    rows = multi_index.meetings(df).collect()
+    pairs = Counter((p.node, q.node) for p in rows if not p.member for q in rows if q.member and (p.cell, p.m, p.p) == (q.cell, q.m, q.p))
+    assert pairs == Counter((i, j) for i in range(20) for j in range(20) if visited[j][0] in visited[i])
+    assert all(r.cells == (visited[r.node] if r.member else visited[r.node][:1]) for r in rows)
+
+
 # ---------------------------------------------------------------------------- substring dedup, single anchors
 
 @given(st.data())
