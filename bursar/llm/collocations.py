@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +82,23 @@ _BLOCK = "kind int, bucket int, lang string, k int, codes binary, since binary,
 STATE, DONE, CELLS_SET = range(3)
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Rows of codes (one column a word), column by column: each distinct code once and the numbers of these, byte plane by
+    byte plane, compressed."""
+    words, number = np.unique(codes.T, return_inverse=True)
+    number = number.ravel().astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+    planes = np.ascontiguousarray(number.view(np.uint8).reshape(len(number), -1).T)
+    return np.array([codes.shape[0], len(words)], np.uint32).tobytes() + words.tobytes() + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(k: int, raw: bytes) -> np.ndarray:
+    n, distinct = np.frombuffer(raw, np.uint32, 2).tolist()
+    size = 2 if distinct <= 1 << 16 else 4
+    words, at = np.frombuffer(raw, np.uint64, distinct, 8), 8 + 8 * distinct
+    planes = np.frombuffer(pa.decompress(raw[at:], size * n * k, "zstd", asbytes=True), np.uint8).reshape(size, n * k)
+    return words[np.ascontiguousarray(planes.T).view(f"u{size}").ravel()].reshape(k, n).T
+
+
 def _blocks(kind: int, lang: str, codes: np.ndarray, hashes: np.ndarray, since: np.ndarray, f: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Phrases of one language and length as packed rows, one for each bucket of their hashes (which are in order).
 
@@ -90,12 +108,14 @@ def _blocks(kind: int, lang: str, codes: np.ndarray, hashes: np.ndarray, since:
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         order = a + np.lexsort(codes[a:b].T[::-1])
-        yield (kind, int(bucket[a]), lang, codes.shape[1], codes[order].T.tobytes(), since[order].astype(np.uint8).tobytes(),
-               f[order].astype(np.int64).tobytes())
+        counts = f[order]
+        # Counts in as few bytes as the largest of them needs; their number tells how many.
+        yield (kind, int(bucket[a]), lang, codes.shape[1], packed(codes[order]), since[order].astype(np.uint8).tobytes(),
+               counts.astype(np.min_scalar_type(int(counts.max()))).tobytes())
 
 
 def _unpacked(k: int, codes: bytes, since: bytes, f: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(codes, np.uint64).reshape(k, -1).T, np.frombuffer(since, np.uint8), np.frombuffer(f, np.int64)
+    return unpacked(k, codes), np.frombuffer(since, np.uint8), np.frombuffer(f, f"u{len(f) // len(since)}").astype(np.int64)
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:

@@ -320,6 +320,20 @@ def test_probers_travel_with_one_cell(spark, monkeypatch):
 
 # ---------------------------------------------------------------------------- substring dedup, single anchors
 
+def test_phrases_travel_with_each_word_once():
+    """A block of phrases holds each distinct code once: far less than 8 bytes a word, and the same phrases."""
+    from bursar.llm import collocations
+    rng = np.random.default_rng(5)
+    for words, n, k in ((300, 5000, 4), (70_000, 90_000, 2), (3, 1, 1)):
+        codes = rng.integers(1, 1 << 63, words).astype(np.uint64)[np.minimum(rng.zipf(1.3, (n, k)) - 1, words - 1)]
+        codes = codes[np.lexsort(codes.T[::-1])]
+        codes, hashes, since, f = collocations.summed(codes, collocations.phrase_hashes(codes, "x"), np.zeros(n, np.uint8), np.arange(1, n + 1) * 1000)
+        blocks = list(collocations._blocks(collocations.STATE, "x", codes, hashes, since, f, 1))
+        got = [collocations._unpacked(k, *b[4:]) for b in blocks]
+        assert sorted(zip(map(tuple, got[0][0].tolist()), got[0][2].tolist())) == sorted(zip(map(tuple, codes.tolist()), f.tolist()))
+        assert words != 300 or len(blocks[0][4]) < codes.nbytes / 3
+
+
 @given(st.data())
 @settings(max_examples=150, deadline=None)
 def test_single_anchors_that_lead_to_a_passage_are_kept(data):
