@@ -320,6 +320,19 @@ def test_probers_travel_with_one_cell(spark, monkeypatch):
 
 # ---------------------------------------------------------------------------- substring dedup, single anchors
 
+def test_repeats_leave_no_finished_work_on_disk(spark, tmp_path, monkeypatch):
+    """Seeds that are linked and chains that are aligned make room for what follows; low bytes are never kept."""
+    from bursar.llm import substring_dedup
+    monkeypatch.setattr(substring_dedup, "scratch", lambda _, name: str(tmp_path / name))
+    passage = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(k, f"a{k} b{k} {passage} c{k}") for k in range(5)], "doc_id long, text string")
+    _, passages = substring_dedup.repeated_passages(df)
+    assert passages.count() == 4
+    kept = {p.name: spark.read.parquet(str(p)).columns for p in (tmp_path / "repeats").iterdir()}
+    assert "low" not in kept["words"] and not any("bucket" in c for c in kept.values())
+    assert kept["chains"] == passages.columns
+
+
 def test_phrases_travel_with_each_word_once():
     """A block of phrases holds each distinct code once: far less than 8 bytes a word, and the same phrases."""
     from bursar.llm import collocations
