@@ -135,23 +135,30 @@ def output(w: Weights, h: np.ndarray, code: np.ndarray, learn: bool):
         dh = p @ w["classes"].T
         grads = {"classes": h.T @ p, "class_bias": p.sum(0), "words": np.zeros_like(w["words"]),
                  "word_bias": np.zeros_like(w["word_bias"])}
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    # In the order of classes (sorted as 16-bit numbers, by radix), so that a class's rows lie together.
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    order = order[:bounds[-1]]
+    states, places, gained = h[order], code[order] % CLASS_WORDS, np.empty(len(order), logp.dtype)
+    back = np.empty_like(states) if learn else None
     for c in range(CLASSES):
-        rows = order[bounds[c]:bounds[c + 1]]
-        if not len(rows):
+        a, b = bounds[c], bounds[c + 1]
+        if a == b:
             continue
-        at, state, these = code[rows] % CLASS_WORDS, h[rows], every[:len(rows)]
+        at, state, these = places[a:b], states[a:b], every[:b - a]
         logits = state @ w["words"][c] + w["word_bias"][c]
         q = _exponentials(logits)
         total = q.sum(axis=1)
-        logp[rows] += logits[these, at] - np.log(total)
+        gained[a:b] = logits[these, at] - np.log(total)
         if learn:
             q /= total[:, None]
             q[these, at] -= 1
             grads["words"][c] = state.T @ q
             grads["word_bias"][c] = q.sum(0)
-            dh[rows] += q @ w["words"][c].T
+            back[a:b] = q @ w["words"][c].T
+    logp[order] += gained
+    if learn:
+        dh[order] += back
     return logp, grads, dh
 
 
@@ -173,11 +180,16 @@ def window_gradients(w: Weights, codes: np.ndarray, real: np.ndarray, fresh: np.
         saved.append(parts)
         h = new if whole[t] else np.where(real[t][:, None], new, h)
     flat = real.reshape(-1)
-    logp, grads, out = output(w, before.reshape(-1, HIDDEN)[flat], codes.reshape(-1)[flat], True)
-    from_output = np.zeros((span * lanes, HIDDEN), x.dtype)
-    from_output[flat] = out
+    every = bool(whole.all())
+    only = (lambda rows: rows) if every else (lambda rows: rows[flat])
+    logp, grads, out = output(w, only(before.reshape(-1, HIDDEN)), only(codes.reshape(-1)), True)
+    if every:
+        from_output = out
+    else:
+        from_output = np.zeros((span * lanes, HIDDEN), x.dtype)
+        from_output[flat] = out
     from_output = from_output.reshape(span, lanes, HIDDEN)
-    dx, du = np.zeros_like(x), np.zeros_like(x)
+    dx, du = np.empty_like(x), np.empty_like(x)
     dh = np.zeros((lanes, HIDDEN), x.dtype)
     back = np.ascontiguousarray(w["state"].T)
     for t in range(span - 1, -1, -1):
@@ -196,12 +208,13 @@ def window_gradients(w: Weights, codes: np.ndarray, real: np.ndarray, fresh: np.
             dh = np.where(fresh[t][:, None], np.float32(0), dh)
     dx[:, :, :2 * HIDDEN] = du[:, :, :2 * HIDDEN]
     d_state = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
-    codes_flat, dx = codes.reshape(-1)[flat], dx.reshape(-1, 3 * HIDDEN)[flat]
-    order = np.argsort(codes_flat, kind="stable")
-    distinct, starts = np.unique(codes_flat[order], return_index=True)
+    codes_flat, dx = only(codes.reshape(-1)), only(dx.reshape(-1, 3 * HIDDEN))
+    order = np.argsort(codes_flat.astype(np.int16), kind="stable")
+    in_order = codes_flat[order]
+    starts = np.flatnonzero(np.diff(in_order, prepend=-1))
     grads["inputs"] = np.zeros_like(w["inputs"])
-    if len(distinct):
-        grads["inputs"][distinct] = np.add.reduceat(dx[order], starts)
+    if len(starts):
+        grads["inputs"][in_order[starts]] = np.add.reduceat(dx[order], starts)
     grads["state"] = d_state
     return float(logp.sum()), grads, h
 
@@ -392,14 +405,14 @@ def text_log_probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     starts = np.cumsum(lengths) - lengths
     h = np.zeros((len(texts), HIDDEN), np.float32)
     states, targets, owners, held = [], [], [], 0
+    ends = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left").tolist()
 
     def settle() -> None:
         logp, _, _ = output(w, np.concatenate(states), np.concatenate(targets), False)
-        np.add.at(out, np.concatenate(owners), logp.astype(float))
+        out[:] += np.bincount(np.concatenate(owners), logp.astype(float), len(out))
         states.clear(), targets.clear(), owners.clear()
 
-    for t in range(int(lengths[0]) if len(lengths) else 0):
-        n = int(np.searchsorted(-lengths, -t, side="left"))
+    for t, n in enumerate(ends):
         code = flat[starts[:n] + t]
         states.append(h[:n])
         targets.append(code)

@@ -347,6 +347,24 @@ def test_phrases_travel_with_each_word_once():
         assert words != 300 or len(blocks[0][4]) < codes.nbytes / 3
 
 
+def test_net_learns_and_scores_alike_in_any_lanes(spark):
+    """Windows without padding take shorter ways: gradients are those of the same window with a padded lane beside it."""
+    from bursar.llm import language_model as lm
+    rng = np.random.default_rng(6)
+    w = lm.initial(rng.integers(1, 50, lm.WORDS).astype(float), rng.integers(1, 50, lm.RARE_CLASSES).astype(float))
+    codes = rng.integers(0, lm.WORDS + lm.RARE_CLASSES, (lm.WINDOW, 5)).astype(np.int32)
+    fresh = np.zeros(codes.shape, bool)
+    fresh[0], fresh[7, 2] = True, True
+    real, h = np.ones(codes.shape, bool), np.zeros((5, lm.HIDDEN), np.float32)
+    wide = lambda x, fill: np.concatenate([x, np.full((len(x), 1), fill, x.dtype)], axis=1)
+    logp, grads, state = lm.window_gradients(w, codes, real, fresh, h)
+    other, more, _ = lm.window_gradients(w, wide(codes, 3), wide(real, False), wide(fresh, False), np.zeros((6, lm.HIDDEN), np.float32))
+    assert abs(logp - other) < 1e-3 and all(np.allclose(grads[k], more[k], atol=1e-4) for k in grads)
+    short, texts = codes[:0, 0], [codes[:, k] for k in range(5)]
+    alone = [lm.text_log_probabilities(w, [t])[0] for t in texts]
+    assert np.allclose(lm.text_log_probabilities(w, [*texts, short]), [*alone, 0], atol=1e-3)
+
+
 @given(st.data())
 @settings(max_examples=150, deadline=None)
 def test_single_anchors_that_lead_to_a_passage_are_kept(data):
