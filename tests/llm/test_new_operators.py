@@ -385,3 +385,52 @@ def test_single_anchors_that_lead_to_a_passage_are_kept(data):
     crop = lambda a, fill: np.pad(a.astype(np.uint8), (w, w + 50), constant_values=fill)[at:at + 2 * w + sd.SEED_WORDS]
     if found:
         assert sd.alike_nearby(crop(x, 0)[None], crop(y, 1)[None], sd.MIN_WORDS, sd.MIN_EQUAL)[0]
+
+
+@given(st.data())
+@settings(max_examples=60, deadline=None)
+def test_many_alignments_are_those_of_each_chain(data):
+    """Chains that are aligned side by side give the passages that each gives by itself, in any order of rows."""
+    from bursar.llm import substring_dedup as sd
+    rnd = np.random.default_rng(data.draw(st.integers(0, 10 ** 6)))
+    rows, expected = [], []
+    for k in range(12):
+        y = rnd.integers(0, data.draw(st.sampled_from((3, 2 ** 32))), rnd.integers(10, 300), dtype=np.uint32)
+        x = np.where(rnd.random(len(y)) < rnd.choice((0.0, 0.1, 0.3)), rnd.integers(0, 2 ** 32, len(y), dtype=np.uint32), y)
+        cut = int(rnd.integers(0, len(x)))
+        x = np.concatenate([x[:cut], rnd.integers(0, 2 ** 32, rnd.integers(0, 6), dtype=np.uint32), x[cut + int(rnd.integers(0, 6)):]])
+        n = sd.SEED_WORDS
+        at = [(i, j) for i in range(0, len(x) - n + 1) for j in range(max(0, i - 6), min(len(y) - n, i + 6) + 1) if (x[i:i + n] == y[j:j + n]).all()]
+        if not at:
+            continue
+        ax, ay = np.array([at[i] for i in sorted(rnd.choice(len(at), min(len(at), 8), replace=False).tolist())]).T
+        x0, y0 = rnd.integers(0, 1000, 2).tolist()
+        for chain in sd.chains(ax, ay):
+            cx, cy = ax[chain], ay[chain]
+            expected += [(len(rows), x0 + a, x0 + b, y0 + c, e) for a, b, c, e in sd.passages_of(x, y, cx, cy)]
+            rows.append((x.tobytes(), y.tobytes(), (cx + x0).astype(np.int32).tobytes(), (cy + y0).astype(np.int32).tobytes(), x0, y0))
+    if rows:
+        *lists, x0, y0 = zip(*rows)
+        got = sd.passages_of_many(*lists, np.array(x0), np.array(y0))
+        assert sorted(zip(*(v.tolist() for v in got))) == sorted(expected)
+
+
+def test_two_anchors_chain_as_many_do():
+    """Pairs of documents with two anchors, which are not chained one by one, give the chains of chains()."""
+    from bursar.llm import substring_dedup as sd
+    rnd = np.random.default_rng(3)
+    expected, place, ref = [], [], []
+    for k in range(400):
+        x, y = np.sort(rnd.integers(0, rnd.choice((8, 40, 400)), 2)), rnd.integers(0, rnd.choice((8, 40, 400)), 2)
+        if x[0] == x[1] and y[0] == y[1]:
+            continue
+        place, ref = [*place, *(((k + 500) << sd.PLACE_BITS) + x)], [*ref, *((k << sd.PLACE_BITS) + y)]
+        expected += [(k + 500, k, tuple(sorted(zip(x[c].tolist(), y[c].tolist())))) for c in sd.chains(x, y)]
+    frame = sd._frame([(0, sd.planes(np.array(place)), sd.planes(np.array(ref)))], False)
+    got = []
+    for pdf in sd._chains(type("Sent", (), {"value": (np.zeros(0, np.int64), np.zeros(0, np.int64))}))(iter([frame])):
+        for r in pdf.itertuples():
+            at = [np.frombuffer(raw, np.int32).tolist() for raw in (r.ax, r.ay)]
+            assert (r.n, r.x, r.y) == (len(at[0]), at[0][0], at[1][0])
+            got.append((r.rank, r.ref, tuple(sorted(zip(*at)))))
+    assert sorted(got) == sorted(expected) and {len(c) for *_, c in expected} == {1, 2}
