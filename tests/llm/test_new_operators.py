@@ -434,3 +434,11 @@ def test_two_anchors_chain_as_many_do():
             assert (r.n, r.x, r.y) == (len(at[0]), at[0][0], at[1][0])
             got.append((r.rank, r.ref, tuple(sorted(zip(*at)))))
     assert sorted(got) == sorted(expected) and {len(c) for *_, c in expected} == {1, 2}
+
+
+def test_repeats_count_hot_seeds_where_the_links_come(spark, tmp_path, monkeypatch):
+    """The sampled counts are gone once the links are written: only the folders of the job itself are left."""
+    from bursar.llm import substring_dedup
+    monkeypatch.setattr(substring_dedup, "scratch", lambda _, name: str(tmp_path / name))
+    substring_dedup.repeated_passages(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"))
+    assert {p.name for p in tmp_path.iterdir()} == {"repeats"}
