@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,22 +25,40 @@ SHARDS = 2
 CELLS = 1 << 22
 NEVER = 255
 
+#: Words, the most frequent of the first step, that all tasks know by number: 8 bytes each.
+HEAD_WORDS = 1 << 19
+NO_HEAD = np.zeros(0, np.uint64)
+#: Words of one row of the written chunks.
+ROW_WORDS = 500_000
+
 #: Phrases that a task counts before it hands them on, and words of the texts to each bucket of phrases.
 HELD_PHRASES, BUCKET_WORDS = 800_000, 2_000_000
 
 
 def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chunks of texts of one language as codes with a 0 between pieces."""
-    number = 0
+    """Chunks of texts of one language as packed codes with a 0 between pieces."""
+    number, held, size = 0, {}, Counter()
+
+    def row(lang: str) -> pd.DataFrame:
+        nonlocal number
+        codes = np.concatenate([c for part in held.pop(lang) for c in (part, np.zeros(1, np.uint64))][:-1])
+        number += 1
+        return pd.DataFrame({"lang": [lang], "number": [number - 1], "n": [size.pop(lang)], "codes": [packed(codes[:, None])]})
+
     for pdf in batches:
         for lang, part in pdf.groupby("lang", sort=True):
             for chunk in word_codes.chunks(part["text"].tolist()):
                 codes, pieces, *_ = word_codes.words_of(chunk)
                 if not len(codes):
                     continue
-                yield pd.DataFrame({"lang": [lang], "number": [number], "n": [len(codes)],
-                                    "codes": [word_codes.with_breaks(codes, pieces).tobytes()]})
-                number += 1
+                held.setdefault(lang, []).append(word_codes.with_breaks(codes, pieces))
+                size[lang] += len(codes)
+                if size[lang] >= ROW_WORDS:
+                    yield row(lang)
+                elif sum(size.values()) >= 4 * ROW_WORDS:  # many languages with few words each
+                    yield row(max(size, key=size.get))
+    for lang in sorted(held):
+        yield row(lang)
 
 
 def grams(codes: np.ndarray, lang: str, lengths: int) -> Iterator[np.ndarray]:
@@ -82,24 +101,37 @@ _BLOCK = "kind int, bucket int, lang string, k int, codes binary, since binary,
 STATE, DONE, CELLS_SET = range(3)
 
 
-def packed(codes: np.ndarray) -> bytes:
-    """Rows of codes (one column a word), column by column: each distinct code once and the numbers of these, byte plane by
-    byte plane, compressed."""
-    words, number = np.unique(codes.T, return_inverse=True)
-    number = number.ravel().astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-    planes = np.ascontiguousarray(number.view(np.uint8).reshape(len(number), -1).T)
-    return np.array([codes.shape[0], len(words)], np.uint32).tobytes() + words.tobytes() + pa.compress(planes, "zstd", asbytes=True)
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: equal high bytes then lie together and are compressed away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
-def unpacked(k: int, raw: bytes) -> np.ndarray:
-    n, distinct = np.frombuffer(raw, np.uint32, 2).tolist()
+def packed(codes: np.ndarray, head: np.ndarray = NO_HEAD) -> bytes:
+    """Rows of codes (one column a word), column by column: each distinct code once and the numbers of these, byte plane by
+    byte plane, compressed. Of codes in ``head`` (sorted) only the steps from place to place there are kept."""
+    words, number = np.unique(codes.T, return_inverse=True)
+    place = np.searchsorted(head, words)
+    known = np.zeros(len(words), bool)
+    known[place < len(head)] = head[place[place < len(head)]] == words[place < len(head)]
+    order = np.concatenate([np.flatnonzero(known), np.flatnonzero(~known)])
+    to = np.empty(len(words), np.uint16 if len(words) <= 1 << 16 else np.uint32)
+    to[order] = np.arange(len(words))
+    parts = _planes(np.diff(place[known], prepend=0).astype(np.uint32)), _planes(words[~known]), _planes(to[number.ravel()])
+    return np.array([codes.shape[0], len(words), int(known.sum())], np.uint32).tobytes() + pa.compress(b"".join(parts), "zstd", asbytes=True)
+
+
+def unpacked(k: int, raw: bytes, head: np.ndarray = NO_HEAD) -> np.ndarray:
+    n, distinct, known = np.frombuffer(raw, np.uint32, 3).tolist()
     size = 2 if distinct <= 1 << 16 else 4
-    words, at = np.frombuffer(raw, np.uint64, distinct, 8), 8 + 8 * distinct
-    planes = np.frombuffer(pa.decompress(raw[at:], size * n * k, "zstd", asbytes=True), np.uint8).reshape(size, n * k)
-    return words[np.ascontiguousarray(planes.T).view(f"u{size}").ravel()].reshape(k, n).T
+    data = np.frombuffer(pa.decompress(raw[12:], 4 * known + 8 * (distinct - known) + size * n * k, "zstd", asbytes=True), np.uint8)
+    a, b = 4 * known, 4 * known + 8 * (distinct - known)
+    values = lambda part, width: np.ascontiguousarray(part.reshape(width, -1).T).view(f"u{width}").ravel()
+    words = np.concatenate([head[np.cumsum(values(data[:a], 4), dtype=np.int64)], values(data[a:b], 8)])
+    return words[values(data[b:], size)].reshape(k, n).T
 
 
-def _blocks(kind: int, lang: str, codes: np.ndarray, hashes: np.ndarray, since: np.ndarray, f: np.ndarray, buckets: int) -> Iterator[tuple]:
+def _blocks(kind: int, lang: str, codes: np.ndarray, hashes: np.ndarray, since: np.ndarray, f: np.ndarray, buckets: int,
+            head: np.ndarray = NO_HEAD) -> Iterator[tuple]:
     """Phrases of one language and length as packed rows, one for each bucket of their hashes (which are in order).
 
     Within a bucket they are sorted, and codes lie word by word, so that equal words lie together.
@@ -110,22 +142,22 @@ def _blocks(kind: int, lang: str, codes: np.ndarray, hashes: np.ndarray, since:
         order = a + np.lexsort(codes[a:b].T[::-1])
         counts = f[order]
         # Counts in as few bytes as the largest of them needs; their number tells how many.
-        yield (kind, int(bucket[a]), lang, codes.shape[1], packed(codes[order]), since[order].astype(np.uint8).tobytes(),
+        yield (kind, int(bucket[a]), lang, codes.shape[1], packed(codes[order], head), since[order].astype(np.uint8).tobytes(),
                counts.astype(np.min_scalar_type(int(counts.max()))).tobytes())
 
 
-def _unpacked(k: int, codes: bytes, since: bytes, f: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpacked(k, codes), np.frombuffer(since, np.uint8), np.frombuffer(f, f"u{len(f) // len(since)}").astype(np.int64)
+def _unpacked(k: int, codes: bytes, since: bytes, f: bytes, head: np.ndarray = NO_HEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpacked(k, codes, head), np.frombuffer(since, np.uint8), np.frombuffer(f, f"u{len(f) // len(since)}").astype(np.int64)
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _BLOCK.split(", ")])
 
 
-def _count(step: int, shards: int, max_words: int, buckets: int, tables):
+def _count(step: int, shards: int, max_words: int, buckets: int, tables, words):
     """Counts one shard: each phrase whose two subphrases are reached, for one full cycle from then on."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reached = tables.value
+        reached, head = tables.value, words.value
         held: dict[tuple[str, int], list] = {}
         size = 0
 
@@ -133,7 +165,7 @@ def _count(step: int, shards: int, max_words: int, buckets: int, tables):
             nonlocal size
             out = []
             for (lang, _), parts in held.items():
-                out += _blocks(STATE, lang, *summed(*(np.concatenate([p[c] for p in parts]) for c in range(4))), buckets)
+                out += _blocks(STATE, lang, *summed(*(np.concatenate([p[c] for p in parts]) for c in range(4))), buckets, head)
             held.clear()
             size = 0
             for a in range(0, len(out), 100):
@@ -141,7 +173,7 @@ def _count(step: int, shards: int, max_words: int, buckets: int, tables):
 
         for pdf in batches:
             for lang, raw in zip(pdf["lang"], pdf["codes"]):
-                codes = np.frombuffer(raw, np.uint64)
+                codes = unpacked(1, raw).ravel()
                 since = None  # the step from which the shorter phrase at each position counts as reached
                 for k, h in enumerate(grams(codes, lang, max_words), 1):
                     if not len(h):
@@ -168,13 +200,14 @@ def _count(step: int, shards: int, max_words: int, buckets: int, tables):
     return run
 
 
-def _merge(step: int, shards: int, max_words: int, min_count: int, buckets: int, cells: int):
+def _merge(step: int, shards: int, max_words: int, min_count: int, buckets: int, cells: int, words):
     """The buckets' phrases so far with the new counts: what goes on, what is done, and the cells of what is reached."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = words.value
         for group in runs(batches, ["bucket"]):
             out = []
             for (lang, k), part in group.groupby(["lang", "k"]):
-                blocks = [_unpacked(k, *r) for r in zip(part["codes"], part["since"], part["f"])]
+                blocks = [_unpacked(k, *r, head) for r in zip(part["codes"], part["since"], part["f"])]
                 codes, since, f = (np.concatenate([b[c] for b in blocks]) for c in range(3))
                 codes, h, since, f = summed(codes, phrase_hashes(codes, lang), since, f)
                 often = f >= min_count
@@ -184,7 +217,7 @@ def _merge(step: int, shards: int, max_words: int, min_count: int, buckets: int,
                 complete = since.astype(np.int64) <= step - shards + 1
                 for kind, chosen in ((STATE, ~complete), (DONE, complete & often)):
                     if chosen.any():
-                        out += _blocks(kind, lang, codes[chosen], h[chosen], since[chosen], f[chosen], buckets)
+                        out += _blocks(kind, lang, codes[chosen], h[chosen], since[chosen], f[chosen], buckets, head)
             if out:
                 yield _rows(out)
     return run
@@ -197,13 +230,54 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"k": np.full(len(found), k), "cell": found})
 
 
-def _phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _phrases(words):
     """Done phrases, one a row: their codes in a row, each most significant byte first."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lang, k, *block in zip(pdf["lang"], pdf["k"], pdf["codes"], pdf["since"], pdf["f"]):
+                codes, _, f = _unpacked(k, *block, words.value)
+                raw, width = codes.astype(">u8").tobytes(), 8 * k
+                yield pd.DataFrame({"lang": lang, "phrase": [raw[a:a + width] for a in range(0, len(raw), width)], "f": f})
+    return run
+
+
+def _cell(f: np.ndarray) -> np.ndarray:
+    """Counts in cells, eight for each doubling: the more the higher, few hundred in all."""
+    return np.floor(8 * np.log2(f)).astype(np.int64)
+
+
+def _word_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for lang, k, *block in zip(pdf["lang"], pdf["k"], pdf["codes"], pdf["since"], pdf["f"]):
-            codes, _, f = _unpacked(k, *block)
-            raw, width = codes.astype(">u8").tobytes(), 8 * k
-            yield pd.DataFrame({"lang": lang, "phrase": [raw[a:a + width] for a in range(0, len(raw), width)], "f": f})
+        for block in zip(pdf["codes"], pdf["since"], pdf["f"]):
+            cell, n = np.unique(_cell(_unpacked(1, *block)[2]), return_counts=True)
+            yield pd.DataFrame({"cell": cell, "n": n})
+
+
+def _words_from(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block in zip(pdf["codes"], pdf["since"], pdf["f"]):
+                codes, _, f = _unpacked(1, *block)
+                found = codes[_cell(f) >= least, 0]
+                if len(found):
+                    yield pd.DataFrame({"codes": [found.tobytes()]})
+    return run
+
+
+def head_words(merged: DataFrame, most: int = HEAD_WORDS) -> np.ndarray:
+    """Sorted codes of the words that were counted most in the first step, ``most`` at most. What they are changes only how
+    phrases are packed."""
+    words = merged.filter((F.col("k") == 1) & (F.col("kind") != CELLS_SET)).select("codes", "since", "f")
+    least = total = None
+    for r in sorted(words.mapInPandas(_word_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect(), reverse=True):
+        total = r.n + (total or 0)
+        if total > most or r.cell < 8:  # words that occurred once do not pay
+            break
+        least = r.cell
+    if least is None:
+        return NO_HEAD
+    found = words.mapInPandas(_words_from(least), "codes binary").collect()
+    return np.unique(np.concatenate([np.frombuffer(r["codes"], np.uint64) for r in found]))
 
 
 def frequent_phrases(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, shards: int = SHARDS,
@@ -217,7 +291,7 @@ def frequent_phrases(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: i
     began, so its count is that of all data. What has completed its cycle leaves the running state. The
     tables that tell tasks which subphrases are reached have a fixed size: two cells a phrase, each with the step
     at which it was set. A cell shared by chance only activates a phrase too early, which is then counted over its
-    own full cycle all the same. Counts travel and rest in packed blocks by a hash of the phrase; tasks add
+    own full cycle all the same. Counts travel and rest in packed blocks by a hash of the phrase, frequent words as numbers; tasks add
     up their counts first, so a frequent phrase burdens no bucket.
     """
     spark = chunks.sparkSession
@@ -228,16 +302,16 @@ def frequent_phrases(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: i
     folder = scratch(spark, "collocations")
     n_words = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(16, n_words // BUCKET_WORDS)
-    state, done, step = None, [], 0
+    state, done, step, head = None, [], 0, spark.sparkContext.broadcast(NO_HEAD)
     while step < shards or any(c > step - shards for c in changed):
         sent = spark.sparkContext.broadcast(reached)
         new = (chunks.filter(F.col("shard") == step % shards).select("lang", "codes")
-               .mapInPandas(_count(step, shards, max_words, buckets, sent), _BLOCK))
+               .mapInPandas(_count(step, shards, max_words, buckets, sent, head), _BLOCK))
         both = new if state is None else state.unionByName(new)
         # Two folders in turn: a step writes over the state before the last.
         with few_rows_at_once(spark):
             merged = written(both.repartition("bucket").sortWithinPartitions("bucket")
-                             .mapInPandas(_merge(step, shards, max_words, min_count, buckets, cells), _BLOCK), f"{folder}/{step % 2}")
+                             .mapInPandas(_merge(step, shards, max_words, min_count, buckets, cells, head), _BLOCK), f"{folder}/{step % 2}")
         marks = (merged.filter(F.col("kind") == CELLS_SET).mapInPandas(_cells, "k int, cell int").distinct()
                  .groupBy("k", (F.col("cell") / 4096).cast("int")).agg(F.collect_list("cell").alias("cells")))
         for r in marks.collect():  # at most the cells of the tables, whatever the input
@@ -248,8 +322,10 @@ def frequent_phrases(chunks: DataFrame, min_count: int = MIN_COUNT, max_words: i
                 changed[r["k"] - 1] = step + 1
         sent.destroy()
         if step >= shards - 1:
-            done.append(cut(merged.filter(F.col("kind") == DONE).mapInPandas(_phrases, "lang string, phrase binary, f long"), free=False))
+            done.append(cut(merged.filter(F.col("kind") == DONE).mapInPandas(_phrases(head), "lang string, phrase binary, f long"), free=False))
         state = merged.filter(F.col("kind") == STATE)
+        if step == 0:  # what is packed until here refers to no word by number
+            head = spark.sparkContext.broadcast(head_words(merged))
         step += 1
     out = done[0]
     for d in done[1:]:

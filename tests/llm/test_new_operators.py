@@ -347,6 +347,23 @@ def test_phrases_travel_with_each_word_once():
         assert words != 300 or len(blocks[0][4]) < codes.nbytes / 3
 
 
+def test_frequent_words_travel_as_numbers(spark, monkeypatch):
+    """Codes that all tasks know take a fraction of their bytes; what is known changes no result."""
+    rng = np.random.default_rng(8)
+    head = np.unique(rng.integers(1, 1 << 63, 20_000).astype(np.uint64))
+    codes = np.concatenate([rng.choice(head, (3000, 2)), rng.integers(1, 1 << 63, (30, 2)).astype(np.uint64)])
+    raw = collocations.packed(codes, head)
+    assert (collocations.unpacked(2, raw, head) == codes).all() and len(raw) < len(collocations.packed(codes)) / 2
+    assert (collocations.unpacked(2, collocations.packed(codes[:0], head), head) == codes[:0]).all()
+    texts = [(" ".join(rng.choice(list("abcdefgh"), 30)) + ", " + " ".join(rng.choice(list("stuvw"), 9)), rng.choice(["en", "de"])) for _ in range(60)]
+    df, chosen, found = spark.createDataFrame([(t, str(x)) for t, x in texts], "text string, lang string").repartition(3), collocations.head_words, []
+    for most in (0, 3, 1000):
+        monkeypatch.setattr(collocations, "head_words", lambda merged, most=most: found.append(chosen(merged, most)) or found[-1])
+        got = [tuple(r) for r in collocations.collocations(df, min_count=5, top=40).collect()]
+        assert sorted(got) == sorted(brute_collocations(texts, 5, 40)) and len(got) > 20
+    assert [len(x) <= most for x, most in zip(found, (0, 3, 1000))] == [True] * 3 and len(found[2]) == 13
+
+
 def test_net_learns_and_scores_alike_in_any_lanes(spark):
     """Windows without padding take shorter ways: gradients are those of the same window with a padded lane beside it."""
     from bursar.llm import language_model as lm
