@@ -459,3 +459,23 @@ def test_repeats_count_hot_seeds_where_the_links_come(spark, tmp_path, monkeypat
     monkeypatch.setattr(substring_dedup, "scratch", lambda _, name: str(tmp_path / name))
     substring_dedup.repeated_passages(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"))
     assert {p.name for p in tmp_path.iterdir()} == {"repeats"}
+
+
+@given(st.data())
+@settings(max_examples=30, deadline=None)
+def test_seeds_of_many_texts_are_those_of_each(data):
+    """Texts side by side, of any length, give the least k-mer of each window of each text, the first of equals."""
+    from bursar.llm import substring_dedup as sd
+    from bursar.llm.word_codes import _BASE
+    rnd = np.random.default_rng(data.draw(st.integers(0, 10 ** 6)))
+    lengths = [0, 1, 4, 5, 6, 8, 9, 19, 20, 34, 35, 36, 50, 51, 70]
+    texts = [rnd.integers(0, rnd.choice((2, 50, 2 ** 32)), rnd.choice(lengths), dtype=np.uint32) for _ in range(data.draw(st.integers(1, 8)))]
+    expected = []
+    for number, t in enumerate(texts):
+        words = sd.mixed(t.astype(np.uint64) + np.uint64(1)).tolist()
+        for k, window in ((sd.SEED_WORDS, sd.WINDOW), *sd.CONTEXTS):
+            sums = [sum(w * pow(_BASE, k - 1 - j, 1 << 64) for j, w in enumerate(words[a:a + k])) % (1 << 64) for a in range(len(t) - k + 1)]
+            h = sd.mixed(np.array(sums, np.uint64)).tolist()
+            least = {min(range(a, min(a + window, len(h))), key=lambda p: (h[p] >> sd.PLACE_BITS, p)) for a in range(max(1, len(h) - window + 1))} if h else set()
+            expected += [(int(np.uint64(h[p]).astype(np.int64)), number, p) for p in least]
+    assert sorted(zip(*(v.tolist() for v in sd.every_seed(texts)))) == sorted(expected)
