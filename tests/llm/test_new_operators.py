@@ -461,6 +461,44 @@ def test_repeats_count_hot_seeds_where_the_links_come(spark, tmp_path, monkeypat
     assert {p.name for p in tmp_path.iterdir()} == {"repeats"}
 
 
+def test_near_copies_hold_no_sketches_once_they_are_known(spark):
+    """What is returned refers to narrow rows: signatures and bands do not stay on disk for as long as it lives."""
+    from bursar.llm import jaccard_join
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(1, text), (2, text), (3, text + " w60"), (4, "other")], "doc_id long, text string")
+    for out in (jaccard_join.jaccard_join(df), jaccard_join.one_of_each(df)):
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "LogicalRDD" in plan and "signature" not in plan and "bands" not in plan
+        assert sorted(r.doc_id for r in out.collect()) in ([1, 2, 3, 4], [1, 4])
+
+
+def test_texts_are_dealt_out_once_for_both_sides_of_a_chain(spark, tmp_path, monkeypatch):
+    """The later of two joins with the same columns of the documents uses what the first one has shuffled."""
+    from bursar.llm import substring_dedup
+    plans, kept = {}, substring_dedup.written
+
+    def written(df, path):
+        plans[path.rsplit("/", 1)[-1]] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, path)
+
+    monkeypatch.setattr(substring_dedup, "written", written)
+    monkeypatch.setattr(substring_dedup, "scratch", lambda _, name: str(tmp_path / name))
+    passage = " ".join(f"w{k}" for k in range(60))
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame([(k, f"a{k} b{k} {passage} c{k}") for k in range(5)], "doc_id long, text string")
+        _, passages = substring_dedup.repeated_passages(df)
+        got = sorted((r.ref_doc_id, r.start, r.end, r.ref_start, r.n_equal) for r in passages.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(0, 2, 62, 2, 60)] * 4
+    assert "ReusedExchange" in plans["links"] and "ReusedExchange" in plans["aligned"]
+
+
 @given(st.data())
 @settings(max_examples=30, deadline=None)
 def test_seeds_of_many_texts_are_those_of_each(data):
