@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,11 @@ RATE = 0.006
 PARTIAL_WORDS = 300_000
 #: Characters of texts that are scored side by side.
 SCORE_CHARS = 8_000_000
+#: Characters that a text counts for beside its own, so that short and null texts are bounded in number.
+TEXT_CHARS = 500
 OUTPUT_ROWS = 16_384
+#: Rows of class probabilities that are made at a time.
+OUTPUT_BLOCK = 1024
 MAX_CODES = 200_000
 WORDS = CLASSES * CLASS_WORDS
 END = WORDS - 1
@@ -53,6 +58,9 @@ def words_of(text: str) -> list[bytes]:
 
 
 def rare_class(word: bytes) -> int:
+    last = word[-2:]
+    if last.isascii():  # then these two bytes are the last two characters
+        return zlib.crc32(last) % RARE_CLASSES
     return zlib.crc32(word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")) % RARE_CLASSES
 
 
@@ -97,24 +105,42 @@ def initial(word_counts: np.ndarray, rare_counts: np.ndarray, seed: int = 3) ->
             "words": small(CLASSES, HIDDEN, CLASS_WORDS), "word_bias": own.astype(np.float32)}
 
 
+def by_gate(x: np.ndarray) -> np.ndarray:
+    """Rows of three gates side by side as [gate, row, HIDDEN]: the rows of a gate lie together."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).swapaxes(0, 1))
+
+
 def gates(x: np.ndarray, state: np.ndarray, h: np.ndarray):
     """The next state from the input's contribution ``x`` and the last state."""
+    return gate_step(by_gate(x), by_gate(state), h)
+
+
+def gate_step(x: np.ndarray, state: np.ndarray, h: np.ndarray):
+    """As ``gates``, of arrays by gate."""
     u = h @ state
-    zr = x[:, :2 * HIDDEN] + u[:, :2 * HIDDEN]
+    zr, un = u[:2], u[2]
+    zr += x[:2]
     np.negative(zr, out=zr)
     np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    un = u[:, 2 * HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN:] + r * un)
-    return n + z * (h - n), (z, r, n, un)
+    z, r = zr
+    n = r * un
+    n += x[2]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (z, r, n, un)
 
 
-def _exponentials(logits: np.ndarray) -> np.ndarray:
-    """exp of the logits, which stay far below the bound in a trained net."""
-    np.minimum(logits, np.float32(60), out=logits)
-    return np.exp(logits)
+def _exponentials(logits: np.ndarray, every: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logits at ``at``; exp of all takes their place. They stay far below the bound in a trained net."""
+    if logits.max() > 60:
+        np.minimum(logits, np.float32(60), out=logits)
+    picked = logits[every, at]
+    np.exp(logits, out=logits)
+    return picked
 
 
 def output(w: Weights, h: np.ndarray, code: np.ndarray, learn: bool):
@@ -124,15 +150,22 @@ def output(w: Weights, h: np.ndarray, code: np.ndarray, learn: bool):
     """
     cls = np.where(code < WORDS, code // CLASS_WORDS, code - WORDS + CLASSES)
     every = np.arange(len(code))
-    logits = h @ w["classes"] + w["class_bias"]
-    p = _exponentials(logits)
-    total = p.sum(axis=1)
-    logp = logits[every, cls] - np.log(total)
-    grads, dh = {}, None
+    logp, dh, grads = np.empty(len(code), h.dtype), np.empty_like(h) if learn else None, {}
+    # Few rows at a time, so that they stay in the processor's cache; only gradients need them all.
+    p = np.empty((len(code) if learn else min(len(code), OUTPUT_BLOCK), CLASSES + RARE_CLASSES), h.dtype)
+    for a in range(0, len(code), OUTPUT_BLOCK):
+        b = min(a + OUTPUT_BLOCK, len(code))
+        part, these, at = p[a:b] if learn else p[:b - a], every[:b - a], cls[a:b]
+        np.matmul(h[a:b], w["classes"], out=part)
+        part += w["class_bias"]
+        gained = _exponentials(part, these, at)
+        total = part.sum(axis=1)
+        logp[a:b] = gained - np.log(total)
+        if learn:
+            part /= total[:, None]
+            part[these, at] -= 1
+            np.matmul(part, w["classes"].T, out=dh[a:b])
     if learn:
-        p /= total[:, None]
-        p[every, cls] -= 1
-        dh = p @ w["classes"].T
         grads = {"classes": h.T @ p, "class_bias": p.sum(0), "words": np.zeros_like(w["words"]),
                  "word_bias": np.zeros_like(w["word_bias"])}
     # In the order of classes (sorted as 16-bit numbers, by radix), so that a class's rows lie together.
@@ -146,16 +179,17 @@ def output(w: Weights, h: np.ndarray, code: np.ndarray, learn: bool):
         if a == b:
             continue
         at, state, these = places[a:b], states[a:b], every[:b - a]
-        logits = state @ w["words"][c] + w["word_bias"][c]
-        q = _exponentials(logits)
+        q = state @ w["words"][c]
+        q += w["word_bias"][c]
+        picked = _exponentials(q, these, at)
         total = q.sum(axis=1)
-        gained[a:b] = logits[these, at] - np.log(total)
+        gained[a:b] = picked - np.log(total)
         if learn:
             q /= total[:, None]
             q[these, at] -= 1
             grads["words"][c] = state.T @ q
             grads["word_bias"][c] = q.sum(0)
-            back[a:b] = q @ w["words"][c].T
+            np.matmul(q, w["words"][c].T, out=back[a:b])
     logp[order] += gained
     if learn:
         dh[order] += back
@@ -169,14 +203,14 @@ def window_gradients(w: Weights, codes: np.ndarray, real: np.ndarray, fresh: np.
     are padding. Returns (sum of log probabilities, gradients, state).
     """
     span, lanes = codes.shape
-    x = w["inputs"][codes]
+    x, state = np.take(by_gate(w["inputs"]), codes, axis=1), by_gate(w["state"])
     before, saved = np.empty((span, lanes, HIDDEN), x.dtype), []
     whole, starts = real.all(axis=1), fresh.any(axis=1)
     for t in range(span):
         if starts[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
         before[t] = h
-        new, parts = gates(x[t], w["state"], h)
+        new, parts = gate_step(x[:, t], state, h)
         saved.append(parts)
         h = new if whole[t] else np.where(real[t][:, None], new, h)
     flat = real.reshape(-1)
@@ -189,7 +223,8 @@ def window_gradients(w: Weights, codes: np.ndarray, real: np.ndarray, fresh: np.
         from_output = np.zeros((span * lanes, HIDDEN), x.dtype)
         from_output[flat] = out
     from_output = from_output.reshape(span, lanes, HIDDEN)
-    dx, du = np.empty_like(x), np.empty_like(x)
+    dx, du = np.empty((span, lanes, 3 * HIDDEN), x.dtype), np.empty((span, lanes, 3 * HIDDEN), x.dtype)
+    gate = np.empty((3, lanes, HIDDEN), x.dtype)
     dh = np.zeros((lanes, HIDDEN), x.dtype)
     back = np.ascontiguousarray(w["state"].T)
     for t in range(span - 1, -1, -1):
@@ -197,12 +232,14 @@ def window_gradients(w: Weights, codes: np.ndarray, real: np.ndarray, fresh: np.
         d = dh if whole[t] else dh * real[t][:, None]
         dz = d * z
         dn = (d - dz) * (1 - n * n)
+        np.multiply(dz * (1 - z), before[t] - n, out=gate[0])
+        np.multiply(dn, r, out=gate[2])
+        np.multiply(gate[2] * un, 1 - r, out=gate[1])
         to = du[t]
-        to[:, :HIDDEN] = dz * (1 - z) * (before[t] - n)
-        to[:, 2 * HIDDEN:] = dn * r
-        to[:, HIDDEN:2 * HIDDEN] = to[:, 2 * HIDDEN:] * un * (1 - r)
+        to.reshape(lanes, 3, HIDDEN)[:] = gate.swapaxes(0, 1)
         dx[t, :, 2 * HIDDEN:] = dn
-        past = dz + to @ back
+        past = to @ back
+        past += dz
         dh = (past if whole[t] else np.where(real[t][:, None], past, dh)) + from_output[t]
         if starts[t]:
             dh = np.where(fresh[t][:, None], np.float32(0), dh)
@@ -214,7 +251,8 @@ def window_gradients(w: Weights, codes: np.ndarray, real: np.ndarray, fresh: np.
     starts = np.flatnonzero(np.diff(in_order, prepend=-1))
     grads["inputs"] = np.zeros_like(w["inputs"])
     if len(starts):
-        grads["inputs"][in_order[starts]] = np.add.reduceat(dx[order], starts)
+        pairs = dx[order].view(np.result_type(dx, 1j))  # two numbers are added at once
+        grads["inputs"][in_order[starts]] = np.add.reduceat(pairs, starts).view(dx.dtype)
     grads["state"] = d_state
     return float(logp.sum()), grads, h
 
@@ -360,12 +398,13 @@ def train(training: DataFrame, stats: Statistics, text: str = "text") -> Weights
     texts = [codes.of(words_of(r[text])) for r in sorted(few, key=lambda r: ids.index(r.doc_id))]
     for _ in range(WARM_PASSES):
         warm.learn(texts)
-    sent = spark.sparkContext.broadcast((warm.w, stats.vocabulary))
-    chunk = 4096
+    # Frequent words beyond the vocabulary, whose codes are those of their rare classes, are looked up too.
+    sent = spark.sparkContext.broadcast((warm.w, list(stats.head)))
+    chunk, key = 4096, ("language_model training", uuid.uuid4().hex)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, vocabulary = sent.value
-        trainer, codes = Trainer(start, RATE / 2), Codes(vocabulary)
+        start, codes = built(key, lambda: (sent.value[0], Codes(sent.value[1])))
+        trainer = Trainer(start, RATE / 2)
         for pdf in steps(batches, text):
             trainer.learn([codes.of(words_of(t) if isinstance(t, str) else []) for t in pdf[text]])
         if trainer.tokens:
@@ -391,6 +430,20 @@ def train(training: DataFrame, stats: Statistics, text: str = "text") -> Weights
     return _shaped(np.concatenate([np.frombuffer(r.total, np.float32) / r.tokens for r in sums]), weights)
 
 
+def gathered(parts: Iterator[pd.DataFrame], column: str, chars: int) -> Iterator[list[pd.DataFrame]]:
+    """Lists of parts one after another, as long as these count for ``chars`` characters at most."""
+    held, size = [], 0
+    for pdf in parts:
+        more = int(pdf[column].str.len().sum()) + TEXT_CHARS * len(pdf)
+        if held and size + more > chars:
+            yield held
+            held, size = [], 0
+        held.append(pdf)
+        size += more
+    if held:
+        yield held
+
+
 def text_log_probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log of each coded text's probability (rare words: of their classes).
 
@@ -403,6 +456,7 @@ def text_log_probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     lengths = lengths[order]
     flat = np.concatenate([texts[k] for k in order]) if len(texts) else np.zeros(0, np.int32)
     starts = np.cumsum(lengths) - lengths
+    inputs, state = by_gate(w["inputs"]), by_gate(w["state"])
     h = np.zeros((len(texts), HIDDEN), np.float32)
     states, targets, owners, held = [], [], [], 0
     ends = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left").tolist()
@@ -418,7 +472,7 @@ def text_log_probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
         targets.append(code)
         owners.append(order[:n])
         held += n
-        h, _ = gates(w["inputs"][code], w["state"], h[:n])
+        h, _ = gate_step(np.take(inputs, code, axis=1), state, h[:n])
         if held >= OUTPUT_ROWS:
             settle()
             held = 0
@@ -455,9 +509,9 @@ def score(documents: DataFrame, counts: DataFrame, stats: Statistics, weights: W
         within = np.log10(s.rare_mass + s.rare_types + 1)
         end = float(np.log10(s.ends + 1))
         row = TaskContext.get().partitionId() << 40
-        for pdf in steps(batches, text, SCORE_CHARS):
+        for parts in gathered(steps(batches, text, SCORE_CHARS), text, SCORE_CHARS):
             coded, known, base, extra, tails, sizes = [], [], [], [], [], []
-            for t in pdf[text]:
+            for t in chain.from_iterable(pdf[text] for pdf in parts):
                 words = words_of(t) if isinstance(t, str) else []
                 number = codes.numbers(words)
                 code, logs = np.append(codes.codes[number], np.int32(END)), log_count[number]
@@ -469,11 +523,15 @@ def score(documents: DataFrame, counts: DataFrame, stats: Statistics, weights: W
                 base.append(float(logs.sum()) + end)
                 extra.append(float(logs[rare].sum() - within[code[:-1][rare] - WORDS].sum()))
                 tails.append(tail)
-            logp = text_log_probabilities(w, coded) / np.log(10)
-            yield pd.DataFrame({"row": np.arange(row, row + len(pdf)), "doc_id": pdf["doc_id"].to_numpy(),
-                                "lm_tokens": sizes, "known": known, "base": base, "net": logp + np.array(extra),
-                                "tail": tails})
-            row += len(pdf)
+            net = text_log_probabilities(w, coded) / np.log(10) + np.array(extra)
+            at = 0
+            for pdf in parts:  # by itself, as ids have another type in a part with nulls
+                of = slice(at, at + len(pdf))
+                yield pd.DataFrame({"row": np.arange(row + of.start, row + of.stop), "doc_id": pdf["doc_id"].to_numpy(),
+                                    "lm_tokens": sizes[of], "known": known[of], "base": base[of], "net": net[of],
+                                    "tail": tails[of]})
+                at = of.stop
+            row += at
 
     rows = cut(documents.select("doc_id", text).mapInPandas(
         run, f"row long, doc_id {id_type}, lm_tokens long, known long, base double, net double, tail array<string>"))

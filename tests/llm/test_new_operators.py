@@ -382,6 +382,31 @@ def test_net_learns_and_scores_alike_in_any_lanes(spark):
     assert np.allclose(lm.text_log_probabilities(w, [*texts, short]), [*alone, 0], atol=1e-3)
 
 
+def test_small_batches_are_scored_together_in_blocks():
+    """Arrow batches are scored side by side up to a number of characters; rows of any block have the same output."""
+    import pandas as pd
+    from bursar.llm import language_model as lm
+    parts = [pd.DataFrame({"text": ["ab", None]}), pd.DataFrame({"text": [None, None]}), pd.DataFrame({"text": ["x" * 9]}),
+             pd.DataFrame({"text": ["abc", ""]}), pd.DataFrame({"text": ["y"]})]
+    each = lm.TEXT_CHARS
+    for chars, sizes in ((8 * each + 15, [8]), (8 * each + 14, [7, 1]), (5 * each + 11, [5, 3]), (3 * each + 8, [2, 2, 1, 3]), (0, [2, 2, 1, 2, 1])):
+        got = list(lm.gathered(iter(parts), "text", chars))
+        assert [sum(map(len, held)) for held in got] == sizes and [id(p) for held in got for p in held] == [id(p) for p in parts]
+    assert list(lm.gathered(iter([]), "text", 5)) == []
+    for word in ("a", "the", "é", "né", "éa", "aé1", "日本", "😀x", "\x00", "x\ud800"):
+        last = word[-2:].encode("utf-8", "surrogatepass")
+        assert lm.rare_class(word.encode("utf-8", "surrogatepass")) == lm.zlib.crc32(last) % lm.RARE_CLASSES
+    rng = np.random.default_rng(8)
+    w = lm.initial(rng.integers(1, 50, lm.WORDS).astype(float), rng.integers(1, 50, lm.RARE_CLASSES).astype(float))
+    n = lm.OUTPUT_BLOCK + 77
+    h, code = rng.standard_normal((n, lm.HIDDEN)).astype(np.float32), rng.integers(0, lm.WORDS + lm.RARE_CLASSES, n).astype(np.int32)
+    for learn in (False, True):
+        logp, _, dh = lm.output(w, h, code, learn)
+        for a, b in ((0, 50), (lm.OUTPUT_BLOCK - 20, n)):
+            alone, _, back = lm.output(w, h[a:b], code[a:b], learn)
+            assert np.allclose(logp[a:b], alone, atol=1e-4) and (not learn or np.allclose(dh[a:b], back, atol=1e-5))
+
+
 @given(st.data())
 @settings(max_examples=150, deadline=None)
 def test_single_anchors_that_lead_to_a_passage_are_kept(data):
