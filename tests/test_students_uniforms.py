@@ -83,6 +83,25 @@ def test_eligible_pairs_are_not_shuffled(spark, make, monkeypatch):
     assert len(names) > 4 and names == sorted(names)
 
 
+def test_eligible_pairs_cost_little_each(spark, make):
+    # All pairs of two lists that meet are held as copies at once: few, and only the student changes from one to the next.
+    assert uniforms.BLOCK_ITEMS * uniforms.BLOCK_STUDENTS <= 1 << 14
+    classes = make("classes", [{"class_id": 1, "class_name": "C", "section": "Nursery", "term_fee": D(1)}])
+    students = make("students", [{"student_id": k, "admission_number": f"A{k}", "class_id": 1, "gender": "Male", "status": "Active"}
+                                 for k in range(uniforms.BLOCK_STUDENTS + 5)])
+    items = make("uniform_items", [{"uniform_id": k, "item_name": f"i{k * 7 % 50:02d}", "applicable_section": "All", "applicable_gender": "Male",
+                                    "price": D("1.50"), "quantity_in_stock": k} for k in range(50)])
+    pairs = uniforms.eligible_items_for(students, classes, items)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    expansion = plan[:plan.index("Exchange")]
+    assert expansion.index("Generate explode(students") < expansion.index("Generate explode(items") and "cast(" not in expansion
+    names = {}
+    for r in pairs.collect():
+        names.setdefault(r.student_id, []).append(r.item_name)
+        assert r.price == D("1.50")
+    assert len(names) == students.count() and all(n == sorted(n) and len(n) == 50 for n in names.values())
+
+
 def test_item_sales_and_totals(school):
     rows = uniforms.uniform_stock(school["items"]).collect()
     assert [r["uniform_id"] for r in rows] == [2, 3, 1, 4]  # by name, equal names by id
